@@ -31,14 +31,28 @@ def drop_repeats(batch: DataFrame, key: Sequence[str]) -> DataFrame:
     return batch.dropDuplicates(list(key))
 
 
+def shared_keys(batch: DataFrame, stored: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Distinct stored keys that the batch has too, found without shuffling the stored rows.
+
+    The batch keys are broadcast, so call it only for a batch of checked size.
+    """
+    same = _same_key("stored", "batch", key)
+    mine = F.broadcast(distinct_keys(batch, key)).alias("batch")
+    return distinct_keys(stored, key).alias("stored").join(mine, same, "left_semi")
+
+
 def _match(batch: DataFrame, stored: DataFrame, key: Sequence[str], how: str) -> DataFrame:
     # The stored side is made distinct before the join, so a key that fills a
     # third of the table arrives as one row. The join then has its own exchange
     # on either side, which lets adaptive execution split a hot batch key.
-    same = all_of([F.col(f"batch.{c}").eqNullSafe(F.col(f"stored.{c}")) for c in key])
+    same = _same_key("batch", "stored", key)
     return batch.alias("batch").join(distinct_keys(stored, key).alias("stored"), same, how)
 
 
+def _same_key(left: str, right: str, key: Sequence[str]) -> Column:
+    return all_of([F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in key])
+
+
 @dataclass(frozen=True)
 class KeyCounts:
     rows: int

@@ -3,25 +3,38 @@
 `requests` has one row per argument: `request_id`, `field`, `text` and
 optionally `seq`, the position of the argument in its request (a repeated field
 keeps its last text). The texts have the same forms as single filter arguments.
+
+Every request is first matched against the partition list, which says where its
+rows can be ("places"). Requests and rows then meet by equality on the partition
+columns and, where a request lists values of a text column, on that value too;
+bounds on other columns are checked on the pairs that meet. The rows are never
+paired with all requests.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barlake.functions.columns import all_of
 from barlake.functions.filters import compile_filters, implied_by_date
 from barlake.sources.files import stored_partitions
 from barlake.sources.scan import read_stored
+from barlake.sources.scratch import new_folder
 from barlake.tables import TEXT_TYPES, TYPES, WHOLE_RANGES, Store, Table
 
 # Wide enough to compare any whole number exactly with text that has a fraction.
 _EXACT = "decimal(38,10)"
 
+# Requests are broadcast up to this many bytes, measured after they are spread over
+# their places and values; beyond it both sides are shuffled.
+BROADCAST_BYTES = 32 << 20
+
 
 def parsed_requests(table: Table, requests: DataFrame) -> DataFrame:
     """One row per request; per declared field a struct (low, high, listed), null if not filtered."""
@@ -37,13 +50,10 @@ def parsed_requests(table: Table, requests: DataFrame) -> DataFrame:
         F.when(~is_range, F.when(is_list, F.array_distinct(trimmed)).otherwise(F.array(text)))
         .alias("listed"))
     order = F.col("seq") if "seq" in requests.columns else text
-    known = requests.where(F.col("field").isin(list(table.columns)) & text.isNotNull())
-    answers = known.groupBy("request_id").agg(*[
-        F.max_by(F.when(F.col("field") == c, value), F.when(F.col("field") == c, order)).alias(c)
-        for c in table.columns])
-    # a request without any known field asks for everything
-    return (requests.select("request_id").distinct()
-            .join(answers, "request_id", "left"))
+    named = [(F.col("field") == c) & text.isNotNull() for c in table.columns]
+    return requests.groupBy("request_id").agg(*[
+        F.max_by(F.when(here, value), F.when(here, order)).alias(c)
+        for c, here in zip(table.columns, named)])
 
 
 def request_problems(table: Table, requests: DataFrame) -> DataFrame:
@@ -64,31 +74,25 @@ def request_problems(table: Table, requests: DataFrame) -> DataFrame:
 def answer_requests(store: Store, name: str, requests: DataFrame, version: str = "v1") -> DataFrame:
     """`request_id` and the rows each request selects.
 
-    Every request meets the rows through an equality, never through a full
-    product: requests that list values of the code column join on it, all others
-    are matched against the partition list first and join on the partition
-    columns. A small request table is broadcast by its measured size, a large
-    one shuffles, and adaptive execution splits hot codes and partitions.
+    The parsed requests are written to the shared folder once, because planning
+    looks at them before the rows are read.
     """
     table = store.table(name, version)
-    asked = parsed_requests(table, requests)
-    shown = ["request_id", *[f"row.{c}" for c in table.columns]]
-    code = _code_column(table)
-    by_code, others = None, asked
-    if code is not None:
-        listed = F.col(f"{code}.listed")
-        lists_codes = listed.isNotNull() & (F.size(listed) > 0)
-        by_code = asked.where(lists_codes).withColumn("code_asked", F.explode(listed))
-        others = asked.where(F.coalesce(~lists_codes, F.lit(True)))
-
-    answers = _by_partition(store, table, others).select(*shown)
-    if by_code is not None:
-        rows = _bounded_rows(store, table, by_code)
-        matched = rows.alias("row").join(
-            by_code.alias("ask"), (F.col(f"row.{code}") == F.col("ask.code_asked"))
-            & _matches(table, lambda c: F.col(f"row.{c}"), lambda c: F.col(f"ask.{c}")))
-        answers = answers.unionByName(matched.select(*shown))
-    return answers
+    folder = new_folder(store.spark, "requests")
+    parsed = parsed_requests(table, requests)
+    parsed.write.parquet(folder)
+    asked = store.spark.read.schema(parsed.schema).parquet(folder).withColumn(
+        "place", F.explode(_places(store, table)))
+
+    groups = _groups(table)
+    listing = F.coalesce(*[F.when(F.size(F.col(c)["listed"]) > 0, F.lit(c)) for c in groups],
+                         F.lit("")) if groups else F.lit("")
+    asked = asked.withColumn("by", listing)
+    facts = asked.groupBy("by").agg(*_facts(table, groups)).collect()  # one row per text column
+    answers = [_meet(store, table, asked, fact) for fact in facts]
+    empty = read_stored(store, table).where(F.lit(False)).select(
+        F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"), *table.columns)
+    return reduce(DataFrame.unionByName, answers) if answers else empty
 
 
 def count_requests(store: Store, name: str, requests: DataFrame, version: str = "v1") -> DataFrame:
@@ -99,97 +103,120 @@ def count_requests(store: Store, name: str, requests: DataFrame, version: str =
             .select("request_id", F.coalesce("rows", F.lit(0)).alias("rows")))
 
 
-def _code_column(table: Table) -> str | None:
-    codes = [c for c in table.columns if "code" in c.lower() and c not in table.partitions
-             and table.columns[c] in TEXT_TYPES]
-    return codes[0] if codes else None
+def _groups(table: Table) -> list[str]:
+    """Text columns inside the files a request may list values of; code columns first."""
+    texts = [c for c, t in table.columns.items() if t in TEXT_TYPES and c not in table.partitions]
+    return sorted(texts, key=lambda c: "code" not in c.lower())
+
 
+def _places(store: Store, table: Table) -> Column:
+    """The partitions a request can have rows in, as an array of structs.
 
-def _by_partition(store: Store, table: Table, asked: DataFrame) -> DataFrame:
-    rows = _bounded_rows(store, table, asked)
-    fits = lambda c: F.col(f"row.{c}")
-    wants = lambda c: F.col(f"ask.{c}")
+    The partition list is metadata the driver holds for every scan of the table.
+    A table without partitions is dealt by row hash into as many places as there
+    are shuffle partitions, and every request visits each.
+    """
     if not table.partitions:
-        # No partition to meet on: rows are dealt into as many hands as there are
-        # shuffle partitions and every request visits each hand.
         hands = int(store.spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = rows.withColumn("hand", F.pmod(F.xxhash64(*table.columns), F.lit(hands)))
-        visiting = asked.withColumn("hand", F.explode(F.sequence(F.lit(0), F.lit(hands - 1))))
-        return dealt.alias("row").join(visiting.alias("ask"), (
-            F.col("row.hand") == F.col("ask.hand")) & _matches(table, fits, wants))
-    # The partition list is metadata the driver holds for every scan of the table.
+        return F.transform(F.sequence(F.lit(0), F.lit(hands - 1)), lambda i: F.struct(i.alias("hand")))
     known = [t.asDict() for t in stored_partitions(store, table).collect()]
     kinds = ", ".join(f"{p}: {table.stored_schema[p].dataType.simpleString()}" for p in table.partitions)
     listing = F.from_json(F.lit(json.dumps(known, default=str)), f"array<struct<{kinds}>>")
+    own = [p for p in table.partitions if p in table.columns]
 
-    def wanted(place: Column) -> Column:
-        return _matches(table, lambda c: place[c], F.col, table.partitions) & _month_agrees(table, place)
+    def fits(place: Column) -> Column:
+        return all_of([_meets(place[p], F.col(p), table.columns[p]) for p in own]
+                      + _month_agrees(table, place)) if own or table.derived else F.lit(True)
 
-    spread = asked.withColumn("place", F.explode(F.filter(listing, wanted)))
-    same_place = all_of([F.col(f"row.{p}").eqNullSafe(F.col(f"ask.place.{p}"))
-                         for p in table.partitions])
-    return rows.alias("row").join(spread.alias("ask"), same_place & _matches(table, fits, wants))
+    return F.filter(listing, fits)
 
 
-def _month_agrees(table: Table, place: Column) -> Column:
-    """Year and Month of a partition can hold the days a request asks for."""
+def _month_agrees(table: Table, place: Column) -> list[Column]:
+    """Year and month of a partition can hold the days a request asks for."""
     if table.derived and set(table.derived) == {"year", "month"}:
         month = F.concat(place["year"], F.lit("-"), place["month"])
     elif table.calendar and {"Year", "Month"} <= set(table.partitions):
         month = F.concat(place["Year"], F.lit("-"), place["Month"])
     else:
-        return F.lit(True)
+        return []
     day = F.col("date")
     months = F.transform(day["listed"], lambda v: F.substring(v, 1, 7))
-    fits = ((day["low"].isNull() | (month >= F.substring(day["low"], 1, 7)))
-            & (day["high"].isNull() | (month <= F.substring(day["high"], 1, 7)))
-            & (months.isNull() | F.array_contains(months, month)))
-    return F.coalesce(fits, F.lit(False))
-
-
-def _bounded_rows(store: Store, table: Table, asked: DataFrame) -> DataFrame:
-    """Stored rows within the days all requests together ask for, so partitions prune."""
+    return [F.coalesce((day["low"].isNull() | (month >= F.substring(day["low"], 1, 7)))
+                       & (day["high"].isNull() | (month <= F.substring(day["high"], 1, 7)))
+                       & (months.isNull() | F.array_contains(months, month)), F.lit(False))]
+
+
+def _facts(table: Table, groups: list[str]) -> list[Column]:
+    """What the requests of one group use: bytes to join, bounds on `date`, forms per column."""
+    values = [F.when(F.col("by") == c, F.size(F.col(c)["listed"])) for c in groups]
+    width = F.octet_length(F.to_json(F.struct(*table.columns, "place")))
+    facts = [F.sum(F.coalesce(*values, F.lit(1)).cast("long") * width).alias("bytes")]
+    for c in table.columns:
+        ask = F.col(c)
+        facts += [F.count(ask["low"]).alias(f"low {c}"), F.count(ask["high"]).alias(f"high {c}"),
+                  F.count(ask["listed"]).alias(f"listed {c}"), F.count(ask).alias(f"any {c}")]
+    if table.columns.get("date") in TEXT_TYPES:
+        first, last = (F.coalesce(F.col("date")[side], end(F.col("date")["listed"]))
+                       for side, end in (("low", F.array_min), ("high", F.array_max)))
+        facts += [F.min(first).alias("start"), F.max(last).alias("end"),
+                  F.count_if(first.isNull()).alias("no start"), F.count_if(last.isNull()).alias("no end")]
+    return facts
+
+
+def _meet(store: Store, table: Table, asked: DataFrame, fact: Row) -> DataFrame:
+    by = fact["by"]
+    ask = asked.where(F.col("by") == by)
     rows = read_stored(store, table)
-    if table.columns.get("date") not in TEXT_TYPES:
-        return rows
-    day = F.col("date")
-    first = F.coalesce(day["low"], F.array_min(day["listed"]))
-    last = F.coalesce(day["high"], F.array_max(day["listed"]))
-    ends = asked.agg(F.min(first).alias("start"), F.max(last).alias("end"),
-                     F.count_if(first.isNull()).alias("no_start"),
-                     F.count_if(last.isNull()).alias("no_end")).first()
-    bounds = {side: ends[side] for side in ("start", "end")
-              if ends[side] is not None and not ends[f"no_{side}"]}
-    if not bounds:
-        return rows
-    filters = {"date": bounds}
-    return rows.where(all_of(compile_filters(table.columns, filters)[0]
-                             + implied_by_date(table, filters)))
-
-
-def _matches(table: Table, value: Callable[[str], Column], asked: Callable[[str], Column],
-             columns: tuple[str, ...] | None = None) -> Column:
-    """The row value meets the request in every filtered column."""
-    return all_of([_meets(value(c), asked(c), table.columns[c])
-                   for c in columns or table.columns if c in table.columns])
-
-
-def _meets(value: Column, ask: Column, declared: str) -> Column:
+    days = {side: fact[side] for side in ("start", "end")
+            if f"no {side}" in fact and fact[side] is not None and not fact[f"no {side}"]}
+    if days:  # all requests of the group together bound the scan
+        rows = rows.where(all_of(compile_filters(table.columns, {"date": days})[0]
+                                 + implied_by_date(table, {"date": days})))
+    if not table.partitions:
+        hands = int(store.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.withColumn("hand", F.pmod(F.xxhash64(*table.columns), F.lit(hands)).cast("int"))
+    on = [F.col(f"row.{p}").eqNullSafe(F.col(f"ask.place.{p}"))
+          for p in table.partitions or ("hand",)]
+    if by:
+        ask = ask.withColumn("value", F.explode(F.col(by)["listed"]))
+        on.append(F.col(f"row.{by}") == F.col("ask.value"))
+    settled = {by, *table.partitions}
+    checks = [_meets(F.col(f"row.{c}"), F.col(f"ask.{c}"), t, fact, c)
+              for c, t in table.columns.items() if c not in settled and fact[f"any {c}"]]
+    needed = [c for c in table.columns if c not in settled and fact[f"any {c}"]]
+    ask = ask.select("request_id", "place", *(["value"] if by else []), *needed)
+    ask = F.broadcast(ask) if fact["bytes"] <= BROADCAST_BYTES else ask.hint("merge")
+    return (rows.alias("row").join(ask.alias("ask"), all_of(on + checks))
+            .select("request_id", *[f"row.{c}" for c in table.columns]))
+
+
+def _meets(value: Column, ask: Column, declared: str, fact: Row | None = None,
+           name: str = "") -> Column:
+    """The value meets what a request asks of its column; only forms in use are checked."""
+    def used(form: str) -> bool:
+        return fact is None or fact[f"{form} {name}"] > 0
+
     low, high, listed = ask["low"], ask["high"], ask["listed"]
+    number, read = _readers(value, declared)
+    holds = [value.isNotNull(), low.isNotNull() | high.isNotNull() | listed.isNotNull()]
+    if used("low"):
+        holds.append(low.isNull() | (number >= read(low)))
+    if used("high"):
+        holds.append(high.isNull() | (number <= read(high)))
+    if used("listed"):
+        holds.append(listed.isNull() | (
+            F.array_contains(listed, value) if declared in TEXT_TYPES
+            else F.exists(listed, lambda v: F.coalesce(number == read(v), F.lit(False)))))
+    return F.coalesce(ask.isNull() | all_of(holds), F.lit(False))
+
+
+def _readers(value: Column, declared: str) -> tuple[Column, Callable[[Column], Column]]:
+    """The value in the type it is compared in, and how request text is read into that type."""
     if declared in TEXT_TYPES:
-        in_range = (low.isNull() | (value >= low)) & (high.isNull() | (value <= high))
-        in_list = F.array_contains(listed, value)
-    else:
-        kind = _EXACT if declared in WHOLE_RANGES or declared == "bool" else "double"
-        number = value.cast("int").cast(kind) if declared == "bool" else value.cast(kind)
-        if declared == "float":  # literals take the declared type
-            read = lambda v: v.try_cast(TYPES[declared]).cast(kind)
-        else:
-            read = lambda v: v.try_cast(kind)
-        in_range = ((low.isNull() | (number >= read(F.trim(low))))
-                    & (high.isNull() | (number <= read(F.trim(high)))))
-        in_list = F.exists(listed, lambda v: F.coalesce(number == read(F.trim(v)), F.lit(False)))
-    bounded = (low.isNotNull() | high.isNotNull()) & in_range
-    # no struct: column not filtered; a struct with neither bounds nor list matches nothing
-    return F.coalesce(ask.isNull() | (value.isNotNull() & F.when(listed.isNotNull(), in_list)
-                                      .otherwise(bounded)), F.lit(False))
+        return value, lambda v: v
+    if declared == "bool":
+        return value.cast("int").cast(_EXACT), lambda v: F.trim(v).try_cast(_EXACT)
+    if declared in WHOLE_RANGES:
+        return value.cast(_EXACT), lambda v: F.trim(v).try_cast(_EXACT)
+    kind: T.DataType = TYPES[declared]
+    return value, lambda v: F.trim(v).try_cast(kind)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barlake.functions.columns import all_of, rendered_path
 from barlake.operators import checks, keys
@@ -15,6 +17,11 @@ from barlake.sources.scratch import new_folder, remove_folder
 from barlake.tables import Store, Table
 
 
+# Batch keys up to this many bytes, measured in the first pass over the batch, are
+# broadcast to the stored rows; beyond it both sides shuffle one row per key.
+BROADCAST_KEY_BYTES = 64 << 20
+
+
 @dataclass(frozen=True)
 class WriteResult:
     success: bool
@@ -33,6 +40,7 @@ class Route:
     """What one pass over a batch says about it: rows, failed checks, touched partitions."""
 
     rows: int
+    key_bytes: int
     partitions: int
     failures: dict[str, int]
     touched: Column | None  # predicate on partition columns; a superset beyond EXACT_PARTITIONS
@@ -105,26 +113,34 @@ def _write(store: Store, table: Table, data: DataFrame, mode: str, extra: list[s
             f"{reason}: {rows} rows" for reason, rows in route.failures.items()])
 
     batch = checks.typed_batch(data, table, extra)
-    rows, found, repeated = route.rows, 0, 0
     stored = read_touched(store, table, route) if check else None
     if stored is not None and stored.isEmpty():
         stored = None
-    if stored is not None or drop or (check and count):
-        counts = keys.count_keys(batch, stored, table.identity)
-        found, repeated = counts.stored, counts.repeated
-        if found and not remove:
-            return WriteResult(False, duplicates_found=found, duplicates_in_batch=repeated,
-                               warnings=warnings, errors=[f"Found {found} duplicate rows"])
-        if found:
-            batch = keys.remove_duplicates(batch, stored, table.identity)
-            rows -= found
-        if drop and repeated:
-            batch = keys.drop_repeats(batch, table.identity)
-            rows = counts.fresh_keys
-    if rows:
-        _save(store, table, batch, mode, max_records, spread)
-    return WriteResult(True, rows, route.partitions, route.paths, found, found, repeated,
-                       warnings=warnings)
+    shared = None
+    if stored is not None and route.key_bytes <= BROADCAST_KEY_BYTES:
+        # no larger than the batch keys; used by the count and by the removal
+        stored = shared = keys.shared_keys(batch, stored, table.identity).persist()
+    try:
+        rows, found, repeated = route.rows, 0, 0
+        if stored is not None or drop or (check and count):
+            counts = keys.count_keys(batch, stored, table.identity)
+            found, repeated = counts.stored, counts.repeated
+            if found and not remove:
+                return WriteResult(False, duplicates_found=found, duplicates_in_batch=repeated,
+                                   warnings=warnings, errors=[f"Found {found} duplicate rows"])
+            if found:
+                batch = keys.remove_duplicates(batch, stored, table.identity)
+                rows -= found
+            if drop and repeated:
+                batch = keys.drop_repeats(batch, table.identity)
+                rows = counts.fresh_keys
+        if rows:
+            _save(store, table, batch, mode, max_records, spread)
+        return WriteResult(True, rows, route.partitions, route.paths, found, found, repeated,
+                           warnings=warnings)
+    finally:
+        if shared is not None:
+            shared.unpersist()
 
 
 def route_batch(data: DataFrame, table: Table) -> Route:
@@ -135,19 +151,23 @@ def route_batch(data: DataFrame, table: Table) -> Route:
                 for c in table.columns if f"bad {c}" in batch.columns}
     failures |= checks.layout_failures(table) | checks.value_failures(table)
     loose = [c for c in table.key if c not in table.partitions]
+    # text by its length, anything else by more than its size
+    width = reduce(lambda a, b: a + b, [
+        F.coalesce(F.octet_length(c), F.lit(0)) + 8 if isinstance(batch.schema[c].dataType, T.StringType)
+        else F.lit(16) for c in table.identity])
     grouped = batch.groupBy(*table.partitions).agg(
-        F.count("*").alias("rows"),
+        F.count("*").alias("rows"), F.sum(width).alias("key bytes"),
         *[F.count_if(bad).alias(f"failure {i}") for i, bad in enumerate(failures.values())],
         *[F.min(c).alias(f"low {c}") for c in loose], *[F.max(c).alias(f"high {c}") for c in loose],
         *[F.count_if(F.col(c).isNull()).alias(f"null {c}") for c in loose])
     grouped = grouped.withColumn("path", rendered_path(table))
-    sums = ["rows", *[f"failure {i}" for i in range(len(failures))], *[f"null {c}" for c in loose]]
+    sums = ["rows", "key bytes", *[f"failure {i}" for i in range(len(failures))], *[f"null {c}" for c in loose]]
     ends = [*loose, *table.partitions]
 
     # Usually the tuples fit on the driver and one job does it all.
     tuples = grouped.limit(EXACT_PARTITIONS + 1).collect()
     if len(tuples) <= EXACT_PARTITIONS:
-        total = {c: sum(t[c] for t in tuples) for c in sums}
+        total = {c: sum(t[c] or 0 for t in tuples) for c in sums}
         for c in loose:
             total[f"low {c}"] = min((t[f"low {c}"] for t in tuples
                                      if t[f"low {c}"] is not None), default=None)
@@ -165,7 +185,7 @@ def route_batch(data: DataFrame, table: Table) -> Route:
                             *empty, F.count("*").alias("partitions")).first().asDict()
         partitions, paths = total["partitions"], []
         touched = all_of([_bounds(p, total) for p in table.partitions])
-    return Route(total["rows"], partitions if total["rows"] else 0,
+    return Route(total["rows"], total["key bytes"] or 0, partitions if total["rows"] else 0,
                  {reason: total[f"failure {i}"] for i, reason in enumerate(failures)
                   if total[f"failure {i}"]},
                  touched, all_of([_bounds(c, total) for c in loose]) if loose else None,

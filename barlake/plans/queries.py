@@ -45,7 +45,7 @@ def loaded(spark: SparkSession, sf_dir: str, name: str) -> Store:
     place = (spark.sparkContext.applicationId, sf_dir, name)
     if place not in _loaded:
         store = new_store(spark)
-        put(store, SOURCES[name](spark, sf_dir), name)
+        put(store, SOURCES[name](spark, sf_dir), name, count_repeats=False)
         _loaded[place] = store
     return _loaded[place]
 
@@ -53,7 +53,7 @@ def loaded(spark: SparkSession, sf_dir: str, name: str) -> Store:
 def fresh(spark: SparkSession, sf_dir: str, name: str) -> Store:
     """A store of its own holding the whole bridge table, for queries that change it."""
     store = new_store(spark)
-    put(store, SOURCES[name](spark, sf_dir), name)
+    put(store, SOURCES[name](spark, sf_dir), name, count_repeats=False)
     return store
 
 
