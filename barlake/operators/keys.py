@@ -62,7 +62,12 @@ class KeyCounts:
 
 
 def count_keys(batch: DataFrame, stored: DataFrame | None, key: Sequence[str]) -> KeyCounts:
-    """Duplicate counts without moving rows: both sides shuffle one row per key.
+    row = key_counts(batch, stored, key).first()
+    return KeyCounts(row["rows"], row["stored"], row["repeated"], row["fresh_keys"])
+
+
+def key_counts(batch: DataFrame, stored: DataFrame | None, key: Sequence[str]) -> DataFrame:
+    """Duplicate counts in one row, without moving rows: each side shuffles one row per key.
 
     Keys are written null-free (value plus a bit mask of nulls), so grouping and
     join share one exchange per side and a hot key collapses before the shuffle.
@@ -72,14 +77,15 @@ def count_keys(batch: DataFrame, stored: DataFrame | None, key: Sequence[str]) -
     if stored is None:
         mine = mine.withColumn("stored", F.lit(None).cast("boolean"))
     else:
-        theirs = stored.select(*_null_free(stored, key)).distinct().withColumn("stored", F.lit(True))
+        # grouped rather than distinct, which would not keep the order of the key columns
+        theirs = (stored.select(*_null_free(stored, key)).groupBy(*names)
+                  .agg(F.lit(True).alias("stored")))
         mine = mine.join(theirs, names, "left")
-    row = mine.agg(
+    return mine.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
         F.coalesce(F.sum(F.when(F.col("stored"), F.col("n"))), F.lit(0)).alias("stored"),
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated"),
-        F.count_if(F.col("stored").isNull()).alias("fresh_keys")).first()
-    return KeyCounts(row["rows"], row["stored"], row["repeated"], row["fresh_keys"])
+        F.count_if(F.col("stored").isNull()).alias("fresh_keys"))
 
 
 def _null_free(df: DataFrame, key: Sequence[str]) -> list[Column]:

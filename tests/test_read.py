@@ -1,0 +1,157 @@
+import pytest
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
+
+from barlake.operators.stats import distinct_values
+from barlake.operators.write import write_data
+from barlake.sources.scan import in_partitions, query_data, read_data, read_stored
+from barlake.tables import STOCK_1DAY, Store, Table
+from conftest import FLAT, TABLES, partition_filters, plan_of, pushed_filters
+
+
+@pytest.mark.parametrize("name, rows, files", [
+    ("stock_5min", 1944, 3), ("stock_30min", 297, 1), ("stock_60min", 162, 1), ("stock_1day", 27, 1)])
+def test_integration_writes(integration, name, rows, files):
+    store, results = integration
+    assert results[name].success and results[name].total_rows == rows
+    assert results[name].partitions_written == files
+    assert read_data(store, name).count() == rows
+
+
+def test_undeclared_column_is_dropped_with_a_warning(integration):
+    store, results = integration
+    assert results["stock_1day"].warnings == ["Undeclared columns dropped: ['time']"]
+    assert read_data(store, "stock_1day").columns == list(STOCK_1DAY.columns)
+
+
+@pytest.mark.parametrize("name, args, rows", [
+    ("stock_5min", {"f_date": "2026-05-15"}, 648),
+    ("stock_5min", {"f_date": "2026-05-15,2026-05-16"}, 1296),
+    ("stock_5min", {"f_date": "2026-05-15~2026-05-17"}, 1944),
+    ("stock_5min", {"f_date": "2026-05-15", "f_market": "XHKG"}, 216),
+    ("stock_5min", {"f_date": "2026-05-15", "f_market": "XHKG,XSHG"}, 432),
+    ("stock_5min", {"f_date": "2026-05-15", "f_stock_code": "00700"}, 72),
+    ("stock_5min", {"f_date": "2026-05-15", "f_stock_code": "00700,00941"}, 144),
+    ("stock_5min", {"f_date": "2026-05-15~2026-05-17", "f_market": "XHKG,XSHG"}, 1296),
+    ("stock_5min", {"f_date": "2026-05-15", "f_market": "XHKG", "f_stock_code": "00700"}, 72),
+    ("stock_30min", {}, 297),
+    ("stock_1day", {}, 27),
+    ("stock_5min", {"f_Month": "04,05,05"}, 1944),   # each stored row once
+    ("stock_5min", {"f_date": "2026-05-16~"}, 1296),
+    ("stock_5min", {"f_date": "~2026-05-16"}, 1296),
+    ("stock_5min", {"f_date": "~"}, 0),
+    ("stock_5min", {"f_date": ","}, 0),
+    ("stock_5min", {"f_time": "15:00~", "f_date": "2026-05-15"}, 108),
+    ("stock_30min", {"f_date": "2026-05-15"}, 99),
+    ("stock_30min", {"f_market__ne": "XHKG"}, 198),
+    ("stock_30min", {"f_stock_name__like": "S600"}, 66),
+])
+def test_filter_counts(integration, name, args, rows):
+    assert query_data(integration[0], name, args=args)[0].count() == rows
+
+
+def test_declared_order_and_types(integration):
+    df = read_data(integration[0], "stock_5min", date="2026-05-15")
+    assert df.schema.names == list(integration[0].table("stock_5min").columns)
+    first = df.first()
+    assert (first["Year"], first["Month"]) == ("2026", "05")
+
+
+def test_warnings_for_unknown_and_empty_filters(integration):
+    _, warnings = query_data(integration[0], "stock_5min", args={"f_foo": "1", "f_market": "~"})
+    assert len(warnings) == 2
+    assert read_data(integration[0], "stock_5min", foo="1").count() == 1944
+
+
+def test_partition_filters_prune(integration):
+    store = integration[0]
+    assert "2026-05-15" in partition_filters(read_data(store, "stock_5min", date="2026-05-15"))[0]
+    by_month = read_data(store, "stock_30min", date={"start": "2026-05-15", "end": "2026-05-16"})
+    assert "concat(Year" in partition_filters(by_month)[0]
+    one_day = read_data(store, "stock_30min", date="2026-05-15")
+    assert "Month" in partition_filters(one_day)[0] and "date" in pushed_filters(one_day)[0]
+
+
+def test_row_filters_push_down_and_columns_prune(integration):
+    df = read_data(integration[0], "stock_5min", filters={"close": {"start": "150"}, "volume": "1100"},
+                   columns=["date", "close"])
+    assert "GreaterThanOrEqual(close,150.0)" in pushed_filters(df)[0]
+    assert "EqualTo(volume,1100)" in pushed_filters(df)[0]
+    assert "ReadSchema: struct<close:double,volume:bigint>" in plan_of(df)
+    assert "Python" not in plan_of(df)
+
+
+def test_unknown_projection_raises(integration):
+    with pytest.raises(AnalysisException):
+        read_data(integration[0], "stock_5min", columns=["date", "nope"])
+
+
+def test_nothing_stored_reads_empty_with_columns(store):
+    df = read_data(store, "stock_5min", date="2026-05-15")
+    assert df.count() == 0 and df.columns == list(store.table("stock_5min").columns)
+    assert read_data(store, "stock_5min", extra_columns=True).count() == 0
+
+
+def test_file_without_a_column_reads_null(spark, store):
+    location = store.location(FLAT)
+    spark.createDataFrame([("1", "a")], "code string, name string").write.parquet(location)
+    spark.createDataFrame([("2", "b", 2.0)], FLAT.schema).write.mode("append").parquet(location)
+    assert sorted(map(tuple, read_data(store, "flat").collect())) == [("1", "a", None), ("2", "b", 2.0)]
+
+
+def test_undeclared_stored_column_can_be_read_and_filtered(spark, store):
+    df = spark.createDataFrame([("1", "a", 1.0, 10), ("2", "b", 2.0, 20)],
+                               "code string, name string, close double, rank long")
+    write_data(store, df, "flat", extra_columns=True)
+    more = spark.createDataFrame([("3", "c", 3.0)], FLAT.schema)
+    assert write_data(store, more, "flat").success
+    assert read_data(store, "flat").columns == ["code", "name", "close"]
+    assert read_data(store, "flat", rank=20).count() == 3  # not declared: ignored
+    found = read_data(store, "flat", extra_columns=True, filters={"rank": {"start": "15"}})
+    assert [tuple(r) for r in found.collect()] == [("2", "b", 2.0, 20)]
+
+
+def test_extra_columns_keep_text_partitions(spark, store):
+    df = spark.createDataFrame([("2026-01-05", "00700", 1.0, "x")],
+                               "date string, code string, open double, note string")
+    write_data(store, df, "daily_min", extra_columns=True)
+    row = read_data(store, "daily_min", extra_columns=True, date="2026-01-05").first()
+    assert (row["date"], row["note"]) == ("2026-01-05", "x")
+
+
+def test_newer_version_reads_older_rows(spark, tmp_path):
+    v2 = Table("stock_1day", "v2", {**STOCK_1DAY.columns, "amount": "double"}, STOCK_1DAY.path,
+               calendar=True, reads=("v1",))
+    store = Store(spark, str(tmp_path), (*TABLES, v2))
+    old = ("2026", "05", "2026-05-15", "XHKG", "00700", "T", 1.0, 2.0, 3.0, 0.5, 10)
+    new = ("2026", "06", "2026-06-15", "XHKG", "00700", "T", 1.0, 2.0, 3.0, 0.5, 10, 99.0)
+    write_data(store, spark.createDataFrame([old], STOCK_1DAY.schema), "stock_1day")
+    write_data(store, spark.createDataFrame([new], v2.schema), "stock_1day", "v2")
+    rows = {r["date"]: r["amount"] for r in read_data(store, "stock_1day", "v2").collect()}
+    assert rows == {"2026-05-15": None, "2026-06-15": 99.0}
+    assert read_data(store, "stock_1day").count() == 1
+    both = read_data(store, "stock_1day", "v2", date={"end": "2026-05-31"})
+    assert both.count() == 1 and all("concat" in f for f in partition_filters(both))
+    assert read_data(store, "stock_1day", "v2", amount={"start": "0"}).count() == 1
+
+
+def test_in_partitions_handles_null_and_groups(spark):
+    df = spark.createDataFrame([("a", "1"), ("a", None), ("b", "1"), (None, "1"), (None, None)],
+                               "x string, y string")
+    wanted = [r for r in df.collect() if r["x"] != "b"]
+    assert df.where(in_partitions(["x", "y"], wanted)).count() == 4
+    assert df.where(~in_partitions(["x", "y"], wanted)).collect()[0]["x"] == "b"
+
+
+def test_distinct_values_are_sorted(integration):
+    days = distinct_values(read_data(integration[0], "stock_1day"), "date")
+    assert [r[0] for r in days.collect()] == ["2026-05-15", "2026-05-16", "2026-05-17"]
+
+
+def test_read_stored_keeps_derived_columns(spark, store):
+    write_data(store, spark.createDataFrame([("2026-05-15", "1", 1.0)], "date string, code string, close double"),
+               "by_month")
+    assert read_stored(store, store.table("by_month")).select(F.concat("year", "month")).first()[0] == "202605"
+    assert read_data(store, "by_month").columns == ["date", "code", "close"]
+    day = read_data(store, "by_month", date="2026-05-15")
+    assert day.count() == 1 and "month" in partition_filters(day)[0]
