@@ -1,0 +1,132 @@
+import json
+import os
+
+import pytest
+
+from barlake.operators.ingest import ingest_envelopes
+from barlake.operators.write import write_data
+from barlake.sources.scan import read_data
+from barlake.sources.scratch import shared_folder
+from barlake.streaming.ingest import ingest_stream
+from conftest import BARS_BY_MARKET
+
+NAMES = list(BARS_BY_MARKET.columns)
+A = ("2026-05-15", "00700", "XHKG", "09:30", 380.5)
+B = ("2026-05-15", "600519", "XSHG", "09:30", 1500.0)
+C = ("2026-05-16", "00700", "XHKG", "09:30", None)
+
+
+def post(folder, name, *rows, version="v1", **extra):
+    os.makedirs(folder, exist_ok=True)
+    body = {"data": [dict(zip(NAMES, r)) | extra for r in rows]}
+    if version:
+        body["version"] = version
+    with open(f"{folder}/{name}.json", "w") as file:
+        file.write(json.dumps(body) + "\n")
+
+
+def stored(store):
+    return sorted((tuple(r) for r in read_data(store, "bars_by_market").collect()), key=repr)
+
+
+def test_envelopes_with_several_records(store, tmp_path):
+    drop = str(tmp_path / "drop")
+    post(drop, "one", A, B)
+    post(drop, "two", C, version=None)  # the version defaults to v1
+    [result] = ingest_envelopes(store, drop, "bars_by_market")
+    assert result.success and result.total_rows == 3
+    assert stored(store) == sorted([A, B, C], key=repr)
+    [again] = ingest_envelopes(store, drop, "bars_by_market")
+    assert not again.success and again.duplicates_found == 3
+
+
+def test_pretty_printed_envelope(store, tmp_path):
+    path = tmp_path / "body.json"
+    path.write_text(json.dumps({"version": "v1", "data": [dict(zip(NAMES, A))]}, indent=2))
+    [result] = ingest_envelopes(store, str(path), "bars_by_market", multi_line=True)
+    assert result.total_rows == 1
+
+
+def test_column_no_record_has_is_missing(store, tmp_path):
+    drop = str(tmp_path / "drop")
+    os.makedirs(drop)
+    (tmp_path / "drop" / "a.json").write_text('{"data": [{"date": "2026-05-15", "code": "1"}]}\n')
+    [result] = ingest_envelopes(store, drop, "bars_by_market")
+    assert result.errors == ["Missing columns: ['market', 'time', 'open']"]
+
+
+def test_bad_value_bad_document_and_unknown_version(store, tmp_path):
+    drop = str(tmp_path / "bad")
+    post(drop, "a", (*A[:4], "expensive"))
+    [result] = ingest_envelopes(store, drop, "bars_by_market")
+    assert not result.success and "column open: 1 rows" in result.errors[0]
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    (broken / "a.json").write_text("{not json\n")
+    with pytest.raises(Exception):
+        ingest_envelopes(store, str(broken), "bars_by_market")
+    post(str(tmp_path / "v9"), "a", A, version="v9")
+    with pytest.raises(KeyError):
+        ingest_envelopes(store, str(tmp_path / "v9"), "bars_by_market")
+    assert stored(store) == []
+
+
+def test_empty_envelopes(store, tmp_path):
+    drop = str(tmp_path / "drop")
+    post(drop, "a")
+    [result] = ingest_envelopes(store, drop, "bars_by_market")
+    assert result.success and result.total_rows == 0
+
+
+def test_whole_numbers_in_json_stay_exact(store, tmp_path):
+    (tmp_path / "a.json").write_text(
+        '{"data": [{"id": "r", "a_int64": 9007199254740993, "a_bool": true, "a_double": 0.1}]}\n')
+    from barlake.operators.ingest import record_columns
+    from barlake.sources.envelopes import read_envelopes
+    df = record_columns(read_envelopes(store, str(tmp_path / "a.json")), store.table("all_types"))
+    assert write_data(store, df, "all_types").success
+    row = read_data(store, "all_types").first()
+    assert (row["a_int64"], row["a_bool"], row["a_double"]) == (9007199254740993, True, 0.1)
+
+
+def test_overwrite_by_envelope(store, tmp_path):
+    post(str(tmp_path / "one"), "a", A, B)
+    post(str(tmp_path / "two"), "a", (*A[:4], 1.0))
+    ingest_envelopes(store, str(tmp_path / "one"), "bars_by_market")
+    [result] = ingest_envelopes(store, str(tmp_path / "two"), "bars_by_market", mode="overwrite")
+    assert result.success and stored(store) == sorted([(*A[:4], 1.0), B], key=repr)
+
+
+def run(store, drop, checkpoint, **options):
+    query = ingest_stream(store, drop, "bars_by_market", checkpoint, **options)
+    query.awaitTermination()
+
+
+def test_stream_takes_new_drops_and_leaves_out_stored_keys(store, tmp_path):
+    drop, checkpoint = str(tmp_path / "drop"), str(tmp_path / "checkpoint")
+    post(drop, "a", A, B)
+    run(store, drop, checkpoint)
+    post(drop, "b", B, C)
+    run(store, drop, checkpoint)
+    assert stored(store) == sorted([A, B, C], key=repr)
+
+
+def test_stream_run_again_from_the_start_adds_nothing(store, tmp_path):
+    drop = str(tmp_path / "drop")
+    post(drop, "a", A)
+    post(drop, "b", B, C)
+    run(store, drop, str(tmp_path / "first"), files_per_batch=1)
+    run(store, drop, str(tmp_path / "second"), files_per_batch=1)
+    assert stored(store) == sorted([A, B, C], key=repr)
+
+
+def test_stream_fails_on_a_refused_batch(store, tmp_path):
+    drop = str(tmp_path / "drop")
+    post(drop, "a", (*A[:4], "expensive"))
+    with pytest.raises(Exception):
+        run(store, drop, str(tmp_path / "checkpoint"))
+    assert stored(store) == []
+
+
+def test_shared_folder_comes_from_the_session(spark):
+    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
