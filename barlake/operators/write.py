@@ -44,7 +44,6 @@ class Route:
     partitions: int
     failures: dict[str, int]
     touched: Column | None  # predicate on partition columns; a superset beyond EXACT_PARTITIONS
-    key_bounds: Column | None
     paths: list[str]
 
 
@@ -116,6 +115,8 @@ def _write(store: Store, table: Table, data: DataFrame, mode: str, extra: list[s
     stored = read_touched(store, table, route) if check else None
     if stored is not None and stored.isEmpty():
         stored = None
+    if stored is not None:
+        stored = within_key_bounds(stored, batch, table)
     shared = None
     if stored is not None and route.key_bytes <= BROADCAST_KEY_BYTES:
         # no larger than the batch keys; used by the count and by the removal
@@ -144,70 +145,75 @@ def _write(store: Store, table: Table, data: DataFrame, mode: str, extra: list[s
 
 
 def route_batch(data: DataFrame, table: Table) -> Route:
-    """One aggregation over a batch, one row per partition it touches."""
+    """One aggregation over a batch, one row per partition it touches.
+
+    Only counts and sums are taken, which hash-aggregate without sorting the rows.
+    """
     batch = checks.typed_batch(data, table, [
         bad.alias(f"bad {c}") for c, bad in checks.cast_failures(data, table).items()])
     failures = {f"Value does not fit type {table.columns[c]} in column {c}": F.col(f"bad {c}")
                 for c in table.columns if f"bad {c}" in batch.columns}
     failures |= checks.layout_failures(table) | checks.value_failures(table)
-    loose = [c for c in table.key if c not in table.partitions]
     # text by its length, anything else by more than its size
     width = reduce(lambda a, b: a + b, [
         F.coalesce(F.octet_length(c), F.lit(0)) + 8 if isinstance(batch.schema[c].dataType, T.StringType)
         else F.lit(16) for c in table.identity])
+    counters = [f"failure {i}" for i in range(len(failures))]
     grouped = batch.groupBy(*table.partitions).agg(
         F.count("*").alias("rows"), F.sum(width).alias("key bytes"),
-        *[F.count_if(bad).alias(f"failure {i}") for i, bad in enumerate(failures.values())],
-        *[F.min(c).alias(f"low {c}") for c in loose], *[F.max(c).alias(f"high {c}") for c in loose],
-        *[F.count_if(F.col(c).isNull()).alias(f"null {c}") for c in loose])
+        *[F.count_if(bad).alias(c) for c, bad in zip(counters, failures.values())])
     grouped = grouped.withColumn("path", rendered_path(table))
-    sums = ["rows", "key bytes", *[f"failure {i}" for i in range(len(failures))], *[f"null {c}" for c in loose]]
-    ends = [*loose, *table.partitions]
+    sums = ["rows", "key bytes", *counters]
 
     # Usually the tuples fit on the driver and one job does it all.
     tuples = grouped.limit(EXACT_PARTITIONS + 1).collect()
     if len(tuples) <= EXACT_PARTITIONS:
         total = {c: sum(t[c] or 0 for t in tuples) for c in sums}
-        for c in loose:
-            total[f"low {c}"] = min((t[f"low {c}"] for t in tuples
-                                     if t[f"low {c}"] is not None), default=None)
-            total[f"high {c}"] = max((t[f"high {c}"] for t in tuples
-                                      if t[f"high {c}"] is not None), default=None)
         partitions, paths = len(tuples), sorted(t["path"] for t in tuples)
         touched = (in_partitions(table.partitions,
                                  [Row(*[t[p] for p in table.partitions]) for t in tuples])
                    if table.partitions and tuples else None)
     else:
-        low = {c: F.min(f"low {c}" if c in loose else c).alias(f"low {c}") for c in ends}
-        high = {c: F.max(f"high {c}" if c in loose else c).alias(f"high {c}") for c in ends}
-        empty = [F.count_if(F.col(p).isNull()).alias(f"null {p}") for p in table.partitions]
-        total = grouped.agg(*[F.sum(c).alias(c) for c in sums], *low.values(), *high.values(),
-                            *empty, F.count("*").alias("partitions")).first().asDict()
+        total = grouped.agg(*[F.sum(c).alias(c) for c in sums], F.count("*").alias("partitions"),
+                            *_ends(table.partitions)).first()
         partitions, paths = total["partitions"], []
         touched = all_of([_bounds(p, total) for p in table.partitions])
-    return Route(total["rows"], total["key bytes"] or 0, partitions if total["rows"] else 0,
-                 {reason: total[f"failure {i}"] for i, reason in enumerate(failures)
-                  if total[f"failure {i}"]},
-                 touched, all_of([_bounds(c, total) for c in loose]) if loose else None,
-                 paths if total["rows"] else [])
+    return Route(total["rows"], total["key bytes"], partitions if total["rows"] else 0,
+                 {reason: total[c] for c, reason in zip(counters, failures) if total[c]},
+                 touched, paths if total["rows"] else [])
+
+
+def read_touched(store: Store, table: Table, route: Route) -> DataFrame:
+    """Stored rows of the partitions the batch has rows for."""
+    stored = read_stored(store, table)
+    return stored if route.touched is None else stored.where(route.touched)
+
+
+def within_key_bounds(stored: DataFrame, batch: DataFrame, table: Table) -> DataFrame:
+    """Stored rows whose first key column inside the files lies in the range of the batch.
+
+    Files are sorted by that column, so a batch of one day skips most row groups
+    of the month it goes to.
+    """
+    loose = [c for c in table.key if c not in table.partitions][:1]
+    if not loose:
+        return stored
+    return stored.where(_bounds(loose[0], batch.agg(*_ends(loose)).first()))
+
+
+def _ends(columns: Sequence[str]) -> list[Column]:
+    return [end for c in columns for end in (
+        F.min(c).alias(f"low {c}"), F.max(c).alias(f"high {c}"),
+        F.count_if(F.col(c).isNull()).alias(f"null {c}"))]
 
 
-def _bounds(column: str, total: dict) -> Column:
+def _bounds(column: str, total: Row) -> Column:
     """The values of the column lie between those of the batch, nulls only if it has nulls."""
     low, high, nulls = total[f"low {column}"], total[f"high {column}"], total[f"null {column}"]
     inside = F.col(column).between(F.lit(low), F.lit(high)) if low is not None else F.lit(False)
     return inside | F.col(column).isNull() if nulls else inside
 
 
-def read_touched(store: Store, table: Table, route: Route) -> DataFrame:
-    """Stored rows that could share a key with the batch: its partitions, within its key bounds."""
-    stored = read_stored(store, table)
-    for bound in (route.touched, route.key_bounds):
-        if bound is not None:
-            stored = stored.where(bound)
-    return stored
-
-
 def _save(store: Store, table: Table, batch: DataFrame, mode: str,
           max_records: int | None, spread: bool) -> None:
     # The rebalance hint brings rows of a partition together; adaptive execution

@@ -257,7 +257,16 @@ def test_only_touched_partitions_are_read(store, bars):
     stored = write.read_touched(store, BARS_BY_MARKET, route)
     assert stored.count() == 1
     assert "XHKG" in partition_filters(stored)[0] and "2026-05-15" in partition_filters(stored)[0]
-    assert "GreaterThanOrEqual(code,00700)" in pushed_filters(stored)[0]
+    bounded = write.within_key_bounds(stored, bars((*ROW[:4], 5.0)), BARS_BY_MARKET)
+    assert bounded.count() == 1 and "GreaterThanOrEqual(code,00700)" in pushed_filters(bounded)[0]
+
+
+def test_batch_checks_do_not_sort_the_rows(bars, monkeypatch):
+    seen = []
+    limit = type(bars(ROW)).limit
+    monkeypatch.setattr(type(bars(ROW)), "limit", lambda df, n: (seen.append(plan_of(df)), limit(df, n))[1])
+    route_batch(bars(ROW), BARS_BY_MARKET)
+    assert "HashAggregate" in seen[0] and "SortAggregate" not in seen[0]
 
 
 def test_many_partitions_are_bounded_instead_of_listed(store, bars, monkeypatch):
