@@ -12,13 +12,18 @@ from pyspark.sql import types as T
 
 from barlake.functions.columns import all_of, rendered_path
 from barlake.operators import checks, keys
+from barlake.sources.files import stored_files
 from barlake.sources.scan import EXACT_PARTITIONS, in_partitions, read_stored
 from barlake.sources.scratch import new_folder, remove_folder
 from barlake.tables import Store, Table
 
 
+# Stored files of the touched partitions from this many bytes on are narrowed to what
+# the batch can meet before their keys are shuffled.
+NARROW_STORED_BYTES = 256 << 20
+
 # Batch keys up to this many bytes, measured in the first pass over the batch, are
-# broadcast to the stored rows; beyond it both sides shuffle one row per key.
+# broadcast to such stored rows; beyond it both sides shuffle one row per key.
 BROADCAST_KEY_BYTES = 64 << 20
 
 
@@ -112,15 +117,14 @@ def _write(store: Store, table: Table, data: DataFrame, mode: str, extra: list[s
             f"{reason}: {rows} rows" for reason, rows in route.failures.items()])
 
     batch = checks.typed_batch(data, table, extra)
-    stored = read_touched(store, table, route) if check else None
-    if stored is not None and stored.isEmpty():
-        stored = None
-    if stored is not None:
-        stored = within_key_bounds(stored, batch, table)
+    size = touched_bytes(store, table, route) if check else 0
+    stored = read_touched(store, table, route) if size else None
     shared = None
-    if stored is not None and route.key_bytes <= BROADCAST_KEY_BYTES:
-        # no larger than the batch keys; used by the count and by the removal
-        stored = shared = keys.shared_keys(batch, stored, table.identity).persist()
+    if size >= NARROW_STORED_BYTES:
+        stored = within_key_bounds(stored, batch, table)
+        if route.key_bytes <= BROADCAST_KEY_BYTES:
+            # no larger than the batch keys; used by the count and by the removal
+            stored = shared = keys.shared_keys(batch, stored, table.identity).persist()
     try:
         rows, found, repeated = route.rows, 0, 0
         if stored is not None or drop or (check and count):
@@ -183,6 +187,14 @@ def route_batch(data: DataFrame, table: Table) -> Route:
                  touched, paths if total["rows"] else [])
 
 
+def touched_bytes(store: Store, table: Table, route: Route) -> int:
+    """Size of the stored files in the partitions the batch has rows for; 0 if there are none."""
+    files = stored_files(store, table)
+    if route.touched is not None:
+        files = files.where(route.touched)
+    return files.agg(F.sum("length")).first()[0] or 0
+
+
 def read_touched(store: Store, table: Table, route: Route) -> DataFrame:
     """Stored rows of the partitions the batch has rows for."""
     stored = read_stored(store, table)

@@ -115,7 +115,7 @@ def overwrite_partition(spark, sf_dir):
 def _half_stored(spark, sf_dir) -> tuple[Store, DataFrame]:
     """Bars of all markets but `purchase` stored, and all bars as the next batch."""
     store, bars = new_store(spark), bars5(spark, sf_dir)
-    put(store, bars.where(F.col("market") != "purchase"), "stock_5min")
+    put(store, bars.where(F.col("market") != "purchase"), "stock_5min", count_repeats=False)
     return store, bars
 
 

@@ -177,9 +177,11 @@ NULLS = [("2026-05-15", None, "XHKG", "09:30", 1.0), ("2026-05-15", "a", "XHKG",
          ("2026-05-15", None, "XHKG", None, 3.0), (None, "a", "XHKG", "09:30", 4.0)]
 
 
-@pytest.fixture(params=["broadcast keys", "shuffled keys"])
+@pytest.fixture(params=["broadcast keys", "bounded rows", "all rows"])
 def key_path(request, monkeypatch):
-    if request.param == "shuffled keys":
+    if request.param != "all rows":
+        monkeypatch.setattr(write, "NARROW_STORED_BYTES", 1)
+    if request.param == "bounded rows":
         monkeypatch.setattr(write, "BROADCAST_KEY_BYTES", -1)
     return request.param
 
