@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import operator
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,12 +11,20 @@ from pyspark.sql import functions as F
 from barlake.tables import Table
 
 
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+def all_of(conditions: Sequence[Column]) -> Column:
+    return _balanced(operator.and_, conditions)
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def any_of(conditions: Sequence[Column]) -> Column:
+    return _balanced(operator.or_, conditions)
+
+
+def _balanced(join: Callable[[Column, Column], Column], conditions: Sequence[Column]) -> Column:
+    """Combine by halves, so that a long list makes a shallow expression."""
+    if len(conditions) == 1:
+        return conditions[0]
+    half = len(conditions) // 2
+    return join(_balanced(join, conditions[:half]), _balanced(join, conditions[half:]))
 
 
 def year_of(day: Column) -> Column:
@@ -62,7 +71,7 @@ def fixed_width_code(code: Column, width: int) -> Column:
 
 def day_text(value: Column, pattern: str) -> Column:
     """Text in `pattern` (or a date) as `yyyy-MM-dd`; unreadable text becomes null."""
-    return F.date_format(F.try_to_timestamp(value, F.lit(pattern)), "yyyy-MM-dd")
+    return F.try_to_date(value, pattern).cast("string")
 
 
 def time_text(value: Column, pattern: str) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from barlake.functions.columns import all_of
 from barlake.functions.filters import compile_filters, split_name
 from barlake.sources.files import stored_files, stored_partitions
-from barlake.sources.scan import read_stored
+from barlake.sources.scan import read_data, read_stored
 from barlake.sources.scratch import remove_folder
 from barlake.tables import Store
 
@@ -56,8 +56,7 @@ def calendar(spark: SparkSession, start: str, end: str) -> DataFrame:
     """Every day from start to end as `yyyy-MM-dd` text; none if start is after end."""
     first, last = date.fromisoformat(start), date.fromisoformat(end)
     days = spark.range(0, max((last - first).days + 1, 0))
-    return days.select(F.date_format(F.date_add(F.lit(first), F.col("id").cast("int")),
-                                     "yyyy-MM-dd").alias("date"))
+    return days.select(F.date_add(F.lit(first), F.col("id").cast("int")).cast("string").alias("date"))
 
 
 def calendar_coverage(store: Store, name: str, start: str, end: str,
@@ -71,8 +70,6 @@ def calendar_coverage(store: Store, name: str, start: str, end: str,
     days = calendar(store.spark, start, end)
     if "date" in table.partitions:
         return mark_existing(store, days, name, version)
-    from barlake.sources.scan import read_data
-
     found = (read_data(store, name, version, date={"start": start, "end": end}, columns=["date"])
              .distinct().withColumn("present", F.lit(True)))
     return (days.join(found, "date", "left")

@@ -26,6 +26,9 @@ NARROW_STORED_BYTES = 256 << 20
 # broadcast to such stored rows; beyond it both sides shuffle one row per key.
 BROADCAST_KEY_BYTES = 64 << 20
 
+# A write raises the configured number of shuffle partitions no further than this.
+MOST_SHUFFLE_PARTITIONS = 10_000
+
 
 @dataclass(frozen=True)
 class WriteResult:
@@ -140,7 +143,7 @@ def _write(store: Store, table: Table, data: DataFrame, mode: str, extra: list[s
                 batch = keys.drop_repeats(batch, table.identity)
                 rows = counts.fresh_keys
         if rows:
-            _save(store, table, batch, mode, max_records, spread)
+            _save(store, table, batch, mode, max_records, route.partitions if spread else 0)
         return WriteResult(True, rows, route.partitions, route.paths, found, found, repeated,
                            warnings=warnings)
     finally:
@@ -227,14 +230,17 @@ def _bounds(column: str, total: Row) -> Column:
 
 
 def _save(store: Store, table: Table, batch: DataFrame, mode: str,
-          max_records: int | None, spread: bool) -> None:
+          max_records: int | None, spread_over: int) -> None:
     # The rebalance hint brings rows of a partition together; adaptive execution
-    # splits partitions above the advisory size and joins small ones, so neither a
-    # hot partition nor many tiny files come out. Sorting by key inside a partition
-    # keeps the row-group ranges of Parquet narrow, and includes the sort by
-    # partition that a partitioned write needs anyway.
-    if spread and table.partitions:
-        batch = batch.hint("rebalance", *table.partitions)
+    # splits shuffle partitions above the advisory size and joins small ones, so
+    # neither a hot partition nor many tiny files come out. A few shuffle partitions
+    # per table partition keep small ones from sharing the fate of a hot one.
+    # Sorting by key keeps the row-group ranges of Parquet narrow, and includes the
+    # sort by partition that a partitioned write needs anyway.
+    if spread_over and table.partitions:
+        configured = int(store.spark.conf.get("spark.sql.shuffle.partitions"))
+        shuffled = max(configured, min(4 * spread_over, MOST_SHUFFLE_PARTITIONS))
+        batch = batch.hint("rebalance", shuffled, *table.partitions)
     batch = batch.sortWithinPartitions(*table.identity)
     writer = batch.write.mode(mode).option("compression", store.compression)
     if max_records:

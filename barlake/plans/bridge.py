@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.tables import INDEX_CONSTITUENTS, STOCK_1DAY, STOCK_5MIN
@@ -18,21 +18,30 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _prices(value: str) -> list:
+def _prices(value: str) -> list[Column]:
     price = F.col(value)
     return [price.alias("open"), (price + 0.5).alias("close"), (price + 1.0).alias("high"),
             (price - 1.0).alias("low")]
 
 
-def _code(number: str):
+def _code(number: str) -> Column:
     return F.lpad(F.col(number).cast("string"), 5, "0").alias("stock_code")
 
 
+def moment(column: str, first: int, length: int) -> Column:
+    """Part of a `yyyy-MM-dd HH:mm:ss` moment, cut from its text so that no time zone matters."""
+    return F.substring(F.col(column).cast("string"), first, length)
+
+
+def _day_parts(column: str) -> list[Column]:
+    return [moment(column, 1, 4).alias("Year"), moment(column, 6, 2).alias("Month"),
+            moment(column, 1, 10).alias("date")]
+
+
 def bars5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intraday bars from `events`."""
     return load(spark, sf_dir, "events").select(
-        F.date_format("ts", "yyyy").alias("Year"), F.date_format("ts", "MM").alias("Month"),
-        F.date_format("ts", "yyyy-MM-dd").alias("date"), F.date_format("ts", "HH:mm").alias("time"),
+        *_day_parts("ts"), moment("ts", 12, 5).alias("time"),
         F.col("event_type").alias("market"), _code("user_id"),
         F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("stock_name"),
         *_prices("value"), F.col("event_id").alias("volume"))
@@ -40,10 +49,8 @@ def bars5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bars1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars from `orders`."""
-    day = "o_orderdate"
     return load(spark, sf_dir, "orders").select(
-        F.date_format(day, "yyyy").alias("Year"), F.date_format(day, "MM").alias("Month"),
-        F.date_format(day, "yyyy-MM-dd").alias("date"), F.col("o_orderpriority").alias("market"),
+        *_day_parts("o_orderdate"), F.col("o_orderpriority").alias("market"),
         _code("o_custkey"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("stock_name"),
         *_prices("o_totalprice"), F.col("o_orderkey").alias("volume"))
 

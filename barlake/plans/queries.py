@@ -14,7 +14,7 @@ from barlake.operators.export import export_records
 from barlake.operators.ingest import ingest_envelopes
 from barlake.operators.requests import answer_requests, count_requests
 from barlake.operators.write import read_touched, route_batch, route_preview, write_data
-from barlake.plans.bridge import BARS1D, BARS5, MEMBERS, bars1d, bars5, load, members
+from barlake.plans.bridge import BARS1D, BARS5, MEMBERS, bars1d, bars5, load, members, moment
 from barlake.sources.scan import query_data, read_data
 from barlake.sources.scratch import new_folder
 from barlake.streaming.ingest import ingest_stream
@@ -168,7 +168,8 @@ def row_limited_files(spark, sf_dir):
 def cleaned_codes(spark, sf_dir):
     raw = load(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("stock_code"),
-        F.date_format("ts", "yyyyMMdd").alias("date"), F.date_format("ts", "HHmmss").alias("time"),
+        F.replace(moment("ts", 1, 10), F.lit("-"), F.lit("")).alias("date"),
+        F.replace(moment("ts", 12, 8), F.lit(":"), F.lit("")).alias("time"),
         F.col("value").alias("open"))
     return cleaned(raw, codes={"stock_code": 4}, days={"date": "yyyyMMdd"},
                    times={"time": "HHmmss"}, drop_nulls=["open"])
@@ -239,8 +240,7 @@ def calendar_days_monthly(spark, sf_dir):
 
 def existing_partitions(spark, sf_dir):
     shipped = load(spark, sf_dir, "lineitem").select(
-        F.date_format("l_shipdate", "yyyy").alias("Year"),
-        F.date_format("l_shipdate", "MM").alias("Month")).distinct()
+        moment("l_shipdate", 1, 4).alias("Year"), moment("l_shipdate", 6, 2).alias("Month")).distinct()
     return manage.mark_existing(loaded(spark, sf_dir, "stock_1day"), shipped, "stock_1day")
 
 

@@ -16,7 +16,7 @@ from barlake.tables import TYPES, Store, Table
 
 # Beyond this many touched partitions a read is bounded by the smallest and
 # largest value of each partition column instead of by exact tuples.
-EXACT_PARTITIONS = 5_000
+EXACT_PARTITIONS = 1_000
 
 
 def read_stored(store: Store, table: Table, extra_columns: bool = False) -> DataFrame:
@@ -93,13 +93,14 @@ def stored_versions(store: Store, table: Table) -> DataFrame:
 def in_partitions(columns: Sequence[str], tuples: Sequence[Row]) -> Column:
     """Predicate that holds for exactly these partition tuples; null is a value like any other.
 
-    Tuples sharing leading values are grouped, so Year, Month, date becomes one
-    short list of dates per month.
+    Tuples sharing a value are grouped, starting with the column of fewest
+    values, so Year, Month, date becomes one short list of dates per month.
     """
-    first, rest = columns[0], columns[1:]
-    groups: dict[Any, list[Row]] = {}
+    at = min(range(len(columns)), key=lambda i: len({t[i] for t in tuples}))
+    first, rest = columns[at], [*columns[:at], *columns[at + 1:]]
+    groups: dict[Any, list[tuple]] = {}
     for values in tuples:
-        groups.setdefault(values[0], []).append(values[1:])
+        groups.setdefault(values[at], []).append((*values[:at], *values[at + 1:]))
     if not rest:
         present = [v for v in groups if v is not None]
         either = [F.col(first).isin(present)] if present else []

@@ -29,12 +29,11 @@ TABLES = (*SHIPPED, BARS_BY_MARKET, DAILY_MIN, FLAT, BY_MONTH, ALL_TYPES)
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     builder = (SparkSession.builder.master("local[4]").appName("barlake-tests")
                .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
                .config("spark.driver.memory", "4g")
-               .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
                .config("spark.sql.session.timeZone", "UTC"))
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")

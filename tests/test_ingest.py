@@ -1,5 +1,6 @@
 import json
 import os
+import tempfile
 
 import pytest
 
@@ -128,5 +129,15 @@ def test_stream_fails_on_a_refused_batch(store, tmp_path):
     assert stored(store) == []
 
 
-def test_shared_folder_comes_from_the_session(spark):
-    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+class Session:
+    """Just the settings of a session."""
+
+    def __init__(self, **settings):
+        self.conf = {name.replace("_", "."): value for name, value in settings.items()}
+
+
+def test_shared_folder_comes_from_the_session():
+    assert shared_folder(Session(spark_checkpoint_dir="hdfs:///shared/")) == "hdfs:///shared"
+    assert shared_folder(Session(spark_master="local[4]")) == tempfile.gettempdir()
+    with pytest.raises(ValueError):
+        shared_folder(Session(spark_master="yarn"))

@@ -1,5 +1,6 @@
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from barlake.operators.stats import distinct_values
@@ -143,6 +144,12 @@ def test_in_partitions_handles_null_and_groups(spark):
     assert df.where(~in_partitions(["x", "y"], wanted)).collect()[0]["x"] == "b"
 
 
+def test_a_thousand_partition_tuples_make_a_usable_predicate(spark):
+    tuples = [Row(f"a{i}", f"b{i * 7 % 1000}") for i in range(1000)]
+    df = spark.createDataFrame([*tuples, ("a1", "b1"), (None, "b0")], "x string, y string")
+    assert df.where(in_partitions(["x", "y"], tuples)).count() == 1000
+
+
 def test_distinct_values_are_sorted(integration):
     days = distinct_values(read_data(integration[0], "stock_1day"), "date")
     assert [r[0] for r in days.collect()] == ["2026-05-15", "2026-05-16", "2026-05-17"]

@@ -124,6 +124,22 @@ def test_one_file_per_partition_sorted_by_key(spark, store):
     assert codes == sorted(codes)
 
 
+def test_hot_partition_is_split_and_small_ones_joined(spark, store):
+    rows = spark.range(0, 40_000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("2026-05-"), F.lpad((F.col("id") % 28 + 1).cast("string"), 2, "0")))
+        .otherwise("2026-05-15").alias("date"), F.col("id").cast("string").alias("code"),
+        F.rand(1).alias("open"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "50KB")
+    try:
+        assert write_data(store, rows, "daily_min").total_rows == 40_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    hot = glob.glob(f"{store.base}/**/date=2026-05-15/*.parquet", recursive=True)
+    cold = glob.glob(f"{store.base}/**/date=2026-05-16/*.parquet", recursive=True)
+    assert len(hot) > 3 and len(cold) == 1
+    assert read_data(store, "daily_min").count() == 40_000
+
+
 # ---------------------------------------------------------------- duplicates
 
 def test_stored_key_is_refused_or_left_out(store, bars):
