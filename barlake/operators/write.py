@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from barlake.functions.columns import all_of, rendered_path
 from barlake.operators import checks, keys
-from barlake.sources.files import stored_files
+from barlake.sources.files import partition_folders, stored_files
 from barlake.sources.scan import EXACT_PARTITIONS, in_partitions, read_stored
 from barlake.sources.scratch import new_folder, remove_folder
 from barlake.tables import Store, Table
@@ -52,6 +52,7 @@ class Route:
     partitions: int
     failures: dict[str, int]
     touched: Column | None  # predicate on partition columns; a superset beyond EXACT_PARTITIONS
+    tuples: list[Row] | None  # the partition tuples, None beyond EXACT_PARTITIONS
     paths: list[str]
 
 
@@ -120,8 +121,9 @@ def _write(store: Store, table: Table, data: DataFrame, mode: str, extra: list[s
             f"{reason}: {rows} rows" for reason, rows in route.failures.items()])
 
     batch = checks.typed_batch(data, table, extra)
-    size = touched_bytes(store, table, route) if check else 0
-    stored = read_touched(store, table, route) if size else None
+    folders = touched_folders(store, table, route) if check else []
+    size = touched_bytes(store, table, route, folders) if check else 0
+    stored = read_touched(store, table, route, folders) if size else None
     shared = None
     if size >= NARROW_STORED_BYTES:
         stored = within_key_bounds(stored, batch, table)
@@ -177,30 +179,37 @@ def route_batch(data: DataFrame, table: Table) -> Route:
     if len(tuples) <= EXACT_PARTITIONS:
         total = {c: sum(t[c] or 0 for t in tuples) for c in sums}
         partitions, paths = len(tuples), sorted(t["path"] for t in tuples)
-        touched = (in_partitions(table.partitions,
-                                 [Row(*[t[p] for p in table.partitions]) for t in tuples])
-                   if table.partitions and tuples else None)
+        tuples = [Row(*[t[p] for p in table.partitions]) for t in tuples]
+        touched = in_partitions(table.partitions, tuples) if table.partitions and tuples else None
     else:
         total = grouped.agg(*[F.sum(c).alias(c) for c in sums], F.count("*").alias("partitions"),
                             *_ends(table.partitions)).first()
-        partitions, paths = total["partitions"], []
+        partitions, paths, tuples = total["partitions"], [], None
         touched = all_of([_bounds(p, total) for p in table.partitions])
     return Route(total["rows"], total["key bytes"], partitions if total["rows"] else 0,
                  {reason: total[c] for c, reason in zip(counters, failures) if total[c]},
-                 touched, paths if total["rows"] else [])
+                 touched, tuples, paths if total["rows"] else [])
 
 
-def touched_bytes(store: Store, table: Table, route: Route) -> int:
+def touched_folders(store: Store, table: Table, route: Route) -> list[str] | None:
+    """Stored folders of the partitions the batch has rows for; None if they cannot be named."""
+    if not table.partitions or route.tuples is None:
+        return None
+    return partition_folders(store, table, route.tuples)
+
+
+def touched_bytes(store: Store, table: Table, route: Route, folders: list[str] | None = None) -> int:
     """Size of the stored files in the partitions the batch has rows for; 0 if there are none."""
-    files = stored_files(store, table)
+    files = stored_files(store, table, folders)
     if route.touched is not None:
         files = files.where(route.touched)
     return files.agg(F.sum("length")).first()[0] or 0
 
 
-def read_touched(store: Store, table: Table, route: Route) -> DataFrame:
+def read_touched(store: Store, table: Table, route: Route,
+                 folders: list[str] | None = None) -> DataFrame:
     """Stored rows of the partitions the batch has rows for."""
-    stored = read_stored(store, table)
+    stored = read_stored(store, table, folders=folders)
     return stored if route.touched is None else stored.where(route.touched)
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import types as T
 
+from barlake.sources.scratch import folder_exists
 from barlake.tables import Store, Table
 
 _LISTING = T.StructType([
@@ -23,17 +25,39 @@ FOOTER = T.StructType([
     T.StructField("error", T.StringType())])
 
 
-def stored_files(store: Store, table: Table) -> DataFrame:
+# Partition values with these characters alone stand in folder names as they are.
+_PLAIN = re.compile(r"[A-Za-z0-9_-]+")
+
+
+def partition_folders(store: Store, table: Table, tuples: Sequence[Row]) -> list[str] | None:
+    """Folders that exist for these partition tuples, so that nothing else need be listed.
+
+    None if a value would be escaped in its folder name, or is null: list the
+    whole table and filter then.
+    """
+    folders = []
+    for values in tuples:
+        if not all(isinstance(v, str) and _PLAIN.fullmatch(v) for v in values):
+            return None
+        steps = "/".join(f"{p}={v}" for p, v in zip(table.partitions, values))
+        folders.append(f"{store.location(table)}/{steps}")
+    return [f for f in folders if folder_exists(store.spark, f)]
+
+
+def stored_files(store: Store, table: Table, folders: Sequence[str] | None = None) -> DataFrame:
     """Path and size of every file with its partition values; file contents are not read.
 
-    A filter on the partition columns prunes the listing.
+    A filter on the partition columns prunes the files; `folders` bounds the listing itself.
     """
     partitions = [f for f in table.stored_schema if f.name in table.partitions]
     schema = T.StructType(_LISTING.fields + partitions)
     shown = [*table.partitions, "path", "length"]
+    location = store.location(table)
+    if folders is not None and not folders:
+        return store.spark.createDataFrame([], schema).select(*shown)
     try:
-        files = (store.spark.read.format("binaryFile").schema(schema)
-                 .option("pathGlobFilter", "*.parquet").load(store.location(table)))
+        files = (store.spark.read.format("binaryFile").schema(schema).option("basePath", location)
+                 .option("pathGlobFilter", "*.parquet").load(list(folders or [location])))
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise

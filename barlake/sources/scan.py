@@ -19,20 +19,25 @@ from barlake.tables import TYPES, Store, Table
 EXACT_PARTITIONS = 1_000
 
 
-def read_stored(store: Store, table: Table, extra_columns: bool = False) -> DataFrame:
+def read_stored(store: Store, table: Table, extra_columns: bool = False,
+                folders: Sequence[str] | None = None) -> DataFrame:
     """All stored rows, declared and derived columns; no rows where nothing is stored yet.
 
     The declared schema is always passed, so partition values such as "05" stay
     text and a column a file lacks reads as null. With `extra_columns` the
-    undeclared columns of the files follow the declared ones.
+    undeclared columns of the files follow the declared ones. `folders` names the
+    only partition folders to list and read.
     """
     schema = table.stored_schema
     location = store.location(table)
+    if folders is not None and not folders:
+        return store.spark.createDataFrame([], schema)
     try:
         if extra_columns:
             merged = store.spark.read.option("mergeSchema", True).parquet(location).schema
             schema = T.StructType(schema.fields + [f for f in merged if f.name not in schema.names])
-        return store.spark.read.schema(schema).parquet(location).select(*schema.names)
+        return (store.spark.read.schema(schema).option("basePath", location)
+                .parquet(*(folders or [location])).select(*schema.names))
     except AnalysisException as problem:
         if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise

@@ -28,6 +28,11 @@ def hadoop_path(spark: SparkSession, path: str):
     return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    system, found = hadoop_path(spark, path)
+    return system.exists(found)
+
+
 def remove_folder(spark: SparkSession, path: str) -> bool:
     system, found = hadoop_path(spark, path)
     return system.delete(found, True)

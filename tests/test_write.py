@@ -279,6 +279,21 @@ def test_only_touched_partitions_are_read(store, bars):
     assert bounded.count() == 1 and "GreaterThanOrEqual(code,00700)" in pushed_filters(bounded)[0]
 
 
+def test_only_touched_folders_are_listed(store, bars):
+    write_data(store, bars(ROW, OTHER, ("2026-05-16", *ROW[1:])), "bars_by_market")
+    batch = bars((*ROW[:4], 5.0), ("2026-07-01", *ROW[1:]))
+    route = route_batch(batch, BARS_BY_MARKET)
+    folders = write.touched_folders(store, BARS_BY_MARKET, route)
+    assert [f.split("/v1/")[1] for f in folders] == ["market=XHKG/date=2026-05-15"]
+    stored = write.read_touched(store, BARS_BY_MARKET, route, folders)
+    assert [tuple(r) for r in stored.collect()] == [ROW] and len(stored.inputFiles()) == 1
+    odd = route_batch(bars((*ROW[:2], "a/b", *ROW[3:])), BARS_BY_MARKET)
+    assert write.touched_folders(store, BARS_BY_MARKET, odd) is None
+    new = route_batch(bars(("2026-07-01", *ROW[1:])), BARS_BY_MARKET)
+    assert write.touched_folders(store, BARS_BY_MARKET, new) == []
+    assert write.touched_bytes(store, BARS_BY_MARKET, new, []) == 0
+
+
 def test_batch_checks_do_not_sort_the_rows(bars, monkeypatch):
     seen = []
     limit = type(bars(ROW)).limit
