@@ -152,5 +152,5 @@ FROM (SELECT DISTINCT strftime(l_shipdate, '%Y') AS "Year", strftime(l_shipdate,
                     f"FROM answered GROUP BY request_id",
     "bulk_rows": f"WITH {BARS5_SQL},{_REQUESTS}\nSELECT request_id, \"date\", \"time\", market, "
                  f"stock_code, \"close\", volume FROM answered "
-                 f"WHERE volume IS NOT NULL AND request_id NOT LIKE 'day %'",
+                 f"WHERE volume IS NOT NULL",
 }

@@ -325,8 +325,7 @@ def bulk_filters(spark, sf_dir):
 
 def bulk_rows(spark, sf_dir):
     store = loaded(spark, sf_dir, "stock_5min")
-    asked = saved_requests(spark, sf_dir).where(~F.col("request_id").startswith("day "))
-    return answer_requests(store, "stock_5min", asked).select(
+    return answer_requests(store, "stock_5min", saved_requests(spark, sf_dir)).select(
         "request_id", "date", "time", "market", "stock_code", "close", "volume")
 
 

@@ -6,7 +6,7 @@ from barlake.operators import requests as bulk
 from barlake.operators.requests import answer_requests, count_requests, request_problems
 from barlake.operators.write import write_data
 from barlake.sources.scan import query_data
-from conftest import ALL_TYPES, FLAT, plan_of
+from conftest import plan_of
 
 TEXTS = {
     "date": ["2026-05-15", "2026-05-15,2026-05-17", "2026-05-16~", "~2026-05-16", "2026-05-16~2026-05-30"],
@@ -107,6 +107,7 @@ def test_nothing_stored_or_asked(spark, store, integration):
 def test_derived_partitions(spark, store):
     rows = [("2026-05-15", "a", 1.0), ("2026-06-15", "a", 2.0), ("2026-06-16", "b", 3.0)]
     write_data(store, spark.createDataFrame(rows, "date string, code string, close double"), "by_month")
-    asked = {"a": [("date", "2026-06-01~")], "b": [("date", "2026-05-15,2026-06-16"), ("code", "a")], "c": [("close", "2~")]}
+    asked = {"a": [("date", "2026-06-01~")], "b": [("date", "2026-05-15,2026-06-16"), ("code", "a")],
+             "c": [("close", "2~")]}
     got = {r["request_id"]: r["rows"] for r in count_requests(store, "by_month", frame(spark, asked)).collect()}
     assert got == {"a": 2, "b": 1, "c": 2}
