@@ -73,32 +73,43 @@ def stored_partitions(store: Store, table: Table) -> DataFrame:
 def footers(files: DataFrame) -> DataFrame:
     """Row count, format version and stored columns of each file, from its footer only.
 
-    Needs `path` and `length`. A file that cannot be read gives a row with `error`.
+    Needs `path` and `length`. A file that cannot be read gives a row with
+    `error`; a file system that cannot be reached fails the job.
     """
     names = FOOTER.names
 
-    # Both helpers are local so that they travel to the workers by value.
-    def read_footer(path: str, length: int) -> tuple:
+    # All helpers are local so that they travel to the workers by value.
+    def file_system(root: str) -> tuple:
+        """(file system, its path of the root) for `scheme://authority/`."""
         import pyarrow.fs
+
+        if root.startswith("file:"):
+            return pyarrow.fs.LocalFileSystem(), "/"
+        return pyarrow.fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", root))
+
+    def read_footer(system, inner: str) -> tuple:
         import pyarrow.parquet as pq
 
         try:
-            if path.startswith("file:"):
-                system, inner = pyarrow.fs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
-            else:
-                system, inner = pyarrow.fs.FileSystem.from_uri(path)
             with system.open_input_file(inner) as file:
                 parquet = pq.ParquetFile(file)
                 fields = [{"name": f.name, "type": str(f.type)} for f in parquet.schema_arrow]
-                return (path, length, parquet.metadata.num_rows,
-                        parquet.metadata.format_version, fields, None)
+                return parquet.metadata.num_rows, parquet.metadata.format_version, fields, None
         except Exception as problem:  # reported in the row; the other files still count
-            return path, length, None, None, None, f"{type(problem).__name__}: {problem}"
+            return None, None, None, f"{type(problem).__name__}: {problem}"
 
     def read_footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        systems: dict[str, tuple] = {}
         for batch in batches:
-            found = [read_footer(path, int(length))
-                     for path, length in zip(batch["path"], batch["length"])]
+            found = []
+            for path, length in zip(batch["path"], batch["length"]):
+                # names may hold escapes such as %2F, so the path is cut and never decoded
+                scheme, authority, rest = re.fullmatch(r"([^:/]+):(?://([^/]*))?(/.*)", path).groups()
+                root = f"{scheme}://{authority or ''}/"
+                if root not in systems:
+                    systems[root] = file_system(root)
+                system, base = systems[root]
+                found.append((path, int(length), *read_footer(system, base.rstrip("/") + rest)))
             yield pd.DataFrame(found, columns=names).astype({"rows": "Int64"})
 
     return files.select("path", "length").mapInPandas(read_footers, FOOTER)

@@ -146,6 +146,18 @@ def test_storage_stats_count_unreadable_files(filled):
     assert row["size_mb"] == round(sizes / 1024 / 1024, 2)
 
 
+def test_unreachable_file_system_is_not_an_unreadable_file(spark):
+    from barlake.sources.files import footers
+    listed = spark.createDataFrame([("nosuch://host/a.parquet", 1)], "path string, length long")
+    with pytest.raises(Exception, match="nosuch"):
+        footers(listed).collect()
+
+
+def test_footers_of_escaped_partition_folders(store, bars):
+    write_data(store, bars(("2026-05-15", "c", "a/b%", "09:30", 1.0)), "bars_by_market")
+    assert stats.file_metadata(store, "bars_by_market").first()["rows"] == 1
+
+
 def test_file_metadata(filled):
     rows = stats.file_metadata(filled, "bars_by_market").collect()
     assert len(rows) == 6
