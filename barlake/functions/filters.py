@@ -9,8 +9,9 @@ predicate stays eligible for partition pruning and Parquet pushdown.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from decimal import Decimal, InvalidOperation
+from itertools import product
 from typing import Any
 
 from pyspark.sql import Column
@@ -100,7 +101,7 @@ def implied_by_date(table: Table, filters: Mapping[str, Any]) -> list[Column]:
         field, suffix = split_name(name, table.columns)
         if field != "date":
             continue
-        low, high, listed = _sides(suffix, value)
+        low, high, listed = sides(suffix, value)
         if listed is not None:
             months = sorted({str(v)[:7] for v in listed if v is not None})
             if len(months) == 1:
@@ -114,7 +115,36 @@ def implied_by_date(table: Table, filters: Mapping[str, Any]) -> list[Column]:
     return found
 
 
-def _sides(suffix: str, value: Any) -> tuple[Any, Any, list | None]:
+def named_partitions(table: Table, filters: Mapping[str, Any]) -> list[tuple[str, ...]] | None:
+    """Partition tuples the filters name outright by value or list; None if one is left open.
+
+    Days name their Year and Month too where those are parts of the date.
+    """
+    listed: dict[str, set[str]] = {}
+    for name, value in filters.items():
+        field, suffix = split_name(name, table.columns)
+        values = sides(suffix, value)[2]
+        if values is not None and table.columns.get(field) in TEXT_TYPES:
+            listed[field] = {str(v) for v in values if v is not None}
+    days = sorted(listed["date"]) if "date" in listed else [None]
+    cut: dict[str, Callable[[str], str]] = {}
+    if "date" in listed:
+        year_month = (("Year", "Month") if table.calendar else ()) + table.derived
+        parts = {"year": lambda d: d[:4], "month": lambda d: d[5:7]}
+        cut = {"date": str} | {c: parts[c.lower()] for c in year_month}
+    others = [p for p in table.partitions if p not in cut]
+    texts = all(t in TEXT_TYPES for t in table.partition_types.values())
+    if not table.partitions or not texts or any(p not in listed for p in others):
+        return None
+    named = set()
+    for day in days:
+        for values in product(*[sorted(listed[p]) for p in others]):
+            free = dict(zip(others, values))
+            named.add(tuple(free[p] if p in free else cut[p](day) for p in table.partitions))
+    return sorted(named)
+
+
+def sides(suffix: str, value: Any) -> tuple[Any, Any, list | None]:
     """(lower bound, upper bound, listed values) of a filter; None where absent."""
     if suffix in ("gt", "gte"):
         return value, None, None
@@ -156,15 +186,15 @@ def _predicate(field: str, declared: str, suffix: str, value: Any) -> Column:
         return _compare(column, declared, ">", value)
     if suffix == "lt":
         return _compare(column, declared, "<", value)
-    low, high, listed = _sides(suffix, value)
+    low, high, listed = sides(suffix, value)
     if listed is not None:
         return _in_list(column, declared, listed)
-    sides = []
+    bounds = []
     if low is not None:
-        sides.append(_compare(column, declared, ">=", low))
+        bounds.append(_compare(column, declared, ">=", low))
     if high is not None:
-        sides.append(_compare(column, declared, "<=", high))
-    return all_of(sides) if sides else F.lit(False)
+        bounds.append(_compare(column, declared, "<=", high))
+    return all_of(bounds) if bounds else F.lit(False)
 
 
 def _in_list(column: Column, declared: str, values: Iterable[Any]) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from barlake.sources.scratch import folder_exists
@@ -29,7 +29,7 @@ FOOTER = T.StructType([
 _PLAIN = re.compile(r"[A-Za-z0-9_-]+")
 
 
-def partition_folders(store: Store, table: Table, tuples: Sequence[Row]) -> list[str] | None:
+def partition_folders(store: Store, table: Table, tuples: Sequence[Sequence]) -> list[str] | None:
     """Folders that exist for these partition tuples, so that nothing else need be listed.
 
     None if a value would be escaped in its folder name, or is null: list the

@@ -11,13 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barlake.functions.columns import all_of, any_of
-from barlake.functions.filters import compile_filters, filter_arguments, implied_by_date
+from barlake.functions.filters import (compile_filters, filter_arguments, implied_by_date,
+                                       named_partitions)
+from barlake.sources.files import partition_folders
 from barlake.tables import TYPES, Store, Table
 
 # Beyond this many touched partitions a read is bounded by the smallest and
 # largest value of each partition column instead of by exact tuples.
 EXACT_PARTITIONS = 1_000
 
+# Up to this many partitions that filters name outright are looked up by folder,
+# so that a point read does not list the whole table.
+NAMED_FOLDERS = 100
+
 
 def read_stored(store: Store, table: Table, extra_columns: bool = False,
                 folders: Sequence[str] | None = None) -> DataFrame:
@@ -71,7 +77,10 @@ def query_data(store: Store, name: str, version: str = "v1",
 
 def _read(store: Store, table: Table, filters: Mapping[str, Any],
           columns: Sequence[str] | None, extra_columns: bool) -> tuple[DataFrame, list[str]]:
-    df = stored_versions(store, table) if table.reads else read_stored(store, table, extra_columns)
+    if extra_columns:
+        df = read_stored(store, table, extra_columns)
+    else:
+        df = stored_versions(store, table, filters)
     fields = dict(table.columns)
     if extra_columns:
         fields |= {f.name: t for f in df.schema for t, spark_type in TYPES.items()
@@ -85,16 +94,27 @@ def _read(store: Store, table: Table, filters: Mapping[str, Any],
     return df.select(*shown), warnings
 
 
-def stored_versions(store: Store, table: Table) -> DataFrame:
-    """Rows of this version and of the versions it declares it can read; new columns are null."""
-    df = read_stored(store, table)
+def stored_versions(store: Store, table: Table, filters: Mapping[str, Any]) -> DataFrame:
+    """Rows of this version and of the versions it declares it can read; new columns are null.
+
+    The filters only narrow down the folders; the caller still has to apply them.
+    """
+    df = read_stored(store, table, folders=_named_folders(store, table, filters))
     for version in table.reads:
         older = store.table(table.name, version)
         shared = [c for c in (*older.columns, *older.derived) if c in df.columns]
-        df = df.unionByName(read_stored(store, older).select(*shared), allowMissingColumns=True)
+        rows = read_stored(store, older, folders=_named_folders(store, older, filters))
+        df = df.unionByName(rows.select(*shared), allowMissingColumns=True)
     return df
 
 
+def _named_folders(store: Store, table: Table, filters: Mapping[str, Any]) -> list[str] | None:
+    tuples = named_partitions(table, filters)
+    if tuples is None or len(tuples) > NAMED_FOLDERS:
+        return None
+    return partition_folders(store, table, tuples)
+
+
 def in_partitions(columns: Sequence[str], tuples: Sequence[Row]) -> Column:
     """Predicate that holds for exactly these partition tuples; null is a value like any other.
 

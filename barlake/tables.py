@@ -80,6 +80,9 @@ class Table:
             raise ValueError(f"Path names undeclared columns: {strangers}")
         if self.derived and "date" not in self.columns:
             raise ValueError("year and month in a path need a date column")
+        if self.calendar and any(self.columns.get(c) not in TEXT_TYPES
+                                 for c in ("Year", "Month", "date")):
+            raise ValueError("A calendar table needs Year, Month and date as text")
         names = [c.lower() for c in (*self.columns, *self.derived)]
         if len(set(names)) < len(names):
             raise ValueError("Column names must differ in more than case")

@@ -6,9 +6,9 @@ from hypothesis import strategies as st
 
 from barlake.functions.columns import all_of
 from barlake.functions.filters import (compile_filters, filter_arguments, filter_value,
-                                       implied_by_date)
-from barlake.tables import STOCK_1DAY, STOCK_5MIN
-from conftest import ALL_TYPES, BY_MONTH
+                                       implied_by_date, named_partitions)
+from barlake.tables import STOCK_1DAY, STOCK_5MIN, Table
+from conftest import ALL_TYPES, BARS_BY_MARKET, BY_MONTH, FLAT
 
 
 @pytest.mark.parametrize("text, value", [
@@ -166,6 +166,32 @@ def test_months_implied_by_date(spark, value, months):
     assert {f"{r[0]}-{r[1]}" for r in parts.where(all_of(implied)).collect()} == months
 
 
+def test_only_text_partitions_are_named():
+    table = Table("t", "v1", {"rank": "int32", "v": "string"}, "{rank}.parquet")
+    assert named_partitions(table, {"rank": "05"}) is None
+
+
+@pytest.mark.parametrize("table, filters, tuples", [
+    (STOCK_5MIN, {"date": "2026-05-15"}, [("2026", "05", "2026-05-15")]),
+    (STOCK_5MIN, {"date__in": "2026-05-15,2026-06-01", "market": "x"},
+     [("2026", "05", "2026-05-15"), ("2026", "06", "2026-06-01")]),
+    (STOCK_5MIN, {"date": {"start": "2026-05-15", "end": "2026-05-16"}}, None),  # text between days counts
+    (STOCK_5MIN, {"Year": "2026", "Month": ["05", "06"]}, None),
+    (STOCK_1DAY, {"date": ["2026-05-15", "2026-05-16"]}, [("2026", "05")]),
+    (STOCK_1DAY, {"Year": "2026", "Month": "05,06"}, [("2026", "05,06")]),
+    (STOCK_1DAY, {"Year": "2026", "Month": ["06", "05"]}, [("2026", "05"), ("2026", "06")]),
+    (STOCK_1DAY, {"Year__ne": "2026", "Month": "05"}, None),
+    (BY_MONTH, {"date": "2026-05-15"}, [("2026", "05")]),
+    (BARS_BY_MARKET, {"date": "2026-05-15"}, None),
+    (BARS_BY_MARKET, {"date": "2026-05-15", "market": ["b", "a"]}, [("a", "2026-05-15"), ("b", "2026-05-15")]),
+    (BARS_BY_MARKET, {"date": "2026-05-15", "market": []}, []),
+    (FLAT, {"code": "1"}, None),
+    (STOCK_5MIN, {}, None),
+])
+def test_partitions_named_by_filters(table, filters, tuples):
+    assert named_partitions(table, filters) == tuples
+
+
 def test_nothing_is_implied_without_reason():
     assert implied_by_date(STOCK_1DAY, {"date__ne": "2024-02-10", "market": "x"}) == []
     assert implied_by_date(STOCK_5MIN, {"date": "2024-02-10"}) == []  # date itself prunes

@@ -73,6 +73,20 @@ def test_partition_filters_prune(integration):
     assert "Month" in partition_filters(one_day)[0] and "date" in pushed_filters(one_day)[0]
 
 
+def test_point_read_lists_only_its_folders(integration, monkeypatch):
+    store = integration[0]
+    one = read_data(store, "stock_5min", date="2026-05-15", market="XHKG")
+    assert len(one.inputFiles()) == 1 and one.count() == 216
+    two = read_data(store, "stock_5min", date=["2026-05-15", "2026-05-17", "2030-01-01"])
+    assert len(two.inputFiles()) == 2 and two.count() == 1296
+    assert read_data(store, "stock_5min", date="2030-01-01").count() == 0
+    assert read_data(store, "stock_5min", date="*").count() == 0
+    assert read_data(store, "stock_5min", date="2026-05-15", Month="04").count() == 0
+    monkeypatch.setattr("barlake.sources.scan.NAMED_FOLDERS", 0)
+    whole = read_data(store, "stock_5min", date="2026-05-15", market="XHKG")
+    assert len(whole.inputFiles()) == 3 and whole.count() == 216
+
+
 def test_row_filters_push_down_and_columns_prune(integration):
     df = read_data(integration[0], "stock_5min", filters={"close": {"start": "150"}, "volume": "1100"},
                    columns=["date", "close"])

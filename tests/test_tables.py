@@ -52,6 +52,12 @@ def test_bad_declarations(columns, path):
         Table("t", "v1", columns, path)
 
 
+def test_calendar_columns_are_text():
+    columns = {"Year": "int32", "Month": "string", "date": "string"}
+    with pytest.raises(ValueError):
+        Table("t", "v1", columns, "{Year}/{Month}.parquet", calendar=True)
+
+
 def test_unknown_dataset_and_version():
     store = Store(None, "/nowhere")
     with pytest.raises(KeyError):
