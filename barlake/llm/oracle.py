@@ -21,4 +21,36 @@ SELECT doc_id, CAST(octet_length(b) AS bigint) AS n_bytes, CAST(coalesce(n_remov
        CAST(coalesce(n_spans, 0) AS bigint) AS n_spans, sha256(unhex(coalesce(left_over, ''))) AS kept_sha256
 FROM texts LEFT JOIN cut USING (doc_id)"""
 
-ORACLE = {"op1_suffix_dedup": OP1}
+OP9 = r"""
+WITH split AS (
+  SELECT doc_id AS id, false AS item, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+  UNION ALL
+  SELECT item_id, true, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
+  FROM benchmark),
+windows AS (
+  SELECT id AS item_id, least(13, len(w)) AS size, w[i:i + least(13, len(w)) - 1] AS words
+  FROM (SELECT id, w, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) AS i
+        FROM split WHERE item AND len(w) > 0)),
+places AS (SELECT id AS doc_id, w, unnest(generate_series(1, len(w))) AS p FROM split WHERE NOT item),
+sizes AS (SELECT DISTINCT size FROM windows),
+found AS (
+  SELECT doc_id, p, s.size, item_id
+  FROM (SELECT doc_id, p, size, w[p:p + size - 1] AS words FROM places, sizes WHERE p + size - 1 <= len(w)) s
+  JOIN windows x ON s.size = x.size AND s.words = x.words),
+hit AS (SELECT DISTINCT doc_id, unnest(generate_series(p, p + size - 1)) AS p FROM (SELECT DISTINCT doc_id, p, size FROM found)),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS varchar) AS item_id FROM found) GROUP BY doc_id),
+counts AS (
+  SELECT id AS doc_id, CAST(len(w) AS bigint) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items,
+         coalesce(i.ids, '') AS ids
+  FROM split LEFT JOIN (SELECT doc_id, count(*) AS n FROM hit GROUP BY doc_id) h ON h.doc_id = id
+             LEFT JOIN items i ON i.doc_id = id
+  WHERE NOT item)
+SELECT doc_id, n_words, CAST(n_hit AS bigint) AS n_hit, CAST(n_items AS bigint) AS n_items,
+       sha256(ids) AS items_sha256, n_hit > 0 AND 20 * n_hit >= n_words AS contaminated
+FROM counts"""
+
+ORACLE = {"op1_suffix_dedup": OP1, "op9_decontaminate": OP9}

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barlake.llm import suffix_dedup
+from barlake.llm import byte_bpe, chunk_dedup, decontaminate, language_id, suffix_dedup, token_counts
 from barlake.llm.shared import load
 
 
@@ -12,4 +13,26 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup}
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.report(load(spark, sf_dir, "documents"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.report(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.report(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.digests(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_language_id": op2_language_id,
+           "op3_token_counts": op3_token_counts, "op7_byte_bpe": op7_byte_bpe,
+           "op9_decontaminate": op9_decontaminate, "op10_chunk_dedup": op10_chunk_dedup}

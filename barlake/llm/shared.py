@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side up to this many bytes, measured on the written rows, is broadcast; a larger one is shuffled.
-BROADCAST_BYTES = 48 << 20
+BROADCAST_BYTES = 16 << 20
 #: Arrays over text are built for about this many bytes at a time.
 BLOCK_BYTES = 1 << 19
+#: A task holds what it gathers from about this many bytes of text before it hands it on.
+FLUSH_BYTES = 12 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +43,8 @@ def bytes_of(df: DataFrame) -> int:
         column = F.col(f"`{name}`")
         if kind in ("string", "binary"):
             sizes.append(F.coalesce(F.octet_length(column), F.lit(0)) + 8)
+        elif kind == "array<binary>":
+            sizes.append(F.aggregate(F.coalesce(column, F.array()), F.lit(0), lambda n, x: n + F.octet_length(x) + 8))
         elif kind.startswith("array"):
             sizes.append(F.greatest(F.size(column), F.lit(0)) * 8 + 16)
         else:
@@ -86,6 +90,28 @@ def blocks(offsets: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int,
         first = last
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], at: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batches cut where the texts or binaries of column `at` have about `most` bytes."""
+    for batch in batches:
+        for first, last in blocks(utf8(batch.column(at))[1], most):
+            yield batch.slice(first, last - first)
+
+
+def flushes(batches: Iterator[pa.RecordBatch], at: int, most: int = FLUSH_BYTES) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of all batches in groups whose texts, column `at`, have about `most` bytes."""
+    group, size = [], 0
+    for batch in batches:
+        _, offsets = utf8(batch.column(at))
+        for first, last in blocks(offsets, most):
+            group.append(batch.slice(first, last - first))
+            size += int(offsets[last] - offsets[first])
+            if size >= most:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
 def ints(column: pa.Array, null: int) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(null).to_numpy(zero_copy_only=False)
 
