@@ -169,8 +169,9 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
                                              names=["doc_id", "lang", "packed"])
 
     rows = (known.where(has_letter(F.col("text"))).join(chosen, "doc_id").select("doc_id", "lang", "text")
-            .mapInArrow(task, "doc_id long, lang string, packed binary").collect())
-    rows = sorted(((r[0], r[1], bytes(r[2])) for r in rows if r[2]))[:sample]
+            .mapInArrow(task, "doc_id long, lang string, packed binary").where(F.octet_length("packed") > 0)
+            .groupBy("doc_id").agg(F.min(F.struct("lang", "packed")).alias("row")).collect())
+    rows = sorted((r[0], r[1][0], bytes(r[1][1])) for r in rows)
     return train([np.frombuffer(r[2], np.uint32).reshape(-1, 2) for r in rows], [r[1] for r in rows])
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barlake.llm import byte_bpe, chunk_dedup, decontaminate, language_id, suffix_dedup, token_counts
+from barlake.llm import (byte_bpe, chunk_dedup, decontaminate, language_id, multi_index, neighbour_quality,
+                         site_style_tree, suffix_dedup, token_counts)
 from barlake.llm.shared import load
 
 
@@ -21,10 +22,22 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.report(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style_tree.report(load(spark, sf_dir, "pages"))
+
+
+def op6_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_quality.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.report(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(load(spark, sf_dir, "embeddings"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -34,5 +47,7 @@ def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_language_id": op2_language_id,
-           "op3_token_counts": op3_token_counts, "op7_byte_bpe": op7_byte_bpe,
-           "op9_decontaminate": op9_decontaminate, "op10_chunk_dedup": op10_chunk_dedup}
+           "op3_token_counts": op3_token_counts, "op4_site_style_tree": op4_site_style_tree,
+           "op6_neighbour_quality": op6_neighbour_quality, "op7_byte_bpe": op7_byte_bpe,
+           "op8_multi_index": op8_multi_index, "op9_decontaminate": op9_decontaminate,
+           "op10_chunk_dedup": op10_chunk_dedup}

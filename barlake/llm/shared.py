@@ -80,12 +80,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[low:int(offsets[-1]) if len(offsets) else 0], offsets - low
 
 
-def blocks(offsets: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+def blocks(offsets: np.ndarray, most: int = BLOCK_BYTES, most_rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` bytes together; a longer text is a range of its own."""
     first, count = 0, len(offsets) - 1
     while first < count:
         last = int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1
-        last = min(max(last, first + 1), count)
+        last = min(max(last, first + 1), first + most_rows, count)
         yield first, last
         first = last
 
