@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from barlake.llm import (byte_bpe, chunk_dedup, decontaminate, language_id, multi_index, neighbour_quality,
-                         site_style_tree, suffix_dedup, token_counts)
+                         order_minhash, site_style_tree, suffix_dedup, token_counts)
 from barlake.llm.shared import load
 
 
@@ -26,6 +26,10 @@ def op4_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_style_tree.report(load(spark, sf_dir, "pages"))
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.report(load(spark, sf_dir, "documents"))
+
+
 def op6_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_quality.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -46,8 +50,6 @@ def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.digests(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_language_id": op2_language_id,
-           "op3_token_counts": op3_token_counts, "op4_site_style_tree": op4_site_style_tree,
-           "op6_neighbour_quality": op6_neighbour_quality, "op7_byte_bpe": op7_byte_bpe,
-           "op8_multi_index": op8_multi_index, "op9_decontaminate": op9_decontaminate,
-           "op10_chunk_dedup": op10_chunk_dedup}
+QUERIES = {q.__name__: q for q in (
+    op1_suffix_dedup, op2_language_id, op3_token_counts, op4_site_style_tree, op5_order_minhash,
+    op6_neighbour_quality, op7_byte_bpe, op8_multi_index, op9_decontaminate, op10_chunk_dedup)}
