@@ -21,35 +21,21 @@ texts are neither earlier nor later than each other.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlake.llm.names import anchored_runs, doubled, mixed, names_of, paired, spans_joined
-from barlake.llm.shared import blocks, cut, ints, shuffle_parts, small_side, utf8
+from barlake.llm.names import anchored_runs, mixed, names_of, paired, spans_joined
+from barlake.llm.packed import (NO_ID, SPANS, ddl, firsts, from_planes, group_of, keyed_texts, parts_of, planes,
+                                record_batches, removal_report, text_classes, without_spans)
+from barlake.llm.shared import BLOCK_BYTES, blocks, cut, flushes, ints, shuffle_parts, small_side, utf8
 
 #: A longer text is cut into pieces of so many windows.
 PIECE = 1 << 22
-NO_ID = (1 << 63) - 1
 NAME_BYTES = 5
 
 
-def planes(values: np.ndarray, width: int) -> bytes:
-    """The low `width` bytes of whole numbers, byte by byte, so that leading zeros compress."""
-    raw = np.ascontiguousarray(values.astype(np.uint64)).view(np.uint8).reshape(-1, 8)
-    return raw[:, :width].T.tobytes()
-
-
-def from_planes(data: bytes, width: int) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(width, -1)
-    wide = np.zeros((raw.shape[1], 8), np.uint8)
-    wide[:, :width] = raw.T
-    return wide.reshape(-1).view(np.uint64)
-
-
 def text_runs(flat: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     """(text, first window start in the text, windows, anchor name) of all runs, in order."""
     found = []
@@ -76,26 +62,6 @@ def ordinals_of(text: np.ndarray) -> np.ndarray:
     return np.arange(len(text)) - np.repeat(first, np.diff(np.append(first, len(text))))
 
 
-def firsts(values: np.ndarray) -> np.ndarray:
-    """Mask of the rows that begin a group of equal neighbours."""
-    fresh = np.ones(len(values), bool)
-    fresh[1:] = values[1:] != values[:-1]
-    return fresh
-
-
-def group_of(fresh: np.ndarray) -> np.ndarray:
-    return np.cumsum(fresh) - 1
-
-
-def _batches(rows: list[dict], schema: pa.Schema, at_once: int = 20_000) -> Iterator[pa.RecordBatch]:
-    for k in range(0, len(rows), at_once):
-        yield pa.RecordBatch.from_pylist(rows[k:k + at_once], schema=schema)
-
-
-def _part_of(names: np.ndarray, parts: int) -> np.ndarray:
-    return (mixed(names) % np.uint64(parts)).astype(np.int64)
-
-
 # Step 1: anchors shared by different texts
 
 ANCHORS = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()),
@@ -106,6 +72,10 @@ SHARED = pa.schema([("key", pa.int64()), ("ordinals", pa.binary()), ("hot", pa.b
 
 def _emit_anchors(parts: int, length: int, gram: int):
     def task(batches):
+        for group in flushes(batches, 1):
+            yield from packed(group)
+
+    def packed(batches):
         keys, texts, ordinals, names, seen, base = [], [], [], [], np.zeros(0, np.int64), 0
         for batch in batches:
             own = ints(batch.column(0), 0)
@@ -115,13 +85,11 @@ def _emit_anchors(parts: int, length: int, gram: int):
             new &= np.isin(np.arange(len(own)), np.unique(own, return_index=True)[1])
             kept = new[text]
             keys.append(own)
-            texts.append(text[kept] + base)
-            ordinals.append(ordinals_of(text)[kept])
+            texts.append((text[kept] + base).astype(np.int32))
+            ordinals.append(ordinals_of(text)[kept].astype(np.int32))
             names.append(name[kept])
             seen = np.union1d(seen, own)
             base += len(own)
-        if not base:
-            return
         keys, texts, ordinals, names = map(np.concatenate, (keys, texts, ordinals, names))
         order = np.lexsort((texts, names))
         by_name = names[order]
@@ -132,7 +100,7 @@ def _emit_anchors(parts: int, length: int, gram: int):
         sent, shared = order[fresh_name], order[(weight > 1)[group_of(fresh_name)]]
         weights = weight[np.argsort(sent, kind="stable")]
         sent, shared = np.sort(sent), np.sort(shared)
-        part, shared_part = _part_of(names[sent], parts), _part_of(names[shared], parts)
+        part, shared_part = parts_of(names[sent], parts), parts_of(names[shared], parts)
         by_part, by_shared = np.argsort(part, kind="stable"), np.argsort(shared_part, kind="stable")
         edges = np.searchsorted(part[by_part], np.arange(parts + 1))
         shared_edges = np.searchsorted(shared_part[by_shared], np.arange(parts + 1))
@@ -186,7 +154,7 @@ def _find_shared(batches):
             for a, b in zip(at, np.append(at[1:], len(found)))]
     if heavy:
         rows.append({"key": None, "ordinals": None, "hot": heavy})
-    yield from _batches(rows, SHARED)
+    yield from record_batches(rows, SHARED)
 
 
 # Step 2: windows repeated from earlier documents
@@ -195,13 +163,20 @@ RUNS = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("keys", pa.binary
                   ("counts", pa.binary()), ("names", pa.binary()), ("windows", pa.binary()),
                   ("places", pa.binary()), ("starts", pa.binary()), ("bytes", pa.binary()),
                   ("span_counts", pa.binary()), ("span_starts", pa.binary()), ("span_ends", pa.binary())])
-SPANS = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("starts", pa.binary()), ("ends", pa.binary())])
 
 
 def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Bytes of many ranges, one after another."""
-    where = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-    return flat[where]
+    ends = np.cumsum(sizes)
+    found, first = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8), 0
+    while first < len(starts):
+        done = ends[first] - sizes[first]
+        last = max(first + 1, int(np.searchsorted(ends, done + BLOCK_BYTES)))
+        own = slice(first, last)
+        where = np.repeat(starts[own] - (ends[own] - sizes[own]), sizes[own]) + np.arange(done, ends[last - 1])
+        found[done:ends[last - 1]] = flat[where]
+        first = last
+    return found
 
 
 def _emit_runs(parts: int, length: int, gram: int, hot: np.ndarray):
@@ -226,13 +201,17 @@ def _emit_runs(parts: int, length: int, gram: int, hot: np.ndarray):
         sizes = count + length - 1
         data = _gathered(flat, start + offsets[text], sizes)
         first = np.cumsum(sizes) - sizes
-        windows = names_of(data, length)
-        whole = paired(windows[first], windows[first + count - 1]) if len(first) else windows[:0]
+        edges = window_names(data, np.column_stack([first, first + count - 1]).ravel(), length).reshape(-1, 2)
+        whole = paired(edges[:, 0], edges[:, 1])  # the first and last window hold all bytes of a run
         if len(hot):
             name = np.where(split, whole, name)
         return text, start, count, name, mixed(whole + count.astype(np.uint64)), data, sizes
 
     def task(batches):
+        for group in flushes(batches, 2):
+            yield from packed(group)
+
+    def packed(batches):
         ids, keys, found, base = [], [], [], 0
         for batch in batches:
             text, *rest = runs_of(batch)
@@ -240,8 +219,6 @@ def _emit_runs(parts: int, length: int, gram: int, hot: np.ndarray):
             keys.append(ints(batch.column(1), 0))
             found.append((text + base, *rest))
             base += batch.num_rows
-        if not base:
-            return
         ids, keys = np.concatenate(ids), np.concatenate(keys)
         text, start, count, name, whole, data, sizes = (np.concatenate(x) for x in zip(*found))
         del found
@@ -257,12 +234,12 @@ def _emit_runs(parts: int, length: int, gram: int, hot: np.ndarray):
         fresh = firsts(group) | firsts(text[order])
         place_count = np.diff(np.append(np.flatnonzero(fresh), len(order)))
         entry, place = order[fresh], np.split(start[order], np.flatnonzero(fresh)[1:])
-        part = _part_of(name[entry], parts)
+        part = parts_of(name[entry], parts)
         by_part = np.lexsort((text[entry], part))
         edges = np.searchsorted(part[by_part], np.arange(parts + 1))
         where = np.argsort(text[covered], kind="stable")
         covered = covered[where]
-        span_part = _part_of(keys[text[covered]].view(np.uint64), parts)
+        span_part = parts_of(keys[text[covered]].view(np.uint64), parts)
         for p in range(parts):
             own = by_part[edges[p]:edges[p + 1]]
             spans = covered[span_part == p]
@@ -347,99 +324,46 @@ def _find_repeated(length: int):
             low, high = spans_joined(begin[a:b], end[a:b])
             rows.append({"id": int(ids[a]), "key": int(keys[a]), "starts": low.astype(np.int32).tobytes(),
                          "ends": high.astype(np.int32).tobytes()})
-        yield from _batches(rows, SPANS)
+        yield from record_batches(rows, SPANS)
     return task
 
 
 def window_names(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Names of `length` bytes at chosen places, doubled block by block."""
-    found, block = np.zeros(len(at), np.uint64), 1 << 19
-    for low in range(0, len(data), block):
-        first, last = np.searchsorted(at, [low, low + block])
+    """Names of `length` bytes at the places `at`, in order, doubled block by block."""
+    found = np.zeros(len(at), np.uint64)
+    for low in range(0, len(data), BLOCK_BYTES):
+        first, last = np.searchsorted(at, [low, low + BLOCK_BYTES])
         if last > first:
-            found[first:last] = names_of(data[low:low + block + length - 1], length)[at[first:last] - low]
+            found[first:last] = names_of(data[low:low + BLOCK_BYTES + length - 1], length)[at[first:last] - low]
     return found
 
 
 # The operator
 
-def _ddl(schema: pa.Schema) -> str:
-    kinds = {"int32": "int", "int64": "long", "binary": "binary"}
-    return ", ".join(f"{f.name} {kinds[str(f.type)]}" for f in schema)
-
-
 def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     """(id, key, starts, ends) of each text class: its smallest id, the hash of its text, and lists
     of packed 32-bit byte ranges that are covered by repeated strings of `length` bytes."""
     parts, gram = shuffle_parts(docs.sparkSession), max(1, (length - 2) // 2)
-    keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), _key().alias("key"),
-                        F.coalesce("text", F.lit("")).alias("text"))
-    classes = cut(keyed.groupBy("key", F.sha2("text", 256).alias("sha")).agg(F.min("id").alias("id")))
-    long = keyed.where(F.octet_length("text") >= length)
-    anchors = long.select("key", "text").mapInArrow(_emit_anchors(parts, length, gram), _ddl(ANCHORS))
-    shared = cut(anchors.repartitionById(parts, F.col("part")).mapInArrow(_find_shared, _ddl(SHARED)))
+    classes = text_classes(docs)
+    long = keyed_texts(docs).where(F.octet_length("text") >= length)
+    anchors = long.select("key", "text").mapInArrow(_emit_anchors(parts, length, gram), ddl(ANCHORS))
+    shared = cut(anchors.repartitionById(parts, F.col("part")).mapInArrow(_find_shared, ddl(SHARED)))
     hot = np.array([n for row in shared.where("hot is not null").select("hot").collect()
                     for n in np.frombuffer(row[0], np.uint64)], np.uint64)  # four of each partition at most
     wanted = cut(shared.where("key is not null").groupBy("key").agg(F.collect_list("ordinals").alias("ordinals"))
-                 .join(classes.select("key", "id").distinct(), "key"))
+                 .join(classes, "key"))
     runs = (long.join(small_side(wanted), ["id", "key"]).select("id", "key", "text", "ordinals")
-            .mapInArrow(_emit_runs(parts, length, gram, hot), _ddl(RUNS)))
-    spans = runs.repartitionById(parts, F.col("part")).mapInArrow(_find_repeated(length), _ddl(SPANS))
+            .mapInArrow(_emit_runs(parts, length, gram, hot), ddl(RUNS)))
+    spans = runs.repartitionById(parts, F.col("part")).mapInArrow(_find_repeated(length), ddl(SPANS))
     spans = spans.groupBy("id", "key").agg(F.collect_list("starts").alias("starts"),
                                            F.collect_list("ends").alias("ends"))
-    return cut(classes.select("id", "key").distinct().join(spans, ["id", "key"], "left"))
-
-
-def _key():
-    return F.xxhash64(F.coalesce("text", F.lit("")))
-
-
-def _cutting(length: int, at: int):
-    def task(batches):
-        for batch in batches:
-            flat, offsets = utf8(batch.column(at))
-            *columns, rep, starts, ends = batch.columns
-            kept, spans = [], []
-            for k, (first, low, high) in enumerate(zip(rep.to_pylist(), starts.to_pylist(), ends.to_pylist())):
-                own = flat[offsets[k]:offsets[k + 1]]
-                if not first and len(own) >= length:
-                    kept.append(b"")
-                    spans.append([{"start": 0, "end": len(own)}])
-                    continue
-                if not low:
-                    kept.append(own.tobytes())
-                    spans.append([])
-                    continue
-                a, b = spans_joined(np.frombuffer(b"".join(low), np.int32), np.frombuffer(b"".join(high), np.int32))
-                edges = np.concatenate([[0], np.column_stack([a, b]).ravel(), [len(own)]])
-                kept.append(b"".join(own[x:y].tobytes() for x, y in edges.reshape(-1, 2)))
-                spans.append([{"start": int(x), "end": int(y)} for x, y in zip(a, b)])
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary()), pa.array(spans, kind)],
-                                             names=[*batch.schema.names[:-3], "kept", "spans"])
-    return task
+    return cut(classes.join(spans, ["id", "key"], "left"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
-    """`docs` with two more columns: `kept`, the bytes of `text` outside the removed ranges, and
-    `spans`, the maximal removed byte ranges. Columns of these names in `docs` are replaced."""
-    docs = docs.drop("kept", "spans")
-    found = small_side(repeated_spans(docs, length).select(
-        F.col("id").alias("__id"), F.col("key").alias("__key"), F.lit(True).alias("__first"),
-        F.col("starts").alias("__starts"), F.col("ends").alias("__ends")))
-    marked = (docs.withColumns({"__doc": F.coalesce("doc_id", F.lit(NO_ID)), "__text": _key()})
-              .join(found, (F.col("__doc") == F.col("__id")) & (F.col("__text") == F.col("__key")), "left")
-              .select(*(docs[c] for c in docs.columns), F.coalesce("__first", F.lit(False)).alias("__first"),
-                      "__starts", "__ends"))
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return marked.mapInArrow(_cutting(length, docs.columns.index("text")),
-                             f"{schema}, kept binary, spans array<struct<start:int,end:int>>")
+    """`docs` with `kept`, the bytes of `text` that are left, and `spans`, the removed byte ranges."""
+    return without_spans(docs, repeated_spans(docs, length), length)
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Per document of `docs`: sizes, removed bytes and ranges, and the digest of what is left."""
-    removed = remove_repeats(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    return removed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"),
-                          (F.octet_length("text") - F.octet_length("kept")).cast("long").alias("n_removed"),
-                          F.size("spans").cast("long").alias("n_spans"),
-                          F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+    return removal_report(remove_repeats(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))))
