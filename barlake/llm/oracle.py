@@ -2,15 +2,16 @@
 
 OP1 = """
 WITH texts AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
-windows AS (
-  SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS s
-  FROM (SELECT doc_id, hex(b) AS h, unnest(generate_series(1, octet_length(b) - 49)) AS i FROM texts)),
+parts AS (  -- short pieces with an overlap of 49 bytes: cutting long strings is slow
+  SELECT doc_id, k, substr(h, 1000 * k + 1, 1098) AS h
+  FROM (SELECT doc_id, hex(b) AS h, unnest(generate_series(0, octet_length(b) // 500)) AS k FROM texts)),
+places AS (SELECT doc_id, k, h, unnest(generate_series(1, least(500, len(h) // 2))) AS i FROM parts),
+windows AS (SELECT doc_id, 500 * k + i AS i, substr(h, 2 * i - 1, 100) AS s FROM places WHERE 2 * i + 98 <= len(h)),
 firsts AS (SELECT s, min(doc_id) AS least FROM windows GROUP BY s HAVING count(*) > 1),
 starts AS (SELECT doc_id, i FROM windows JOIN firsts USING (s) WHERE doc_id > least),
 marked AS (
   SELECT t.doc_id, t.p, t.x, coalesce(max(s.i) OVER (PARTITION BY t.doc_id ORDER BY t.p), -50) > t.p - 50 AS gone
-  FROM (SELECT doc_id, p, substr(h, 2 * p - 1, 2) AS x
-        FROM (SELECT doc_id, hex(b) AS h, unnest(generate_series(1, octet_length(b))) AS p FROM texts)) t
+  FROM (SELECT doc_id, 500 * k + i AS p, substr(h, 2 * i - 1, 2) AS x FROM places) t
   LEFT JOIN starts s ON s.doc_id = t.doc_id AND s.i = t.p),
 edges AS (SELECT *, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS before FROM marked),
 cut AS (

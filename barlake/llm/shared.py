@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+REPOSITORY = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: A side up to this many bytes, measured on the written rows, is broadcast; a larger one is shuffled.
 BROADCAST_BYTES = 16 << 20
 #: Arrays over text are built for about this many bytes at a time.
@@ -19,16 +21,24 @@ FLUSH_BYTES = 12 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. Python workers get this repository on their path, wherever the driver was started."""
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if REPOSITORY not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([REPOSITORY, *filter(None, paths)])
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the folder in spark.checkpoint.dir and read from there, so that lost
-    executors cost no recomputation. Sets a folder of its own only where none is set."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; one of its own only where none is set, as in tests."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None)
-                                 or tempfile.mkdtemp(prefix="barlake-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barlake-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read from there, so that lost executors cost no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -58,11 +68,6 @@ def small_side(side: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(side) if bytes_of(side) <= limit else side
 
 
-def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-              schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
-
-
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id's text modulo 5 is 0; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -27,9 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlake.llm.names import anchored_runs, mixed, names_of, paired, spans_joined
-from barlake.llm.packed import (NO_ID, SPANS, ddl, firsts, from_planes, group_of, keyed_texts, parts_of, planes,
-                                record_batches, removal_report, text_classes, without_spans)
-from barlake.llm.shared import BLOCK_BYTES, blocks, cut, flushes, ints, shuffle_parts, small_side, utf8
+from barlake.llm.packed import (FOUND, NO_ID, ddl, firsts, found_rows, from_planes, gathered_spans, group_of,
+                                keyed_texts, parts_of, planes, record_batches, removal_report, text_classes,
+                                without_spans)
+from barlake.llm.shared import BLOCK_BYTES, blocks, cut, flushes, ints, shuffle_parts, utf8
 
 #: A longer text is cut into pieces of so many windows.
 PIECE = 1 << 22
@@ -67,7 +68,9 @@ def ordinals_of(text: np.ndarray) -> np.ndarray:
 ANCHORS = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()),
                      ("names", pa.binary()), ("ordinals", pa.binary()), ("weights", pa.binary()),
                      ("settled_counts", pa.binary()), ("settled", pa.binary())])
-SHARED = pa.schema([("key", pa.int64()), ("ordinals", pa.binary()), ("hot", pa.binary())])
+SHARED = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()),
+                    ("ordinals", pa.binary()), ("hot", pa.binary())])
+WANTED = pa.schema([("key", pa.int64()), ("ordinals", pa.binary()), ("hot", pa.binary())])
 
 
 def _emit_anchors(parts: int, length: int, gram: int):
@@ -121,40 +124,63 @@ def _emit_anchors(parts: int, length: int, gram: int):
     return task
 
 
-def _find_shared(batches):
-    keys, names, ordinals, weights, settled_keys, settled = [], [], [], [], [], []
+def _find_shared(parts: int):
+    def task(batches):
+        keys, names, ordinals, weights, settled_keys, settled = [], [], [], [], [], []
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = np.frombuffer(row["keys"], np.int64)
+                keys.append(np.repeat(own, from_planes(row["counts"], 4).astype(np.int64)))
+                names.append(from_planes(row["names"], NAME_BYTES))
+                ordinals.append(from_planes(row["ordinals"], 4).astype(np.uint32))
+                weights.append(from_planes(row["weights"], 4).astype(np.int64))
+                settled_keys.append(np.repeat(own, from_planes(row["settled_counts"], 4).astype(np.int64)))
+                settled.append(from_planes(row["settled"], 4).astype(np.uint32))
+        if not keys:
+            return
+        keys, names, ordinals, weights = map(np.concatenate, (keys, names, ordinals, weights))
+        order = np.argsort(names, kind="stable")
+        names, weights, by_name = names[order], weights[order], keys[order]
+        at = np.flatnonzero(firsts(names))
+        group = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(names))))
+        least, most = np.minimum.reduceat(by_name, at), np.maximum.reduceat(by_name, at)
+        total = np.add.reduceat(weights, at)
+        differ = least != most
+        held = differ | (total > np.diff(np.append(at, len(names))))
+        heavy = names[at][held & (4 * total > total[held].sum())].tobytes()
+        chosen = differ[group]
+        found = np.concatenate([by_name[chosen], *settled_keys])
+        places = np.concatenate([ordinals[order][chosen], *settled])
+        by_key = np.lexsort((places, found))
+        found, places = found[by_key], places[by_key]
+        fresh = firsts(found)
+        own, counts = found[fresh], np.diff(np.append(np.flatnonzero(fresh), len(found)))
+        part = parts_of(own.view(np.uint64), parts)
+        place_part = np.repeat(part, counts)
+        for p in np.unique(part):
+            yield pa.RecordBatch.from_pylist([{
+                "part": int(p), "keys": own[part == p].tobytes(), "counts": planes(counts[part == p], 4),
+                "ordinals": planes(places[place_part == p], 4), "hot": None}], schema=SHARED)
+        if heavy:
+            yield pa.RecordBatch.from_pylist([{"part": 0, "hot": heavy}], schema=SHARED)
+    return task
+
+
+def _gather_shared(batches):
+    keys, ordinals = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
     for batch in batches:
         for row in batch.to_pylist():
-            own = np.frombuffer(row["keys"], np.int64)
-            keys.append(np.repeat(own, from_planes(row["counts"], 4).astype(np.int64)))
-            names.append(from_planes(row["names"], NAME_BYTES))
+            if row["hot"]:
+                yield pa.RecordBatch.from_pylist([{"hot": row["hot"]}], schema=WANTED)
+                continue
+            keys.append(np.repeat(np.frombuffer(row["keys"], np.int64), from_planes(row["counts"], 4).astype(np.int64)))
             ordinals.append(from_planes(row["ordinals"], 4).astype(np.uint32))
-            weights.append(from_planes(row["weights"], 4).astype(np.int64))
-            settled_keys.append(np.repeat(own, from_planes(row["settled_counts"], 4).astype(np.int64)))
-            settled.append(from_planes(row["settled"], 4).astype(np.uint32))
-    if not keys:
-        return
-    keys, names, ordinals, weights = map(np.concatenate, (keys, names, ordinals, weights))
-    order = np.argsort(names, kind="stable")
-    names, weights, by_name = names[order], weights[order], keys[order]
-    at = np.flatnonzero(firsts(names))
-    group = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(names))))
-    least, most = np.minimum.reduceat(by_name, at), np.maximum.reduceat(by_name, at)
-    total = np.add.reduceat(weights, at)
-    differ = least != most
-    held = differ | (total > np.diff(np.append(at, len(names))))
-    heavy = names[at][held & (4 * total > total[held].sum())].tobytes()
-    chosen = differ[group]
-    found = np.concatenate([by_name[chosen], *settled_keys])
-    places = np.concatenate([ordinals[order][chosen], *settled])
-    by_key = np.lexsort((places, found))
-    found, places = found[by_key], places[by_key]
-    at = np.flatnonzero(firsts(found))
-    rows = [{"key": int(found[a]), "ordinals": places[a:b].tobytes(), "hot": None}
-            for a, b in zip(at, np.append(at[1:], len(found)))]
-    if heavy:
-        rows.append({"key": None, "ordinals": None, "hot": heavy})
-    yield from record_batches(rows, SHARED)
+    keys, ordinals = np.concatenate(keys), np.concatenate(ordinals)
+    order = np.argsort(keys, kind="stable")
+    keys, ordinals = keys[order], ordinals[order]
+    at = np.flatnonzero(firsts(keys)) if len(keys) else order
+    yield from record_batches([{"key": int(keys[a]), "ordinals": ordinals[a:b].tobytes()}
+                               for a, b in zip(at, np.append(at[1:], len(keys)))], WANTED)
 
 
 # Step 2: windows repeated from earlier documents
@@ -188,7 +214,7 @@ def _emit_runs(parts: int, length: int, gram: int, hot: np.ndarray):
         first = np.searchsorted(text, np.arange(len(offsets)))
         for k, shared in enumerate(batch.column(3).to_pylist()):
             own = slice(first[k], first[k + 1])
-            places = np.frombuffer(b"".join(shared), np.uint32)
+            places = np.frombuffer(shared, np.uint32)
             wanted[own] = np.isin(name[own], name[own][places])
         text, start, count, name = text[wanted], start[wanted], count[wanted], name[wanted]
         if len(hot):  # windows of anchors that fill a partition go on one by one
@@ -268,7 +294,7 @@ def _emit_runs(parts: int, length: int, gram: int, hot: np.ndarray):
     return task
 
 
-def _find_repeated(length: int):
+def _find_repeated(parts: int, length: int):
     def task(batches):
         columns = []
         for batch in batches:
@@ -313,18 +339,9 @@ def _find_repeated(length: int):
         which = np.repeat(np.arange(len(owner)), each)
         turn = np.arange(len(which)) - np.repeat(np.cumsum(each) - each, each)
         begin = starts[first_place[which] + turn] + offset[which]
-        ids = np.concatenate([ids[owner][which], spans[0]])
-        keys = np.concatenate([keys[owner][which], spans[1]])
-        begin, end = np.concatenate([begin, spans[2]]), np.concatenate([begin + size[which], spans[3]])
-        order = np.lexsort((begin, keys, ids))
-        ids, keys, begin, end = ids[order], keys[order], begin[order], end[order]
-        at = np.flatnonzero(firsts(ids) | firsts(keys))
-        rows = []
-        for a, b in zip(at, np.append(at[1:], len(ids))):
-            low, high = spans_joined(begin[a:b], end[a:b])
-            rows.append({"id": int(ids[a]), "key": int(keys[a]), "starts": low.astype(np.int32).tobytes(),
-                         "ends": high.astype(np.int32).tobytes()})
-        yield from record_batches(rows, SPANS)
+        yield from found_rows(parts, np.concatenate([ids[owner][which], spans[0]]),
+                              np.concatenate([keys[owner][which], spans[1]]),
+                              np.concatenate([begin, spans[2]]), np.concatenate([begin + size[which], spans[3]]))
     return task
 
 
@@ -340,30 +357,32 @@ def window_names(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
 
 # The operator
 
-def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
-    """(id, key, starts, ends) of each text class: its smallest id, the hash of its text, and lists
-    of packed 32-bit byte ranges that are covered by repeated strings of `length` bytes."""
-    parts, gram = shuffle_parts(docs.sparkSession), max(1, (length - 2) // 2)
-    classes = text_classes(docs)
-    long = keyed_texts(docs).where(F.octet_length("text") >= length)
-    anchors = long.select("key", "text").mapInArrow(_emit_anchors(parts, length, gram), ddl(ANCHORS))
-    shared = cut(anchors.repartitionById(parts, F.col("part")).mapInArrow(_find_shared, ddl(SHARED)))
+def repeated_spans(texts: DataFrame, classes: DataFrame, length: int = 50) -> DataFrame:
+    """(id, key, starts, ends) of the texts with bytes covered by repeated strings of `length` bytes,
+    their ranges packed. `texts` are keyed, `classes` are theirs."""
+    parts, gram = shuffle_parts(texts.sparkSession), max(1, (length - 2) // 2)
+    anchors = texts.select("key", "text").mapInArrow(_emit_anchors(parts, length, gram), ddl(ANCHORS))
+    shared = anchors.repartitionById(parts, F.col("part")).mapInArrow(_find_shared(parts), ddl(SHARED))
+    shared = cut(shared.repartitionById(parts, F.col("part")).mapInArrow(_gather_shared, ddl(WANTED)))
     hot = np.array([n for row in shared.where("hot is not null").select("hot").collect()
                     for n in np.frombuffer(row[0], np.uint64)], np.uint64)  # four of each partition at most
-    wanted = cut(shared.where("key is not null").groupBy("key").agg(F.collect_list("ordinals").alias("ordinals"))
-                 .join(classes, "key"))
-    runs = (long.join(small_side(wanted), ["id", "key"]).select("id", "key", "text", "ordinals")
+    wanted = shared.where("key is not null").select("key", "ordinals").join(classes, "key")
+    # the columns are those that without_spans() needs too, so that Spark uses the exchange again
+    runs = (texts.join(wanted, ["id", "key"]).select("id", "key", "text", "ordinals", "rest")
             .mapInArrow(_emit_runs(parts, length, gram, hot), ddl(RUNS)))
-    spans = runs.repartitionById(parts, F.col("part")).mapInArrow(_find_repeated(length), ddl(SPANS))
-    spans = spans.groupBy("id", "key").agg(F.collect_list("starts").alias("starts"),
-                                           F.collect_list("ends").alias("ends"))
-    return cut(classes.join(spans, ["id", "key"], "left"))
+    found = runs.repartitionById(parts, F.col("part")).mapInArrow(_find_repeated(parts, length), ddl(FOUND))
+    return gathered_spans(found, parts)
 
 
-def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
-    """`docs` with `kept`, the bytes of `text` that are left, and `spans`, the removed byte ranges."""
-    return without_spans(docs, repeated_spans(docs, length), length)
+def remove_repeats(docs: DataFrame, length: int = 50, carried: list[str] | None = None, as_text: bool = False
+                   ) -> DataFrame:
+    """(id, key, text, rest, kept, spans) of every document: `kept` are the bytes of the text that
+    are left, or whole characters of them `as_text`; `spans` are the removed byte ranges, `id` is
+    the doc_id (NO_ID for null), `key` a hash of the text, `rest` a struct of `carried` columns."""
+    texts = keyed_texts(docs, carried)
+    classes = text_classes(texts)
+    return without_spans(texts, classes, repeated_spans(texts, classes, length), length, as_text)
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    return removal_report(remove_repeats(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))))
+    return removal_report(remove_repeats(docs))
