@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlake.llm.names import BYTE_NAMES, sliding_least, spans_joined
-from barlake.llm.packed import (NO_ID, SPANS, ddl, firsts, from_planes, group_of, keyed_texts, parts_of, planes,
-                                record_batches, removal_report, text_classes, without_spans)
-from barlake.llm.shared import blocks, cut, flushes, ints, shuffle_parts, utf8
+from barlake.llm.names import BYTE_NAMES, sliding_least
+from barlake.llm.packed import (FOUND, NO_ID, ddl, firsts, found_rows, from_planes, gathered_spans, group_of,
+                                keyed_texts, parts_of, planes, removal_report, text_classes, turns, without_spans)
+from barlake.llm.shared import blocks, flushes, ints, shuffle_parts, utf8
 
 GEAR = 16
 REACH = 24
@@ -145,7 +145,7 @@ def _emit_chunks(parts: int):
             begin = spans[fresh]
             last = spans[np.append(np.flatnonzero(fresh)[1:], len(spans)) - 1] if len(spans) else spans
             used = np.unique(np.concatenate([text[at], text[begin]]))
-            which = np.repeat(edges[:-1][own], place_count[own]) + _turns(place_count[own])
+            which = np.repeat(edges[:-1][own], place_count[own]) + turns(place_count[own])
             yield pa.RecordBatch.from_pylist([{
                 "part": p, "ids": ids[used].tobytes(), "keys": keys[used].tobytes(),
                 "counts": planes(np.bincount(np.searchsorted(used, text[at]), minlength=len(used)), 4),
@@ -157,64 +157,51 @@ def _emit_chunks(parts: int):
     return task
 
 
-def _turns(counts: np.ndarray) -> np.ndarray:
-    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-
-
-def _find_repeated(batches):
-    columns = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            ids, keys = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["keys"], np.int64)
-            counts = from_planes(row["counts"], 4).astype(np.int64)
-            spans = from_planes(row["span_counts"], 4).astype(np.int64)
-            columns.append((np.repeat(ids, counts), np.repeat(keys, counts),
-                            np.frombuffer(row["digests"], f"V{DIGEST}"),
-                            from_planes(row["places"], 4).astype(np.int64),
-                            from_planes(row["starts"], 4).astype(np.int64),
-                            from_planes(row["sizes"], 2).astype(np.int64),
-                            np.repeat(ids, spans), np.repeat(keys, spans),
-                            from_planes(row["span_starts"], 4).astype(np.int64),
-                            from_planes(row["span_ends"], 4).astype(np.int64)))
-    if not columns:
-        return
-    ids, keys, digest, places, starts, sizes, *spans = (np.concatenate(x) for x in zip(*columns))
-    high, low = split_digest(digest)
-    order = np.lexsort((ids, low, high))
-    fresh = firsts(high[order]) | firsts(low[order])
-    later = order[ids[order] > ids[order][fresh][group_of(fresh)]]
-    each = places[later]
-    which = np.repeat(later, each)
-    begin = starts[np.repeat((np.cumsum(places) - places)[later], each) + _turns(each)]
-    ids, keys = np.concatenate([ids[which], spans[0]]), np.concatenate([keys[which], spans[1]])
-    begin, end = np.concatenate([begin, spans[2]]), np.concatenate([begin + sizes[which], spans[3]])
-    order = np.lexsort((begin, keys, ids))
-    ids, keys, begin, end = ids[order], keys[order], begin[order], end[order]
-    at = np.flatnonzero(firsts(ids) | firsts(keys))
-    rows = []
-    for a, b in zip(at, np.append(at[1:], len(ids))):
-        low, high = spans_joined(begin[a:b], end[a:b])
-        rows.append({"id": int(ids[a]), "key": int(keys[a]), "starts": low.astype(np.int32).tobytes(),
-                     "ends": high.astype(np.int32).tobytes()})
-    yield from record_batches(rows, SPANS)
-
-
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(id, key, starts, ends) of each text class, with the byte ranges of its repeated chunks."""
-    parts = shuffle_parts(docs.sparkSession)
-    classes = text_classes(docs)
-    texts = keyed_texts(docs).where(F.length("text") > 0)
-    chunks = texts.mapInArrow(_emit_chunks(parts), ddl(CHUNKS))
-    spans = chunks.repartitionById(parts, F.col("part")).mapInArrow(_find_repeated, ddl(SPANS))
-    spans = spans.groupBy("id", "key").agg(F.collect_list("starts").alias("starts"),
-                                           F.collect_list("ends").alias("ends"))
-    return cut(classes.join(spans, ["id", "key"], "left"))
+def _find_repeated(parts: int):
+    def task(batches):
+        columns = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, keys = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["keys"], np.int64)
+                counts = from_planes(row["counts"], 4).astype(np.int64)
+                spans = from_planes(row["span_counts"], 4).astype(np.int64)
+                columns.append((np.repeat(ids, counts), np.repeat(keys, counts),
+                                np.frombuffer(row["digests"], f"V{DIGEST}"),
+                                from_planes(row["places"], 4).astype(np.int64),
+                                from_planes(row["starts"], 4).astype(np.int64),
+                                from_planes(row["sizes"], 2).astype(np.int64),
+                                np.repeat(ids, spans), np.repeat(keys, spans),
+                                from_planes(row["span_starts"], 4).astype(np.int64),
+                                from_planes(row["span_ends"], 4).astype(np.int64)))
+        if not columns:
+            return
+        ids, keys, digest, places, starts, sizes, *spans = (np.concatenate(x) for x in zip(*columns))
+        high, low = split_digest(digest)
+        order = np.lexsort((ids, low, high))
+        fresh = firsts(high[order]) | firsts(low[order])
+        later = order[ids[order] > ids[order][fresh][group_of(fresh)]]
+        each = places[later]
+        which = np.repeat(later, each)
+        begin = starts[np.repeat((np.cumsum(places) - places)[later], each) + turns(each)]
+        yield from found_rows(parts, np.concatenate([ids[which], spans[0]]), np.concatenate([keys[which], spans[1]]),
+                              np.concatenate([begin, spans[2]]), np.concatenate([begin + sizes[which], spans[3]]))
+    return task
+
+
+def repeated_spans(texts: DataFrame) -> DataFrame:
+    """(id, key, starts, ends) of the texts with repeated chunks, their byte ranges packed."""
+    parts = shuffle_parts(texts.sparkSession)
+    chunks = texts.where(F.length("text") > 0).mapInArrow(_emit_chunks(parts), ddl(CHUNKS))
+    found = chunks.repartitionById(parts, F.col("part")).mapInArrow(_find_repeated(parts), ddl(FOUND))
+    return gathered_spans(found, parts)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """`docs` with `kept`, the bytes of `text` that are left, and `spans`, the removed byte ranges."""
-    return without_spans(docs, repeated_spans(docs), LEAST_REMOVED)
+    """(id, key, text, rest, kept, spans) of every document: `kept` are the bytes of the text that
+    are left, `spans` the removed byte ranges; `id` is the doc_id, `key` a hash of the text."""
+    texts = keyed_texts(docs)
+    return without_spans(texts, text_classes(texts), repeated_spans(texts), LEAST_REMOVED)
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    return removal_report(remove_repeats(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))))
+    return removal_report(remove_repeats(docs))
