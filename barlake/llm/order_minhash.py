@@ -113,7 +113,7 @@ def sketches(names: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return found
 
 
-SKETCH = "id long, at long, node binary, n int, buckets array<long>"
+SKETCH = "id long, at long, key long, node binary, n int, buckets array<long>"
 
 
 def _sequence_keys(words: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
@@ -123,15 +123,15 @@ def _sequence_keys(words: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
 
 
 def _sketch(batches):
-    for batch in small_batches(batches, 2):
-        _, _, words, bounds = words_of(*utf8(batch.column(2)))
+    for batch in small_batches(batches, 3):
+        _, _, words, bounds = words_of(*utf8(batch.column(3)))
         names, offsets = shingles_of(words, bounds)
         found = sketches(names, offsets).view(np.int64)
         each = np.arange(batch.num_rows + 1, dtype=np.int32) * SKETCHES
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(_sequence_keys(words, bounds), pa.binary()),
+            [*batch.columns[:3], pa.array(_sequence_keys(words, bounds), pa.binary()),
              pa.array(np.diff(offsets).astype(np.int32)), pa.ListArray.from_arrays(pa.array(each), pa.array(found.ravel()))],
-            names=["id", "at", "node", "n", "buckets"])
+            names=["id", "at", "key", "node", "n", "buckets"])
 
 
 def _shingles_of_nodes(batches):
@@ -235,9 +235,14 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, node, group) of every document: the key of its words, and the smallest id of all
-    documents similar to it or to documents similar to it, and so on; null without words."""
-    texts = docs.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("at"), "text")
+    """(doc_id, at, key, node, root, group) of every document.
+
+    `group` is the smallest id of all documents similar to it, or to documents similar to it, and so
+    on; `root` tells the groups apart. `node` is the key of its words. All three are null without
+    words. `at` is the id, or a hash of the text if that is null, and `key` a hash of the text.
+    """
+    texts = docs.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("at"),
+                        F.xxhash64("text").alias("key"), "text")
     sketched = cut(texts.mapInArrow(_sketch, SKETCH))
     nodes = cut(sketched.where("node is not null").groupBy("node").agg(
         F.min("id").alias("id"), F.min("at").alias("at"), F.first("n").alias("n"), F.first("buckets").alias("buckets")))
@@ -279,10 +284,31 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     found = components(links)
     placed = cut(nodes.join(found, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")))
     smallest = placed.groupBy("root").agg(F.min("id").alias("group"))
-    named = small_side(cut(placed.join(smallest, "root").select(F.col("node").alias("key"), "group")))
+    named = small_side(cut(placed.join(smallest, "root").select(F.col("node").alias("own"), "root", "group")))
     own = F.coalesce("node", F.xxhash64("at").cast("string").cast("binary"))  # none has such a key
-    return (sketched.select(F.col("id").alias("doc_id"), "node", own.alias("key")).join(named, "key", "left")
-            .select("doc_id", "node", "group"))
+    return (sketched.select(F.col("id").alias("doc_id"), "at", "key", "node", own.alias("own"))
+            .join(named, "own", "left").drop("own"))
+
+
+def one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The rows of `docs` with one document of each group: that of the smallest id, or without ids
+    that of the smallest hash. Documents without words stay; of repeated rows one stays."""
+    found = cut(near_duplicates(docs, least).where("root is not null"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("at"), F.col("key"))
+    first = found.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    marked = cut(found.join(first, "root").select("at", "key", (order == F.col("first")).alias("stays")))
+    gone = small_side(cut(marked.where("not stays").select("at", "key").distinct()))
+    twice = cut(marked.where("stays").groupBy("at", "key").count().where("count > 1").select("at", "key"))
+    keyed = docs.withColumns({"__at": F.coalesce("doc_id", F.xxhash64("text")), "__key": F.xxhash64("text")})
+
+    def those(side: DataFrame, how: str, rows: DataFrame) -> DataFrame:
+        return rows.join(side.select(F.col("at").alias("__at"), F.col("key").alias("__key")), ["__at", "__key"], how)
+
+    left = those(gone, "left_anti", keyed)
+    if not twice.isEmpty():
+        left = those(twice, "left_anti", left).unionByName(
+            those(twice, "left_semi", left).dropDuplicates(["__at", "__key"]))
+    return left.select(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
