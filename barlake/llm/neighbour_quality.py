@@ -104,7 +104,7 @@ class Model:
         weight = np.where(y == 1, self.prior / one[usable].mean(), (1 - self.prior) / (1 - one[usable].mean()))
         w = np.array([1.0, 0.0])
         for _ in range(30):
-            p = 1 / (1 + np.exp(-x @ w))
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
             gradient = x.T @ (weight * (p - y)) + 1e-2 * w
             w = w - np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2), gradient)
         if np.isfinite(w).all() and w[0] > 0:

@@ -1,0 +1,75 @@
+"""Main text of pages."""
+
+from barlake.llm import site_style_tree as tree
+
+PAGE = ('<!DOCTYPE html><html><head><title>t</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body>'
+        '<nav><ul><li><a href="/a">Home</a></li></ul></nav><!-- ad --><div class="ad">Buy {k}</div><article><h1>Head &amp; {k}</h1>'
+        '<p><b>Bold   line {k}.<br><p>Caf&eacute; &lt;x&gt;\n\t and&nbsp;more {k}</p>{more}</article>'
+        '<footer>&copy; site {k}</footer></body></html>')
+
+
+def page(k, more=""):
+    return PAGE.replace("{k}", str(k)).replace("{more}", more)
+
+
+def text_of(html):
+    return "\n".join(t for _, t in tree.page_blocks(html))
+
+
+def pages(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string, host string, path string, node int")
+
+
+def test_blocks_of_a_page():
+    assert text_of(page(3)) == "Head & 3\nBold line 3.\nCafé <x> and more 3"
+
+
+def test_regions_and_noise():
+    cases = {
+        "<body><p>a</p><aside>b</aside><form>c</form><noscript>d</noscript>e</body>": "a\ne",
+        "<body><header>top</header><main><h2>t</h2><p>a</p></main><p>out</p></body>": "t\na",
+        "<article><p>a</p><div class='comments'><p>x</p></div><section id=share-bar>y</section></article>": "a",
+        "<article><header><h1>t</h1></header><p>one <em>two</em>three<p>four</article>": "t\none twothree\nfour",
+        "<ul><li>a<li>b<ul><li>c</ul></ul><table><tr><td>d<td>e</table>": "a\nb\nc\nd\ne",
+        "<p>kept <span class='ad'>buy</span> on</p>": "kept on",
+        "<div hidden>x</div><div style='display: none'>y</div><div role=navigation>z</div>a": "a",
+        "<article class='comment'><p>x</p></article><p>a</p>": "a",
+        "plain": "plain", "": "", "<p>": "", "a < b & c &#x41;": "a < b & c A",
+        "<p>a<!-- x --><b>b</p><p>c</b></p>": "ab\nc", "</div></p>a<br/>b": "a b",
+        "<script>if (a<b) document.write('<p>no</p>')</script><textarea><p>no</textarea>a": "a",
+    }
+    for html, expected in cases.items():
+        assert text_of(html) == expected, html
+    assert text_of(None) == ""
+
+
+def test_deep_and_long_pages():
+    assert text_of("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
+    assert text_of("<p>" + "word " * 200_000 + "</p>") == ("word " * 200_000).strip()
+
+
+def test_rows(spark):
+    rows = [(1, "http://a.example/x", page(1)), (1, "http://a.example/x", page(1)), (2, None, None), (None, "", ""),
+            (3, "not a url", page(2))]
+    found = tree.report(pages(spark, [(*r, "h", "p", 1) for r in rows])).collect()
+    full = text_of(page(1))
+    assert sorted(map(tuple, found), key=repr) == sorted(
+        [(1, "http://a.example/x", full, len(full)), (1, "http://a.example/x", full, len(full)), (2, None, "", 0),
+         (None, "", "", 0), (3, "not a url", text_of(page(2)), len(text_of(page(2))))], key=repr)
+    assert tree.report(pages(spark, [])).collect() == []
+
+
+def test_repeated_branches_of_a_site_go(spark):
+    """A branch that shows the same on all pages of a host goes; a line that only some articles share stays."""
+    box = "<div class='box'><p>All rights reserved by us</p></div>"
+    rows = [(k, f"https://u@one.example:80/{k}", page(k, box + "<p>Common line</p>" * (k % 3 == 0)), "h", "p", 1) for k in range(20)]
+    rows += [(100 + k, f"https://two.example/{k}", page(k, box), "h", "p", 1) for k in range(3)]
+    found = {r.page_id: r.text for r in tree.report(pages(spark, rows)).collect()}
+    for k in range(20):
+        assert found[k] == text_of(page(k, "<p>Common line</p>" * (k % 3 == 0)))
+    assert "All rights" in found[100]  # three pages do not tell
+
+
+def test_copies_of_one_page_do_not_count_as_many(spark):
+    rows = [(k, "http://c.example/", page(0), "h", "p", 1) for k in range(30)]
+    assert {r.text for r in tree.report(pages(spark, rows)).collect()} == {text_of(page(0))}
