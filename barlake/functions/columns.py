@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barlake.tables import Table
 
@@ -27,6 +28,17 @@ def _balanced(join: Callable[[Column, Column], Column], conditions: Sequence[Col
     return join(_balanced(join, conditions[:half]), _balanced(join, conditions[half:]))
 
 
+def epoch_millis(value: Column, dtype: T.DataType) -> Column:
+    """Milliseconds since 1970 of a moment; a date is its midnight, and what has no zone is in UTC."""
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_millis(value)
+    day = F.unix_date(value.cast("date")) * F.lit(86_400_000).cast("long")
+    if isinstance(dtype, T.DateType):
+        return day
+    second = F.extract(F.lit("SECOND"), value)  # with its fraction
+    return day + F.hour(value) * 3_600_000 + F.minute(value) * 60_000 + F.floor(second * 1000).cast("long")
+
+
 def year_of(day: Column) -> Column:
     return F.substring(day, 1, 4)
 
@@ -56,10 +68,6 @@ def rendered_path(table: Table) -> Column:
     return F.concat(*pieces)
 
 
-def number_or_null(text: Column) -> Column:
-    return text.try_cast("double")
-
-
 def megabytes(size: Column) -> Column:
     return F.round(size / F.lit(1024 * 1024), 2)
 

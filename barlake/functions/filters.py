@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Mapping
+from dataclasses import dataclass
 from decimal import Decimal, InvalidOperation
 from itertools import product
 from typing import Any
@@ -23,6 +24,9 @@ from barlake.tables import TEXT_TYPES, TYPES, WHOLE_RANGES, Table
 # The comparison suffixes a filter name may carry.
 SUFFIXES = ("eq", "ne", "gt", "gte", "lt", "lte", "in", "between", "like")
 
+# With these the text stands as it is, whatever signs it holds.
+LITERAL = ("gt", "gte", "lt", "lte", "like")
+
 _BEYOND = Decimal(10) ** 40  # outside every whole-number type
 
 
@@ -34,35 +38,58 @@ def split_name(name: str, fields: Iterable[str]) -> tuple[str, str]:
     return (field, suffix) if suffix in SUFFIXES else (name, "eq")
 
 
+# What marks a filter argument, and the signs of its compact text.
+PREFIX, RANGE_SIGN, LIST_SIGN = "f_", "~", ","
+
+
+@dataclass(frozen=True)
+class Asked:
+    """What a filter text asks for: bounds, or the values it lists; a plain text lists itself."""
+
+    low: str | None = None
+    high: str | None = None
+    listed: tuple[str, ...] | None = None
+    plain: bool = False
+
+    @classmethod
+    def read(cls, text: str) -> Asked:
+        """The grammar: range = [low] "~" [high]; list = item ("," item)*; else the text itself."""
+        low, sign, high = text.partition(RANGE_SIGN)
+        if sign:
+            return cls(low=low or None, high=high or None)
+        items = tuple(filter(None, map(str.strip, text.split(LIST_SIGN))))
+        return cls(listed=items) if LIST_SIGN in text else cls(listed=(text,), plain=True)
+
+    def value(self) -> Any:
+        """As a value of `compile_filters`: text, a list, or a range with the sides it has."""
+        if self.listed is None:
+            return {k: v for k, v in (("start", self.low), ("end", self.high)) if v is not None}
+        return self.listed[0] if self.plain else list(self.listed)
+
+
 def filter_value(text: str) -> Any:
     """Compact filter text: `a`, `a,b`, `a~b`, `a~` or `~b`."""
-    if "~" in text:
-        start, end = text.split("~", 1)
-        return {side: v for side, v in (("start", start), ("end", end)) if v}
-    if "," in text:
-        return [v.strip() for v in text.split(",") if v.strip()]
-    return text
+    return Asked.read(text).value()
 
 
 def filter_arguments(args: Mapping[str, str] | Iterable[tuple[str, str]],
                      fields: Iterable[str] | None = None) -> tuple[dict[str, Any], list[str]]:
-    """Pick the `f_` arguments; unknown fields are dropped with a warning.
+    """The filters among the arguments, those that carry the prefix, and notes on unusable ones.
 
-    A repeated name keeps the last value. Without `fields` nothing is checked.
+    Of a repeated name the last text counts. Without `fields` every name is taken.
     """
-    pairs = args.items() if isinstance(args, Mapping) else args
-    known = None if fields is None else set(fields)
-    filters: dict[str, Any] = {}
-    warnings: list[str] = []
-    for name, text in pairs:
-        if not name.startswith("f_"):
-            continue
-        name = name[2:]
-        if known is not None and split_name(name, known)[0] not in known:
-            warnings.append(f"Unknown filter field '{name}', ignored")
-            continue
-        filters[name] = filter_value(text)
-    return filters, warnings
+    pairs = list(args.items()) if isinstance(args, Mapping) else list(args)
+    given = [(name.removeprefix(PREFIX), text) for name, text in pairs if name.startswith(PREFIX)]
+    declared = frozenset(fields) if fields is not None else None
+    strange = [] if declared is None else [n for n, _ in given if split_name(n, declared)[0] not in declared]
+    filters = {name: _read_text(split_name(name, declared or ())[1], text) for name, text in given
+               if name not in strange}
+    return filters, [f"No column for filter '{name}', it is left out" for name in strange]
+
+
+def _read_text(suffix: str, text: str) -> Any:
+    literal = suffix in LITERAL or (suffix == "ne" and RANGE_SIGN in text)
+    return text if literal else filter_value(text)
 
 
 def compile_filters(fields: Mapping[str, str], filters: Mapping[str, Any]
@@ -73,7 +100,7 @@ def compile_filters(fields: Mapping[str, str], filters: Mapping[str, Any]
     for name, value in filters.items():
         field, suffix = split_name(name, fields)
         if field not in fields:
-            warnings.append(f"Unknown filter field '{field}', ignored")
+            warnings.append(f"No column for filter '{field}', it is left out")
             continue
         if isinstance(value, (dict, list, tuple, set)) and not value:
             warnings.append(f"Empty filter on '{field}' matches nothing")
@@ -115,8 +142,9 @@ def implied_by_date(table: Table, filters: Mapping[str, Any]) -> list[Column]:
     return found
 
 
-def named_partitions(table: Table, filters: Mapping[str, Any]) -> list[tuple[str, ...]] | None:
-    """Partition tuples the filters name outright by value or list; None if one is left open.
+def named_partitions(table: Table, filters: Mapping[str, Any], most: int = 1_000) -> list[tuple[str, ...]] | None:
+    """Partition tuples the filters name outright by value or list; None if one is left open,
+    or if there would be more than `most`.
 
     Days name their Year and Month too where those are parts of the date.
     """
@@ -136,6 +164,8 @@ def named_partitions(table: Table, filters: Mapping[str, Any]) -> list[tuple[str
     texts = all(t in TEXT_TYPES for t in table.partition_types.values())
     if not table.partitions or not texts or any(p not in listed for p in others):
         return None
+    if len(days) * math.prod(len(listed[p]) for p in others) > most:
+        return None
     named = set()
     for day in days:
         for values in product(*[sorted(listed[p]) for p in others]):
@@ -144,6 +174,19 @@ def named_partitions(table: Table, filters: Mapping[str, Any]) -> list[tuple[str
     return sorted(named)
 
 
+def day_bounds(table: Table, filters: Mapping[str, Any]) -> tuple[str | None, str | None]:
+    """Smallest and largest `date` the filters let through, as far as they say."""
+    lows, highs = [], []
+    for name, value in filters.items():
+        field, suffix = split_name(name, table.columns)
+        if field == "date":
+            low, high, listed = sides(suffix, value)
+            days = [str(v) for v in listed or () if v is not None]
+            lows += [str(low)] if low is not None else [min(days)] if days else []
+            highs += [str(high)] if high is not None else [max(days)] if days else []
+    return max(lows, default=None), min(highs, default=None)
+
+
 def sides(suffix: str, value: Any) -> tuple[Any, Any, list | None]:
     """(lower bound, upper bound, listed values) of a filter; None where absent."""
     if suffix in ("gt", "gte"):

@@ -8,11 +8,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barlake.functions.columns import any_of, month_of, year_of
+from barlake.functions.columns import any_of, epoch_millis, month_of, year_of
 from barlake.tables import TEXT_TYPES, TYPES, WHOLE_RANGES, Table
 
 _FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
 _NESTED = (T.ArrayType, T.MapType, T.StructType)
+_MOMENTS = (T.TimestampType, T.TimestampNTZType, T.DateType)
+_TO_NUMBER = (T.NumericType, T.StringType, T.BooleanType, T.NullType)
+# wide enough for every whole number, with room for a fraction that must be zero
+_EXACT = T.DecimalType(38, 10)
+
+
+def fits_type(source: T.DataType, declared: str) -> bool:
+    """Whether values of the type can be meant for the declared one at all."""
+    if declared in TEXT_TYPES:
+        return not isinstance(source, _NESTED)
+    if declared == "timestamp" and isinstance(source, _MOMENTS):
+        return True
+    return isinstance(source, _TO_NUMBER)
+
+
+def _is_moment(source: T.DataType, declared: str) -> bool:
+    return declared == "timestamp" and isinstance(source, _MOMENTS)
 
 
 def column_errors(df: DataFrame, table: Table) -> list[str]:
@@ -25,6 +42,10 @@ def column_errors(df: DataFrame, table: Table) -> list[str]:
               and isinstance(f.dataType, _NESTED)]
     if nested:
         errors.append(f"Nested columns: {nested}")
+    strange = [f"{f.name} ({f.dataType.simpleString()})" for f in df.schema if f.name in table.columns
+               and f.name not in nested and not fits_type(f.dataType, table.columns[f.name])]
+    if strange:
+        errors.append(f"Columns of a type that does not fit: {strange}")
     return errors
 
 
@@ -38,13 +59,23 @@ def typed_column(df: DataFrame, name: str, declared: str) -> Column:
         return F.lit(None).cast(target).alias(name)
     source = df.schema[name].dataType
     value = _without_nan(F.col(name), source)
-    if isinstance(source, T.TimestampType) and declared == "timestamp":
-        value = F.unix_millis(value)
+    if _is_moment(source, declared):
+        value = epoch_millis(value, source)
+    elif not fits_type(source, declared):
+        value = F.lit(None).cast(target)
+    elif isinstance(source, T.StringType) and declared in WHOLE_RANGES:
+        value = _whole_text(value).try_cast(target)
     elif source != target:
         value = _without_nan(value.try_cast(target), target)
     return value.alias(name)
 
 
+def _whole_text(text: Column) -> Column:
+    """Text as a number that is whole, `1000.0` included; else null."""
+    number = F.trim(text).try_cast(_EXACT)
+    return F.when(number == F.floor(number), number)
+
+
 def typed_batch(df: DataFrame, table: Table, extra: Iterable[str] = ()) -> DataFrame:
     """Declared columns in declared types and order, derived partition columns, then `extra`."""
     day = typed_column(df, "date", table.columns["date"]) if table.derived else None
@@ -53,6 +84,18 @@ def typed_batch(df: DataFrame, table: Table, extra: Iterable[str] = ()) -> DataF
                      *[cut[c](day).alias(c) for c in table.derived], *extra)
 
 
+def bad_name(column: str) -> str:
+    return f"__bad_{column}"
+
+
+def prepared_batch(df: DataFrame, table: Table, extra: Iterable[str] = ()) -> DataFrame:
+    """The typed batch with a flag per column whose values may not fit; `extra` columns as they are."""
+    flags = [bad.alias(bad_name(c)) for c, bad in cast_failures(df, table).items()]
+    void = [c for c in extra if isinstance(df.schema[c].dataType, T.NullType)]
+    kept = [F.col(c).cast("string").alias(c) if c in void else F.col(c) for c in extra]
+    return typed_batch(df, table, [*kept, *flags])
+
+
 def cast_failures(df: DataFrame, table: Table) -> dict[str, Column]:
     """Per declared column whose type differs in the batch: does this row's value not fit?
 
@@ -63,15 +106,20 @@ def cast_failures(df: DataFrame, table: Table) -> dict[str, Column]:
         declared = table.columns.get(field.name)
         if declared is None or field.dataType == TYPES[declared] or declared in TEXT_TYPES:
             continue
-        if isinstance(field.dataType, T.TimestampType) and declared == "timestamp":
+        if _is_moment(field.dataType, declared):
+            continue
+        if not fits_type(field.dataType, declared):
+            failures[field.name] = F.col(field.name).isNotNull()
             continue
         source = _without_nan(F.col(field.name), field.dataType)
-        value = source.try_cast(TYPES[declared])
+        text = isinstance(field.dataType, T.StringType) and declared in WHOLE_RANGES
+        value = (_whole_text(source) if text else source).try_cast(TYPES[declared])
         bad = value.isNull()
         if declared == "uint64":
             low, high = WHOLE_RANGES[declared]
             exact = source.try_cast(T.DecimalType(38, 18))
-            bad = bad | (exact != value) | ~value.between(low, F.lit(str(high)).cast("decimal(20,0)"))
+            bad = bad | (F.lit(False) if text else exact != value) | ~value.between(
+                low, F.lit(str(high)).cast("decimal(20,0)"))
         elif declared in WHOLE_RANGES and isinstance(field.dataType, _FRACTIONAL):
             bad = bad | (source != value.cast(field.dataType))
         failures[field.name] = source.isNotNull() & F.coalesce(bad, F.lit(True))

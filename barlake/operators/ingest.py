@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from barlake.operators.write import WriteResult, write_data
-from barlake.sources.envelopes import absent_columns, read_envelopes, record_columns
+from barlake.sources.envelopes import ARRIVAL, absent_columns, read_envelopes, record_columns
 from barlake.sources.scratch import new_folder, remove_folder
 from barlake.tables import Store
 
@@ -42,8 +42,8 @@ def ingest_records(store: Store, records: DataFrame, name: str, mode: str = "app
             if absent:
                 results.append(WriteResult(False, errors=[f"Missing columns: {absent}"]))
             else:
-                results.append(write_data(store, record_columns(part, table), name, version,
-                                          mode, **options))
+                results.append(write_data(store, record_columns(part, table), name, version, mode,
+                                          order=[c for c in ARRIVAL if c in part.columns], stage=False, **options))
         return results or [WriteResult(True)]
     finally:
-        remove_folder(store.spark, folder)
+        remove_folder(store.spark, folder.rpartition("/")[0])

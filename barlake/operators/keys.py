@@ -26,9 +26,19 @@ def distinct_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return df.select(*key).distinct()
 
 
-def drop_repeats(batch: DataFrame, key: Sequence[str]) -> DataFrame:
-    """One row per key of the batch."""
-    return batch.dropDuplicates(list(key))
+def drop_repeats(batch: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One row per key of the batch: the smallest by `order` and then by all columns.
+
+    Only rows of repeated keys are grouped; all others pass by.
+    """
+    names = batch.columns
+    least = [*order, *[c for c in names if c not in order]]
+    repeated = batch.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
+    same = _same_key("batch", "stored", key)
+    once = batch.alias("batch").join(repeated.alias("stored"), same, "left_anti")
+    several = batch.alias("batch").join(repeated.alias("stored"), same, "left_semi")
+    first = several.groupBy(*key).agg(F.min(F.struct(*least)).alias("row")).select("row.*")
+    return once.unionByName(first.select(*names))
 
 
 def shared_keys(batch: DataFrame, stored: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import date
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from barlake.functions.columns import all_of
 from barlake.functions.filters import compile_filters, split_name
-from barlake.sources.files import stored_files, stored_partitions
-from barlake.sources.scan import read_data, read_stored
-from barlake.sources.scratch import remove_folder
+from barlake.sources.files import footers, stored_files, stored_partitions
+from barlake.sources.scan import read_data, read_stored, selected_folders
+from barlake.sources.scratch import folder_exists, remove_folder
 from barlake.tables import Store
 
+DELETING_THREADS = 16
+
 
 def partitions(store: Store, name: str, version: str = "v1",
                filters: Mapping[str, Any] | None = None) -> DataFrame:
@@ -37,16 +40,21 @@ def partition_counts(store: Store, name: str, version: str = "v1") -> DataFrame:
             .agg(F.count("*").alias("rows")))
 
 
-def mark_existing(store: Store, wanted: DataFrame, name: str, version: str = "v1") -> DataFrame:
+def mark_existing(store: Store, wanted: DataFrame, name: str, version: str = "v1",
+                  within: Column | None = None) -> DataFrame:
     """The wanted partition tuples with a flag `present`; null matches null.
 
-    `wanted` holds some or all partition columns of the table.
+    `wanted` holds some or all partition columns of the table. Where they are known to lie
+    `within` a predicate on partition columns, it prunes the listing.
     """
     table = store.table(name, version)
     shared = [p for p in table.partitions if p in wanted.columns]
     if not shared:
         raise ValueError(f"Name at least one partition column of {table.partitions}")
-    found = stored_partitions(store, table).select(*shared).distinct().withColumn("present", F.lit(True))
+    stored = stored_partitions(store, table)
+    if within is not None:
+        stored = stored.where(within)
+    found = stored.select(*shared).distinct().withColumn("present", F.lit(True))
     same = all_of([F.col(f"wanted.{p}").eqNullSafe(F.col(f"found.{p}")) for p in shared])
     return (wanted.alias("wanted").join(found.alias("found"), same, "left")
             .select("wanted.*", F.coalesce("found.present", F.lit(False)).alias("present")))
@@ -69,7 +77,7 @@ def calendar_coverage(store: Store, name: str, start: str, end: str,
     table = store.table(name, version)
     days = calendar(store.spark, start, end)
     if "date" in table.partitions:
-        return mark_existing(store, days, name, version)
+        return mark_existing(store, days, name, version, F.col("date").between(start, end))
     found = (read_data(store, name, version, date={"start": start, "end": end}, columns=["date"])
              .distinct().withColumn("present", F.lit(True)))
     return (days.join(found, "date", "left")
@@ -83,6 +91,7 @@ class DeleteResult:
     rows_deleted: int = 0
     filters: dict[str, Any] = field(default_factory=dict)
     errors: list[dict[str, str]] = field(default_factory=list)
+    unreadable: list[str] = field(default_factory=list)  # removed folders with files whose rows nobody could count
 
 
 def delete_partitions(store: Store, name: str, version: str = "v1", *,
@@ -90,8 +99,9 @@ def delete_partitions(store: Store, name: str, version: str = "v1", *,
     """Remove the partitions whose values meet all filters.
 
     Only partition columns may be filtered, so a partition goes whole or stays
-    whole. The predicate runs on the listing; only folder names, one per
-    partition removed, come to the driver.
+    whole. The predicate runs on the listing, rows are counted from footers, so
+    files that cannot be read go like all others. A folder the file system does
+    not remove is an error. Only folder names come to the driver.
     """
     if not store.allow_delete:
         raise PermissionError("Deleting is switched off for this store")
@@ -107,20 +117,26 @@ def delete_partitions(store: Store, name: str, version: str = "v1", *,
         raise ValueError("; ".join(warnings))
     chosen = all_of(predicates)
 
-    rows = read_stored(store, table).where(chosen).count()
     folder = F.regexp_replace("path", "/[^/]*$", "")
-    folders = (stored_files(store, table).where(chosen).groupBy(folder.alias("folder"))
-               .agg(F.count("*").alias("files")).collect())
-    files, errors = 0, []
-    for found in folders:
+    listed = stored_files(store, table, selected_folders(store, table, wanted)).where(chosen)
+    folders = (footers(listed).groupBy(folder.alias("folder"))
+               .agg(F.count("*").alias("files"), F.sum("rows").alias("rows"), F.max("error").alias("error")))
+
+    def remove(found: Row) -> tuple[Row, str | None]:
         try:
-            remove_folder(store.spark, found["folder"])
-            files += found["files"]
+            if remove_folder(store.spark, found["folder"]) or not folder_exists(store.spark, found["folder"]):
+                return found, None
+            return found, "The file system refused to remove the folder"
         except Exception as problem:  # the other partitions are still removed
-            errors.append({"folder": found["folder"], "error": str(problem)})
-    return DeleteResult(len(folders) - len(errors), files, rows if not errors else
-                        rows - _rows_left(store, table, chosen), wanted, errors)
-
-
-def _rows_left(store: Store, table, chosen) -> int:
-    return read_stored(store, table).where(chosen).count()
+            return found, str(problem)
+
+    deleted, files, rows, errors, unreadable = 0, 0, 0, [], []
+    with ThreadPoolExecutor(DELETING_THREADS) as pool:  # folder names come a few at a time
+        for found, problem in pool.map(remove, folders.toLocalIterator()):
+            if problem:
+                errors.append({"folder": found["folder"], "error": problem})
+                continue
+            deleted, files, rows = deleted + 1, files + found["files"], rows + (found["rows"] or 0)
+            if found["error"]:
+                unreadable.append(found["folder"])
+    return DeleteResult(deleted, files, rows, wanted, errors, unreadable)

@@ -1,134 +1,202 @@
 """A table of saved filter requests answered in one job.
 
-`requests` has one row per argument: `request_id`, `field`, `text` and
-optionally `seq`, the position of the argument in its request (a repeated field
-keeps its last text). The texts have the same forms as single filter arguments.
-
-Every request is first matched against the partition list, which says where its
-rows can be ("places"). Requests and rows then meet by equality on the partition
-columns and, where a request lists values of a text column, on that value too;
-bounds on other columns are checked on the pairs that meet. The rows are never
-paired with all requests.
+`requests` has one row per argument: `request_id`, `field`, `text` and optionally `seq`, the
+position of the argument in its request (a repeated field keeps its last text). Fields and texts
+have the same forms as single filter arguments, suffixes included.
+
+Rows and requests meet by equality, in one scan of the table and one join. A request that lists
+values of a text column meets the rows with those values; one that only restricts partition columns
+or the day meets the rows of the partitions it fits, found by a join with the partition list; one
+that does neither is dealt, like the rows, over as many hands as there are shuffle partitions. All
+conditions are checked on the pairs that meet.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barlake.functions.columns import all_of
-from barlake.functions.filters import compile_filters, implied_by_date
+from barlake.functions.filters import LITERAL, SUFFIXES, compile_filters, implied_by_date
 from barlake.sources.files import stored_partitions
 from barlake.sources.scan import read_stored
-from barlake.sources.scratch import new_folder
+from barlake.sources.scratch import kept
 from barlake.tables import TEXT_TYPES, TYPES, WHOLE_RANGES, Store, Table
 
-# Wide enough to compare any whole number exactly with text that has a fraction.
-_EXACT = "decimal(38,10)"
+# Wide enough to compare any whole number exactly with text that has a fraction; numbers beyond
+# it lie beyond every declared type and are moved to its edge.
+_EXACT, _EDGE = "decimal(38,10)", 1e27
 
-# Requests are broadcast up to this many bytes, measured after they are spread over
-# their places and values; beyond it both sides are shuffled.
+# Keyed requests are broadcast up to this many bytes, measured on their rows; beyond it both
+# sides are shuffled.
 BROADCAST_BYTES = 32 << 20
 
+CONDITION = ("struct<low:string,low_open:boolean,high:string,high_open:boolean,"
+             "listed:array<string>,excluded:array<string>,part:string>")
+
+
+def _entries(table: Table, requests: DataFrame) -> DataFrame:
+    """(request_id, field, column, suffix, text, at) of the arguments; column null if there is none."""
+    column, suffix = F.lit(None).cast("string"), F.lit("eq")
+    name = F.col("field")
+    for declared in table.columns:
+        for sign in SUFFIXES:  # a declared name wins over a suffix
+            here = (name == f"{declared}__{sign}") & ~name.isin(list(table.columns))
+            column, suffix = F.when(here, declared).otherwise(column), F.when(here, sign).otherwise(suffix)
+    column = F.when(name.isin(list(table.columns)), name).otherwise(column)
+    at = F.col("seq") if "seq" in requests.columns else F.col("text")
+    return requests.select("request_id", "field", column.alias("column"), suffix.alias("suffix"), "text",
+                           at.alias("at"))
+
+
+def _items(text: Column) -> Column:
+    trimmed = F.transform(F.split(text, ","), lambda v: F.regexp_replace(v, r"^\s+|\s+$", ""))
+    return F.array_distinct(F.filter(trimmed, lambda v: v != ""))
+
+
+def _condition() -> Column:
+    """What one argument asks for, in the forms of `CONDITION`."""
+    text, suffix = F.col("text"), F.col("suffix")
+    literal = suffix.isin(list(LITERAL))
+    range_sign, list_sign = F.instr(text, "~") > 0, F.instr(text, ",") > 0
+    is_range = ~literal & (suffix != "ne") & range_sign
+    pair = F.when((suffix == "between") & ~range_sign, _items(text))
+    low = (F.when(suffix.isin("gt", "gte"), text).when(pair.isNotNull(), F.get(pair, F.lit(0)))
+           .when(is_range, F.nullif(F.substring_index(text, "~", 1), F.lit(""))))
+    high = (F.when(suffix.isin("lt", "lte"), text).when(pair.isNotNull(), F.get(pair, F.lit(1)))
+            .when(is_range, F.nullif(F.expr("substring(text, instr(text, '~') + 1)"), F.lit(""))))
+    listed = (F.when(literal | is_range | suffix.isin("ne", "between"), None)
+              .when(list_sign | (suffix == "in"), _items(text)).otherwise(F.array(text)))
+    excluded = F.when(suffix == "ne", F.when(list_sign & ~range_sign, _items(text)).otherwise(F.array(text)))
+    return F.struct(low.alias("low"), (suffix == "gt").alias("low_open"), high.alias("high"),
+                    (suffix == "lt").alias("high_open"), listed.alias("listed"), excluded.alias("excluded"),
+                    F.when(suffix == "like", text).alias("part")).cast(CONDITION)
+
 
 def parsed_requests(table: Table, requests: DataFrame) -> DataFrame:
-    """One row per request; per declared field a struct (low, high, listed), null if not filtered."""
-    text = F.col("text")
-    is_range, is_list = F.instr(text, "~") > 0, F.instr(text, ",") > 0
-    low = F.substring_index(text, "~", 1)
-    high = F.expr("substring(text, instr(text, '~') + 1)")
-    trimmed = F.filter(F.transform(F.split(text, ","), lambda v: F.regexp_replace(v, r"^\s+|\s+$", "")),
-                       lambda v: v != "")
-    value = F.struct(
-        F.when(is_range & (low != ""), low).alias("low"),
-        F.when(is_range & (high != ""), high).alias("high"),
-        F.when(~is_range, F.when(is_list, F.array_distinct(trimmed)).otherwise(F.array(text)))
-        .alias("listed"))
-    order = F.col("seq") if "seq" in requests.columns else text
-    named = [(F.col("field") == c) & text.isNotNull() for c in table.columns]
-    return requests.groupBy("request_id").agg(*[
-        F.max_by(F.when(here, value), F.when(here, order)).alias(c)
-        for c, here in zip(table.columns, named)])
+    """One row per request; per declared column an array of conditions, empty if it is not filtered."""
+    last = (_entries(table, requests).groupBy("request_id", "field", "column", "suffix")
+            .agg(F.max_by("text", "at").alias("text")))
+    asked = last.withColumn("asks", F.when(F.col("column").isNotNull() & F.col("text").isNotNull(), _condition()))
+    return asked.groupBy("request_id").agg(*[
+        F.collect_list(F.when(F.col("column") == c, F.col("asks"))).alias(c) for c in table.columns])
 
 
 def request_problems(table: Table, requests: DataFrame) -> DataFrame:
-    """(request_id, field, problem): unknown fields, empty filters, range ends that are no number."""
+    """(request_id, field, problem): unknown fields, empty filters, ends and suffixes that cannot match."""
     numeric = [c for c, t in table.columns.items() if t not in TEXT_TYPES]
+    entries = _entries(table, requests).withColumn("asks", _condition())
+    asks, number = F.col("asks"), F.col("column").isin(numeric)
     text = F.trim("text")
-    low, high = F.substring_index(text, "~", 1), F.expr("substring(trim(text), instr(trim(text), '~') + 1)")
-    bad_end = (((low != "") & low.try_cast("double").isNull())
-               | ((high != "") & high.try_cast("double").isNull()))
+
+    def bad(end: Column) -> Column:
+        return end.isNotNull() & F.trim(end).try_cast("double").isNull()
+
     problem = (
-        F.when(~F.col("field").isin(list(table.columns)), "Unknown filter field, ignored")
-        .when((text == "~") | text.rlike(r"^[\s,]*,[\s,]*$"), "Empty filter matches nothing")
-        .when(F.col("field").isin(numeric) & (F.instr(text, "~") > 0) & bad_end,
-              "Range end is not a number, matches nothing"))
-    return requests.select("request_id", "field", problem.alias("problem")).where("problem IS NOT NULL")
+        F.when(F.col("column").isNull(), "No column for filter, it is left out")
+        .when((F.col("suffix") == "between") & (F.instr(text, "~") == 0) & (F.size(_items(text)) != 2),
+              "between needs two values, matches nothing")
+        .when(((text == "~") & (F.col("suffix") == "eq")) | (F.size(asks["listed"]) == 0), "Empty filter matches nothing")
+        .when(number & (F.col("suffix") == "like"), "like needs a text column, matches nothing")
+        .when(number & (bad(asks["low"]) | bad(asks["high"])), "Range end is not a number, matches nothing"))
+    return entries.select("request_id", "field", problem.alias("problem")).where("problem IS NOT NULL")
 
 
-def answer_requests(store: Store, name: str, requests: DataFrame, version: str = "v1") -> DataFrame:
-    """`request_id` and the rows each request selects.
+def answer_requests(store: Store, name: str, requests: DataFrame, version: str = "v1"
+                    ) -> tuple[DataFrame, DataFrame]:
+    """(`request_id` and the rows each request selects, problems of the requests).
 
-    The parsed requests are written to the shared folder once, because planning
-    looks at them before the rows are read.
+    Requests are parsed, keyed and written to the shared folder once, because planning looks at them.
     """
     table = store.table(name, version)
-    folder = new_folder(store.spark, "requests")
-    parsed = parsed_requests(table, requests)
-    parsed.write.parquet(folder)
-    asked = store.spark.read.schema(parsed.schema).parquet(folder).withColumn(
-        "place", F.explode(_places(store, table)))
-
-    groups = _groups(table)
-    listing = F.coalesce(*[F.when(F.size(F.col(c)["listed"]) > 0, F.lit(c)) for c in groups],
-                         F.lit("")) if groups else F.lit("")
-    asked = asked.withColumn("by", listing)
-    facts = asked.groupBy("by").agg(*_facts(table, groups)).collect()  # one row per text column
-    answers = [_meet(store, table, asked, fact) for fact in facts]
-    empty = read_stored(store, table).where(F.lit(False)).select(
-        F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"), *table.columns)
-    return reduce(DataFrame.unionByName, answers) if answers else empty
+    return _answers(store, table, kept(parsed_requests(table, requests))), request_problems(table, requests)
 
 
 def count_requests(store: Store, name: str, requests: DataFrame, version: str = "v1") -> DataFrame:
-    """(request_id, rows): the number of rows each request selects, zero included."""
-    counted = answer_requests(store, name, requests, version).groupBy("request_id").agg(
-        F.count("*").alias("rows"))
-    return (requests.select("request_id").distinct().join(counted, "request_id", "left")
+    """(request_id, rows): the number of rows each request selects, zero included.
+
+    Requests that restrict partition columns alone are added up from the rows per partition.
+    """
+    table = store.table(name, version)
+    parsed = kept(parsed_requests(table, requests))
+    if table.partitions:
+        inside = [c for c in table.columns if c not in table.partitions]
+        whole = all_of([F.size(c) == 0 for c in inside]) if inside else F.lit(True)
+        sizes = read_stored(store, table).groupBy(*table.partitions).agg(F.count("*").alias("n"))
+        places = _with_places(table, parsed.where(whole), sizes)
+        counted = (_answers(store, table, parsed.where(~whole)).groupBy("request_id").agg(F.count("*").alias("rows"))
+                   .unionByName(places.groupBy("request_id").agg(F.sum("n").alias("rows"))))
+    else:
+        counted = _answers(store, table, parsed).groupBy("request_id").agg(F.count("*").alias("rows"))
+    return (parsed.select("request_id").join(counted, "request_id", "left")
             .select("request_id", F.coalesce("rows", F.lit(0)).alias("rows")))
 
 
-def _groups(table: Table) -> list[str]:
+def _listing_columns(table: Table) -> list[str]:
     """Text columns inside the files a request may list values of; code columns first."""
     texts = [c for c, t in table.columns.items() if t in TEXT_TYPES and c not in table.partitions]
     return sorted(texts, key=lambda c: "code" not in c.lower())
 
 
-def _places(store: Store, table: Table) -> Column:
-    """The partitions a request can have rows in, as an array of structs.
-
-    The partition list is metadata the driver holds for every scan of the table.
-    A table without partitions is dealt by row hash into as many places as there
-    are shuffle partitions, and every request visits each.
+def _first_listed(column: str) -> Column:
+    return F.filter(F.col(column)["listed"], lambda v: v.isNotNull())[0]
+
+
+def _answers(store: Store, table: Table, parsed: DataFrame) -> DataFrame:
+    no_empty = all_of([~F.exists(c, lambda a: F.coalesce(F.size(a["listed"]) == 0, F.lit(False))) for c in table.columns])
+    parsed = parsed.where(no_empty)  # an empty list matches nothing
+    listing = _listing_columns(table)
+    by = F.lit(None).cast("string")
+    for c in reversed(listing):
+        by = F.when(F.exists(c, lambda a: a["listed"].isNotNull()), c).otherwise(by)
+    placed = [c for c in table.columns if c in table.partitions] + (["date"] if table.derived or table.calendar else [])
+    in_place = F.lit(False)
+    for c in dict.fromkeys(placed):
+        in_place = in_place | (F.size(c) > 0)
+    parsed = parsed.withColumn("by", F.coalesce(by, F.when(in_place & F.lit(bool(table.partitions)), "").otherwise("*")))
+
+    keyed = [parsed.where(F.col("by") == c).withColumn("key", F.explode(_first_listed(c)))
+             .withColumn("key", F.xxhash64("by", "key")) for c in listing]
+    hands = int(store.spark.conf.get("spark.sql.shuffle.partitions"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(hands - 1)))
+    keyed.append(parsed.where("by = '*'").withColumn("key", every).withColumn("key", F.xxhash64("by", "key")))
+    if table.partitions:
+        places = _with_places(table, parsed.where("by = ''"), stored_partitions(store, table))
+        keyed.append(places.withColumn("key", F.xxhash64("by", *[f"place.{p}" for p in table.partitions])).drop("place"))
+    asked = keyed[0]
+    for more in keyed[1:]:
+        asked = asked.unionByName(more)
+    asked = kept(asked.select("request_id", "by", "key", *table.columns))
+    return _meet(store, table, asked, asked.agg(*_facts(table, listing)).first(), listing, hands)
+
+
+def _with_places(table: Table, asked: DataFrame, found: DataFrame) -> DataFrame:
+    """The requests with each partition of `found` that fits them, as struct `place`.
+
+    Requests that list values of a partition column meet the partition list by equality; only those
+    with nothing but bounds are compared with it one by one.
     """
-    if not table.partitions:
-        hands = int(store.spark.conf.get("spark.sql.shuffle.partitions"))
-        return F.transform(F.sequence(F.lit(0), F.lit(hands - 1)), lambda i: F.struct(i.alias("hand")))
-    known = [t.asDict() for t in stored_partitions(store, table).collect()]
-    kinds = ", ".join(f"{p}: {table.stored_schema[p].dataType.simpleString()}" for p in table.partitions)
-    listing = F.from_json(F.lit(json.dumps(known, default=str)), f"array<struct<{kinds}>>")
+    found = found.select(F.struct(*table.partitions).alias("place"),
+                         *[c for c in found.columns if c not in table.partitions])
     own = [p for p in table.partitions if p in table.columns]
-
-    def fits(place: Column) -> Column:
-        return all_of([_meets(place[p], F.col(p), table.columns[p]) for p in own]
-                      + _month_agrees(table, place)) if own or table.derived else F.lit(True)
-
-    return F.filter(listing, fits)
+    fits = [_meets(F.col("place")[p], F.col(p), table.columns[p]) for p in own] + _month_agrees(table, F.col("place"))
+    texts = [p for p in own if table.columns[p] in TEXT_TYPES]
+    by = F.lit("")
+    for p in texts:
+        by = F.when(F.exists(p, lambda a: a["listed"].isNotNull()), p).otherwise(by)
+    asked, result = asked.withColumn("place_by", by), None
+    for p in [*texts, ""]:
+        some = asked.where(F.col("place_by") == p)
+        if p:
+            some = some.withColumn("value", F.explode(_first_listed(p)))
+            some = some.join(found, F.col("value") == F.col(f"place.{p}")).drop("value")
+        else:
+            some = some.join(found, all_of(fits)) if fits else some.crossJoin(found)
+        result = some if result is None else result.unionByName(some)
+    return (result.where(all_of(fits)) if fits else result).drop("place_by")
 
 
 def _month_agrees(table: Table, place: Column) -> list[Column]:
@@ -139,84 +207,89 @@ def _month_agrees(table: Table, place: Column) -> list[Column]:
         month = F.concat(place["Year"], F.lit("-"), place["Month"])
     else:
         return []
-    day = F.col("date")
-    months = F.transform(day["listed"], lambda v: F.substring(v, 1, 7))
-    return [F.coalesce((day["low"].isNull() | (month >= F.substring(day["low"], 1, 7)))
-                       & (day["high"].isNull() | (month <= F.substring(day["high"], 1, 7)))
-                       & (months.isNull() | F.array_contains(months, month)), F.lit(False))]
-
-
-def _facts(table: Table, groups: list[str]) -> list[Column]:
-    """What the requests of one group use: bytes to join, bounds on `date`, forms per column."""
-    values = [F.when(F.col("by") == c, F.size(F.col(c)["listed"])) for c in groups]
-    width = F.octet_length(F.to_json(F.struct(*table.columns, "place")))
-    facts = [F.sum(F.coalesce(*values, F.lit(1)).cast("long") * width).alias("bytes")]
-    for c in table.columns:
-        ask = F.col(c)
-        facts += [F.count(ask["low"]).alias(f"low {c}"), F.count(ask["high"]).alias(f"high {c}"),
-                  F.count(ask["listed"]).alias(f"listed {c}"), F.count(ask).alias(f"any {c}")]
+
+    def agrees(day: Column) -> Column:
+        return F.coalesce((day["low"].isNull() | (month >= F.substring(day["low"], 1, 7)))
+                          & (day["high"].isNull() | (month <= F.substring(day["high"], 1, 7)))
+                          & (day["listed"].isNull() | F.exists(day["listed"], lambda v: F.substring(v, 1, 7) == month)),
+                          F.lit(False))
+
+    return [F.forall("date", agrees)]
+
+
+def _facts(table: Table, listing: list[str]) -> list[Column]:
+    """What the requests use: bytes to join, kinds of keys, columns, and the days they lie within."""
+    facts = [F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes"),
+             *[F.coalesce(F.bool_or(F.col("by") == k), F.lit(False)).alias(f"by {k}") for k in [*listing, "", "*"]],
+             *[F.coalesce(F.bool_or(F.size(c) > 0), F.lit(False)).alias(f"any {c}") for c in table.columns]]
     if table.columns.get("date") in TEXT_TYPES:
-        first, last = (F.coalesce(F.col("date")[side], end(F.col("date")["listed"]))
-                       for side, end in (("low", F.array_min), ("high", F.array_max)))
+        first = F.array_max(F.transform("date", lambda a: F.coalesce(a["low"], F.array_min(a["listed"]))))
+        last = F.array_min(F.transform("date", lambda a: F.coalesce(a["high"], F.array_max(a["listed"]))))
         facts += [F.min(first).alias("start"), F.max(last).alias("end"),
                   F.count_if(first.isNull()).alias("no start"), F.count_if(last.isNull()).alias("no end")]
     return facts
 
 
-def _meet(store: Store, table: Table, asked: DataFrame, fact: Row) -> DataFrame:
-    by = fact["by"]
-    ask = asked.where(F.col("by") == by)
+def _meet(store: Store, table: Table, asked: DataFrame, fact: Row, listing: list[str], hands: int) -> DataFrame:
     rows = read_stored(store, table)
     days = {side: fact[side] for side in ("start", "end")
             if f"no {side}" in fact and fact[side] is not None and not fact[f"no {side}"]}
-    if days:  # all requests of the group together bound the scan
+    if days:  # all requests together bound the scan
         rows = rows.where(all_of(compile_filters(table.columns, {"date": days})[0]
                                  + implied_by_date(table, {"date": days})))
-    if not table.partitions:
-        hands = int(store.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = rows.withColumn("hand", F.pmod(F.xxhash64(*table.columns), F.lit(hands)).cast("int"))
-    on = [F.col(f"row.{p}").eqNullSafe(F.col(f"ask.place.{p}"))
-          for p in table.partitions or ("hand",)]
-    if by:
-        ask = ask.withColumn("value", F.explode(F.col(by)["listed"]))
-        on.append(F.col(f"row.{by}") == F.col("ask.value"))
-    settled = {by, *table.partitions}
-    checks = [_meets(F.col(f"row.{c}"), F.col(f"ask.{c}"), t, fact, c)
-              for c, t in table.columns.items() if c not in settled and fact[f"any {c}"]]
-    needed = [c for c in table.columns if c not in settled and fact[f"any {c}"]]
-    ask = ask.select("request_id", "place", *(["value"] if by else []), *needed)
-    ask = F.broadcast(ask) if fact["bytes"] <= BROADCAST_BYTES else ask.hint("merge")
-    return (rows.alias("row").join(ask.alias("ask"), all_of(on + checks))
+    keys = [F.xxhash64(F.lit(c), F.col(c)) for c in listing if fact[f"by {c}"]]
+    if fact["by "]:
+        keys.append(F.xxhash64(F.lit(""), *table.partitions))
+    if fact["by *"]:
+        hand = F.pmod(F.xxhash64(*table.columns), F.lit(hands)).cast("int")
+        keys.append(F.xxhash64(F.lit("*"), hand))
+    if not keys:
+        keys = [F.lit(None).cast("long")]
+    key = F.explode(F.array(*keys)) if len(keys) > 1 else keys[0]
+    rows = rows.select(*table.columns, key.alias("key"))
+    used = [c for c in table.columns if fact[f"any {c}"]]
+    asked = asked.select("request_id", "key", *used)
+    asked = F.broadcast(asked) if (fact["bytes"] or 0) <= BROADCAST_BYTES else asked.hint("merge")
+    checks = [_meets(F.col(f"row.{c}"), F.col(f"ask.{c}"), table.columns[c]) for c in used]
+    return (rows.alias("row").join(asked.alias("ask"), all_of([F.col("row.key") == F.col("ask.key"), *checks]))
             .select("request_id", *[f"row.{c}" for c in table.columns]))
 
 
-def _meets(value: Column, ask: Column, declared: str, fact: Row | None = None,
-           name: str = "") -> Column:
-    """The value meets what a request asks of its column; only forms in use are checked."""
-    def used(form: str) -> bool:
-        return fact is None or fact[f"{form} {name}"] > 0
-
-    low, high, listed = ask["low"], ask["high"], ask["listed"]
+def _meets(value: Column, asks: Column, declared: str) -> Column:
+    """The value meets all conditions on its column."""
     number, read = _readers(value, declared)
-    holds = [value.isNotNull(), low.isNotNull() | high.isNotNull() | listed.isNotNull()]
-    if used("low"):
-        holds.append(low.isNull() | (number >= read(low)))
-    if used("high"):
-        holds.append(high.isNull() | (number <= read(high)))
-    if used("listed"):
-        holds.append(listed.isNull() | (
-            F.array_contains(listed, value) if declared in TEXT_TYPES
-            else F.exists(listed, lambda v: F.coalesce(number == read(v), F.lit(False)))))
-    return F.coalesce(ask.isNull() | all_of(holds), F.lit(False))
+    text = declared in TEXT_TYPES
+
+    def meets(ask: Column) -> Column:
+        low, high = read(ask["low"]), read(ask["high"])
+        above = F.when(ask["low_open"], number > low).otherwise(number >= low)
+        below = F.when(ask["high_open"], number < high).otherwise(number <= high)
+
+        def among(values: Column) -> Column:
+            return F.array_contains(values, value) if text else \
+                F.exists(values, lambda v: F.coalesce(number == read(v), F.lit(False)))
+
+        something = (ask["low"].isNotNull() | ask["high"].isNotNull() | ask["listed"].isNotNull()
+                     | ask["excluded"].isNotNull() | ask["part"].isNotNull())
+        part = value.contains(ask["part"]) if text else F.lit(False)
+        return F.coalesce(something & value.isNotNull() & (ask["low"].isNull() | above)
+                          & (ask["high"].isNull() | below) & (ask["listed"].isNull() | among(ask["listed"]))
+                          & (ask["excluded"].isNull() | ~among(ask["excluded"])) & (ask["part"].isNull() | part),
+                          F.lit(False))
+
+    return F.forall(asks, meets)
 
 
 def _readers(value: Column, declared: str) -> tuple[Column, Callable[[Column], Column]]:
     """The value in the type it is compared in, and how request text is read into that type."""
     if declared in TEXT_TYPES:
         return value, lambda v: v
-    if declared == "bool":
-        return value.cast("int").cast(_EXACT), lambda v: F.trim(v).try_cast(_EXACT)
-    if declared in WHOLE_RANGES:
-        return value.cast(_EXACT), lambda v: F.trim(v).try_cast(_EXACT)
+    if declared == "bool" or declared in WHOLE_RANGES:
+        def exact(text: Column) -> Column:
+            wide = F.trim(text).try_cast("double")
+            edge = F.when(~F.isnan(wide) & (wide > _EDGE), F.lit(_EDGE)).when(wide < -_EDGE, F.lit(-_EDGE))
+            return F.coalesce(F.trim(text).try_cast(_EXACT), edge.cast(_EXACT))
+
+        return (value.cast("int") if declared == "bool" else value).cast(_EXACT), exact
     kind: T.DataType = TYPES[declared]
-    return value, lambda v: F.trim(v).try_cast(kind)
+    return value, lambda v: F.when(~F.isnan(F.trim(v).try_cast(kind)), F.trim(v).try_cast(kind))

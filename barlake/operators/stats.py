@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barlake.functions.columns import megabytes
 from barlake.sources.files import footers, stored_files
@@ -22,13 +23,14 @@ STORED_TYPES = {
 def storage_stats(store: Store, name: str, version: str = "v1") -> DataFrame:
     """Files, rows and bytes of a dataset from listing and footers.
 
-    A file that cannot be read counts as a file but adds no rows and no bytes.
+    A file that cannot be read counts as a file, and as `unreadable`, but adds no rows and no bytes.
     """
     read = footers(stored_files(store, store.table(name, version)))
     size = F.coalesce(F.sum(F.when(F.col("error").isNull(), F.col("length"))), F.lit(0))
     return read.agg(F.count("*").alias("files"),
                     F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
-                    size.alias("bytes"), megabytes(size).alias("size_mb")).select(
+                    size.alias("bytes"), megabytes(size).alias("size_mb"),
+                    F.count("error").alias("unreadable")).select(
         F.lit(name).alias("dataset"), F.lit(version).alias("version"), "*")
 
 
@@ -79,21 +81,46 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def reconcile(before: DataFrame, after: DataFrame, sums: Sequence[str],
-              distinct: Sequence[str] = (), tolerance: float = 0.01) -> DataFrame:
+              distinct: Sequence[str] = (), tolerance: float = 1e-9) -> DataFrame:
     """(measure, before, after, agrees): row count, distinct counts and sums of both sides.
 
-    One aggregation per side; sums may differ by `tolerance`.
+    One aggregation per side. Counts and sums of whole numbers and decimals are compared exactly,
+    as decimals. Sums of floating-point numbers may differ by `tolerance` times the sum of absolute
+    values, because they depend on the order of the rows. `before` and `after` are shown as doubles.
     """
     def measures(df: DataFrame, side: str) -> DataFrame:
-        row = df.agg(F.count("*").cast("double").alias("rows"),
-                     *[F.count_distinct(c).cast("double").alias(f"distinct {c}") for c in distinct],
-                     *[F.coalesce(F.sum(c).cast("double"), F.lit(0.0)).alias(f"sum {c}") for c in sums])
-        pairs = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("value"))
-                          for c in row.columns])
-        return row.select(F.inline(pairs), F.lit(side).alias("side"))
+        floating = [c for c in sums if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType))]
+        aggregates, pairs = [F.count("*").alias("rows")], [("rows", F.col("rows"), None)]
+        for c in distinct:
+            aggregates.append(F.count_distinct(c).alias(f"distinct {c}"))
+            pairs.append((f"distinct {c}", F.col(f"distinct {c}"), None))
+        for c in sums:
+            value = F.col(c) if c in floating else F.col(c).cast(_summable(df.schema[c].dataType))
+            aggregates.append(F.coalesce(F.sum(value), F.lit(0)).alias(f"sum {c}"))
+            if c in floating:
+                aggregates.append(F.coalesce(F.sum(F.abs(c)), F.lit(0.0)).alias(f"size {c}"))
+            pairs.append((f"sum {c}", F.col(f"sum {c}"), F.col(f"size {c}") if c in floating else None))
+        row = df.agg(*aggregates)
+        entries = F.array(*[F.struct(
+            F.lit(name).alias("measure"), value.cast("double").alias("value"),
+            (F.lit(None) if size is not None else value).cast("string").alias("exact"),
+            F.coalesce(size if size is not None else F.lit(None), F.lit(0.0)).cast("double").alias("size"))
+            for name, value, size in pairs])
+        return row.select(F.inline(entries)).withColumn("side", F.lit(side))
 
     both = measures(before, "before").unionByName(measures(after, "after"))
-    return (both.groupBy("measure")
-            .agg(F.max(F.when(F.col("side") == "before", F.col("value"))).alias("before"),
-                 F.max(F.when(F.col("side") == "after", F.col("value"))).alias("after"))
-            .withColumn("agrees", F.abs(F.col("before") - F.col("after")) < tolerance))
+    sides = {(c, side): F.max(F.when(F.col("side") == side, F.col(c)))
+             for c in ("value", "exact") for side in ("before", "after")}
+    met = both.groupBy("measure").agg(
+        sides["value", "before"].alias("before"), sides["value", "after"].alias("after"),
+        sides["exact", "before"].alias("exact_before"), sides["exact", "after"].alias("exact_after"),
+        F.max("size").alias("size"))
+    close = F.abs(F.col("before") - F.col("after")) <= tolerance * F.col("size")
+    return met.select("measure", "before", "after",
+                      F.when(F.col("exact_before").isNotNull() & F.col("exact_after").isNotNull(),
+                             F.col("exact_before") == F.col("exact_after")).otherwise(close).alias("agrees"))
+
+
+def _summable(dtype: T.DataType) -> T.DataType:
+    """Wide enough that no sum of the type overflows, and of one text form on both sides."""
+    return T.DecimalType(38, dtype.scale if isinstance(dtype, T.DecimalType) else 0)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, DataFrameWriter, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,9 +16,11 @@ from barlake.functions.columns import all_of, rendered_path
 from barlake.operators import checks, keys
 from barlake.sources.files import partition_folders, stored_files
 from barlake.sources.scan import EXACT_PARTITIONS, in_partitions, read_stored
-from barlake.sources.scratch import new_folder, remove_folder
+from barlake.sources.scratch import folder_exists, new_folder, remove_folder, rename_folder
 from barlake.tables import Store, Table
 
+# The Parquet codecs Spark knows.
+CODECS = ("none", "uncompressed", "snappy", "gzip", "lzo", "brotli", "lz4", "lz4_raw", "zstd")
 
 # Stored files of the touched partitions from this many bytes on are narrowed to what
 # the batch can meet before their keys are shuffled.
@@ -52,33 +56,39 @@ class Route:
     partitions: int
     failures: dict[str, int]
     touched: Column | None  # predicate on partition columns; a superset beyond EXACT_PARTITIONS
-    tuples: list[Row] | None  # the partition tuples, None beyond EXACT_PARTITIONS
+    tuples: list[Row]  # the partition tuples
     paths: list[str]
 
 
 def write_data(store: Store, data: DataFrame, name: str, version: str = "v1",
                mode: str = "append", *, validate_schema: bool = True,
                check_duplicates: bool = True, remove_duplicates: bool = False,
-               drop_repeats: bool = False, count_repeats: bool = True,
+               drop_repeats: bool = False, order: Sequence[str] = (), count_repeats: bool = True,
                extra_columns: bool = False, max_records_per_file: int | None = None,
-               spread: bool = True, stage: bool = False) -> WriteResult:
+               spread: bool = True, stage: bool = True) -> WriteResult:
     """Check a batch, match its keys against stored rows, then append or replace partitions.
 
     The whole batch is checked before anything is written. `append` fails on a
     stored key, or leaves those rows out with `remove_duplicates`. `overwrite`
-    replaces exactly the partitions the batch has rows for and checks no keys.
+    replaces exactly the partitions the batch has rows for and checks no keys;
+    a table without partitions is exchanged after the new rows are written.
 
     Repeated keys inside a batch are kept and counted; `drop_repeats` keeps one
-    row each. A first load of new partitions can skip the count, and with it the
-    only shuffle of keys, by ``count_repeats=False``.
-
-    `stage` first writes the batch to the shared folder: for a source that is
-    expensive to read again or might change between the checks and the write.
+    row each, the smallest by the columns of `order` (which may be undeclared,
+    and are not stored then) and after that by all columns. A first load of new
+    partitions can skip the count, and with it the only shuffle of keys, by
+    ``count_repeats=False``.
+
+    The source is read once: its typed rows are written to the shared folder and
+    all checks read them there. ``stage=False`` saves that where the source is
+    cheap to read again and cannot change between the checks and the write.
     `spread` shuffles rows to their partitions before the write; leave it off
     for input that already lies in partition order.
     """
     if mode not in ("append", "overwrite"):
         raise ValueError(f"Unsupported mode: {mode}, expected 'append' or 'overwrite'")
+    if store.compression.lower() not in CODECS:
+        raise ValueError(f"Unknown compression {store.compression}, expected one of {CODECS}")
     table = store.table(name, version)
     if mode == "overwrite" and not store.allow_overwrite:
         raise PermissionError("Overwriting is switched off for this store")
@@ -91,36 +101,52 @@ def write_data(store: Store, data: DataFrame, name: str, version: str = "v1",
         if errors:
             return WriteResult(False, errors=errors)
         raise ValueError(f"Data lacks partition columns: {lost}")
-    undeclared = [c for c in data.columns if c not in table.stored_schema.names]
+    undeclared = [c for c in data.columns if c not in table.stored_schema.names and c not in order]
     warnings = ([f"Undeclared columns dropped: {undeclared}"]
                 if undeclared and not extra_columns else [])
+    extra = undeclared if extra_columns else []
+    clashes = extra_clashes(store, table, data, extra)
+    if clashes:
+        return WriteResult(False, warnings=warnings, errors=clashes)
 
-    # A table without partitions is replaced as a whole, so it must not be read meanwhile.
+    own_order = [c for c in order if c not in table.stored_schema.names]
+    prepared = checks.prepared_batch(data, table, [*extra, *own_order])
     staged = None
-    if stage or (mode == "overwrite" and not table.partitions):
-        staged = new_folder(store.spark, "stage")
-        data.write.parquet(staged)
-        data = store.spark.read.schema(data.schema).parquet(staged)
     try:
-        return _write(store, table, data, mode, undeclared if extra_columns else [], warnings,
+        if stage or (mode == "overwrite" and not table.partitions):  # the latter may read what it replaces
+            staged = new_folder(store.spark, "stage")
+            prepared.write.parquet(staged)
+            prepared = store.spark.read.schema(prepared.schema).parquet(staged)
+        return _write(store, table, prepared, mode, extra, own_order, order, warnings,
                       check_duplicates and mode == "append", remove_duplicates, drop_repeats,
                       count_repeats, max_records_per_file, spread)
     finally:
         if staged:
-            remove_folder(store.spark, staged)
+            remove_folder(store.spark, staged.rpartition("/")[0])
+
 
+def extra_clashes(store: Store, table: Table, data: DataFrame, extra: Sequence[str]) -> list[str]:
+    """Undeclared columns that are stored with another type already, in this or a readable older version."""
+    found = []
+    for version in (table.version, *table.reads) if extra else ():
+        stored = read_stored(store, store.table(table.name, version), extra_columns=True).schema
+        found += [f"Column {c} is stored as {stored[c].dataType.simpleString()}, "
+                  f"not {data.schema[c].dataType.simpleString()}"
+                  for c in extra if c in stored.names and stored[c].dataType != data.schema[c].dataType]
+    return list(dict.fromkeys(found))
 
-def _write(store: Store, table: Table, data: DataFrame, mode: str, extra: list[str],
-           warnings: list[str], check: bool, remove: bool, drop: bool, count: bool,
+
+def _write(store: Store, table: Table, prepared: DataFrame, mode: str, extra: list[str], own_order: list[str],
+           order: Sequence[str], warnings: list[str], check: bool, remove: bool, drop: bool, count: bool,
            max_records: int | None, spread: bool) -> WriteResult:
-    route = route_batch(data, table)
+    route = route_prepared(prepared, table)
     if route.rows == 0:
         return WriteResult(True, warnings=warnings)
     if route.failures:
         return WriteResult(False, warnings=warnings, errors=[
             f"{reason}: {rows} rows" for reason, rows in route.failures.items()])
 
-    batch = checks.typed_batch(data, table, extra)
+    batch = prepared.select(*table.stored_schema.names, *extra, *own_order)
     folders = touched_folders(store, table, route) if check else []
     size = touched_bytes(store, table, route, folders) if check else 0
     stored = read_touched(store, table, route, folders) if size else None
@@ -142,10 +168,10 @@ def _write(store: Store, table: Table, data: DataFrame, mode: str, extra: list[s
                 batch = keys.remove_duplicates(batch, stored, table.identity)
                 rows -= found
             if drop and repeated:
-                batch = keys.drop_repeats(batch, table.identity)
+                batch = keys.drop_repeats(batch, table.identity, order)
                 rows = counts.fresh_keys
         if rows:
-            _save(store, table, batch, mode, max_records, route.partitions if spread else 0)
+            _save(store, table, batch.drop(*own_order), mode, max_records, route.partitions if spread else 0)
         return WriteResult(True, rows, route.partitions, route.paths, found, found, repeated,
                            warnings=warnings)
     finally:
@@ -154,46 +180,43 @@ def _write(store: Store, table: Table, data: DataFrame, mode: str, extra: list[s
 
 
 def route_batch(data: DataFrame, table: Table) -> Route:
-    """One aggregation over a batch, one row per partition it touches.
+    """What one pass over a batch says about it."""
+    return route_prepared(checks.prepared_batch(data, table), table)
+
 
-    Only counts and sums are taken, which hash-aggregate without sorting the rows.
+def route_prepared(batch: DataFrame, table: Table) -> Route:
+    """One aggregation over a prepared batch, one row per partition it touches.
+
+    Only counts and sums are taken, which hash-aggregate without sorting the rows. The driver gets
+    a row per touched partition, as it does from the write itself.
     """
-    batch = checks.typed_batch(data, table, [
-        bad.alias(f"bad {c}") for c, bad in checks.cast_failures(data, table).items()])
-    failures = {f"Value does not fit type {table.columns[c]} in column {c}": F.col(f"bad {c}")
-                for c in table.columns if f"bad {c}" in batch.columns}
+    failures = {f"Value does not fit type {table.columns[c]} in column {c}": F.col(checks.bad_name(c))
+                for c in table.columns if checks.bad_name(c) in batch.columns}
     failures |= checks.layout_failures(table) | checks.value_failures(table)
     # text by its length, anything else by more than its size
     width = reduce(lambda a, b: a + b, [
         F.coalesce(F.octet_length(c), F.lit(0)) + 8 if isinstance(batch.schema[c].dataType, T.StringType)
         else F.lit(16) for c in table.identity])
     counters = [f"failure {i}" for i in range(len(failures))]
-    grouped = batch.groupBy(*table.partitions).agg(
+    found = (batch.groupBy(*table.partitions).agg(
         F.count("*").alias("rows"), F.sum(width).alias("key bytes"),
         *[F.count_if(bad).alias(c) for c, bad in zip(counters, failures.values())])
-    grouped = grouped.withColumn("path", rendered_path(table))
-    sums = ["rows", "key bytes", *counters]
-
-    # Usually the tuples fit on the driver and one job does it all.
-    tuples = grouped.limit(EXACT_PARTITIONS + 1).collect()
-    if len(tuples) <= EXACT_PARTITIONS:
-        total = {c: sum(t[c] or 0 for t in tuples) for c in sums}
-        partitions, paths = len(tuples), sorted(t["path"] for t in tuples)
-        tuples = [Row(*[t[p] for p in table.partitions]) for t in tuples]
-        touched = in_partitions(table.partitions, tuples) if table.partitions and tuples else None
-    else:
-        total = grouped.agg(*[F.sum(c).alias(c) for c in sums], F.count("*").alias("partitions"),
-                            *_ends(table.partitions)).first()
-        partitions, paths, tuples = total["partitions"], [], None
-        touched = all_of([_bounds(p, total) for p in table.partitions])
-    return Route(total["rows"], total["key bytes"], partitions if total["rows"] else 0,
+        .withColumn("path", rendered_path(table)).where("rows > 0").collect())
+    total = {c: sum(t[c] or 0 for t in found) for c in ["rows", "key bytes", *counters]}
+    tuples = [Row(*[t[p] for p in table.partitions]) for t in found]
+    touched = None
+    if table.partitions and len(tuples) > EXACT_PARTITIONS:
+        touched = all_of([_bounds(p, _ends_of([t[i] for t in tuples], p)) for i, p in enumerate(table.partitions)])
+    elif table.partitions and tuples:
+        touched = in_partitions(table.partitions, tuples)
+    return Route(total["rows"], total["key bytes"], len(found),
                  {reason: total[c] for c, reason in zip(counters, failures) if total[c]},
-                 touched, tuples, paths if total["rows"] else [])
+                 touched, tuples, sorted(t["path"] for t in found))
 
 
 def touched_folders(store: Store, table: Table, route: Route) -> list[str] | None:
     """Stored folders of the partitions the batch has rows for; None if they cannot be named."""
-    if not table.partitions or route.tuples is None:
+    if not table.partitions or len(route.tuples) > EXACT_PARTITIONS:
         return None
     return partition_folders(store, table, route.tuples)
 
@@ -231,7 +254,13 @@ def _ends(columns: Sequence[str]) -> list[Column]:
         F.count_if(F.col(c).isNull()).alias(f"null {c}"))]
 
 
-def _bounds(column: str, total: Row) -> Column:
+def _ends_of(values: list, column: str) -> dict[str, Any]:
+    known = [v for v in values if v is not None]
+    return {f"low {column}": min(known, default=None), f"high {column}": max(known, default=None),
+            f"null {column}": len(values) - len(known)}
+
+
+def _bounds(column: str, total: Row | Mapping[str, Any]) -> Column:
     """The values of the column lie between those of the batch, nulls only if it has nulls."""
     low, high, nulls = total[f"low {column}"], total[f"high {column}"], total[f"null {column}"]
     inside = F.col(column).between(F.lit(low), F.lit(high)) if low is not None else F.lit(False)
@@ -258,9 +287,34 @@ def _save(store: Store, table: Table, batch: DataFrame, mode: str,
         writer = writer.partitionBy(*table.partitions)
         if mode == "overwrite":
             writer = writer.option("partitionOverwriteMode", "dynamic")
+    elif mode == "overwrite":
+        return _exchange(store, table, writer)
     writer.parquet(store.location(table))
 
 
+def _exchange(store: Store, table: Table, writer: DataFrameWriter) -> None:
+    """Write next to the stored rows and take their place only when all new rows are there."""
+    location = store.location(table)
+    beside = f"{location.rpartition('/')[0]}/_{table.version}-{uuid.uuid4().hex}"
+    new, old = f"{beside}-new", f"{beside}-old"
+    try:
+        writer.parquet(new)
+    except Exception:
+        remove_folder(store.spark, new)
+        raise
+    replaced = folder_exists(store.spark, location)
+    if replaced:
+        rename_folder(store.spark, location, old)
+    try:
+        rename_folder(store.spark, new, location)
+    except Exception:
+        if replaced:
+            rename_folder(store.spark, old, location)
+        raise
+    if replaced:
+        remove_folder(store.spark, old)
+
+
 def route_preview(data: DataFrame, table: Table) -> DataFrame:
     """Where a batch would go: partition values, rendered path and row count."""
     lost = [p for p in table.partitions if p not in data.columns and p not in table.derived]
@@ -269,7 +323,3 @@ def route_preview(data: DataFrame, table: Table) -> DataFrame:
     counted = (checks.typed_batch(data, table).groupBy(*table.partitions)
                .agg(F.count("*").alias("rows")))
     return counted.withColumn("path", rendered_path(table))
-
-
-def partition_rows(data: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return data.groupBy(*columns).agg(F.count("*").alias("rows"))

@@ -29,20 +29,24 @@ UNION ALL SELECT 'sum volume', sum(volume) FROM bars5"""
 _REQUESTS = """
 asked AS (
   SELECT 'code ' || stock_code AS request_id, NULL AS until_day, NULL AS day, NULL AS mkt,
-         stock_code AS code, 10.0 AS low_close, NULL AS low_volume, NULL AS high_volume
+         stock_code AS code, 10.0 AS low_close, NULL AS low_volume, NULL AS high_volume,
+         NULL AS other_mkt, NULL AS above
   FROM (SELECT DISTINCT stock_code FROM bars5)
-  UNION ALL SELECT 'day ' || "date", "date", NULL, NULL, NULL, NULL, NULL, NULL
+  UNION ALL SELECT 'day ' || "date", "date", NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
   FROM (SELECT DISTINCT "date" FROM bars5)
-  UNION ALL SELECT 'pair ' || "date" || ' ' || market, NULL, "date", market, NULL, NULL, NULL, NULL
+  UNION ALL SELECT 'pair ' || "date" || ' ' || market, NULL, "date", market, NULL, NULL, NULL, NULL, NULL, NULL
   FROM (SELECT DISTINCT "date", market FROM bars5)
-  UNION ALL SELECT 'market ' || market, NULL, NULL, market, NULL, NULL, 100.5, max(volume)
+  UNION ALL SELECT 'market ' || market, NULL, NULL, market, NULL, NULL, 100.5, max(volume), NULL, NULL
+  FROM bars5 GROUP BY market
+  UNION ALL SELECT 'limit ' || market, NULL, NULL, NULL, NULL, NULL, NULL, NULL, market, round(avg("close"))
   FROM bars5 GROUP BY market),
 answered AS (
   SELECT request_id, b.* FROM asked a LEFT JOIN bars5 b
   ON (until_day IS NULL OR b."date" <= until_day) AND (day IS NULL OR b."date" = day)
      AND (mkt IS NULL OR b.market = mkt) AND (code IS NULL OR b.stock_code = code)
      AND (low_close IS NULL OR b."close" >= low_close)
-     AND (low_volume IS NULL OR b.volume BETWEEN low_volume AND high_volume))"""
+     AND (low_volume IS NULL OR b.volume BETWEEN low_volume AND high_volume)
+     AND (other_mkt IS NULL OR (b.market <> other_mkt AND b."close" > above AND contains(b.stock_name, 'U1'))))"""
 
 # column, declared type and type in the file, for the columns kept inside a file
 _KEPT5 = {"time": "string", "market": "string", "stock_code": "string", "stock_name": "string",
@@ -83,8 +87,20 @@ ORACLE: dict[str, str] = {
     "cross_version": _day(
         "SELECT *, CASE WHEN \"date\" >= '1998-01-01' THEN \"open\" * 2 END AS amount FROM bars1d"),
     "extra_columns": _day(
-        "SELECT *, \"open\" * 2 AS amount FROM bars1d WHERE \"open\" * 2 >= 500000"),
+        "SELECT *, \"open\" * 2 AS note, CASE WHEN \"date\" >= '1996-01-01' THEN \"open\" * 3 END AS amount "
+        "FROM bars1d WHERE \"open\" * 2 >= 500000"),
     "append_two_batches": _five("SELECT * FROM bars5"),
+    "overwrite_unpartitioned": _five("SELECT * FROM bars5 WHERE market IN ('view', 'click')"),
+    "timestamps_stored": """
+SELECT event_id, epoch_us(CAST(ts AS timestamp)) // 1000 AS ts, epoch_ms(CAST(CAST(ts AS date) AS timestamp)) AS day,
+       CAST(user_id AS bigint) AS text FROM events""",
+    "write_outcomes": _five("""
+SELECT * FROM (VALUES ('empty batch', true, 0), ('missing column', false, 0), ('unfit type', false, 0),
+                      ('nothing stored', true, 0), ('overwrite off', true, 0), ('delete off', true, 0),
+                      ('size in megabytes', true, 0)) AS fixed("case", holds, "rows")
+UNION ALL SELECT 'unchecked batch', true, count(*) FROM bars5
+UNION ALL SELECT 'column not in files is null', true, count(*) FROM bars5
+UNION ALL SELECT 'partition values stay text', true, count(*) FROM bars5 WHERE "Month" = '01'"""),
     "overwrite_partition": _five(
         "SELECT * REPLACE (CASE WHEN \"date\" >= '2024-01-20' THEN \"close\" + 1.0 "
         "ELSE \"close\" END AS \"close\") FROM bars5"),
@@ -99,7 +115,9 @@ SELECT (SELECT count(*) FROM bars5 WHERE market <> 'purchase')
        (SELECT count(*) FROM bars5 b WHERE NOT EXISTS ({_STORED})) AS written,
        (SELECT count(*) FROM bars5 b WHERE EXISTS ({_STORED})) AS found,
        (SELECT count(*) - count(DISTINCT ("date", stock_code, "time")) FROM bars5) AS repeated"""),
-    "drop_repeats": _day("SELECT DISTINCT \"date\", stock_code FROM bars1d"),
+    "drop_repeats": _day(
+        "SELECT * FROM bars1d QUALIFY row_number() OVER (PARTITION BY \"date\", stock_code ORDER BY market, "
+        "stock_name, \"open\", \"close\", high, low, volume) = 1"),
     "compressed_store": _day("SELECT * FROM bars1d"),
     "row_limited_files": _day("SELECT count(*) AS \"rows\", true AS within_limit FROM bars1d"),
     "cleaned_codes": """
@@ -119,11 +137,13 @@ SELECT "Year", "Month", "date", count(*) AS "rows",
 FROM bars5 GROUP BY "Year", "Month", "date\""""),
     "delete_partitions": _five(
         "SELECT * FROM bars5 WHERE \"date\" NOT BETWEEN '2024-01-10' AND '2024-01-12'"),
-    "stats_rows": _day("SELECT 'stock_1day' AS dataset, 'v1' AS version, count(*) AS \"rows\" "
-                       "FROM bars1d"),
+    "stats_rows": _day("SELECT 'stock_1day' AS dataset, 'v1' AS version, count(*) AS \"rows\", "
+                       "CAST(0 AS bigint) AS unreadable FROM bars1d"),
     "partition_stats": _five("SELECT \"Year\", \"Month\", \"date\", count(*) AS \"rows\" FROM bars5 "
                              "GROUP BY \"Year\", \"Month\", \"date\""),
-    "file_metadata": _five("SELECT 9 AS column_count, count(*) AS \"rows\" FROM bars5"),
+    "file_metadata": _five(
+        "SELECT 9 AS column_count, 'time,market,stock_code,stock_name,open,close,high,low,volume' AS \"names\", "
+        "count(*) AS \"rows\" FROM bars5"),
     "stored_partitions": _day("SELECT DISTINCT \"Year\", \"Month\" FROM bars1d "
                               "WHERE \"Year\" BETWEEN '1996' AND '1998'"),
     "calendar_days": _five("""
@@ -143,10 +163,16 @@ FROM (SELECT DISTINCT strftime(l_shipdate, '%Y') AS "Year", strftime(l_shipdate,
                            "count(DISTINCT market) AS market_values, "
                            "count(DISTINCT stock_code) AS stock_code_values FROM bars5"),
     "distinct_dates": _five("SELECT DISTINCT \"date\" FROM bars5"),
-    "reconcile": _five(f"SELECT measure, round(v, 2) AS \"before\", round(v, 2) AS \"after\", "
-                       f"true AS agrees FROM ({_MEASURES})"),
+    "reconcile": _five(f"""
+SELECT 'all' AS side, measure, round(v, 2) AS "before", round(v, 2) AS "after", true AS agrees FROM ({_MEASURES})
+UNION ALL
+SELECT 'one less', measure, round(b.v, 2), round(a.v, 2), b.v = a.v
+FROM ({_MEASURES}) b JOIN ({_MEASURES.replace('FROM bars5', 'FROM (SELECT * FROM bars5 WHERE volume <> (SELECT max(volume) FROM bars5))')}) a
+USING (measure)"""),
     "ingest_envelopes": _five("SELECT * FROM bars5"),
-    "stream_ingest": _five("SELECT * FROM bars5"),
+    "stream_ingest": _five(
+        "SELECT * FROM bars5 QUALIFY row_number() OVER (PARTITION BY \"date\", stock_code, \"time\" ORDER BY market, "
+        "stock_name, \"open\", \"close\", high, low, volume) = 1"),
     "export_records": _day("SELECT * FROM bars1d"),
     "bulk_filters": f"WITH {BARS5_SQL},{_REQUESTS}\nSELECT request_id, count(volume) AS \"rows\" "
                     f"FROM answered GROUP BY request_id",

@@ -29,14 +29,20 @@ def stream_envelopes(store: Store, path: str, files_per_batch: int | None = None
     return envelope_records(reader.json(path))
 
 
+# How records arrived: time and name of their file.
+ARRIVAL = ("__file_time", "__file_path")
+
+
 def envelope_records(documents: DataFrame) -> DataFrame:
-    return documents.select(F.coalesce("version", F.lit("v1")).alias("version"),
-                            F.explode("data").alias("record"))
+    return documents.select(
+        F.coalesce("version", F.lit("v1")).alias("version"), F.explode("data").alias("record"),
+        F.col("_metadata.file_modification_time").alias(ARRIVAL[0]), F.col("_metadata.file_path").alias(ARRIVAL[1]))
 
 
 def record_columns(records: DataFrame, table: Table) -> DataFrame:
-    """The declared columns of each record, as text; a column the record lacks is null."""
-    return records.select(*[F.col("record")[c].alias(c) for c in table.columns])
+    """The declared columns of each record, as text, and how it arrived; a column the record lacks is null."""
+    return records.select(*[F.col("record")[c].alias(c) for c in table.columns],
+                          *[c for c in ARRIVAL if c in records.columns])
 
 
 def absent_columns(records: DataFrame, table: Table) -> list[str]:

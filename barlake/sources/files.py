@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from barlake.sources.scratch import folder_exists
+from barlake.sources.scratch import child_folders, folder_exists
 from barlake.tables import Store, Table
 
 _LISTING = T.StructType([
@@ -44,6 +44,25 @@ def partition_folders(store: Store, table: Table, tuples: Sequence[Sequence]) ->
     return [f for f in folders if folder_exists(store.spark, f)]
 
 
+def month_folders(store: Store, table: Table, first: str | None, last: str | None) -> list[str] | None:
+    """Folders of the months whose days can lie between `first` and `last`, for a table laid out by
+    Year and Month. Lists two levels only. None if a folder name is escaped."""
+    year, month = table.partitions[:2]
+    location, found = store.location(table), []
+    for year_folder, year_text in child_folders(store.spark, location, f"{year}="):
+        if (first and year_text < first[:4]) or (last and year_text > last[:4]):
+            continue
+        if not _PLAIN.fullmatch(year_text):
+            return None
+        for folder, month_text in child_folders(store.spark, year_folder, f"{month}="):
+            if not _PLAIN.fullmatch(month_text):
+                return None
+            day = f"{year_text}-{month_text}"
+            if (not first or day >= first[:7]) and (not last or day <= last[:7]):
+                found.append(folder)
+    return found
+
+
 def stored_files(store: Store, table: Table, folders: Sequence[str] | None = None) -> DataFrame:
     """Path and size of every file with its partition values; file contents are not read.
 
@@ -112,4 +131,6 @@ def footers(files: DataFrame) -> DataFrame:
                 found.append((path, int(length), *read_footer(system, base.rstrip("/") + rest)))
             yield pd.DataFrame(found, columns=names).astype({"rows": "Int64"})
 
-    return files.select("path", "length").mapInPandas(read_footers, FOOTER)
+    # files are listed in tasks by their size, so large ones would each be a Python task of their own
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select("path", "length").repartition(tasks).mapInPandas(read_footers, FOOTER)

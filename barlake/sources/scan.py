@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barlake.functions.columns import all_of, any_of
-from barlake.functions.filters import (compile_filters, filter_arguments, implied_by_date,
+from barlake.functions.filters import (compile_filters, day_bounds, filter_arguments, implied_by_date,
                                        named_partitions)
-from barlake.sources.files import partition_folders
+from barlake.sources.files import month_folders, partition_folders
 from barlake.tables import TYPES, Store, Table
 
 # Beyond this many touched partitions a read is bounded by the smallest and
@@ -40,7 +40,8 @@ def read_stored(store: Store, table: Table, extra_columns: bool = False,
         return store.spark.createDataFrame([], schema)
     try:
         if extra_columns:
-            merged = store.spark.read.option("mergeSchema", True).parquet(location).schema
+            merged = (store.spark.read.option("mergeSchema", True).option("basePath", location)
+                      .parquet(*(folders or [location])).schema)
             schema = T.StructType(schema.fields + [f for f in merged if f.name not in schema.names])
         return (store.spark.read.schema(schema).option("basePath", location)
                 .parquet(*(folders or [location])).select(*schema.names))
@@ -77,10 +78,7 @@ def query_data(store: Store, name: str, version: str = "v1",
 
 def _read(store: Store, table: Table, filters: Mapping[str, Any],
           columns: Sequence[str] | None, extra_columns: bool) -> tuple[DataFrame, list[str]]:
-    if extra_columns:
-        df = read_stored(store, table, extra_columns)
-    else:
-        df = stored_versions(store, table, filters)
+    df = stored_versions(store, table, filters, extra_columns)
     fields = dict(table.columns)
     if extra_columns:
         fields |= {f.name: t for f in df.schema for t, spark_type in TYPES.items()
@@ -94,25 +92,38 @@ def _read(store: Store, table: Table, filters: Mapping[str, Any],
     return df.select(*shown), warnings
 
 
-def stored_versions(store: Store, table: Table, filters: Mapping[str, Any]) -> DataFrame:
+def stored_versions(store: Store, table: Table, filters: Mapping[str, Any],
+                    extra_columns: bool = False) -> DataFrame:
     """Rows of this version and of the versions it declares it can read; new columns are null.
 
-    The filters only narrow down the folders; the caller still has to apply them.
+    The filters only narrow down the folders; the caller still has to apply them. With
+    `extra_columns` the undeclared columns of all versions follow.
     """
-    df = read_stored(store, table, folders=_named_folders(store, table, filters))
+    df = read_stored(store, table, extra_columns, selected_folders(store, table, filters))
     for version in table.reads:
         older = store.table(table.name, version)
-        shared = [c for c in (*older.columns, *older.derived) if c in df.columns]
-        rows = read_stored(store, older, folders=_named_folders(store, older, filters))
-        df = df.unionByName(rows.select(*shared), allowMissingColumns=True)
+        rows = read_stored(store, older, extra_columns, selected_folders(store, older, filters))
+        if not extra_columns:
+            rows = rows.select(*[c for c in (*older.columns, *older.derived) if c in df.columns])
+        df = df.unionByName(rows, allowMissingColumns=True)
     return df
 
 
-def _named_folders(store: Store, table: Table, filters: Mapping[str, Any]) -> list[str] | None:
-    tuples = named_partitions(table, filters)
-    if tuples is None or len(tuples) > NAMED_FOLDERS:
+def selected_folders(store: Store, table: Table, filters: Mapping[str, Any]) -> list[str] | None:
+    """The only folders that can hold rows the filters let through; None to list the whole table.
+
+    Partitions that are named outright are looked up one by one; for bounds on `date` the Year
+    and Month levels are listed, and only the months within the bounds below them.
+    """
+    tuples = named_partitions(table, filters, NAMED_FOLDERS)
+    if tuples is not None:
+        return partition_folders(store, table, tuples)
+    first, last = day_bounds(table, filters)
+    if not table.partitions or tuple(c.lower() for c in table.partitions[:2]) != ("year", "month"):
+        return None
+    if not (table.calendar or table.derived) or (first is None and last is None):
         return None
-    return partition_folders(store, table, tuples)
+    return month_folders(store, table, first, last)
 
 
 def in_partitions(columns: Sequence[str], tuples: Sequence[Row]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -19,7 +19,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
-    return f"{shared_folder(spark)}/barlake-{purpose}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing uses yet; what is written there goes when Spark ends."""
+    parent = f"{shared_folder(spark)}/barlake-{purpose}-{uuid.uuid4().hex}"
+    system, found = hadoop_path(spark, parent)
+    system.mkdirs(found)
+    system.deleteOnExit(found)
+    return f"{parent}/{purpose}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """`df` written to a folder of its own and read from there."""
+    folder = new_folder(df.sparkSession, "kept")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def hadoop_path(spark: SparkSession, path: str):
@@ -33,6 +45,21 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
     return system.exists(found)
 
 
+def child_folders(spark: SparkSession, path: str, prefix: str) -> list[tuple[str, str]]:
+    """(path, rest of the name) of the folders in `path` whose names begin with `prefix`."""
+    system, found = hadoop_path(spark, path)
+    if not system.exists(found):
+        return []
+    children = [(c.getPath().toString(), c.getPath().getName()) for c in system.listStatus(found) if c.isDirectory()]
+    return sorted((p, n.removeprefix(prefix)) for p, n in children if n.startswith(prefix))
+
+
+def rename_folder(spark: SparkSession, path: str, target: str) -> None:
+    system, found = hadoop_path(spark, path)
+    if not system.rename(found, hadoop_path(spark, target)[1]):
+        raise OSError(f"Cannot rename {path} to {target}")
+
+
 def remove_folder(spark: SparkSession, path: str) -> bool:
     system, found = hadoop_path(spark, path)
     return system.delete(found, True)

@@ -13,7 +13,10 @@ from barlake.tables import Store
 def ingest_stream(store: Store, path: str, name: str, checkpoint: str, *,
                   files_per_batch: int | None = None, interval: str | None = None,
                   **options) -> StreamingQuery:
-    """Start a query that appends each drop of envelopes and leaves out stored keys.
+    """Start a query that appends each drop of envelopes; of records with one key the first stays.
+
+    First is the record of the oldest file, by file name among equally old ones, and the smallest
+    row within a file; so it does not matter how the files are cut into micro-batches.
 
     A micro-batch that is run again after a failure adds nothing, because its
     keys are already stored; no streaming state is kept. Without `interval` the
@@ -22,6 +25,7 @@ def ingest_stream(store: Store, path: str, name: str, checkpoint: str, *,
     query, so no record is dropped silently.
     """
     options.setdefault("remove_duplicates", True)
+    options.setdefault("drop_repeats", True)
 
     def append(batch: DataFrame, batch_id: int) -> None:
         for result in ingest_records(store, batch, name, **options):

@@ -125,24 +125,25 @@ class Table:
 
 # ---------------------------------------------------------------- shipped datasets
 
-_PRICES = {"open": "double", "close": "double", "high": "double", "low": "double",
-           "volume": "int64"}
-_STOCK = {"market": "string", "stock_code": "string", "stock_name": "string"}
-_DAILY = {"Year": "string", "Month": "string", "date": "string"}
-_INTRADAY = {**_DAILY, "time": "string"}
-
+# Columns, their order and types, and paths of the shipped datasets.
+
+_INTRADAY = {"Year": "string", "Month": "string", "date": "string", "time": "string", "market": "string",
+             "stock_code": "string", "stock_name": "string", "open": "double", "close": "double",
+             "high": "double", "low": "double", "volume": "int64"}
+_DAILY = {"Year": "string", "Month": "string", "date": "string", "market": "string", "stock_code": "string",
+          "stock_name": "string", "open": "double", "close": "double", "high": "double", "low": "double",
+          "volume": "int64"}
+_MEMBERS = {"index_code": "string", "index_name_en": "string", "index_name_cn": "string", "date": "string",
+            "Year": "string", "Month": "string", "stock_code": "string", "stock_name": "string"}
 BY_DAY = "{name}/{Year}/{Month}/{date}.parquet"
 BY_MONTH = "{name}/{Year}/{Month}.parquet"
+BY_INDEX = "{index_code}.parquet"
 
-STOCK_5MIN = Table("stock_5min", "v1", {**_INTRADAY, **_STOCK, **_PRICES}, BY_DAY, calendar=True)
-STOCK_30MIN = Table("stock_30min", "v1", {**_INTRADAY, **_STOCK, **_PRICES}, BY_MONTH, calendar=True)
-STOCK_60MIN = Table("stock_60min", "v1", {**_INTRADAY, **_STOCK, **_PRICES}, BY_MONTH, calendar=True)
-STOCK_1DAY = Table("stock_1day", "v1", {**_DAILY, **_STOCK, **_PRICES}, BY_MONTH, calendar=True)
-INDEX_CONSTITUENTS = Table(
-    "index_constituents", "v1",
-    {"index_code": "string", "index_name_en": "string", "index_name_cn": "string", **_DAILY,
-     "stock_code": "string", "stock_name": "string"},
-    "{index_code}.parquet")
+STOCK_5MIN = Table("stock_5min", "v1", _INTRADAY, BY_DAY, calendar=True)
+STOCK_30MIN = Table("stock_30min", "v1", _INTRADAY, BY_MONTH, calendar=True)
+STOCK_60MIN = Table("stock_60min", "v1", _INTRADAY, BY_MONTH, calendar=True)
+STOCK_1DAY = Table("stock_1day", "v1", _DAILY, BY_MONTH, calendar=True)
+INDEX_CONSTITUENTS = Table("index_constituents", "v1", _MEMBERS, BY_INDEX)
 
 SHIPPED = (STOCK_5MIN, STOCK_30MIN, STOCK_60MIN, STOCK_1DAY, INDEX_CONSTITUENTS)
 

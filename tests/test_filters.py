@@ -12,15 +12,15 @@ from conftest import ALL_TYPES, BARS_BY_MARKET, BY_MONTH, FLAT
 
 
 @pytest.mark.parametrize("text, value", [
-    ("2026-05-19", "2026-05-19"),
-    ("00700,09988", ["00700", "09988"]),
-    ("00700 , 09988 , 00941", ["00700", "09988", "00941"]),
-    ("00700,,09988,", ["00700", "09988"]),
-    ("2026-05-01~2026-05-19", {"start": "2026-05-01", "end": "2026-05-19"}),
-    ("~1000000", {"end": "1000000"}),
-    ("400~", {"start": "400"}),
-    ("400~500", {"start": "400", "end": "500"}),
-    ("2026-05-01~2026-05-02,2026-05-03", {"start": "2026-05-01", "end": "2026-05-02,2026-05-03"}),
+    ("plain", "plain"),
+    ("x1,y2", ["x1", "y2"]),
+    (" x1 ,y2 , z3", ["x1", "y2", "z3"]),
+    ("x1,,y2,", ["x1", "y2"]),
+    ("2031-02-03~2031-04-05", {"start": "2031-02-03", "end": "2031-04-05"}),
+    ("~17", {"end": "17"}),
+    ("-3~", {"start": "-3"}),
+    ("2~2.5", {"start": "2", "end": "2.5"}),
+    ("b~c,d", {"start": "b", "end": "c,d"}),
     ("a~b~c", {"start": "a", "end": "b~c"}),
     ("~", {}),
     (",", []),
@@ -35,13 +35,27 @@ def test_arguments_need_the_prefix_and_a_known_field():
         {"version": "v1", "date": "2026-05-19", "f_foo": "1", "f_market": "XHKG", "f_close__gt": "4"},
         STOCK_5MIN.columns)
     assert filters == {"market": "XHKG", "close__gt": "4"}
-    assert warnings == ["Unknown filter field 'foo', ignored"]
+    assert warnings == ["No column for filter 'foo', it is left out"]
 
 
 def test_arguments_without_fields_are_not_checked():
     assert filter_arguments({"f_foo": "1"}) == ({"foo": "1"}, [])
 
 
+def test_signs_are_plain_text_after_some_suffixes():
+    given = {"f_close__gt": "1~2", "f_market__like": "a,b", "f_market__ne": "a~b", "f_market__in": "a,b"}
+    assert filter_arguments(given, STOCK_5MIN.columns)[0] == {
+        "close__gt": "1~2", "market__like": "a,b", "market__ne": "a~b", "market__in": ["a", "b"]}
+
+
+def test_long_lists_are_not_multiplied():
+    import time
+    lists = {"market": [f"m{k}" for k in range(1500)], "date": [f"d{k}" for k in range(1500)]}
+    start = time.perf_counter()
+    assert named_partitions(BARS_BY_MARKET, lists) is None
+    assert time.perf_counter() - start < 1
+
+
 def test_repeated_argument_keeps_the_last():
     assert filter_arguments([("f_a", "1"), ("f_a", "2,3")])[0] == {"a": ["2", "3"]}
 

@@ -121,6 +121,16 @@ def test_stream_run_again_from_the_start_adds_nothing(store, tmp_path):
     assert stored(store) == sorted([A, B, C], key=repr)
 
 
+@pytest.mark.parametrize("files_per_batch", [1, 3, None])
+def test_what_a_stream_stores_does_not_depend_on_its_batches(store, tmp_path, files_per_batch):
+    drop = str(tmp_path / "drop")
+    for k, value in enumerate((7.0, 5.0, 9.0)):
+        post(drop, f"f{k}", (*A[:4], value), (*A[:4], value + 1), B)
+        os.utime(f"{drop}/f{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))
+    run(store, drop, str(tmp_path / "checkpoint"), files_per_batch=files_per_batch)
+    assert stored(store) == sorted([(*A[:4], 7.0), B], key=repr)
+
+
 def test_stream_fails_on_a_refused_batch(store, tmp_path):
     drop = str(tmp_path / "drop")
     post(drop, "a", (*A[:4], "expensive"))

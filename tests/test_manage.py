@@ -42,9 +42,9 @@ def test_listing_of_nothing(store):
 
 
 @pytest.mark.parametrize("start, end, days", [
-    ("2026-05-15", "2026-05-18", ["2026-05-15", "2026-05-16", "2026-05-17", "2026-05-18"]),
-    ("2026-05-15", "2026-05-15", ["2026-05-15"]),
-    ("2026-05-16", "2026-05-15", []),
+    ("2025-12-30", "2026-01-02", ["2025-12-30", "2025-12-31", "2026-01-01", "2026-01-02"]),
+    ("2026-07-04", "2026-07-04", ["2026-07-04"]),
+    ("2026-07-05", "2026-07-04", []),
     ("2024-02-28", "2024-03-01", ["2024-02-28", "2024-02-29", "2024-03-01"])])
 def test_calendar(spark, start, end, days):
     assert sorted(r[0] for r in manage.calendar(spark, start, end).collect()) == days
@@ -134,6 +134,22 @@ def test_delete_reports_folders_that_stay(filled, monkeypatch):
     assert len(result.errors) == 1 and "read-only" in result.errors[0]["error"]
 
 
+def test_delete_reports_what_the_file_system_refuses(filled, monkeypatch):
+    monkeypatch.setattr(manage, "remove_folder", lambda spark, folder: False)
+    result = manage.delete_partitions(filled, "bars_by_market", date="2026-05-15")
+    assert (result.partitions_deleted, result.rows_deleted, len(result.errors)) == (0, 0, 2)
+    assert read_data(filled, "bars_by_market").count() == 6
+
+
+def test_delete_of_unreadable_files(filled):
+    folder = os.path.dirname(glob.glob(f"{filled.base}/**/market=XHKG/date=2026-05-15/*.parquet", recursive=True)[0])
+    with open(f"{folder}/broken.parquet", "wb") as file:
+        file.write(b"not parquet")
+    result = manage.delete_partitions(filled, "bars_by_market", date="2026-05-15")
+    assert (result.partitions_deleted, result.rows_deleted, result.errors) == (2, 2, [])
+    assert len(result.unreadable) == 1 and read_data(filled, "bars_by_market").count() == 4
+
+
 # ---------------------------------------------------------------- statistics and reports
 
 def test_storage_stats_count_unreadable_files(filled):
@@ -200,6 +216,18 @@ def test_profile_and_reconciliation(filled, bars):
     assert {r["measure"] for r in short.where("NOT agrees").collect()} == {"rows", "sum open"}
 
 
+def test_reconciliation_is_exact_at_size(spark):
+    big = spark.range(0, 1000, 1, 4).select((F.lit(9 * 10**15) + F.col("id")).alias("n"))
+    less = big.withColumn("n", F.when(F.col("n") == 9 * 10**15, F.col("n") - 1).otherwise(F.col("n")))
+    assert [r["agrees"] for r in stats.reconcile(big, less, ["n"]).where("measure = 'sum n'").collect()] == [False]
+    widest = spark.range(3).select(F.lit(2**63 - 1).alias("n"))
+    assert stats.reconcile(widest, widest, ["n"]).where("NOT agrees").count() == 0
+    wild = spark.range(0, 200_000, 1, 8).select((F.rand(3) * 1e9).alias("x"))
+    other_order = wild.repartition(3, F.col("x")).sortWithinPartitions("x")
+    assert stats.reconcile(wild, other_order, ["x"]).where("NOT agrees").count() == 0
+
+
+# The published totals of the round trip.
 def test_round_trip_sums(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     rows = [("2026", "05", day, f"{9 + i // 12:02}:{i % 12 * 5:02}", market, code, "n",
@@ -225,7 +253,7 @@ def test_export(filled, spark, tmp_path):
     path = str(tmp_path / "out")
     described = export_records(filled, "bars_by_market", path, args={"f_market": "XHKG", "f_foo": "1"})
     assert described == {"data_type": "bars_by_market", "version": "v1", "total_rows": 3,
-                         "filters": {"market": "XHKG"}, "warnings": ["Unknown filter field 'foo', ignored"]}
+                         "filters": {"market": "XHKG"}, "warnings": ["No column for filter 'foo', it is left out"]}
     assert spark.read.schema(BARS_BY_MARKET.schema).json(path).count() == 3
 
 

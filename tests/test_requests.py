@@ -17,6 +17,9 @@ TEXTS = {
     "close": ["150~", "~120.5", "100~160", "120.5", "120.5,130,x", "x"],
     "volume": ["1000~1010", "~1000.5", "1005", "1e3~"],
     "unknown": ["1"],
+    "close__gt": ["120.5", "150"], "close__lte": ["160"], "volume__gte": ["1000.5", "-1e45"], "volume__lt": ["1e45", "1010"],
+    "market__ne": ["XHKG", "XHKG, XSHE"], "stock_name__like": ["S00", "519"], "date__gt": ["2026-05-15"],
+    "time__between": ["10:00,11:00", "10:00~11:00"], "stock_code__in": ["00700", "00700, 600519"], "volume__ne": ["1005,1006.0"],
 }
 
 
@@ -52,7 +55,7 @@ def test_bulk_answers_equal_single_queries(spark, integration, name, join_path):
 
 def test_rows_are_whole(spark, integration):
     asked = {"a": [("date", "2026-05-15"), ("stock_code", "00700")], "b": [("stock_code", "00700,00941")]}
-    rows = answer_requests(integration[0], "stock_5min", frame(spark, asked))
+    rows = answer_requests(integration[0], "stock_5min", frame(spark, asked))[0]
     assert rows.columns == ["request_id", *integration[0].table("stock_5min").columns]
     assert sorted((r["request_id"], r["count"]) for r in rows.groupBy("request_id").count().collect()) == [
         ("a", 72), ("b", 432)]
@@ -60,7 +63,7 @@ def test_rows_are_whole(spark, integration):
 
 def test_no_nested_loop_and_pruned_scan(spark, integration, join_path):
     asked = {"a": [("date", "2026-05-15"), ("close", "150~")], "b": [("date", "2026-05-16")]}
-    rows = answer_requests(integration[0], "stock_5min", frame(spark, asked))
+    rows = answer_requests(integration[0], "stock_5min", frame(spark, asked))[0]
     text = plan_of(rows)
     assert "NestedLoop" not in text and "Cartesian" not in text
     assert "(date" in text and ">= 2026-05-15" in text and "<= 2026-05-16" in text
@@ -69,15 +72,40 @@ def test_no_nested_loop_and_pruned_scan(spark, integration, join_path):
 def test_repeated_field_keeps_the_last(spark, integration):
     rows = [("a", "market", "XHKG", 1), ("a", "market", "XSHG", 2), ("a", "date", "2026-05-15", 0)]
     asked = spark.createDataFrame(rows, "request_id string, field string, text string, seq int")
-    found = answer_requests(integration[0], "stock_5min", asked).select("market").distinct().collect()
+    found = answer_requests(integration[0], "stock_5min", asked)[0].select("market").distinct().collect()
     assert [r[0] for r in found] == ["XSHG"]
 
 
 def test_problems_are_reported(spark, integration):
     asked = {"a": [("foo", "1")], "b": [("close", "x~")], "c": [("market", "~")], "d": [("market", " , ")],
-             "e": [("date", "x~")], "f": [("volume", "1~2")]}
+             "e": [("date", "x~")], "f": [("volume", "1~2")], "g": [("close__gt", "x")], "h": [("close__like", "1")],
+             "i": [("date__between", "1")], "j": [("date__between", "1,2")], "k": [("foo__gt", "1")]}
     problems = request_problems(integration[0].table("stock_5min"), frame(spark, asked)).collect()
-    assert {r["request_id"] for r in problems} == {"a", "b", "c", "d"}
+    assert {r["request_id"] for r in problems} == {"a", "b", "c", "d", "g", "h", "i", "k"}
+    answered = answer_requests(integration[0], "stock_5min", frame(spark, asked))[1].collect()
+    assert sorted(answered) == sorted(problems)
+
+
+def test_one_scan_and_code_requests_are_not_spread(spark, integration, monkeypatch):
+    """Requests of every kind meet the rows in one scan, and one by code is one row to join."""
+    asked = {"a": [("stock_code", "00700")], "b": [("time", "09:30")], "c": [("date", "2026-05-15")], "d": [("close", "1~")]}
+    written, write = [], bulk.kept
+    monkeypatch.setattr(bulk, "kept", lambda df: written.append(write(df)) or written[-1])
+    rows = answer_requests(integration[0], "stock_5min", frame(spark, asked))[0]
+    assert plan_of(rows).count("FileScan parquet") == 2  # the table and the keyed requests
+    keyed = {r["request_id"]: r["count"] for r in written[-1].groupBy("request_id").count().collect()}
+    assert (keyed["a"], keyed["b"], keyed["c"]) == (1, 1, 1)
+    assert {r["request_id"] for r in rows.select("request_id").distinct().collect()} == set("abcd")
+
+
+@pytest.mark.parametrize("text", ["-1e45~", "~1e45", "1e45~", "~-1e45", "nan~", "-Infinity~Infinity", "1e45", "1,1e45"])
+def test_extreme_numbers_as_in_single_reads(spark, store, text):
+    df = spark.createDataFrame([("r", 1, 1.0, 7), ("s", -5, 2.5, 8)], "id string, a_int64 long, a_double double, a_uint64 long")
+    write_data(store, df, "all_types", validate_schema=False)
+    asked = {c: [(c, text)] for c in ("a_int64", "a_double", "a_uint64")}
+    got = {r["request_id"]: r["rows"] for r in count_requests(store, "all_types", frame(spark, asked)).collect()}
+    single = {c: query_data(store, "all_types", args=[(f"f_{c}", text)])[0].count() for c in asked}
+    assert got == single
 
 
 @pytest.mark.parametrize("text, rows", [("1", 1), (f"{2**53}", 0), (f"{2**53 + 1}", 1), ("1~", 2), ("0.5~1.5", 1)])
@@ -101,7 +129,7 @@ def test_nothing_stored_or_asked(spark, store, integration):
     asked = frame(spark, {"a": [("code", "1")]})
     assert [tuple(r) for r in count_requests(store, "flat", asked).collect()] == [("a", 0)]
     none = asked.where("false")
-    assert answer_requests(integration[0], "stock_5min", none).count() == 0
+    assert answer_requests(integration[0], "stock_5min", none)[0].count() == 0
 
 
 def test_derived_partitions(spark, store):

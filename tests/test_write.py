@@ -15,8 +15,8 @@ from barlake.sources.scan import read_data, read_stored
 from barlake.tables import INDEX_CONSTITUENTS, STOCK_1DAY, STOCK_5MIN, Store, Table
 from conftest import ALL_TYPES, BARS_BY_MARKET, BY_MONTH, FLAT, TABLES, partition_filters, plan_of, pushed_filters
 
-ROW = ("2026-05-15", "00700", "XHKG", "09:30", 380.0)
-OTHER = ("2026-05-15", "600519", "XSHG", "09:30", 1500.0)
+ROW = ("2026-05-15", "00317", "XHKG", "09:30", 380.0)
+OTHER = ("2026-05-15", "600421", "XSHG", "09:30", 1500.0)
 
 
 def stored_rows(store, name="bars_by_market"):
@@ -276,7 +276,7 @@ def test_only_touched_partitions_are_read(store, bars):
     assert stored.count() == 1
     assert "XHKG" in partition_filters(stored)[0] and "2026-05-15" in partition_filters(stored)[0]
     bounded = write.within_key_bounds(stored, bars((*ROW[:4], 5.0)), BARS_BY_MARKET)
-    assert bounded.count() == 1 and "GreaterThanOrEqual(code,00700)" in pushed_filters(bounded)[0]
+    assert bounded.count() == 1 and "GreaterThanOrEqual(code,00317)" in pushed_filters(bounded)[0]
 
 
 def test_only_touched_folders_are_listed(store, bars):
@@ -296,8 +296,8 @@ def test_only_touched_folders_are_listed(store, bars):
 
 def test_batch_checks_do_not_sort_the_rows(bars, monkeypatch):
     seen = []
-    limit = type(bars(ROW)).limit
-    monkeypatch.setattr(type(bars(ROW)), "limit", lambda df, n: (seen.append(plan_of(df)), limit(df, n))[1])
+    collect = type(bars(ROW)).collect
+    monkeypatch.setattr(type(bars(ROW)), "collect", lambda df: (seen.append(plan_of(df)), collect(df))[1])
     route_batch(bars(ROW), BARS_BY_MARKET)
     assert "HashAggregate" in seen[0] and "SortAggregate" not in seen[0]
 
@@ -308,12 +308,97 @@ def test_many_partitions_are_bounded_instead_of_listed(store, bars, monkeypatch)
     monkeypatch.setattr(write, "EXACT_PARTITIONS", 3)
     batch = bars(*rows[5:15], ("2026-06-01", None, "XHKG", "09:30", 1.0))
     route = route_batch(batch, BARS_BY_MARKET)
-    assert (route.rows, route.partitions, route.paths) == (11, 11, [])
+    assert (route.rows, route.partitions, len(route.paths)) == (11, 11, 11)
     result = write_data(store, batch, "bars_by_market", remove_duplicates=True)
     assert (result.duplicates_found, result.total_rows) == (10, 1)
     assert len(stored_rows(store)) == 21
 
 
+def test_every_path_is_returned_however_many(spark, store):
+    df = spark.range(1500).select(F.format_string("d%05d", "id").alias("date"), F.lit("c").alias("code"),
+                                  F.lit(1.0).alias("open"))
+    result = write_data(store, df, "daily_min", count_repeats=False)
+    assert result.partitions_written == 1500
+    assert result.paths == [f"daily_min/d{k:05}.parquet" for k in range(1500)]
+
+
+def test_the_smallest_of_repeated_rows_stays(store, bars):
+    batch = bars((*ROW[:4], 3.0), (*ROW[:4], 1.0), (*ROW[:4], 2.0), OTHER).withColumn("arrived", F.col("open") * -1)
+    assert write_data(store, batch.drop("arrived"), "bars_by_market", drop_repeats=True).total_rows == 2
+    assert stored_rows(store) == [(*ROW[:4], 1.0), OTHER]
+    later = batch.withColumn("date", F.lit("2026-06-01"))
+    assert write_data(store, later, "bars_by_market", drop_repeats=True, order=["arrived"]).success
+    assert (("2026-06-01", *ROW[1:4], 3.0)) in stored_rows(store)
+
+
+def test_failed_overwrite_leaves_the_old_rows(spark, store, monkeypatch):
+    rows = [("1", "a", 1.0), ("2", "b", 2.0)]
+    df = spark.createDataFrame(rows, FLAT.schema)
+    write_data(store, df, "flat")
+    from dataclasses import replace
+    with pytest.raises(ValueError):
+        write_data(replace(store, compression="nope"), df, "flat", mode="overwrite")
+    fails = read_data(store, "flat").withColumn("name", F.raise_error(F.lit("broken")).cast("string"))
+    with pytest.raises(Exception, match="broken"):
+        write_data(store, fails, "flat", mode="overwrite", stage=False)
+    real = write.rename_folder
+
+    def refuse(spark, path, target):
+        if path.endswith("-new"):
+            raise OSError("no rename")
+        real(spark, path, target)
+
+    monkeypatch.setattr(write, "rename_folder", refuse)
+    with pytest.raises(OSError):
+        write_data(store, df.limit(1), "flat", mode="overwrite")
+    assert stored_rows(store, "flat") == rows
+
+
+def test_extra_columns_keep_their_stored_type(spark, store):
+    row = spark.createDataFrame([("2026-05-15", "a", 1.0, 2.5)], "date string, code string, open double, x double")
+    assert write_data(store, row, "daily_min", extra_columns=True).success
+    other = row.withColumns({"x": F.lit("text"), "code": F.lit("b")})
+    refused = write_data(store, other, "daily_min", extra_columns=True)
+    assert refused.errors == ["Column x is stored as double, not string"]
+    assert [r["x"] for r in read_data(store, "daily_min", extra_columns=True).collect()] == [2.5]
+
+
+def test_moments_and_whole_numbers_with_a_point(spark, store):
+    df = spark.sql("""SELECT '1' AS id, TIMESTAMP_NTZ '2026-05-15 09:30:00.250' AS a_stamp, '1000.0' AS a_int64, '7.00' AS a_uint64
+                      UNION ALL SELECT '2', TIMESTAMP_NTZ '1969-12-31 23:59:59', '-1e3', null""")
+    assert write_data(store, df, "all_types", validate_schema=False).success
+    rows = {r["id"]: (r["a_stamp"], r["a_int64"], r["a_uint64"]) for r in read_data(store, "all_types").collect()}
+    assert rows == {"1": (1778837400250, 1000, Decimal(7)), "2": (-1000, -1000, None)}
+    day = spark.sql("SELECT '3' AS id, DATE '2026-05-15' AS a_stamp")
+    assert write_data(store, day, "all_types", validate_schema=False).success
+    assert read_data(store, "all_types", id="3").first()["a_stamp"] == 1778803200000
+    bad = spark.createDataFrame([("4", "1000.5")], "id string, a_int64 string")
+    assert not write_data(store, bad, "all_types", validate_schema=False).success
+
+
+def test_unfit_types_are_reported(spark, store):
+    df = spark.sql("SELECT '1' AS id, X'00' AS a_int64, current_date() AS a_double")
+    full = df.select("*", *[F.lit(None).cast("string").alias(c) for c in ALL_TYPES.columns if c not in df.columns])
+    [error] = write_data(store, full, "all_types").errors
+    assert "a_int64 (binary)" in error and "a_double (date)" in error
+    counts = {r["column"]: r["failed"] for r in checks.type_report(df, ALL_TYPES).collect()}
+    assert (counts["a_int64"], counts["a_double"]) == (1, 1)
+
+
+def test_the_source_is_read_once(spark, store, bars):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    write_data(store, bars(ROW), "bars_by_market")
+    source = bars(ROW, OTHER, (*OTHER[:3], "09:35", 1.0)).mapInPandas(count, BARS_BY_MARKET.schema)
+    result = write_data(store, source, "bars_by_market", remove_duplicates=True, drop_repeats=True)
+    assert (result.total_rows, read.value) == (2, 3)
+
+
 def test_members_need_their_own_key(spark, store, tmp_path):
     first = spark.createDataFrame([("hsi", "a", "a", "2026-05-19", 2026, 5, "00700", "T")],
                                   ["index_code", "index_name_en", "index_name_cn", "date", "Year",
