@@ -9,11 +9,15 @@ Similarity keeps order too: with L the length of the longest common subsequence
 two texts, it is L / (n1 + n2 - L), the share of common shingles if none changed places. A pair is
 verified by an alignment restricted to the band outside of which no similar pair can align.
 
+Before that, the parities of how many shingles of a text fall into each of 2,048 bins bound the number
+of shingles that two texts do not share: each bin of different parity holds one at least. Pairs
+above what the similarity allows are dropped on sight.
+
 Buckets are never turned into all their pairs. First every member is compared with the member of
 smallest key. Links become components; a bucket whose members are all in one component is done. In
-the others members outside the largest component are compared with those of other components, in
-two rounds (some of them first, so that large groups join early, then all the rest), so no link
-between different components is lost.
+the others all members are compared with some of other components, so that large groups join early;
+then those still outside the largest component of a bucket are compared with all of other
+components, so no link between different components is lost.
 
 Rows: documents of equal words are one class from the start, and go on as one row. A text of fewer
 than five words is one shingle. Null, empty and wordless texts have no shingles and stay alone. The
@@ -26,22 +30,27 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlake.llm.names import MULTIPLIER, doubled, mixed, paired
 from barlake.llm.packed import firsts
 from barlake.llm.shared import cut, small_batches, small_side, utf8
 from barlake.llm.words import words_of
+from barlake.sources.scratch import kept
 
 WORDS = 5
 SIMILARITY = 0.8
 SKETCHES = 16
 KEPT = 4
+#: 64-bit words of parities of a text.
+PARITY_WORDS = 32
+#: Words that are compared before all others.
+FIRST_WORDS = 8
 #: Bits of hash that are looked at first: enough for this many shingles of a text on average.
 EXPECTED = 16
-#: Members of a bucket compared in the round before the last, on average.
-EARLY = 8
+#: Members of a bucket, on average, that all others are compared with in the round before the last.
+EARLY = 32
 
 
 def shingles_of(names: np.ndarray, bounds: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +122,16 @@ def sketches(names: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return found
 
 
-SKETCH = "id long, at long, key long, node binary, n int, buckets array<long>"
+SKETCH = "id long, at long, key long, node binary, n int, buckets array<long>, parity array<long>"
+
+
+def parities(names: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """PARITY_WORDS words for each text: bit b is set if an odd number of its shingles falls into bin b."""
+    found = np.zeros((len(offsets) - 1, PARITY_WORDS), np.uint64)
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    bin_ = names >> np.uint64(64 - (PARITY_WORDS * 64).bit_length() + 1)
+    np.bitwise_xor.at(found, (text, (bin_ >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bin_ & np.uint64(63)))
+    return found.view(np.int64)
 
 
 def _sequence_keys(words: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
@@ -127,11 +145,13 @@ def _sketch(batches):
         _, _, words, bounds = words_of(*utf8(batch.column(3)))
         names, offsets = shingles_of(words, bounds)
         found = sketches(names, offsets).view(np.int64)
-        each = np.arange(batch.num_rows + 1, dtype=np.int32) * SKETCHES
+        each = np.arange(batch.num_rows + 1, dtype=np.int32)
         yield pa.RecordBatch.from_arrays(
             [*batch.columns[:3], pa.array(_sequence_keys(words, bounds), pa.binary()),
-             pa.array(np.diff(offsets).astype(np.int32)), pa.ListArray.from_arrays(pa.array(each), pa.array(found.ravel()))],
-            names=["id", "at", "key", "node", "n", "buckets"])
+             pa.array(np.diff(offsets).astype(np.int32)),
+             pa.ListArray.from_arrays(pa.array(each * SKETCHES), pa.array(found.ravel())),
+             pa.ListArray.from_arrays(pa.array(each * PARITY_WORDS), pa.array(parities(names, offsets).ravel()))],
+            names=["id", "at", "key", "node", "n", "buckets", "parity"])
 
 
 def _shingles_of_nodes(batches):
@@ -215,23 +235,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, least: float
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of all nodes with links, the root being the smallest node of the component.
 
-    Alternates large and small stars until nothing changes; links are (a, b).
+    Every node takes the smallest root among its neighbours, then the root of that root, until
+    nothing changes. Each round is written as a table: through a checkpoint Spark would carry what it
+    infers about the columns from round to round, more each time. Links are (a, b).
     """
-    stars, before = cut(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                        .distinct()), None
+    links = links.where("a != b")
+    edges = kept(links.select("a", "b").unionAll(links.select("b", "a")).distinct())
+    roots = kept(edges.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node")))
     while True:
-        both = stars.unionAll(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        stars = cut(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
-        state = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    return cut(stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
-               .unionAll(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
+        near = (edges.join(roots, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node"))
+                .agg(F.min("root").alias("near")))
+        met = roots.join(near, "node").select("node", F.col("root").alias("before"), F.least("root", "near").alias("via"))
+        jump = met.select(F.col("node").alias("via"), F.col("via").alias("root"))
+        after = kept(met.join(jump, "via").select("node", "before", F.least("via", "root").alias("root")))
+        changed = after.where("root != before").limit(1).count()
+        roots = after.select("node", "root")
+        if not changed:
+            return roots
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -245,43 +265,56 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
                         F.xxhash64("text").alias("key"), "text")
     sketched = cut(texts.mapInArrow(_sketch, SKETCH))
     nodes = cut(sketched.where("node is not null").groupBy("node").agg(
-        F.min("id").alias("id"), F.min("at").alias("at"), F.first("n").alias("n"), F.first("buckets").alias("buckets")))
+        F.min("id").alias("id"), F.min("at").alias("at"), F.first("n").alias("n"), F.first("buckets").alias("buckets"),
+        F.first("parity").alias("parity")))
     texts = texts.select("at", "text")
     entries = nodes.select("node", "n", F.posexplode("buckets").alias("sketch", "name")).select(
         F.xxhash64("sketch", "name").alias("bucket"), "node", "n")
     shared = entries.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 1")
     members = cut(entries.join(shared, "bucket"))
-    sizes = nodes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"))
-    ratio = F.lit(least)
-    fits = lambda x, y: F.least(x, y) >= ratio * F.greatest(x, y)  # noqa: E731  all of the shorter would match
-    pairs = cut(members.where("node != hub").select("hub", "node", "n").distinct().join(sizes, "hub")
-                .where(fits(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    known = nodes.select("node", "n", "parity")
+
+    def may_be(a: str, b: str) -> Column:
+        """Whether the lengths and parities of two texts allow the similarity."""
+        n, m = F.col(f"{a}n"), F.col(f"{b}n")
+        allowed = (n + m) * F.lit((1 - least) / (1 + least)) + F.lit(1e-6)
+        x, y = F.col(f"{a}parity"), F.col(f"{b}parity")
+        some = sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(FIRST_WORDS)), F.lit(0))  # drops most at once
+        differ = F.aggregate(F.zip_with(x, y, lambda v, w: F.bit_count(v.bitwiseXOR(w))),
+                             F.lit(0), lambda total, bits: total + bits)
+        return ((F.least(n, m) >= F.lit(least) * F.greatest(n, m))  # all of the shorter would match
+                & (some <= allowed) & (differ <= allowed))
+
+    def named(side: str) -> DataFrame:
+        return known.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("parity").alias(f"{side}_parity"))
+
+    pairs = cut(members.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+                .join(named("a"), "a").join(named("b"), "b").where(may_be("a_", "b_")).select("a", "b"))
     links = _verified(pairs, texts, nodes, least)
+    found = components(links)
     for last in (False, True):
-        found = components(links)
         placed = (members.join(found, "node", "left")
                   .select("bucket", "node", "n", "hub", F.coalesce("root", "node").alias("root")))
         parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("c"))
         largest = (parts.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("size"),
                                                F.count("*").alias("parts")).where("parts > 1")
-                   .select("bucket", F.col("top.root").alias("major"), (F.col("size") - F.col("top.c")).alias("minor")))
-        active = cut(placed.join(largest, "bucket").withColumn(
+                   .select("bucket", "size", F.col("top.root").alias("major")))
+        active = cut(placed.join(largest, "bucket").drop("n").join(known, "node").withColumn(
             "turn", F.pmod(F.xxhash64("bucket", "node"), F.lit(1 << 40)) / F.lit(float(1 << 40))))
-        limit = F.lit(2.0) if last else F.lit(float(EARLY)) / F.col("minor")
-        asking = active.where((F.col("root") != F.col("major")) & (F.col("turn") < limit)).select(
-            "bucket", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("root").alias("a_root"),
-            F.col("turn").alias("a_turn"))
-        met = asking.join(active, "bucket").where(
-            (F.col("a_root") != F.col("root")) & fits(F.col("a_n"), F.col("n"))
-            & ((F.col("root") == F.col("major")) | (F.col("turn") > F.col("a_turn"))))
+        asks = F.col("root") != F.col("major") if last else F.col("turn") < F.lit(float(EARLY)) / F.col("size")
+        asking = active.where(asks).select(
+            "bucket", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("parity").alias("a_parity"),
+            F.col("root").alias("a_root"), F.col("turn").alias("a_turn"))
+        once = (F.col("turn") > F.col("a_turn")) | ((F.col("root") == F.col("major")) if last else ~asks)
+        met = asking.join(active, "bucket").where((F.col("a_root") != F.col("root")) & once & may_be("a_", ""))
         pairs = cut(met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
                     .join(pairs, ["a", "b"], "left_anti")) if not active.isEmpty() else None
-        if pairs is None or pairs.isEmpty():
-            if pairs is None or last:
-                break
-            continue
-        links = cut(links.unionAll(_verified(pairs, texts, nodes, least)))
-    found = components(links)
+        if pairs is None:
+            break
+        more = _verified(pairs, texts, nodes, least) if not pairs.isEmpty() else None
+        if more is not None and not more.isEmpty():
+            links = cut(links.unionAll(more))
+            found = components(links)
     placed = cut(nodes.join(found, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")))
     smallest = placed.groupBy("root").agg(F.min("id").alias("group"))
     named = small_side(cut(placed.join(smallest, "root").select(F.col("node").alias("own"), "root", "group")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 REPOSITORY = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: A side up to this many bytes, measured on the written rows, is broadcast; a larger one is shuffled.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 8 << 20
 #: Arrays over text are built for about this many bytes at a time.
 BLOCK_BYTES = 1 << 19
 #: A task holds what it gathers from about this many bytes of text before it hands it on.

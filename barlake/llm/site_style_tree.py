@@ -114,8 +114,8 @@ class PageParser(HTMLParser):
             self._close(ENDS_BEFORE[tag], {"ul", "ol", "dl", "table", "select"})
         self._close({"p"}, {"button", "td", "th", "article", "section", "div", "li", "blockquote"})
         path, noise, region = self.state
-        noise = noise or self._noisy(tag, attrs) or (tag == "header" and not region)
         names = dict(attrs)
+        noise = noise or self._noisy(tag, attrs) or (not region and self._is_header(tag, names))
         if not noise and tag == "article":
             region = 2
         elif not noise and (tag == "main" or names.get("role") == "main"):
@@ -147,6 +147,12 @@ class PageParser(HTMLParser):
                 return True
         return False
 
+    @staticmethod
+    def _is_header(tag, names) -> bool:
+        """A header of the page, not of its article."""
+        shown = f"{names.get('class') or ''} {names.get('id') or ''}".lower()
+        return tag == "header" or (tag in ("div", "section", "table") and "header" in re.split(r"[^a-z0-9]+", shown))
+
     def handle_endtag(self, tag):
         if any(entry[0] == tag for entry in self.open):
             if tag in INLINE:  # only those that hold noise are open

@@ -116,3 +116,17 @@ def test_order_matters():
     a = np.arange(100, dtype=np.uint32)
     assert not near.similar(a, np.concatenate([a[50:], a[:50]]))
     assert near.similar(a, np.delete(a, [3, 50, 51]))
+
+
+def test_parities_bound_what_two_texts_do_not_share():
+    rng = np.random.default_rng(3)
+    names = rng.integers(0, 2**63, 400).astype(np.uint64) * np.uint64(2)
+    sizes = [0, 1, 40, 41, 120, 118]
+    texts = [np.sort(rng.choice(names[:60 if n < 60 else 400], n)) for n in sizes]
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    found = near.parities(np.concatenate(texts), offsets)
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            bound = int(np.bitwise_count(found[i].view(np.uint64) ^ found[j].view(np.uint64)).sum())
+            both = sum(min((a == x).sum(), (b == x).sum()) for x in set(a.tolist()) & set(b.tolist()))
+            assert bound <= len(a) + len(b) - 2 * both

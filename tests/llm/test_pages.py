@@ -34,6 +34,8 @@ def test_regions_and_noise():
         "<p>kept <span class='ad'>buy</span> on</p>": "kept on",
         "<div hidden>x</div><div style='display: none'>y</div><div role=navigation>z</div>a": "a",
         "<article class='comment'><p>x</p></article><p>a</p>": "a",
+        "<div id='site-header'><p>x</p></div><div class=body><p>a</p></div>": "a",
+        "<article><div class='header'><h2>t</h2></div>a</article>": "t\na",
         "plain": "plain", "": "", "<p>": "", "a < b & c &#x41;": "a < b & c A",
         "<p>a<!-- x --><b>b</p><p>c</b></p>": "ab\nc", "</div></p>a<br/>b": "a b",
         "<script>if (a<b) document.write('<p>no</p>')</script><textarea><p>no</textarea>a": "a",
