@@ -6,8 +6,9 @@ the bytes around them alone and an insertion moves no boundary beyond its neighb
 25 bytes or longer, 49 on average; one of more than 512 bytes is split every 512.
 
 Chunks with equal digests are equal. A chunk is repeated if a document with a smaller id has it.
-Repeated neighbours are joined, and ranges of at least 50 bytes are removed. Digests are exchanged
-packed in arrays; each task first folds its own equal chunks.
+Every repeated chunk is removed, whatever its length, repeated neighbours as one range; callers of
+`remove_repeats` may ask for a least length of these ranges. Digests are exchanged packed in arrays;
+each task first folds its own equal chunks.
 
 Rows: as for suffix-array dedup. A null id counts as later than every id; rows with equal text are
 one class, whose later rows repeat it as a whole; null text is empty.
@@ -30,7 +31,8 @@ from barlake.llm.shared import blocks, flushes, ints, shuffle_parts, utf8
 GEAR = 16
 REACH = 24
 LONGEST = 512
-LEAST_REMOVED = 50
+#: Bytes of the shortest range that is removed: all of them.
+LEAST_REMOVED = 1
 DIGEST = 12
 #: A longer text is hashed in pieces of so many bytes, with the bytes around that their hashes need.
 PIECE = 1 << 22
@@ -196,11 +198,12 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     return gathered_spans(found, parts)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = LEAST_REMOVED) -> DataFrame:
     """(id, key, text, rest, kept, spans) of every document: `kept` are the bytes of the text that
-    are left, `spans` the removed byte ranges; `id` is the doc_id, `key` a hash of the text."""
+    are left, `spans` the removed byte ranges, those under `least` bytes left out; `id` is the
+    doc_id, `key` a hash of the text."""
     texts = keyed_texts(docs)
-    return without_spans(texts, text_classes(texts), repeated_spans(texts), LEAST_REMOVED)
+    return without_spans(texts, text_classes(texts), repeated_spans(texts), max(1, least))
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from barlake.llm import chunk_dedup, names, suffix_dedup
+from barlake.llm.packed import removal_report
 from .samples import ODD_ROWS, prose
 
 LATE = 1 << 62
@@ -176,3 +177,25 @@ def test_passages_of_fifty_words_are_caught(make_docs):
     removed = {r.doc_id: r.n_removed for r in chunk_dedup.digests(make_docs(rows)).collect()}
     assert all(removed[k] > 50 for k in range(30, 60))
     assert not any(removed[k] for k in [*range(30), *range(60, 90)])
+
+
+def shared_lines():
+    """Copies under 50 bytes, and one line in many texts that holds few whole chunks."""
+    lines = [prose(500 + k, 14) for k in range(4)]
+    rows = [(k, "\n".join([prose(k, 25), lines[k % 4], prose(1000 + k, 25)])) for k in range(24)]
+    return rows + [(50, "twin"), (51, "twin"), (52, "a short text of few words"), (None, "a short text of few words"), (53, "")]
+
+
+def test_short_chunks_and_copies_go(make_docs, monkeypatch):
+    rows = shared_lines()
+    with monkeypatch.context() as limit:
+        limit.setattr(chunk_dedup, "LEAST_REMOVED", 0)
+        every = chunk_brute_force(rows)
+        limit.setattr(chunk_dedup, "LEAST_REMOVED", 50)
+        long_ones = chunk_brute_force(rows)
+    docs = make_docs(rows)
+    assert collected(chunk_dedup.digests(docs)) == every
+    removed = {(r.id, s.end - s.start) for r in chunk_dedup.remove_repeats(docs).collect() for s in r.spans}
+    assert {(51, 4), (chunk_dedup.NO_ID, 25)} <= removed
+    assert any(25 <= n < 50 for d, n in removed if d < 24)
+    assert collected(removal_report(chunk_dedup.remove_repeats(docs, least=50))) == long_ones != every
