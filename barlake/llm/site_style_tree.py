@@ -4,12 +4,14 @@ The pages of a host are merged into one tree: a node is a style path, the tags a
 `body` down, and holds how many pages have it and which contents they show there. Its importance is
 one minus the mean entropy of its contents over the pages (logarithm to the number of pages): 1 if
 every page shows its own text, 0 if all show the same. Presentation counts by the entropy of the
-styles that follow a node, weighted as in the published measure. Branches below IMPORTANCE are left
-out of each page, on hosts with enough different pages to tell. Equal pages of a host count once.
+styles that follow a node, weighted as in the published measure. All text blocks of the body are in
+the tree. Branches below IMPORTANCE are left out of each page, on hosts with enough different pages
+to tell. Pages of a host with equal blocks, apart from those named as noise, count once.
 
-What markup itself names as not content (navigation, footers, asides, forms, adverts, notices,
-comments, scripts and the like) is never content, whatever its entropy: adverts change from page to
-page and would pass for content. If a page has an article or main element, only that is read.
+Markup is a later check. What it names as not content (navigation, footers, asides, forms, adverts,
+notices, comments and the like) is left out whatever its importance: adverts change from page to page
+and would pass for content. On a page with an article or main element, branches outside of it are left
+out too if the tree has found them below CERTAIN; those of more or unknown importance stay.
 
 Rows: null or empty html gives empty text; a null url is the host of all such pages. Repeated rows
 are pages of their own in the result.
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from barlake.llm.shared import cut, small_batches, small_side
 
 IMPORTANCE = 0.2
+#: Importance from which a branch stays that lies outside the article of its page.
+CERTAIN = 0.5
 LEAST_PAGES = 8
 #: Weight of the children of a node in its importance, as published.
 CHILDREN = 0.9
@@ -37,9 +41,9 @@ CHILDREN = 0.9
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark output q rb rp rt rtc "
              "ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
-SKIPPED = set("script style noscript template head title nav footer aside form button select textarea option "
-              "datalist fieldset iframe frame frameset object embed applet svg canvas math audio video map dialog menu "
-              "meter progress".split())
+UNSEEN = set("script style noscript template head title datalist iframe frame frameset object embed applet svg canvas "
+             "math audio video map".split())
+SKIPPED = UNSEEN | set("nav footer aside form button select textarea option fieldset dialog menu meter progress".split())
 ENDS_BEFORE = {  # an open element that the start of another closes
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
     "th": {"td", "th"}, "option": {"option"}}
@@ -61,31 +65,36 @@ def _noisy_names(value: str) -> bool:
 
 
 class PageParser(HTMLParser):
-    """Collects (path, text, region) of the blocks of a page; region 2 is an article, 1 main, 0 else."""
+    """Collects (path, text, region, noise) of the blocks of a page; region 2 is an article, 1 main, 0 else.
+
+    Elements named as noise or main have paths of their own, so their contents do not mix with others'.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, str, bool, int]] = []  # tag, path, noise, region
-        self.blocks: list[tuple[str, str, int]] = []
-        self.parts: list[str] = []
+        self.blocks: list[tuple[str, str, int, bool]] = []
+        self.parts: dict[tuple[str, bool, int], list[str]] = {}  # of a block and the inline noise in it
         self.state = ("", False, 0)
-        self.held = self.state  # of the block that the parts belong to
+        self.unseen = 0  # how many elements are open up to the outermost that shows no text
 
     def _flush(self) -> None:
-        if self.parts:
-            text = " ".join("".join(self.parts).split())
-            self.parts.clear()
+        for (path, noise, region), parts in self.parts.items():
+            text = " ".join("".join(parts).split())
             if text:
-                self.blocks.append((self.held[0], text, self.held[2]))
+                self.blocks.append((path, text, region, noise))
+        self.parts.clear()
 
     def _add(self, text: str) -> None:
-        if not self.state[1]:
-            if not self.parts:
-                self.held = self.state
-            self.parts.append(text)
+        if not self.unseen:
+            self.parts.setdefault(self.state, []).append(text)
 
     def _enter(self) -> None:
         self.state = self.open[-1][1:] if self.open else ("", False, 0)
+        if len(self.open) < self.unseen:
+            self.unseen = 0
+        if not self.unseen and self.open and self.open[-1][0] in UNSEEN:
+            self.unseen = len(self.open)
 
     def _close(self, tags: set[str], until: set[str]) -> None:
         """Closes the nearest open element of `tags` unless one of `until` is nearer."""
@@ -104,7 +113,7 @@ class PageParser(HTMLParser):
             if tag in VOID:
                 self._add(" ")
             elif self._noisy(tag, attrs):  # its text is left out, the block around it goes on
-                self.open.append((tag, self.state[0], True, self.state[2]))
+                self.open.append((tag, f"{self.state[0]}>{tag}!", True, self.state[2]))
                 self._enter()
             return
         self._flush()
@@ -115,13 +124,15 @@ class PageParser(HTMLParser):
         self._close({"p"}, {"button", "td", "th", "article", "section", "div", "li", "blockquote"})
         path, noise, region = self.state
         names = dict(attrs)
-        noise = noise or self._noisy(tag, attrs) or (not region and self._is_header(tag, names))
+        named = self._noisy(tag, attrs) or (not region and self._is_header(tag, names))
+        noise = noise or named
         if not noise and tag == "article":
             region = 2
         elif not noise and (tag == "main" or names.get("role") == "main"):
             region = max(region, 1)
         shown = ".".join(sorted((names.get("class") or "").split()))
-        self.open.append((tag, f"{path}>{tag}.{shown}" if shown else f"{path}>{tag}", noise, region))
+        mark = "!" if named else "@" if names.get("role") == "main" else ""
+        self.open.append((tag, f"{path}>{tag}{mark}.{shown}" if shown else f"{path}>{tag}{mark}", noise, region))
         self._enter()
 
     def handle_startendtag(self, tag, attrs):
@@ -166,16 +177,28 @@ class PageParser(HTMLParser):
         self._add(data)
 
 
-def page_blocks(html: str | None) -> list[tuple[str, str]]:
-    """(style path, text) of the blocks of a page that its markup allows as content."""
+def body_blocks(html: str | None) -> list[tuple[str, str, int, bool]]:
+    """(style path, text, region, noise) of all blocks of a page that show text."""
     if not html:
         return []
     parser = PageParser()
     parser.feed(html)
     parser.close()
     parser._flush()
-    region = max((b[2] for b in parser.blocks), default=0)
-    return [(path, text) for path, text, own in parser.blocks if own == region]
+    return parser.blocks
+
+
+def content_blocks(blocks: list[tuple[str, str, int, bool]], low, unsure) -> list[tuple[str, str]]:
+    """(style path, text) of the blocks that are content: `low(path)` tells a branch to leave out,
+    `unsure(path)` one to leave out if it lies outside the article or main element of the page."""
+    top = max((region for _, _, region, noise in blocks if not noise), default=0)
+    return [(path, text) for path, text, region, noise in blocks
+            if not low(path) and not noise and (region == top or not unsure(path))]
+
+
+def page_blocks(html: str | None) -> list[tuple[str, str]]:
+    """(style path, text) of the blocks that markup alone allows as content, without a tree of the host."""
+    return content_blocks(body_blocks(html), lambda path: False, lambda path: True)
 
 
 def _digest(text: str) -> int:
@@ -186,21 +209,26 @@ def _page_nodes(batches):
     """Per page the distinct nodes of its blocks' paths, for the merged tree of its host."""
     paths: dict[str, tuple[int, int]] = {}
     for batch in small_batches(batches, 1):
-        hosts, pages, lists = [], [], []
+        hosts, pages, lists, below = [], [], [], []
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found = []
-            for path, text in page_blocks(html):
+            found, own, following = [], [], {}
+            for path, text, _, noise in body_blocks(html):
                 if path not in paths:
                     if len(paths) > 100_000:
                         paths.clear()
                     paths[path] = (_digest(path), _digest(path.rpartition(">")[0]))
                 found.append((*paths[path], _digest(text)))
+                following.setdefault(found[-1][1], []).append(found[-1][0])
+                if not noise:  # adverts that change do not make another page
+                    own.append(found[-1])
             hosts.append(host)
-            pages.append(_digest(repr(found)))
+            pages.append(_digest(repr(own)))
             lists.append([{"path": p, "parent": q, "content": c} for p, q, c in found])
+            below.append([{"parent": q, "variant": hash(tuple(p))} for q, p in following.items()])
         kind = pa.list_(pa.struct([("path", pa.int64()), ("parent", pa.int64()), ("content", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()),
-                                          pa.array(lists, kind)], names=["host", "page", "nodes"])
+        styles = pa.list_(pa.struct([("parent", pa.int64()), ("variant", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(lists, kind),
+                                          pa.array(below, styles)], names=["host", "page", "nodes", "below"])
 
 
 def host_of(url):
@@ -208,9 +236,11 @@ def host_of(url):
 
 
 def unimportant_paths(pages: DataFrame, importance: float = IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, paths) of the nodes below the wanted importance in the tree of each host."""
+    """(host, low, unsure) of the nodes below the wanted importance and of the others below CERTAIN
+    in the tree of each host."""
     nodes = (pages.select(host_of(F.col("url")).alias("host"), "html")
-             .mapInArrow(_page_nodes, "host string, page long, nodes array<struct<path:long,parent:long,content:long>>"))
+             .mapInArrow(_page_nodes, "host string, page long, nodes array<struct<path:long,parent:long,content:long>>, "
+                         "below array<struct<parent:long,variant:long>>"))
     different = nodes.where(F.size("nodes") > 0).dropDuplicates(["host", "page"])
     node = different.select("host", "page", F.explode("nodes").alias("node")).select("host", "page", "node.*")
     # contents: how many pages of the host show the same text at the node
@@ -224,17 +254,17 @@ def unimportant_paths(pages: DataFrame, importance: float = IMPORTANCE, least_pa
                           .otherwise(F.lit(0.0)))
               .withColumn("importance", 1 - F.col("entropy")))
     # presentation: how differently the pages go on below the same parent
-    kept = different.select("host", F.explode(F.array_distinct(F.col("nodes.parent"))).alias("parent"),
-                            F.xxhash64(F.col("nodes.path")).alias("variant"))
-    variants = kept.groupBy("host", "parent", "variant").count()
+    variants = different.select("host", F.explode("below").alias("below")).groupBy("host", "below.parent", "below.variant").count()
     presentation = (variants.groupBy("host", "parent")
                     .agg(F.sum(F.col("count") * F.log("count")).alias("bits"), F.sum("count").alias("all"))
                     .withColumn("variety", F.when(F.col("all") > 1, 1 - F.col("bits") / (F.col("all") * F.log("all")))
                                 .otherwise(F.lit(1.0))))
     weighted = (leaves.join(presentation.select("host", "parent", "variety"), ["host", "parent"])
                 .withColumn("composite", (1 - CHILDREN) * F.col("variety") + CHILDREN * F.col("importance")))
-    return (weighted.where((F.col("pages") >= least_pages) & (F.col("composite") < importance))
-            .groupBy("host").agg(F.collect_set("path").alias("paths")))
+    low = F.col("composite") < importance
+    return (weighted.where((F.col("pages") >= least_pages) & (low | (F.col("composite") < CERTAIN)))
+            .groupBy("host").agg(F.collect_set(F.when(low, F.col("path"))).alias("low"),
+                                 F.collect_set(F.when(~low, F.col("path"))).alias("unsure")))
 
 
 def _extract(at: int, width: int):
@@ -242,14 +272,14 @@ def _extract(at: int, width: int):
         digests: dict[str, int] = {}
         for batch in small_batches(batches, at):
             texts = []
-            for html, dropped in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist()):
-                found = page_blocks(html)
-                if dropped:
-                    dropped = set(dropped)
-                    for path, _ in found:
+            for html, *sets in zip(*(batch.column(k).to_pylist() for k in (at, width, width + 1))):
+                blocks, (low, unsure) = body_blocks(html), (set(x or ()) for x in sets)
+                if low or unsure:
+                    for path, *_ in blocks:
                         if path not in digests:
                             digests[path] = _digest(path)
-                    found = [b for b in found if digests[b[0]] not in dropped]
+                found = content_blocks(blocks, lambda path: low and digests[path] in low,
+                                       lambda path: unsure and digests[path] in unsure)
                 texts.append("\n".join(text for _, text in found))
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(texts, pa.string())],
                                              names=[*batch.schema.names[:width], "text"])
@@ -261,8 +291,9 @@ def extract(pages: DataFrame) -> DataFrame:
     pages = pages.drop("text")
     dropped = small_side(cut(unimportant_paths(pages.select("url", "html"))))
     marked = (pages.withColumn("__host", host_of(F.col("url")))
-              .join(dropped.select(F.col("host").alias("__host"), F.col("paths").alias("__paths")), "__host", "left")
-              .select(*(pages[c] for c in pages.columns), "__paths"))
+              .join(dropped.select(F.col("host").alias("__host"), F.col("low").alias("__low"), F.col("unsure").alias("__unsure")),
+                    "__host", "left")
+              .select(*(pages[c] for c in pages.columns), "__low", "__unsure"))
     schema = ", ".join(f"`{n}` {t}" for n, t in pages.dtypes)
     return marked.mapInArrow(_extract(pages.columns.index("html"), len(pages.columns)), f"{schema}, text string")
 

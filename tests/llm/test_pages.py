@@ -75,3 +75,33 @@ def test_repeated_branches_of_a_site_go(spark):
 def test_copies_of_one_page_do_not_count_as_many(spark):
     rows = [(k, "http://c.example/", page(0), "h", "p", 1) for k in range(30)]
     assert {r.text for r in tree.report(pages(spark, rows)).collect()} == {text_of(page(0))}
+
+
+def test_text_outside_the_article_stays(spark):
+    """The tree decides on the whole body: own text stays beside a card or before the article, what all pages show goes."""
+    card = "<article class='card'><p>Teaser {k}</p></article>"
+    html = ("<body><nav><a>Home</a></nav><div class='bar'>Buy {k}</div><div class='ad'>Advert {k}</div><div class='legal'>All rights"
+            " reserved</div><div id='sidebar'><p>Same words</p></div><div class='content'><p>Main text {k}.</p></div>" + card)
+    intro = "<body><main><p>Introduction {k}.</p><article><p>Text {k}.</p></article></main><div class='legal'>All rights reserved</div>"
+    rows = [(k, "http://a.example/", html.replace("{k}", str(k)), "h", "p", 1) for k in range(12)]
+    rows += [(100 + k, "http://b.example/", intro.replace("{k}", str(k)), "h", "p", 1) for k in range(12)]
+    rows += [(200, "http://c.example/", html.replace("{k}", "x"), "h", "p", 1)]
+    found = {r.page_id: r.text for r in tree.report(pages(spark, rows)).collect()}
+    for k in range(12):
+        assert found[k] == f"Buy {k}\nMain text {k}.\nTeaser {k}"
+        assert found[100 + k] == f"Introduction {k}.\nText {k}."
+    assert "Main text x." in found[200]  # one page does not tell
+
+
+def test_all_blocks_are_in_the_tree(spark):
+    """Branches that markup names are judged too: those that all pages show get a low importance."""
+    rows = [(k, "http://a.example/", page(k), "h", "p", 1) for k in range(12)]
+    low = {p for r in tree.unimportant_paths(pages(spark, rows)).collect() for p in r.low}
+    noise = {path for path, text, _, named in tree.body_blocks(page(1)) if named and text == "Home"}
+    assert noise and {tree._digest(path) for path in noise} <= low
+    assert not any(tree._digest(path) in low for path, _ in tree.page_blocks(page(1)))
+
+
+def test_adverts_that_change_make_no_other_page(spark):
+    rows = [(k, "http://c.example/", page(0).replace("Buy 0", f"Buy {k}"), "h", "p", 1) for k in range(30)]
+    assert {r.text for r in tree.report(pages(spark, rows)).collect()} == {text_of(page(0))}
