@@ -130,3 +130,18 @@ def test_parities_bound_what_two_texts_do_not_share():
             bound = int(np.bitwise_count(found[i].view(np.uint64) ^ found[j].view(np.uint64)).sum())
             both = sum(min((a == x).sum(), (b == x).sum()) for x in set(a.tolist()) & set(b.tolist()))
             assert bound <= len(a) + len(b) - 2 * both
+
+
+def test_short_pairs_always_meet(make_docs):
+    """One word more before or after a text of 4 to 8 shingles; the sketches alone miss 2.8 % at 4."""
+    rows = []
+    for k in range(400):
+        text = " ".join(f"w{k}x{i}" for i in range(8 if k < 300 else 9 + k % 4))
+        rows += [(2 * k, text), (2 * k + 1, f"{text} end" if k % 2 else f"start {text}")]
+    found = {r.doc_id: r.group_id for r in near.report(make_docs(rows)).collect()}
+    assert [k for k in range(400) if found[2 * k + 1] != 2 * k or found[2 * k] != 2 * k] == []
+
+
+def test_short_buckets_of_repeated_shingles():
+    names, offsets = np.array([7, 7, 7, 7, 7, 1, 2, 3], np.uint64), np.array([0, 5, 5, 8])
+    assert [len(x) for x in near.short_buckets(names, offsets)] == [2, 0, 0]
