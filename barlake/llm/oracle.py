@@ -54,4 +54,105 @@ SELECT doc_id, n_words, CAST(n_hit AS bigint) AS n_hit, CAST(n_items AS bigint)
        sha256(ids) AS items_sha256, n_hit > 0 AND 20 * n_hit >= n_words AS contaminated
 FROM counts"""
 
-ORACLE = {"op1_suffix_dedup": OP1, "op9_decontaminate": OP9}
+OP11 = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+harmed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(name, ''), lambda x: CAST(ascii(x) AS bigint))),
+             lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 20 AS harm
+  FROM (SELECT *, coalesce(CAST(conv_id AS varchar), ' ') || ':' || coalesce(CAST(turn AS varchar), ' ') AS name FROM conversations), crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+         CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN harm = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM harmed WHERE harm <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, substr(role, 1, 32), substr(text, 1, 64),
+                               sha256(len(role) || ':' || role || text)) AS n,
+         rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core
+  FROM damaged),
+rated AS (
+  SELECT *, substr(role, 1, 1) AS initial,
+         CASE WHEN core = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
+              WHEN substr(core, len(core), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS before
+  FROM placed),
+inserts(s, marks, lines, t) AS (VALUES  -- states: 0 nothing yet, 1 after s, 2 after u, 3 after a
+  (0, '', [], 0), (0, 'I', ['user:'], 2), (0, 'II', ['user:', 'assistant:'], 3),
+  (1, '', [], 1), (1, 'I', ['user:'], 2), (1, 'II', ['user:', 'assistant:'], 3),
+  (2, '', [], 2), (2, 'I', ['assistant:'], 3), (2, 'II', ['assistant:', 'user:'], 2),
+  (3, '', [], 3), (3, 'I', ['user:'], 2), (3, 'II', ['user:', 'assistant:'], 3)),
+uses AS (  -- what may be done with a row in each state
+  SELECT conv_id, n, s, 'D' AS mark, 4 AS price, [] AS line, s AS t FROM rated, range(4) AS states(s)
+  UNION ALL
+  SELECT conv_id, n, s, 'K', CASE fault WHEN 'truncated' THEN 3 ELSE 0 END, [role || ':' || text], t
+  FROM rated JOIN (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)) AS keeps(i, s, t) ON initial = i
+  WHERE fault IN ('', 'truncated')
+  UNION ALL
+  SELECT conv_id, n, s, 'R', CASE fault WHEN 'truncated' THEN 6 ELSE 3 END, [r || ':' || text], t
+  FROM rated, (VALUES ('user', 0, 2), ('user', 1, 2), ('user', 3, 2), ('assistant', 2, 3)) AS roles(r, s, t)
+  WHERE fault IN ('', 'truncated')),
+convs AS (SELECT DISTINCT conv_id FROM conversations),
+steps AS (
+  SELECT conv_id, CAST(0 AS bigint) AS n, 0 AS s, {'cost': 0, 'audit': '', 'lines': CAST([] AS varchar[])} AS best FROM convs
+  UNION ALL
+  SELECT p.conv_id, u.n, u.t, min({'cost': CAST(p.best.cost + 3 * len(i.marks) + u.price AS integer), 'audit': p.best.audit || i.marks || u.mark,
+                                   'lines': CAST(p.best.lines || i.lines || u.line AS varchar[])})
+  FROM steps p JOIN inserts i ON i.s = p.s JOIN uses u ON u.conv_id IS NOT DISTINCT FROM p.conv_id AND u.n = p.n + 1 AND u.s = i.t
+  GROUP BY p.conv_id, u.n, u.t),
+sums AS (
+  SELECT conv_id, max(n) AS n, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rated GROUP BY conv_id),
+ends AS (
+  SELECT p.conv_id, min({'cost': p.best.cost + 3 * len(i.marks), 'audit': p.best.audit || i.marks,
+                         'lines': CAST(p.best.lines || i.lines AS varchar[])}) AS best
+  FROM steps p JOIN inserts i ON i.s = p.s AND i.t IN (0, 3)
+       LEFT JOIN sums c ON c.conv_id IS NOT DISTINCT FROM p.conv_id
+  WHERE p.n = coalesce(c.n, 0) GROUP BY p.conv_id)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS bigint) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(best.cost AS bigint) AS cost, best.audit AS audit,
+       sha256(array_to_string(best.lines, chr(10))) AS repaired_sha256
+FROM ends e LEFT JOIN sums c ON c.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+OP12 = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM split WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+least AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents LEFT JOIN sizes USING (doc_id) JOIN least ON a = doc_id"""
+
+OP13 = """
+WITH whole AS (
+  SELECT DISTINCT CAST(vec_id AS bigint) AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS double))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.id AS anchor_id, b.id AS other, b.label = a.label AS same, CAST(list_inner_product(a.v, b.v) AS bigint) AS score
+  FROM whole a JOIN whole b ON a.id <> b.id WHERE a.id % 50 = 0),
+positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER ranked AS integer) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW ranked AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+QUALIFY row_number() OVER ranked <= 3"""
+
+ORACLE = {"op1_suffix_dedup": OP1, "op9_decontaminate": OP9, "op11_conversation_repair": OP11, "op12_divide_skip": OP12,
+          "op13_bond_negatives": OP13}

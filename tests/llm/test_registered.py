@@ -11,7 +11,7 @@ from barlake.llm.queries import QUERIES
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test data")
 
-TABLES = {"op4_site_style_tree": "pages", "op8_multi_index": None}
+TABLES = {"op4_site_style_tree": "pages", "op8_multi_index": None, "op11_conversation_repair": None, "op13_bond_negatives": None}
 COLUMNS = {
     "op1_suffix_dedup": {"doc_id": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint",
                          "kept_sha256": "string"},
@@ -25,7 +25,13 @@ COLUMNS = {
     "op9_decontaminate": {"doc_id": "bigint", "n_words": "bigint", "n_hit": "bigint", "n_items": "bigint",
                           "items_sha256": "string", "contaminated": "boolean"},
     "op10_chunk_dedup": {"doc_id": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint",
-                         "kept_sha256": "string"}}
+                         "kept_sha256": "string"},
+    "op11_conversation_repair": {"conv_id": "bigint", "gaps": "bigint", "blank": "bigint", "duplicate": "bigint",
+                                 "truncated": "bigint", "illegal": "bigint", "cost": "bigint", "audit": "string",
+                                 "repaired_sha256": "string"},
+    "op12_divide_skip": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"},
+    "op13_bond_negatives": {"anchor_id": "bigint", "positive_id": "bigint", "rank": "int", "negative_id": "bigint",
+                            "positive_score": "bigint", "negative_score": "bigint"}}
 
 
 @pytest.fixture(scope="module")
