@@ -97,6 +97,7 @@ SELECT event_id, epoch_us(CAST(ts AS timestamp)) // 1000 AS ts, epoch_ms(CAST(CA
     "write_outcomes": _five("""
 SELECT * FROM (VALUES ('empty batch', true, 0), ('missing column', false, 0), ('unfit type', false, 0),
                       ('nothing stored', true, 0), ('overwrite off', true, 0), ('delete off', true, 0),
+                      ('unknown mode', true, 0),
                       ('size in megabytes', true, 0)) AS fixed("case", holds, "rows")
 UNION ALL SELECT 'unchecked batch', true, count(*) FROM bars5
 UNION ALL SELECT 'column not in files is null', true, count(*) FROM bars5
@@ -120,6 +121,11 @@ SELECT (SELECT count(*) FROM bars5 WHERE market <> 'purchase')
         "stock_name, \"open\", \"close\", high, low, volume) = 1"),
     "compressed_store": _day("SELECT * FROM bars1d"),
     "row_limited_files": _day("SELECT count(*) AS \"rows\", true AS within_limit FROM bars1d"),
+    "compacted_rows": _day("SELECT * FROM bars1d"),
+    "compacted_files": _day("""
+SELECT "Year", "Month", count(*) AS "rows", true AS packed, count(DISTINCT volume % 4) > 1 AS were_several
+FROM bars1d GROUP BY "Year", "Month\""""),
+    "sized_files": _five("SELECT 'flat_bars' AS dataset, count(*) AS \"rows\", true AS apart, true AS within_limit, true AS few_files FROM bars5"),
     "cleaned_codes": """
 SELECT CASE WHEN user_id < 1000 THEN lpad(CAST(user_id AS varchar), 4, '0')
             ELSE CAST(user_id AS varchar) END AS stock_code,

@@ -12,11 +12,12 @@ from barlake.functions.columns import cleaned
 from barlake.operators import checks, keys, manage, stats
 from barlake.operators.export import export_records
 from barlake.operators.ingest import ingest_envelopes
+from barlake.operators.layout import compact, key_ranges
 from barlake.operators.requests import answer_requests, count_requests
 from barlake.operators.write import read_touched, route_batch, route_preview, write_data
 from barlake.plans.bridge import BARS1D, BARS5, MEMBERS, bars1d, bars5, load, members, moment
 from barlake.sources.scan import query_data, read_data
-from barlake.sources.scratch import new_folder
+from barlake.sources.scratch import kept, new_folder
 from barlake.streaming.ingest import ingest_stream
 from barlake.tables import Store, Table
 
@@ -139,10 +140,10 @@ def write_outcomes(spark, sf_dir):
     """What writes, deletes and reads report that do nothing or may not be done."""
     bars, store = bars5(spark, sf_dir), new_store(spark, allow_overwrite=False, allow_delete=False)
 
-    def refused(action: Callable[[], object]) -> bool:
+    def refused(action: Callable[[], object], error: type[Exception] = PermissionError) -> bool:
         try:
             action()
-        except PermissionError:
+        except error:
             return True
         return False
 
@@ -161,6 +162,7 @@ def write_outcomes(spark, sf_dir):
         ("partition values stay text", dict(stored.dtypes)["Month"] == "string", stored.where("Month = '01'").count()),
         ("overwrite off", refused(lambda: write_data(store, bars, "stock_5min", mode="overwrite")), 0),
         ("delete off", refused(lambda: manage.delete_partitions(store, "stock_5min", date="2024-01-15")), 0),
+        ("unknown mode", refused(lambda: write_data(store, bars, "stock_5min", mode="merge"), ValueError), 0),
         ("size in megabytes", size["size_mb"] == round(size["bytes"] / 1024 / 1024, 2), size["unreadable"])]
     return spark.createDataFrame(outcomes, '"case" string, holds boolean, "rows" long'.replace('"', "`"))
 
@@ -218,6 +220,47 @@ def row_limited_files(spark, sf_dir):
         F.sum("rows").alias("rows"), (F.max("rows") <= 100).alias("within_limit"))
 
 
+# target of the queries on file sizes, small enough that the smallest tables have several files
+FILE_MB = 0.1
+
+
+def _many_appends(spark, sf_dir) -> tuple[Store, DataFrame]:
+    """Daily bars stored by four appends, then compacted, and what the partitions held before that."""
+    store, bars = new_store(spark), bars1d(spark, sf_dir)
+    for k in range(4):
+        put(store, bars.where(F.col("volume") % 4 == k), "stock_1day", check_duplicates=False)
+    before = kept(manage.partitions(store, "stock_1day"))
+    compact(store, "stock_1day", target_mb=FILE_MB)
+    return store, before
+
+
+def compacted_rows(spark, sf_dir):
+    return read_data(_many_appends(spark, sf_dir)[0], "stock_1day")
+
+
+def compacted_files(spark, sf_dir):
+    """Per partition its rows, and whether it has no more files than its bytes need."""
+    store, before = _many_appends(spark, sf_dir)
+    month, target = ["Year", "Month"], FILE_MB * (1 << 20)
+    needed = before.select(*month, F.ceil(F.col("bytes") / target).alias("needed"), F.col("files").alias("were"))
+    return (manage.partitions(store, "stock_1day").join(needed, month)
+            .join(manage.partition_counts(store, "stock_1day"), month)
+            .select(*month, "rows", (F.col("files") <= F.col("needed")).alias("packed"), (F.col("were") > 1).alias("were_several")))
+
+
+def sized_files(spark, sf_dir):
+    """Files of a limited size: rows, the limit kept, neighbours apart, no more files than it needs."""
+    store = new_store(spark)
+    put(store, bars5(spark, sf_dir), "flat_bars", max_mb_per_file=FILE_MB)
+    limit = FILE_MB * (1 << 20)
+    dataset = F.lit("flat_bars").alias("dataset")
+    ranges = key_ranges(store, "flat_bars").agg(dataset, F.sum("rows").alias("rows"), F.bool_and("apart").alias("apart"))
+    sizes = stats.file_metadata(store, "flat_bars").agg(
+        dataset, (F.max("length") <= 1.2 * limit).alias("within_limit"),
+        (F.count("*") <= F.ceil(F.sum("length") / (0.7 * limit))).alias("few_files"))
+    return ranges.join(sizes, "dataset")
+
+
 def cleaned_codes(spark, sf_dir):
     raw = load(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("stock_code"),
@@ -421,6 +464,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "drop_repeats": drop_repeats,
     "compressed_store": compressed_store,
     "row_limited_files": row_limited_files,
+    "compacted_rows": compacted_rows,
+    "compacted_files": compacted_files,
+    "sized_files": sized_files,
     "cleaned_codes": cleaned_codes,
     "type_report": type_report,
     "value_report": value_report,

@@ -51,6 +51,11 @@ def read_stored(store: Store, table: Table, extra_columns: bool = False,
         return store.spark.createDataFrame([], table.stored_schema)
 
 
+def read_files(store: Store, table: Table, paths: Sequence[str] | None) -> DataFrame:
+    """All rows of the named files, or of all, with their undeclared columns."""
+    return read_stored(store, table, extra_columns=True, folders=paths)
+
+
 def read_data(store: Store, name: str, version: str = "v1", *,
               filters: Mapping[str, Any] | None = None, columns: Sequence[str] | None = None,
               extra_columns: bool = False, **more: Any) -> DataFrame:

@@ -45,6 +45,18 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
     return system.exists(found)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    system, found = hadoop_path(spark, path)
+    if not system.mkdirs(found):
+        raise OSError(f"Cannot make {path}")
+
+
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files in a folder."""
+    system, found = hadoop_path(spark, path)
+    return system.getContentSummary(found).getLength()
+
+
 def child_folders(spark: SparkSession, path: str, prefix: str) -> list[tuple[str, str]]:
     """(path, rest of the name) of the folders in `path` whose names begin with `prefix`."""
     system, found = hadoop_path(spark, path)

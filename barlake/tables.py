@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from string import Formatter
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrameWriter, SparkSession
 from pyspark.sql import types as T
 
 # The declared type names and the Spark type each is stored as.
@@ -122,6 +122,10 @@ class Table:
         """Columns that decide whether two rows are the same: partition and key."""
         return tuple(dict.fromkeys((*self.partitions, *self.key)))
 
+    def writer(self, writer: DataFrameWriter, store: Store) -> DataFrameWriter:
+        """The writer with the options all files of this table are stored with."""
+        return writer.option("compression", store.compression)
+
 
 # ---------------------------------------------------------------- shipped datasets
 

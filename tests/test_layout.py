@@ -1,0 +1,221 @@
+"""File sizes, key ranges, compaction and its exchange of files."""
+
+import glob
+import math
+import os
+import random
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from barlake.operators import layout
+from barlake.operators.layout import compact, finish_exchanges, key_ranges, small_files
+from barlake.operators.manage import partitions
+from barlake.operators.write import write_data
+from barlake.sources.scan import read_data
+from barlake.tables import Table
+from conftest import FLAT
+
+
+def rows_of(day, first, count, market="XHKG", seed=0):
+    rng = random.Random(f"{day}{first}{seed}")
+    return [(day, f"{rng.randrange(10**6):06}", market, f"{first + k:07}", rng.random()) for k in range(count)]
+
+
+def stored_rows(store, name="bars_by_market", **more):
+    return sorted((tuple(r) for r in read_data(store, name, **more).collect()), key=repr)
+
+
+def appended(store, bars, times, count, days=("2026-05-15", "2026-05-16")):
+    rows = []
+    for k in range(times):
+        own = [r for day in days for r in rows_of(day, 1000 * k, count)]
+        assert write_data(store, bars(*own), "bars_by_market", check_duplicates=False).success
+        rows += own
+    return sorted(rows, key=repr)
+
+
+def files_in(store, name="bars_by_market"):
+    return {tuple(r)[:-2]: (r.files, r.bytes) for r in partitions(store, name).collect()}
+
+
+# ---------------------------------------------------------------- compaction
+
+def test_many_small_appends_become_few_files(store, bars):
+    rows = appended(store, bars, 20, 60)
+    before = files_in(store)
+    assert all(n == 20 for n, _ in before.values())
+    target = max(b for _, b in before.values()) // 3
+    result = compact(store, "bars_by_market", target_mb=target / 2**20)
+    after = files_in(store)
+    assert result.partitions == 2 and result.rows == len(rows) and not result.skipped
+    assert all(after[p][0] <= math.ceil(before[p][1] / target) for p in before)
+    assert result.files_after == sum(n for n, _ in after.values()) and result.files_before == 40
+    assert stored_rows(store) == rows
+    assert key_ranges(store, "bars_by_market").where("not apart").count() == 0
+    again = [compact(store, "bars_by_market", target_mb=target / 2**20).files_before for _ in range(3)]
+    assert again[-1] == 0  # packed rows take less room, so once more may save a file
+    assert not glob.glob(f"{store.location(store.table('bars_by_market'))}/_exchange*")
+
+
+def test_large_files_stay_and_few_small_ones_go(store, bars):
+    write_data(store, bars(*rows_of("2026-05-15", 0, 5_000)), "bars_by_market")
+    large = glob.glob(f"{store.base}/**/*.parquet", recursive=True)
+    rows = stored_rows(store) + appended(store, bars, 4, 10, ["2026-05-15"])
+    sizes = [os.path.getsize(f) for f in large]
+    result = compact(store, "bars_by_market", target_mb=min(sizes) / 2**20)
+    assert (result.files_before, result.files_after) == (4, 1) and all(map(os.path.exists, large))
+    assert stored_rows(store) == sorted(rows, key=repr)
+
+
+def test_as_few_files_as_needed_are_taken(store, bars, spark):
+    """Three of equal size below the target and many tiny ones: only the tiny ones are packed."""
+    for k in range(3):
+        write_data(store, bars(*rows_of("2026-05-15", 10_000 * k, 2_000)), "bars_by_market")
+    appended(store, bars, 6, 1, ["2026-05-15"])
+    sizes = sorted(os.path.getsize(f) for f in glob.glob(f"{store.base}/**/*.parquet", recursive=True))
+    chosen = small_files(store, store.table("bars_by_market"), int(sizes[-1] * 1.02)).collect()
+    assert len(chosen) < 9 and max(r.length for r in chosen) <= sizes[6]
+
+
+def test_filters_choose_partitions(store, bars):
+    appended(store, bars, 4, 5)
+    result = compact(store, "bars_by_market", filters={"date": "2026-05-16"})
+    assert result.partitions == 1 and sorted(n for n, _ in files_in(store).values()) == [1, 4]
+
+
+def test_undeclared_columns_and_nulls_stay(store, bars):
+    for k in range(3):
+        data = bars(*rows_of("2026-05-15", 10 * k, 4), (None, None, "XHKG", "x", 1.0 + k)).withColumn("note", F.lit(k))
+        assert write_data(store, data, "bars_by_market", extra_columns=True, check_duplicates=False).success
+    write_data(store, bars(*rows_of("2026-05-15", 90, 4)), "bars_by_market")
+    rows = stored_rows(store, extra_columns=True)
+    assert compact(store, "bars_by_market").files_after == 2
+    assert stored_rows(store, extra_columns=True) == rows and len(rows) == 19
+
+
+def test_flat_and_missing_tables(store, spark):
+    assert compact(store, "flat").partitions == 0
+    for k in range(3):
+        write_data(store, spark.createDataFrame([(str(k), "a", 1.0)], FLAT.schema), "flat")
+    assert compact(store, "flat").files_after == 1 and len(stored_rows(store, "flat")) == 3
+
+
+def test_partition_with_an_unreadable_file_is_left_alone(store, bars):
+    appended(store, bars, 3, 5)
+    folder = os.path.dirname(glob.glob(f"{store.base}/**/date=2026-05-15/*.parquet", recursive=True)[0])
+    with open(f"{folder}/broken.parquet", "w") as file:
+        file.write("no footer")
+    result = compact(store, "bars_by_market")
+    assert result.partitions == 1 and len(result.skipped) == 1 and "2026-05-15" in result.skipped[0]["folder"]
+    assert len(glob.glob(f"{folder}/*.parquet")) == 4
+
+
+class Lost(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", ["stage_files", "exchange", "rename_folder"])
+def test_lost_driver(store, bars, monkeypatch, step):
+    """Nothing changes before the exchange is ready; from then on the next run completes it."""
+    rows = appended(store, bars, 3, 5)
+    calls, real = [], getattr(layout, step)
+
+    def lost(*args):
+        calls.append(args)
+        if step == "rename_folder" and len(calls) > 1 or step != "rename_folder":
+            if step == "stage_files":
+                real(*args)
+            raise Lost
+        return real(*args)
+    monkeypatch.setattr(layout, step, lost)
+    with pytest.raises(Lost):
+        compact(store, "bars_by_market")
+    monkeypatch.setattr(layout, step, real)
+    if step != "rename_folder":
+        assert stored_rows(store) == rows
+    assert finish_exchanges(store, store.table("bars_by_market")) == 1
+    assert stored_rows(store) == rows
+    assert {n for n, _ in files_in(store).values()} == ({1} if step == "rename_folder" else {3})
+
+
+def test_rows_that_do_not_agree_are_not_exchanged(store, bars, monkeypatch):
+    rows = appended(store, bars, 3, 5)
+    real = layout.stage_files
+    monkeypatch.setattr(layout, "stage_files", lambda s, data, plan: real(s, data.where("open > 0.5"), plan))
+    with pytest.raises(OSError, match="rows written"):
+        compact(store, "bars_by_market")
+    assert stored_rows(store) == rows and finish_exchanges(store, store.table("bars_by_market")) == 0
+
+
+# ---------------------------------------------------------------- files of a limited size
+
+def test_files_by_size(store, bars):
+    """A hot partition is cut into ranges of its key; small partitions are one file."""
+    hot, limit = rows_of("2026-05-15", 0, 30_000), 60_000
+    rows = hot + [r for d in range(16, 26) for r in rows_of(f"2026-05-{d}", 0, 20)]
+    result = write_data(store, bars(*rows), "bars_by_market", max_mb_per_file=limit / 2**20)
+    assert result.success and result.total_rows == len(rows)
+    assert stored_rows(store) == sorted(rows, key=repr)
+    files = glob.glob(f"{store.base}/**/*.parquet", recursive=True)
+    sizes = [os.path.getsize(f) for f in files]
+    hot_files = [os.path.getsize(f) for f in files if "date=2026-05-15" in f]
+    assert max(sizes) <= 1.2 * limit and len(files) - len(hot_files) == 10
+    assert len(hot_files) > 5 and min(hot_files) > 0.5 * limit
+    ranges = key_ranges(store, "bars_by_market")
+    assert ranges.where("not apart").count() == 0 and ranges.count() == len(files)
+
+
+def test_overwrite_by_size_replaces_touched_partitions_only(store, bars):
+    old = rows_of("2026-05-15", 0, 50) + rows_of("2026-05-16", 0, 50)
+    write_data(store, bars(*old), "bars_by_market")
+    new = rows_of("2026-05-16", 500, 4_000)
+    assert write_data(store, bars(*new), "bars_by_market", mode="overwrite", max_mb_per_file=0.02).success
+    assert stored_rows(store) == sorted(old[:50] + new, key=repr)
+    assert write_data(store, read_data(store, "bars_by_market"), "bars_by_market", mode="overwrite", max_mb_per_file=0.02).success
+    assert stored_rows(store) == sorted(old[:50] + new, key=repr)
+
+
+def test_one_key_that_fills_several_files(store, bars):
+    """It can't be cut by ranges, so its file is split by rows."""
+    rows = [("2026-05-15", "000001", "XHKG", "same", float(k)) for k in range(20_000)] + rows_of("2026-05-15", 0, 2_000)
+    assert write_data(store, bars(*rows), "bars_by_market", max_mb_per_file=0.03, check_duplicates=False).success
+    assert stored_rows(store) == sorted(rows, key=repr)
+    assert max(os.path.getsize(f) for f in glob.glob(f"{store.base}/**/*.parquet", recursive=True)) <= 1.3 * 0.03 * 2**20
+
+
+def test_removed_duplicates_and_flat_tables(store, bars, spark):
+    first = rows_of("2026-05-15", 0, 100)
+    write_data(store, bars(*first), "bars_by_market")
+    result = write_data(store, bars(*first[:50], *rows_of("2026-05-15", 5000, 60)), "bars_by_market", remove_duplicates=True,
+                        max_mb_per_file=1)
+    assert (result.total_rows, result.duplicates_removed) == (60, 50) and len(stored_rows(store)) == 160
+    flat = [(f"{k:05}", f"n{k % 7}", float(k)) for k in range(5_000)]
+    assert write_data(store, spark.createDataFrame(flat, FLAT.schema), "flat", max_mb_per_file=0.02).success
+    assert stored_rows(store, "flat") == sorted(flat, key=repr)
+    ranges = key_ranges(store, "flat").orderBy("least").collect()
+    assert len(ranges) > 1 and all(r.apart for r in ranges)
+
+
+def test_partitions_of_all_kinds(store, spark):
+    """Whole-number and decimal partitions, null ones and names that folders escape."""
+    table = Table("odd", "v1", {"a": "int64", "b": "uint64", "c": "string", "k": "string"}, "{name}/{a}/{b}/{c}.parquet", key=("k",))
+    odd = type(store)(spark, store.base, (table,), allow_overwrite=True)
+    rows = [(a, Decimal(b), c, f"{k:04}") for a, b, c in ((1, 2, "x y"), (-1, 2**64 - 1, "a/b=%"), (7, 0, "é")) for k in range(900)]
+    rows += [(None, None, None, f"{k:04}") for k in range(900)]
+    data = spark.createDataFrame(rows, table.schema)
+    for half in ("k < '0450'", "k >= '0450'"):
+        assert write_data(odd, data.where(half), "odd", max_mb_per_file=0.004).success
+    assert stored_rows(odd, "odd") == sorted(rows, key=repr)
+    assert compact(odd, "odd", target_mb=1).files_after == 4
+    assert stored_rows(odd, "odd") == sorted(rows, key=repr)
+
+
+@pytest.mark.parametrize("count", [0, 1, 63, 64, 65, 500])
+def test_ranges_are_found_in_two_steps(spark, count):
+    bounds = [(k * 3,) for k in range(count)]
+    df = spark.range(0, 3 * count + 5).select("id", F.lit(None).alias("none")).crossJoin(
+        spark.createDataFrame([(bounds,)], "bounds array<struct<v:long>>"))
+    found = df.select("id", layout._range_of(F.col("bounds"), F.struct(F.col("id").alias("v"))).alias("at")).collect()
+    assert all(r.at == min(count, r.id // 3 + 1) for r in found)
