@@ -41,6 +41,11 @@ def drop_repeats(batch: DataFrame, key: Sequence[str], order: Sequence[str] = ()
     return once.unionByName(first.select(*names))
 
 
+def key_hash(key: Sequence[str]) -> Column:
+    """Hash of partition and key as tables with a key filter store it; equal keys have equal hashes."""
+    return F.xxhash64(*[F.struct(F.col(c).isNull(), c) for c in key])
+
+
 def shared_keys(batch: DataFrame, stored: DataFrame, key: Sequence[str]) -> DataFrame:
     """Distinct stored keys that the batch has too, found without shuffling the stored rows.
 

@@ -23,11 +23,12 @@ from pyspark.sql import types as T
 
 from barlake.functions.columns import all_of
 from barlake.functions.filters import compile_filters
+from barlake.operators import keys
 from barlake.sources.files import footers, stored_files
 from barlake.sources.scan import read_files, selected_folders
 from barlake.sources.scratch import (child_folders, folder_bytes, folder_exists, kept, make_folder, remove_folder,
                                      rename_folder)
-from barlake.tables import Store, Table
+from barlake.tables import KEY_HASH, Store, Table
 
 # Keys sampled for each file to come: its size is then off by a twentieth, seldom by more than a tenth.
 SAMPLED_KEYS = 400
@@ -125,6 +126,11 @@ def with_ranges(store: Store, rows: DataFrame, plan: FilePlan, name: str) -> Dat
             .select(*[f"row.`{c}`" for c in rows.columns], _range_of(F.col("bound.bounds"), F.col(f"row.{name}")).alias(name)))
 
 
+def stored_form(rows: DataFrame, table: Table) -> DataFrame:
+    """The rows with the columns only the files have."""
+    return rows.withColumn(KEY_HASH, keys.key_hash(table.identity)) if table.key_filter else rows
+
+
 def _free_name(df: DataFrame, name: str) -> str:
     while name.lower() in {c.lower() for c in df.columns}:
         name += "_"
@@ -133,7 +139,8 @@ def _free_name(df: DataFrame, name: str) -> str:
 
 def stage_files(store: Store, rows: DataFrame, plan: FilePlan) -> str:
     """The rows as files of the planned ranges, in a new folder beside the stored ones."""
-    table, number = plan.table, _free_name(rows, "file")
+    table, rows = plan.table, stored_form(rows, plan.table)
+    number = _free_name(rows, "file")
     staging = f"{store.location(table)}/{_STAGING}{uuid.uuid4().hex}"
     placed = with_ranges(store, rows, plan, number)
     spread = [*table.partitions, number]

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from barlake.functions.columns import megabytes
 from barlake.sources.files import footers, stored_files
-from barlake.tables import Store, Table
+from barlake.tables import KEY_HASH, Store, Table
 
 # How each declared type reads in a Parquet footer.
 STORED_TYPES = {
@@ -49,7 +49,7 @@ def stored_conformance(store: Store, name: str, version: str = "v1") -> DataFram
     """
     table = store.table(name, version)
     read = footers(stored_files(store, table)).where("error IS NULL")
-    stored = read.select("path", "rows", F.inline("fields"))
+    stored = read.select("path", "rows", F.inline("fields")).where(F.col("name") != KEY_HASH)
     lacking = read.select("path", "rows", F.explode(F.array_except(
         F.array(*[F.lit(c) for c in _file_columns(table)]), F.col("fields.name"))).alias("name"),
         F.lit(None).cast("string").alias("type"))

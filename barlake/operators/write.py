@@ -14,9 +14,9 @@ from pyspark.sql import types as T
 
 from barlake.functions.columns import all_of, rendered_path
 from barlake.operators import checks, keys
-from barlake.operators.layout import FilePlan, bytes_of_a_row, save_sized
+from barlake.operators.layout import FilePlan, bytes_of_a_row, save_sized, stored_form
 from barlake.sources.files import partition_folders, stored_files
-from barlake.sources.scan import EXACT_PARTITIONS, in_partitions, read_stored
+from barlake.sources.scan import EXACT_PARTITIONS, in_partitions, read_by_key_hash, read_stored
 from barlake.sources.scratch import folder_exists, new_folder, remove_folder, rename_folder
 from barlake.tables import Store, Table
 
@@ -31,6 +31,9 @@ NARROW_STORED_BYTES = 256 << 20
 # broadcast to such stored rows; beyond it both sides shuffle one row per key.
 BROADCAST_KEY_BYTES = 64 << 20
 
+# A batch of up to so many rows is looked for through the key filters of the stored files.
+FILTERED_KEYS = 1_000
+
 # A write raises the configured number of shuffle partitions no further than this.
 MOST_SHUFFLE_PARTITIONS = 10_000
 
@@ -155,9 +158,9 @@ def _write(store: Store, table: Table, prepared: DataFrame, mode: str, extra: li
     batch = prepared.select(*table.stored_schema.names, *extra, *own_order)
     folders = touched_folders(store, table, route) if check else []
     size = touched_bytes(store, table, route, folders) if check else 0
-    stored = read_touched(store, table, route, folders) if size else None
+    stored = read_touched(store, table, route, folders, batch) if size else None
     shared = None
-    if size >= NARROW_STORED_BYTES:
+    if size >= NARROW_STORED_BYTES and not _filters_keys(table, route):
         stored = within_key_bounds(stored, batch, table)
         if route.key_bytes <= BROADCAST_KEY_BYTES:
             # no larger than the batch keys; used by the count and by the removal
@@ -251,10 +254,22 @@ def _touched_files(store: Store, table: Table, route: Route) -> DataFrame:
     return files.alias("file").join(touched, same, "left_semi")
 
 
-def read_touched(store: Store, table: Table, route: Route,
-                 folders: list[str] | None = None) -> DataFrame:
-    """Stored rows of the partitions the batch has rows for."""
-    stored = read_stored(store, table, folders=folders)
+def _filters_keys(table: Table, route: Route) -> bool:
+    return table.key_filter and route.rows <= FILTERED_KEYS
+
+
+def read_touched(store: Store, table: Table, route: Route, folders: list[str] | None = None,
+                 batch: DataFrame | None = None) -> DataFrame:
+    """Stored rows of the partitions the batch has rows for.
+
+    With the `batch`, if it is small and the table has a key filter, only those rows that may have
+    one of its keys: their row groups are found by Bloom filters.
+    """
+    if batch is not None and _filters_keys(table, route):
+        hashes = [r[0] for r in batch.select(keys.key_hash(table.identity)).distinct().collect()]  # FILTERED_KEYS at most
+        stored = read_by_key_hash(store, table, hashes, folders)
+    else:
+        stored = read_stored(store, table, folders=folders)
     return stored if route.touched is None else stored.where(route.touched)
 
 
@@ -301,7 +316,7 @@ def _save(store: Store, table: Table, batch: DataFrame, mode: str,
         configured = int(store.spark.conf.get("spark.sql.shuffle.partitions"))
         shuffled = max(configured, min(4 * spread_over, MOST_SHUFFLE_PARTITIONS))
         batch = batch.hint("rebalance", shuffled, *table.partitions)
-    batch = batch.sortWithinPartitions(*table.identity)
+    batch = stored_form(batch, table).sortWithinPartitions(*table.identity)
     writer = table.writer(batch.write.mode(mode), store)
     if max_records:
         writer = writer.option("maxRecordsPerFile", max_records)

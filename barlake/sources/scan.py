@@ -14,7 +14,7 @@ from barlake.functions.columns import all_of, any_of
 from barlake.functions.filters import (compile_filters, day_bounds, filter_arguments, implied_by_date,
                                        named_partitions)
 from barlake.sources.files import month_folders, partition_folders
-from barlake.tables import TYPES, Store, Table
+from barlake.tables import KEY_HASH, TYPES, Store, Table
 
 # Beyond this many touched partitions a read is bounded by the smallest and
 # largest value of each partition column instead of by exact tuples.
@@ -42,7 +42,7 @@ def read_stored(store: Store, table: Table, extra_columns: bool = False,
         if extra_columns:
             merged = (store.spark.read.option("mergeSchema", True).option("basePath", location)
                       .parquet(*(folders or [location])).schema)
-            schema = T.StructType(schema.fields + [f for f in merged if f.name not in schema.names])
+            schema = T.StructType(schema.fields + [f for f in merged if f.name not in (*schema.names, KEY_HASH)])
         return (store.spark.read.schema(schema).option("basePath", location)
                 .parquet(*(folders or [location])).select(*schema.names))
     except AnalysisException as problem:
@@ -51,6 +51,27 @@ def read_stored(store: Store, table: Table, extra_columns: bool = False,
         return store.spark.createDataFrame([], table.stored_schema)
 
 
+def read_by_key_hash(store: Store, table: Table, hashes: Sequence[int], folders: Sequence[str] | None = None) -> DataFrame:
+    """Stored rows of a table with a key filter that may have a key of these hashes.
+
+    Row groups whose Bloom filter has none of them are not read. Rows stored without hash all come: a
+    scan of their own, which skips files where every row has one by their statistics.
+    """
+    location = store.location(table)
+    if folders is not None and not folders:
+        return store.spark.createDataFrame([], table.stored_schema)
+    schema = T.StructType([*table.stored_schema, T.StructField(KEY_HASH, T.LongType())])
+    try:
+        stored = store.spark.read.schema(schema).option("basePath", location).parquet(*(folders or [location]))
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return store.spark.createDataFrame([], table.stored_schema)
+    # two scans, since a condition that joins both with "or" lets no filter skip a row group
+    return (stored.where(F.col(KEY_HASH).isin([int(h) for h in hashes]))
+            .unionAll(stored.where(F.col(KEY_HASH).isNull())).select(*table.stored_schema.names))
+
+
 def read_files(store: Store, table: Table, paths: Sequence[str] | None) -> DataFrame:
     """All rows of the named files, or of all, with their undeclared columns."""
     return read_stored(store, table, extra_columns=True, folders=paths)

@@ -40,6 +40,11 @@ TEXT_TYPES = frozenset({"string", "date", "datetime"})
 # Partition columns a path may name without declaring them; cut from `date`.
 DERIVED = ("year", "month")
 
+# Undeclared column of tables with a key filter: a hash of partition and key, which reads never show.
+KEY_HASH = "_key_hash"
+# A Bloom filter of a row group takes at most so many bytes and wrongly says "may be here" this often.
+KEY_FILTER_BYTES, KEY_FILTER_ERROR = 1 << 20, 0.001
+
 
 def default_key(columns: dict[str, str]) -> tuple[str, ...]:
     """First date-like, code-like and time-like column; else the first two."""
@@ -58,7 +63,9 @@ class Table:
     `path` names the partition columns in braces, for example
     ``{name}/{Year}/{Month}.parquet``; ``{schema.Year}`` is accepted too.
     `calendar` says that Year and Month are the parts of `date`, which writes
-    check and reads use for pruning.
+    check and reads use for pruning. `key_filter` stores a Bloom filter of the
+    keys with every file, so that an append of few rows reads only those row
+    groups that may hold one of its keys.
     """
 
     name: str
@@ -70,6 +77,7 @@ class Table:
     required: tuple[str, ...] = ()
     allowed: dict[str, tuple] = field(default_factory=dict)
     reads: tuple[str, ...] = ()
+    key_filter: bool = False
 
     def __post_init__(self):
         unknown = {c: t for c, t in self.columns.items() if t not in TYPES}
@@ -83,7 +91,7 @@ class Table:
         if self.calendar and any(self.columns.get(c) not in TEXT_TYPES
                                  for c in ("Year", "Month", "date")):
             raise ValueError("A calendar table needs Year, Month and date as text")
-        names = [c.lower() for c in (*self.columns, *self.derived)]
+        names = [c.lower() for c in (*self.columns, *self.derived, *([KEY_HASH] if self.key_filter else []))]
         if len(set(names)) < len(names):
             raise ValueError("Column names must differ in more than case")
         if not self.key:
@@ -124,7 +132,13 @@ class Table:
 
     def writer(self, writer: DataFrameWriter, store: Store) -> DataFrameWriter:
         """The writer with the options all files of this table are stored with."""
-        return writer.option("compression", store.compression)
+        writer = writer.option("compression", store.compression)
+        if self.key_filter:
+            for name, value in (("enabled", "true"), ("adaptive.enabled", "true"), ("max.bytes", KEY_FILTER_BYTES),
+                                ("fpp", KEY_FILTER_ERROR)):
+                column = "" if "." in name else f"#{KEY_HASH}"  # some are for all columns that have a filter
+                writer = writer.option(f"parquet.bloom.filter.{name}{column}", value)
+        return writer
 
 
 # ---------------------------------------------------------------- shipped datasets
