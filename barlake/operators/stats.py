@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barlake.functions.columns import megabytes
+from barlake.functions.columns import all_of, megabytes
 from barlake.sources.files import footers, stored_files
+from barlake.sources.scan import EXACT_PARTITIONS, in_partitions
+from barlake.sources.scratch import kept
 from barlake.tables import KEY_HASH, Store, Table
 
 # How each declared type reads in a Parquet footer.
@@ -121,6 +123,65 @@ def reconcile(before: DataFrame, after: DataFrame, sums: Sequence[str],
                              F.col("exact_before") == F.col("exact_after")).otherwise(close).alias("agrees"))
 
 
+def partition_digests(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, rows, digest0, digest1): per partition its rows and two sums of hashes of whole rows.
+
+    The sums do not depend on the order of the rows, and repeated rows count each time. One hash
+    aggregation: a row per partition and task is shuffled.
+    """
+    values = [F.struct(F.col(c).isNull(), _one_zero(df, c)) for c in sorted(df.columns)]  # a null is a value
+    sums = [F.sum(F.xxhash64(*values, F.lit(k)).cast("decimal(38,0)")).alias(f"digest{k}") for k in range(2)]
+    return df.groupBy(*by).agg(F.count("*").alias("rows"), *sums)
+
+
+def _one_zero(df: DataFrame, name: str) -> Column:
+    """The column with 0.0 for -0.0, which are equal but hash differently."""
+    return F.col(name) + 0 if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)) else F.col(name)
+
+
+def differing_partitions(before: DataFrame, after: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, rows_before, rows_after) of the partitions whose rows differ, found by their digests alone.
+
+    Both sides need the same columns. Null is a partition like any other; a partition that one side
+    lacks has 0 rows there.
+    """
+    sides = [partition_digests(df.select(*before.columns), by).withColumnsRenamed({c: f"{side}_{i}" for i, c in enumerate(by)})
+             .alias(side) for side, df in (("before", before), ("after", after))]
+    same = all_of([F.col(f"before_{i}").eqNullSafe(F.col(f"after_{i}")) for i in range(len(by))] or [F.lit(True)])
+    agrees = all_of([F.col(f"before.{c}").eqNullSafe(F.col(f"after.{c}")) for c in ("rows", "digest0", "digest1")])
+    return sides[0].join(sides[1], same, "full_outer").where(~agrees).select(
+        *[F.coalesce(f"before_{i}", f"after_{i}").alias(c) for i, c in enumerate(by)],
+        F.coalesce("before.rows", F.lit(0)).alias("rows_before"), F.coalesce("after.rows", F.lit(0)).alias("rows_after"))
+
+
+def differing_rows(before: DataFrame, after: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(side, times, all columns): rows that one side has more often, and how much more often.
+
+    Whole rows of both sides meet only for partitions whose digests differ; these are written to the
+    shared folder once. Up to EXACT_PARTITIONS of them become a filter, which prunes the folders of a
+    stored side; beyond that they are joined.
+    """
+    names = before.columns
+    found = kept(differing_partitions(before, after, by).select(*by)) if by else None
+    tuples = found.limit(EXACT_PARTITIONS + 1).collect() if by else []
+
+    def concerned(df: DataFrame) -> DataFrame:
+        if not by:
+            return df
+        if not tuples:
+            return df.where(F.lit(False))
+        if len(tuples) <= EXACT_PARTITIONS:
+            return df.where(in_partitions(list(by), tuples))
+        same = all_of([F.col(f"row.{c}").eqNullSafe(F.col(f"found.{c}")) for c in by])
+        return df.alias("row").join(found.alias("found"), same, "left_semi")
+
+    both = concerned(before.select(*names)).withColumn("times", F.lit(1)).unionByName(
+        concerned(after.select(*names)).withColumn("times", F.lit(-1)))
+    left = both.groupBy(*names).agg(F.sum("times").alias("times")).where("times != 0")
+    return left.select(F.when(F.col("times") > 0, "before").otherwise("after").alias("side"),
+                       F.abs("times").alias("times"), *names)
+
+
 def _summable(dtype: T.DataType) -> T.DataType:
     """Wide enough that no sum of the type overflows, and of one text form on both sides."""
     return T.DecimalType(38, dtype.scale if isinstance(dtype, T.DecimalType) else 0)

@@ -63,6 +63,10 @@ _TYPE_ROWS = "\nUNION ALL ".join(
     for c in ("Year", "Month", "date", "time", "market", "stock_code", "stock_name", "open",
               "close", "high", "low", "volume"))
 
+_CHANGED = """, changed AS (
+  SELECT * REPLACE (CASE WHEN "date" >= '2024-01-28' AND market = 'click' THEN "close" + 1 ELSE "close" END AS "close")
+  FROM bars5 WHERE "date" <> '2024-01-12')"""
+
 ORACLE: dict[str, str] = {
     "read_all": _day("SELECT * FROM bars1d"),
     "filter_eq_date": _five("SELECT * FROM bars5 WHERE \"date\" = '2024-01-15'"),
@@ -106,6 +110,9 @@ UNION ALL SELECT 'partition values stay text', true, count(*) FROM bars5 WHERE "
         "SELECT * REPLACE (CASE WHEN \"date\" >= '2024-01-20' THEN \"close\" + 1.0 "
         "ELSE \"close\" END AS \"close\") FROM bars5"),
     "find_duplicates": _five(f"SELECT * FROM bars5 b WHERE EXISTS ({_STORED})"),
+    "find_duplicates_filtered": _five(f"""
+SELECT * FROM bars5 b WHERE EXISTS ({_STORED})
+AND volume IN (SELECT min(volume) FROM bars5 GROUP BY "date", market)"""),
     "remove_duplicates": _five(f"SELECT * FROM bars5 b WHERE NOT EXISTS ({_STORED})"),
     "append_dedup": _five(
         f"SELECT * FROM bars5 WHERE market <> 'purchase' "
@@ -175,6 +182,16 @@ UNION ALL
 SELECT 'one less', measure, round(b.v, 2), round(a.v, 2), b.v = a.v
 FROM ({_MEASURES}) b JOIN ({_MEASURES.replace('FROM bars5', 'FROM (SELECT * FROM bars5 WHERE volume <> (SELECT max(volume) FROM bars5))')}) a
 USING (measure)"""),
+    "reconcile_partitions": f"""
+WITH {BARS5_SQL}{_CHANGED}
+SELECT "Year", "Month", "date", count(*) AS rows_before, count(*) FILTER ("date" <> '2024-01-12') AS rows_after
+FROM bars5 WHERE "date" = '2024-01-12' OR "date" >= '2024-01-28'
+GROUP BY "Year", "Month", "date" HAVING "date" = '2024-01-12' OR count(*) FILTER (market = 'click') > 0""",
+    "reconcile_rows": f"""
+WITH {BARS5_SQL}{_CHANGED}
+SELECT 'before' AS side, count(*) AS times, * FROM (SELECT * FROM bars5 EXCEPT ALL SELECT * FROM changed) AS lost GROUP BY ALL
+UNION ALL
+SELECT 'after', count(*), * FROM (SELECT * FROM changed EXCEPT ALL SELECT * FROM bars5) AS gained GROUP BY ALL""",
     "ingest_envelopes": _five("SELECT * FROM bars5"),
     "stream_ingest": _five(
         "SELECT * FROM bars5 QUALIFY row_number() OVER (PARTITION BY \"date\", stock_code, \"time\" ORDER BY market, "

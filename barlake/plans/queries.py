@@ -27,6 +27,7 @@ BARS1D_V2 = Table("stock_1day", "v2", {**BARS1D.columns, "amount": "double"}, BA
 FLAT5 = Table("flat_bars", "v1", BARS5.columns, "flat.parquet", key=("volume",))
 EVENT_TIMES = Table("event_times", "v1", {"event_id": "int64", "ts": "timestamp", "day": "timestamp", "text": "int64"},
                     "event_times.parquet", key=("event_id",))
+KEYED5 = replace(BARS5, name="keyed_5min", key_filter=True)
 CHECKED5 = replace(BARS5, required=("open",), allowed={"market": ("view", "click", "purchase")})
 
 _loaded: dict[tuple[str, str, str], Store] = {}
@@ -34,7 +35,7 @@ _loaded: dict[tuple[str, str, str], Store] = {}
 
 def new_store(spark: SparkSession, **options) -> Store:
     """An empty store in a folder of its own."""
-    return Store(spark, new_folder(spark, "query"), (BARS5, BARS1D, BARS1D_V2, MEMBERS, FLAT5, EVENT_TIMES),
+    return Store(spark, new_folder(spark, "query"), (BARS5, BARS1D, BARS1D_V2, MEMBERS, FLAT5, EVENT_TIMES, KEYED5),
                  **{"allow_overwrite": True, "allow_delete": True, **options})
 
 
@@ -180,6 +181,17 @@ def find_duplicates(spark, sf_dir):
     return keys.find_duplicates(batch, stored, BARS5.identity)
 
 
+def find_duplicates_filtered(spark, sf_dir):
+    """The first bars of each day and market, looked for through the key filters of the stored files."""
+    store, bars = new_store(spark), bars5(spark, sf_dir)
+    for half in (F.col("volume") % 2 == 0, F.col("volume") % 2 == 1):
+        put(store, bars.where(F.col("market") != "purchase").where(half), "keyed_5min", check_duplicates=False)
+    first = bars.groupBy("date", "market").agg(F.min("volume").alias("volume"))
+    batch = bars.join(F.broadcast(first), ["date", "market", "volume"], "left_semi")
+    stored = read_touched(store, KEYED5, route_batch(batch, KEYED5), None, batch)
+    return keys.find_duplicates(batch, stored, KEYED5.identity)
+
+
 def remove_duplicates(spark, sf_dir):
     store, batch = _half_stored(spark, sf_dir)
     stored = read_touched(store, BARS5, route_batch(batch, BARS5))
@@ -362,6 +374,23 @@ def reconcile(spark, sf_dir):
     return found
 
 
+def _changed(spark, sf_dir) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The bars, and what is stored after a day was deleted and prices of the last days were replaced."""
+    store, bars = fresh(spark, sf_dir, "stock_5min"), bars5(spark, sf_dir)
+    manage.delete_partitions(store, "stock_5min", date="2024-01-12")
+    raised = F.when(F.col("market") == "click", F.col("close") + 1).otherwise(F.col("close"))
+    put(store, bars.where(F.col("date") >= "2024-01-28").withColumn("close", raised), "stock_5min", mode="overwrite")
+    return bars, read_data(store, "stock_5min"), list(BARS5.partitions)
+
+
+def reconcile_partitions(spark, sf_dir):
+    return stats.differing_partitions(*_changed(spark, sf_dir))
+
+
+def reconcile_rows(spark, sf_dir):
+    return stats.differing_rows(*_changed(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- ingest, export, bulk requests
 
 def _envelopes(df: DataFrame) -> DataFrame:
@@ -458,6 +487,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "write_outcomes": write_outcomes,
     "overwrite_partition": overwrite_partition,
     "find_duplicates": find_duplicates,
+    "find_duplicates_filtered": find_duplicates_filtered,
     "remove_duplicates": remove_duplicates,
     "append_dedup": append_dedup,
     "duplicate_counts": duplicate_counts,
@@ -483,6 +513,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "value_profile": value_profile,
     "distinct_dates": distinct_dates,
     "reconcile": reconcile,
+    "reconcile_partitions": reconcile_partitions,
+    "reconcile_rows": reconcile_rows,
     "ingest_envelopes": ingest_envelopes_query,
     "stream_ingest": stream_ingest,
     "export_records": export_query,
