@@ -15,7 +15,8 @@ on: in rounds in which each class names the one other component's member that ma
 round joins nothing; then once with all members of other components. Tests never cross the driver
 and are not repeated. Within a list, lengths and the parities of how many shingles fall into each of
 1,024 bins (each bin of different parity holds one shingle that the two don't share) rule out most
-pairs before a row is made of them. Long lists are dealt as pairs of blocks.
+pairs before a row is made of them. Lists of the same classes are one (known by their number and two
+sums of hashes), and long lists are dealt as pairs of blocks.
 
 T-occurrence. A query and its candidates' sets become inverted lists of the query's shingles. The L
 longest, L = T / (0.01 log2(M) + 1) with M the longest length, are set aside; a heap merges the
@@ -38,12 +39,12 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlake.llm.names import doubled, paired
 from barlake.llm.order_minhash import components
-from barlake.llm.shared import cut, small_batches, small_side
+from barlake.llm.shared import cut, small_batches, small_side, utf8
 
 WORDS = 5
 # Fixed values of the task: two sets link if 100 * common >= 80 * all.
@@ -188,100 +189,142 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- candidates
 
 PAIRS = "a binary, b binary"
+#: Pairs of members whose lengths and parities are compared at a time.
+PAIRS_AT_ONCE = 1 << 16
 
 
-def _near(nodes: np.ndarray, roots: np.ndarray, sizes: np.ndarray, parities: np.ndarray, sides: np.ndarray, every: bool) -> list[tuple]:
-    """Pairs of members of other components, and of other blocks if there are two, that lengths and
-    parities don't rule out: all, or for each member the one of least difference."""
-    order = np.lexsort((nodes, sizes))
-    nodes, roots, sizes, parities, sides = (x[order] for x in (nodes, roots, sizes, parities, sides))
-    last = np.searchsorted(sizes, sizes * WHOLE // SHARE, "right")
+def _close(sizes: np.ndarray, parities: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Those pairs of places (i, j), and how much they differ at least, that lengths and parities don't rule out."""
+    total, least = sizes[i] + sizes[j], np.minimum(sizes[i], sizes[j])
+    wanted = -(-SHARE * total // (SHARE + WHOLE))
+    some = least >= wanted
+    i, j, most = i[some], j[some], (total - 2 * wanted)[some]
+    differ = np.bitwise_count(parities[i] ^ parities[j]).sum(1).astype(np.int64)
+    some = differ <= most
+    return i[some], j[some], differ[some]
+
+
+def near_members(roots: np.ndarray, sizes: np.ndarray, parities: np.ndarray, sides: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of a list's members, of different components (and of different blocks if there
+    are two), that may link: all of them, or for each member the one of least difference."""
+    count, found = len(sizes), []
     two = sides.any() and not sides.all()
-    best, least, pairs = np.full(len(nodes), -1), np.full(len(nodes), 1 << 30), []
-    for i in range(len(nodes)):
-        js = np.arange(i + 1, last[i])
-        js = js[(roots[js] != roots[i]) & ((sides[js] != sides[i]) if two else True)]
-        if not len(js):
-            continue
-        total = sizes[i] + sizes[js]
-        differ = np.bitwise_count(parities[js] ^ parities[i]).sum(1).astype(np.int64)
-        near = differ <= total + 2 * (-SHARE * total // (SHARE + WHOLE))
-        js, differ = js[near], differ[near]
-        if every:
-            pairs += [(i, j) for j in js.tolist()]
-        elif len(js):
-            k = int(differ.argmin())
-            if differ[k] < least[i]:
-                least[i], best[i] = differ[k], js[k]
-            closer = differ < least[js]
-            least[js[closer]], best[js[closer]] = differ[closer], i
-    if not every:
-        pairs = [(i, int(j)) for i, j in enumerate(best.tolist()) if j >= 0]
-    return [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i, j in pairs]
+    step = max(1, PAIRS_AT_ONCE // count)
+    for low in range(0, count - 1, step):
+        i, j = np.nonzero(np.arange(low, min(low + step, count))[:, None] < np.arange(count)[None])
+        i += low
+        other = (roots[i] != roots[j]).any(1)
+        if two:
+            other &= sides[i] != sides[j]
+        found.append(_close(sizes, parities, i[other], j[other]))
+    i, j, differ = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    if not every and len(i):
+        member, partner = np.concatenate([i, j]), np.concatenate([j, i])
+        order = np.lexsort((np.concatenate([differ, differ]), member))
+        first = order[np.r_[True, np.diff(member[order]) != 0]]
+        i, j = member[first], partner[first]
+    return i, j
+
+
+def _wide(column: pa.Array, width: int) -> np.ndarray:
+    """Binaries of one width as rows of 64-bit words."""
+    data = utf8(column)[0]
+    return np.frombuffer(data.tobytes(), np.uint64).reshape(-1, width // 8)
 
 
 def _candidates(every: bool):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(group: list[tuple]) -> pa.RecordBatch:
-            nodes, roots, sizes, parities, sides = zip(*group)
-            pairs = sorted(set(_near(np.array(nodes, object), np.array(roots, object), np.array(sizes, np.int64), np.stack(
-                [np.frombuffer(p, np.uint64) for p in parities]), np.array(sides, bool), every)))
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
-
-        own, group = None, []
+        def found(batch: pa.RecordBatch, edges: np.ndarray) -> pa.RecordBatch:
+            roots, parities = _wide(batch.column("root"), 16), _wide(batch.column("parity"), 8 * PARITY_WORDS)
+            sizes = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
+            sides = batch.column("side").to_numpy(zero_copy_only=False)
+            pairs = []
+            for low, high in zip(edges[:-1], edges[1:]):
+                if high - low > 1:
+                    own = slice(low, high)
+                    i, j = near_members(roots[own], sizes[own], parities[own], sides[own], every)
+                    if len(i):
+                        pairs.append((i + low, j + low))
+            nodes = batch.column("node")
+            ends = [pa.array(np.concatenate([p[k] for p in pairs] or [np.zeros(0, np.int64)])) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays([nodes.take(e) for e in ends], names=["a", "b"])
+
+        rest = None  # the last list of a batch may go on in the next
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(8)]
-            for token, low, high, *member in zip(*columns):
-                if (token, low, high) != own:
-                    if len(group) > 1:
-                        yield found(group)
-                    own, group = (token, low, high), []
-                group.append(tuple(member))
-        if len(group) > 1:
-            yield found(group)
+            if rest is not None:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("token", "low", "high")], 1)
+            edges = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1), True])
+            rest = batch.slice(edges[-2])
+            if len(edges) > 2:
+                yield found(batch.slice(0, edges[-2]), edges[:-1])
+        if rest is not None and rest.num_rows:
+            yield found(rest, np.array([0, rest.num_rows]))
     return task
 
 
+def _number() -> Column:
+    return F.conv(F.hex(F.substring("node", 1, 7)), 16, 10).cast("long").alias("no")
+
+
 class Join:
-    """The classes of `docs`, their short lists, and the search for links between classes."""
+    """The classes of `docs`, their short lists, and the search for links between classes.
+
+    In lists a class goes by `no`, seven bytes of its name; where two classes have the same, both
+    stand for it.
+    """
 
     def __init__(self, docs: DataFrame):
         self.texts = docs.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("at"), "text")
         self.described = cut(self.texts.mapInArrow(_describe, DESCRIBED))
         self.nodes = cut(self.described.where("node IS NOT NULL").groupBy("node").agg(
-            F.min("id").alias("id"), F.min("at").alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix"),
-            F.first("parity").alias("parity")))
+            F.min("id").alias("id"), F.min("at").alias("at"), F.first("n").alias("n"), F.first("parity").alias("parity"),
+            F.count("*").alias("rows")).select("node", _number(), "id", "at", "n", "parity", "rows"))
         self.members = cut(self._short_lists())
 
     def _short_lists(self) -> DataFrame:
-        """(token, node, weight) of each class and each of its short lists."""
-        postings = self.nodes.select("node", "n", F.explode("prefix").alias("token"))
-        lists = (self.nodes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("size"))
-                 .where("size > 1"))
+        """(token, no, weight) of each class and each of its short lists; of lists of the same classes one."""
+        several = small_side(cut(self.nodes.where("rows > 1").select("node")))
+        described = self.described.where("node IS NOT NULL").select("node", "n", "prefix")
+        prefixes = described.join(several, "node", "left_anti").unionAll(
+            described.join(several, "node", "left_semi").dropDuplicates(["node"]))
+        postings = prefixes.select(_number(), "n", F.explode("prefix").alias("token"))
+        lists = postings.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
         smaller = F.ceil(F.col("n") * SHARE / WHOLE)
         own = F.array_sort(F.collect_list(F.struct("size", "token")))
-        mine = postings.join(lists, "token").groupBy("node", "n").agg(own.alias("lists"), F.sum("size").alias("weight"))
+        mine = postings.join(lists, "token").groupBy("no", "n").agg(own.alias("lists"), F.sum("size").alias("weight"))
         left_out = F.greatest(F.floor(smaller / LONGER).cast("int"), F.lit(1)) - 1
         kept = F.slice("lists", F.lit(1), F.greatest(F.size("lists") - left_out, F.lit(0)))
-        return mine.select("node", "weight", F.explode(kept["token"]).alias("token"))
+        short = cut(mine.select("no", "weight", F.explode(kept["token"]).alias("token")))
+        names = [F.sum(F.xxhash64("no", F.lit(k)).cast("decimal(38,0)")).alias(f"name{k}") for k in range(2)]
+        same = (short.groupBy("token").agg(F.count("*").alias("size"), *names).where("size > 1")
+                .groupBy("size", "name0", "name1").agg(F.min("token").alias("token")).select("token"))
+        return short.join(same, "token", "left_semi")
 
     def hub_pairs(self) -> DataFrame:
-        hubs = self.members.groupBy("token").agg(F.max(F.struct("weight", "node")).alias("hub"), F.count("*").alias("size"))
-        met = self.members.join(hubs.where("size > 1").select("token", F.col("hub.node").alias("hub")), "token").where("node != hub")
-        return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        """Each class with the hub of each of its lists."""
+        hubs = self.members.groupBy("token").agg(F.max(F.struct("weight", "no")).alias("hub"))
+        met = self.members.join(hubs.select("token", F.col("hub.no").alias("hub")), "token").where("no != hub")
+        pairs = met.select(F.least("no", "hub").alias("x"), F.greatest("no", "hub").alias("y")).distinct()
+        named = self.nodes.select("no", "node")
+        pairs = (pairs.join(named.select(F.col("no").alias("x"), F.col("node").alias("p")), "x")
+                 .join(named.select(F.col("no").alias("y"), F.col("node").alias("q")), "y"))
+        return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
     def open_pairs(self, roots: DataFrame, every: bool) -> DataFrame:
         """Pairs of different components that share a short list and may link."""
-        placed = self.members.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
-        several = (placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
-                   .where("low != high").select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-        rows = placed.join(several, "token").join(self.nodes.select("node", "n", "parity"), "node")
+        known = self.nodes.select("no", "node", "n", "parity").join(roots, "node", "left")
+        placed = self.members.select("token", "no").join(known.withColumn("root", F.coalesce("root", "node")), "no")
+        several = (placed.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size"))
+                   .where("least != most").select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+        rows = placed.join(several, "token")
         rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn(
             "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.select("token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "root", "n",
                            "parity", (F.col("own") > F.col("other")).alias("side"))
         keys = ["token", "low", "high"]
-        return (rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_candidates(every), PAIRS).distinct())
+        pairs = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_candidates(every), PAIRS)
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Those of the written `pairs` that link."""
