@@ -63,6 +63,12 @@ _TYPE_ROWS = "\nUNION ALL ".join(
     for c in ("Year", "Month", "date", "time", "market", "stock_code", "stock_name", "open",
               "close", "high", "low", "volume"))
 
+_MINUTE = """60 * CAST(substr("time", 1, 2) AS integer) + CAST(substr("time", 4, 2) AS integer)"""
+_GROUP = """"Year", "Month", "date", market, stock_code, stock_name"""
+_BAR = """first("open" ORDER BY "time", volume) AS "open", last("close" ORDER BY "time", volume) AS "close",
+       max(high) AS high, min(low) AS low, CAST(sum(volume) AS bigint) AS volume"""
+_IN_SESSION = """("time" >= '09:30' AND "time" < '12:00' OR "time" >= '13:00' AND "time" < '16:00')"""
+
 _CHANGED = """, changed AS (
   SELECT * REPLACE (CASE WHEN "date" >= '2024-01-28' AND market = 'click' THEN "close" + 1 ELSE "close" END AS "close")
   FROM bars5 WHERE "date" <> '2024-01-12')"""
@@ -84,6 +90,30 @@ ORACLE: dict[str, str] = {
     "filter_open_start_date": _five("SELECT * FROM bars5 WHERE \"date\" >= '2024-01-20'"),
     "filter_unknown_ignored": _five("SELECT * FROM bars5 WHERE market = 'view'"),
     "project_columns": _five("SELECT \"date\", stock_code, \"close\" FROM bars5"),
+    "paged": _day("""
+SELECT * FROM bars1d WHERE "open" >= 50000
+ORDER BY "Year", "Month", "date", stock_code, market, stock_name, "open", "close", high, low, volume LIMIT 300"""),
+    "rolled_bars": _five(f"""
+SELECT {_GROUP}, printf('%02d:%02d', minute // 30 * 30 // 60, minute // 30 * 30 % 60) AS "time", {_BAR}, '30' AS span
+FROM (SELECT *, {_MINUTE} AS minute FROM bars5 WHERE {_IN_SESSION}) GROUP BY {_GROUP}, minute // 30
+UNION ALL
+SELECT {_GROUP}, substr("time", 1, 2) || ':00', {_BAR}, '60' FROM bars5 GROUP BY {_GROUP}, substr("time", 1, 2)
+UNION ALL
+SELECT {_GROUP}, '', {_BAR}, 'day' FROM bars5 WHERE {_IN_SESSION} GROUP BY {_GROUP}"""),
+    "missing_bars": f"WITH {BARS5_SQL}" + f"""
+, steps AS (
+  SELECT DISTINCT "date", market, CASE WHEN "time" < '12:00' THEN (minute - 570) // 5 ELSE 30 + (minute - 780) // 5 END AS step
+  FROM (SELECT *, {_MINUTE} AS minute FROM bars5 WHERE {_IN_SESSION})),
+gone AS (
+  SELECT "date", market, s FROM (SELECT DISTINCT "date", market FROM steps), range(66) AS expected(s)
+  WHERE ("date", market, s) NOT IN (SELECT "date", market, step FROM steps)),
+runs AS (
+  SELECT "date", market, min(s) AS low, max(s) AS high
+  FROM (SELECT *, s - row_number() OVER (PARTITION BY "date", market ORDER BY s) AS run FROM gone) GROUP BY "date", market, run),
+times AS (SELECT s, CASE WHEN s < 30 THEN 570 + 5 * s ELSE 780 + 5 * (s - 30) END AS minute FROM range(66) AS expected(s))
+SELECT "date", market, printf('%02d:%02d', a.minute // 60, a.minute % 60) AS "first",
+       printf('%02d:%02d', b.minute // 60, b.minute % 60) AS "last", high - low + 1 AS bars
+FROM runs JOIN times a ON a.s = low JOIN times b ON b.s = high""",
     "members_read": f"WITH {MEMBERS_SQL}\nSELECT * FROM members WHERE index_code = 'asia'",
     "ops_suffix": _five(
         "SELECT * FROM bars5 WHERE \"close\" > 20 AND market <> 'view' "

@@ -13,7 +13,9 @@ from barlake.operators import checks, keys, manage, stats
 from barlake.operators.export import export_records
 from barlake.operators.ingest import ingest_envelopes
 from barlake.operators.layout import compact, key_ranges
+from barlake.operators.pages import page
 from barlake.operators.requests import answer_requests, count_requests
+from barlake.operators.series import daily, missing_ranges, roll_up
 from barlake.operators.write import read_touched, route_batch, route_preview, write_data
 from barlake.plans.bridge import BARS1D, BARS5, MEMBERS, bars1d, bars5, load, members, moment
 from barlake.sources.scan import query_data, read_data
@@ -104,6 +106,37 @@ def extra_columns(spark, sf_dir):
     return read_data(store, "stock_1day", "v2", extra_columns=True, filters={"note": {"start": "500000"}})
 
 
+def paged(spark, sf_dir):
+    """The first three pages of a result, each begun behind the cursor of the one before."""
+    store, found, after = loaded(spark, sf_dir, "stock_1day"), [], None
+    for _ in range(3):
+        own = page(store, "stock_1day", 100, after=after, filters={"open": {"start": "50000"}})
+        found, after = found + own.rows, own.cursor
+        if after is None:
+            break
+    return spark.createDataFrame(found, BARS1D.schema)
+
+
+# ---------------------------------------------------------------- time series
+
+SESSIONS = (("09:30", "12:00"), ("13:00", "16:00"))
+
+
+def rolled_bars(spark, sf_dir):
+    """Bars of 30 and 60 minutes and of the day's sessions."""
+    bars = read_data(loaded(spark, sf_dir, "stock_5min"), "stock_5min")
+    halves = roll_up(bars, 30, SESSIONS).withColumn("span", F.lit("30"))
+    hours = roll_up(bars, 60).withColumn("span", F.lit("60"))
+    days = daily(bars, SESSIONS).withColumns({"span": F.lit("day"), "time": F.lit("")})
+    return halves.unionByName(hours).unionByName(days)
+
+
+def missing_bars(spark, sf_dir):
+    """Ranges of five-minute steps of a day for which a market has no bar."""
+    bars = read_data(loaded(spark, sf_dir, "stock_5min"), "stock_5min")
+    return missing_ranges(bars, 5, SESSIONS, by=["date", "market"])
+
+
 # ---------------------------------------------------------------- writes
 
 def append_two_batches(spark, sf_dir):
@@ -477,6 +510,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "filter_open_start_date": _filtered("stock_5min", date="2024-01-20~"),
     "filter_unknown_ignored": _filtered("stock_5min", foo="1", market="view"),
     "project_columns": project_columns,
+    "paged": paged,
+    "rolled_bars": rolled_bars,
+    "missing_bars": missing_bars,
     "members_read": _filtered("index_constituents", index_code="asia"),
     "ops_suffix": ops_suffix,
     "cross_version": cross_version,
