@@ -6,20 +6,21 @@ have the same forms as single filter arguments, suffixes included.
 
 Rows and requests meet by equality, in one scan of the table and one join. A request that lists
 values of a text column meets the rows with those values; one that only restricts partition columns
-or the day meets the rows of the partitions it fits, found by a join with the partition list; one
-that does neither is dealt, like the rows, over as many hands as there are shuffle partitions. All
-conditions are checked on the pairs that meet.
+or the day meets the rows of the partitions it fits, found by a join with the partition list, by
+equality too; one that does neither is dealt, like the rows, over as many hands as there are shuffle
+partitions. All conditions are checked on the pairs that meet; only the forms of conditions that
+occur become part of the plan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barlake.functions.columns import all_of
+from barlake.functions.columns import all_of, any_of
 from barlake.functions.filters import LITERAL, SUFFIXES, compile_filters, implied_by_date
 from barlake.sources.files import stored_partitions
 from barlake.sources.scan import read_stored
@@ -34,19 +35,26 @@ _EXACT, _EDGE = "decimal(38,10)", 1e27
 # sides are shuffled.
 BROADCAST_BYTES = 32 << 20
 
+# Bounds on the day up to this far apart meet partitions month by month.
+MOST_MONTHS = 1_200
+
 CONDITION = ("struct<low:string,low_open:boolean,high:string,high_open:boolean,"
              "listed:array<string>,excluded:array<string>,part:string>")
 
 
+def _quoted(text: str) -> str:
+    """The text as a literal of a SQL expression."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _entries(table: Table, requests: DataFrame) -> DataFrame:
     """(request_id, field, column, suffix, text, at) of the arguments; column null if there is none."""
-    column, suffix = F.lit(None).cast("string"), F.lit("eq")
-    name = F.col("field")
-    for declared in table.columns:
-        for sign in SUFFIXES:  # a declared name wins over a suffix
-            here = (name == f"{declared}__{sign}") & ~name.isin(list(table.columns))
-            column, suffix = F.when(here, declared).otherwise(column), F.when(here, sign).otherwise(suffix)
-    column = F.when(name.isin(list(table.columns)), name).otherwise(column)
+    known = {f"{declared}__{sign}": (declared, sign) for declared in table.columns for sign in SUFFIXES}
+    known |= {declared: (declared, "eq") for declared in table.columns}  # a declared name wins over a suffix
+    # one expression in text: as many columns would take longer to build than the answer takes
+    entries = ", ".join(f"{_quoted(name)}, named_struct('column', {_quoted(c)}, 'suffix', {_quoted(sign)})" for name, (c, sign) in known.items())
+    found = F.expr(f"try_element_at(map({entries}), field)")
+    column, suffix = found["column"], F.coalesce(found["suffix"], F.lit("eq"))
     at = F.col("seq") if "seq" in requests.columns else F.col("text")
     return requests.select("request_id", "field", column.alias("column"), suffix.alias("suffix"), "text",
                            at.alias("at"))
@@ -109,7 +117,7 @@ def answer_requests(store: Store, name: str, requests: DataFrame, version: str =
                     ) -> tuple[DataFrame, DataFrame]:
     """(`request_id` and the rows each request selects, problems of the requests).
 
-    Requests are parsed, keyed and written to the shared folder once, because planning looks at them.
+    Requests are parsed and written to the shared folder once, because planning looks at them.
     """
     table = store.table(name, version)
     return _answers(store, table, kept(parsed_requests(table, requests))), request_problems(table, requests)
@@ -125,157 +133,196 @@ def count_requests(store: Store, name: str, requests: DataFrame, version: str =
     if table.partitions:
         inside = [c for c in table.columns if c not in table.partitions]
         whole = all_of([F.size(c) == 0 for c in inside]) if inside else F.lit(True)
+        forms = _forms(table, parsed)
         sizes = read_stored(store, table).groupBy(*table.partitions).agg(F.count("*").alias("n"))
-        places = _with_places(table, parsed.where(whole), sizes)
-        counted = (_answers(store, table, parsed.where(~whole)).groupBy("request_id").agg(F.count("*").alias("rows"))
-                   .unionByName(places.groupBy("request_id").agg(F.sum("n").alias("rows"))))
+        places = _with_places(table, _satisfiable(table, parsed, forms).where(whole), sizes, forms)
+        counted = places.groupBy("request_id").agg(F.sum("n").alias("rows"))
+        if any(forms[c] for c in inside):
+            rest = _answers(store, table, parsed.where(~whole), forms)
+            counted = counted.unionByName(rest.groupBy("request_id").agg(F.count("*").alias("rows")))
     else:
         counted = _answers(store, table, parsed).groupBy("request_id").agg(F.count("*").alias("rows"))
     return (parsed.select("request_id").join(counted, "request_id", "left")
             .select("request_id", F.coalesce("rows", F.lit(0)).alias("rows")))
 
 
+FORMS = ("low", "high", "listed", "excluded", "part")
+Forms = dict[str, frozenset[str]]
+
+
+def _forms(table: Table, parsed: DataFrame) -> Forms:
+    """Per column the forms of conditions that occur, "empty" for conditions that ask for nothing."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("asks")) for c in table.columns]))
+    asks = parsed.select(each.alias("one")).select("one.column", F.explode("one.asks").alias("ask"))
+    occurs = {f: F.col(f"ask.{f}").isNotNull() for f in FORMS}
+    occurs |= {f"{end}_open": F.coalesce(F.col(f"ask.{end}").isNotNull() & F.col(f"ask.{end}_open"), F.lit(False)) for end in ("low", "high")}
+    occurs["empty"] = ~any_of([F.col(f"ask.{f}").isNotNull() for f in FORMS]) | (F.coalesce(F.size("ask.listed"), F.lit(1)) == 0)
+    found = asks.groupBy("column").agg(*[F.bool_or(o).alias(f) for f, o in occurs.items()]).collect()  # a row per column
+    forms = {r["column"]: frozenset(f for f in occurs if r[f]) for r in found}
+    return {c: forms.get(c, frozenset()) for c in table.columns}
+
+
+def _satisfiable(table: Table, parsed: DataFrame, forms: Forms) -> DataFrame:
+    """Requests without an empty condition, which matches nothing."""
+    empty = [F.exists(c, lambda a: ~any_of([a[f].isNotNull() for f in FORMS]) | (F.coalesce(F.size(a["listed"]), F.lit(1)) == 0))
+             for c in table.columns if "empty" in forms[c]]
+    return parsed.where(~any_of(empty)) if empty else parsed
+
+
 def _listing_columns(table: Table) -> list[str]:
     """Text columns inside the files a request may list values of; code columns first."""
     texts = [c for c, t in table.columns.items() if t in TEXT_TYPES and c not in table.partitions]
     return sorted(texts, key=lambda c: "code" not in c.lower())
 
 
-def _first_listed(column: str) -> Column:
-    return F.filter(F.col(column)["listed"], lambda v: v.isNotNull())[0]
+def _lists(column: str) -> Column:
+    return F.exists(column, lambda a: a["listed"].isNotNull())
 
 
-def _answers(store: Store, table: Table, parsed: DataFrame) -> DataFrame:
-    no_empty = all_of([~F.exists(c, lambda a: F.coalesce(F.size(a["listed"]) == 0, F.lit(False))) for c in table.columns])
-    parsed = parsed.where(no_empty)  # an empty list matches nothing
-    listing = _listing_columns(table)
-    by = F.lit(None).cast("string")
-    for c in reversed(listing):
-        by = F.when(F.exists(c, lambda a: a["listed"].isNotNull()), c).otherwise(by)
-    placed = [c for c in table.columns if c in table.partitions] + (["date"] if table.derived or table.calendar else [])
-    in_place = F.lit(False)
-    for c in dict.fromkeys(placed):
-        in_place = in_place | (F.size(c) > 0)
-    parsed = parsed.withColumn("by", F.coalesce(by, F.when(in_place & F.lit(bool(table.partitions)), "").otherwise("*")))
-
-    keyed = [parsed.where(F.col("by") == c).withColumn("key", F.explode(_first_listed(c)))
-             .withColumn("key", F.xxhash64("by", "key")) for c in listing]
-    hands = int(store.spark.conf.get("spark.sql.shuffle.partitions"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(hands - 1)))
-    keyed.append(parsed.where("by = '*'").withColumn("key", every).withColumn("key", F.xxhash64("by", "key")))
-    if table.partitions:
-        places = _with_places(table, parsed.where("by = ''"), stored_partitions(store, table))
-        keyed.append(places.withColumn("key", F.xxhash64("by", *[f"place.{p}" for p in table.partitions])).drop("place"))
-    asked = keyed[0]
-    for more in keyed[1:]:
-        asked = asked.unionByName(more)
-    asked = kept(asked.select("request_id", "by", "key", *table.columns))
-    return _meet(store, table, asked, asked.agg(*_facts(table, listing)).first(), listing, hands)
+def _listed_keys(column: str) -> Column:
+    """Keys of the values in the first list on the column."""
+    return F.transform(F.filter(F.col(column)["listed"], lambda v: v.isNotNull())[0], lambda v: F.xxhash64(F.lit(column), v))
 
 
-def _with_places(table: Table, asked: DataFrame, found: DataFrame) -> DataFrame:
+def _answers(store: Store, table: Table, parsed: DataFrame, forms: Forms | None = None) -> DataFrame:
+    forms = _forms(table, parsed) if forms is None else forms
+    listing = [c for c in _listing_columns(table) if "listed" in forms[c]]
+    dated = ["date"] if table.derived or table.calendar else []
+    placed = [c for c in dict.fromkeys([*(p for p in table.partitions if p in table.columns), *dated]) if forms[c]]
+    hands = int(store.spark.conf.get("spark.sql.shuffle.partitions"))
+    by = F.when(any_of([F.size(c) > 0 for c in placed]), "").otherwise("*") if placed and table.partitions else F.lit("*")
+    found = F.transform(F.sequence(F.lit(0), F.lit(hands - 1)), lambda h: F.xxhash64(F.lit("*"), h))
+    for c in reversed(listing):
+        by, found = F.when(_lists(c), c).otherwise(by), F.when(_lists(c), _listed_keys(c)).otherwise(found)
+    used = [c for c in table.columns if forms[c]]
+    asked = _satisfiable(table, parsed, forms).withColumns({"by": by, "keys": found})
+    asked = asked.select("request_id", "by", "keys", *used)
+
+    ends = _ends(table, forms)
+    facts = [F.sum(_bytes(used) * F.size("keys")).alias("bytes"), *[F.min(v).alias(f"least {k}") for k, v in ends.items()],
+             *[F.max(v).alias(f"most {k}") for k, v in ends.items()], *[F.count_if(v.isNull()).alias(f"no {k}") for k, v in ends.items()]]
+    kinds = {r["by"]: r for r in asked.groupBy("by").agg(*facts).collect()}  # a row for each way to meet
+    total = sum(r["bytes"] or 0 for by, r in kinds.items() if by)
+    keyed = asked.where("by != ''")
+    keyed = keyed.select("request_id", F.explode("keys").alias("key"), *used)
+    if "" in kinds:
+        places = _with_places(table, asked.where("by = ''"), stored_partitions(store, table), forms)
+        places = places.select("request_id", F.xxhash64(F.lit(""), *[f"place.{p}" for p in table.partitions]).alias("key"), *used)
+        total += places.agg(F.sum(_bytes(used))).first()[0] or 0
+        keyed = keyed.unionByName(places) if len(kinds) > 1 else places
+    days = {k: (min if k == "start" else max)(r[f"{'least' if k == 'start' else 'most'} {k}"] for r in kinds.values())
+            for k in ends if kinds and not any(r[f"no {k}"] for r in kinds.values())}
+    return _meet(store, table, keyed, total, [*kinds], [c for c in listing if c in kinds], used, forms, days, hands)
+
+
+def _bytes(used: list[str]) -> Column:
+    return F.octet_length(F.to_json(F.struct("request_id", *used))) + 8
+
+
+def _with_places(table: Table, asked: DataFrame, found: DataFrame, forms: Forms) -> DataFrame:
     """The requests with each partition of `found` that fits them, as struct `place`.
 
-    Requests that list values of a partition column meet the partition list by equality; only those
-    with nothing but bounds are compared with it one by one.
+    They meet by equality: of a value that a request lists, else of a month within its bounds on the
+    day, else requests go to each hand that partitions are dealt to.
     """
-    found = found.select(F.struct(*table.partitions).alias("place"),
-                         *[c for c in found.columns if c not in table.partitions])
     own = [p for p in table.partitions if p in table.columns]
-    fits = [_meets(F.col("place")[p], F.col(p), table.columns[p]) for p in own] + _month_agrees(table, F.col("place"))
-    texts = [p for p in own if table.columns[p] in TEXT_TYPES]
-    by = F.lit("")
-    for p in texts:
-        by = F.when(F.exists(p, lambda a: a["listed"].isNotNull()), p).otherwise(by)
-    asked, result = asked.withColumn("place_by", by), None
-    for p in [*texts, ""]:
-        some = asked.where(F.col("place_by") == p)
-        if p:
-            some = some.withColumn("value", F.explode(_first_listed(p)))
-            some = some.join(found, F.col("value") == F.col(f"place.{p}")).drop("value")
-        else:
-            some = some.join(found, all_of(fits)) if fits else some.crossJoin(found)
-        result = some if result is None else result.unionByName(some)
-    return (result.where(all_of(fits)) if fits else result).drop("place_by")
-
-
-def _month_agrees(table: Table, place: Column) -> list[Column]:
-    """Year and month of a partition can hold the days a request asks for."""
+    place = F.col("place")
+    fits = [_meets(place[p], F.col(p), table.columns[p], forms[p]) for p in own if forms[p]] + _month_agrees(table, place, forms)
+    hands = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = found.select(F.struct(*table.partitions).alias("place"), *[c for c in found.columns if c not in table.partitions])
+    keys = [F.xxhash64(F.lit("*"), F.pmod(F.xxhash64("place"), F.lit(hands)).cast("int"))]
+    meet = F.transform(F.sequence(F.lit(0), F.lit(hands - 1)), lambda h: F.xxhash64(F.lit("*"), h))
+    month, bounds = _month(table, place), forms.get("date", frozenset())
+    if month is not None and {"low", "high"} <= bounds:
+        low, high = (F.try_to_date(F.concat(F.substring(end, 1, 7), F.lit("-01")), "yyyy-MM-dd")
+                     for end in (F.array_max(F.col("date")["low"]), F.array_min(F.col("date")["high"])))
+        several = F.sequence(low, high, F.expr("interval 1 month"))
+        months = F.transform(several, lambda d: F.xxhash64(F.lit("month"), F.date_format(d, "yyyy-MM")))
+        sound = low.isNotNull() & high.isNotNull() & (low <= high) & (F.months_between(high, low) <= MOST_MONTHS)
+        meet = F.when(F.coalesce(sound, F.lit(False)), months).otherwise(meet)
+        keys.append(F.xxhash64(F.lit("month"), month))
+    for p in own:
+        if "listed" in forms[p] and table.columns[p] in TEXT_TYPES:
+            meet = F.when(_lists(p), _listed_keys(p)).otherwise(meet)
+            keys.append(F.xxhash64(F.lit(p), place[p]))
+    met = asked.withColumn("meet", F.explode(meet)).join(found.withColumn("meet", F.explode(F.array(*keys))), "meet").drop("meet")
+    return met.where(all_of(fits)) if fits else met
+
+
+def _month(table: Table, place: Column) -> Column | None:
+    """`yyyy-MM` of a partition, if its days lie in one month."""
     if table.derived and set(table.derived) == {"year", "month"}:
-        month = F.concat(place["year"], F.lit("-"), place["month"])
-    elif table.calendar and {"Year", "Month"} <= set(table.partitions):
-        month = F.concat(place["Year"], F.lit("-"), place["Month"])
-    else:
+        return F.concat(place["year"], F.lit("-"), place["month"])
+    if table.calendar and {"Year", "Month"} <= set(table.partitions):
+        return F.concat(place["Year"], F.lit("-"), place["Month"])
+    return None
+
+
+def _month_agrees(table: Table, place: Column, forms: Forms) -> list[Column]:
+    """Year and month of a partition can hold the days a request asks for."""
+    month, used = _month(table, place), forms.get("date", frozenset())
+    if month is None or not used & {"low", "high", "listed"}:
         return []
 
     def agrees(day: Column) -> Column:
-        return F.coalesce((day["low"].isNull() | (month >= F.substring(day["low"], 1, 7)))
-                          & (day["high"].isNull() | (month <= F.substring(day["high"], 1, 7)))
-                          & (day["listed"].isNull() | F.exists(day["listed"], lambda v: F.substring(v, 1, 7) == month)),
-                          F.lit(False))
+        tests = [day["low"].isNull() | (month >= F.substring(day["low"], 1, 7))] if "low" in used else []
+        tests += [day["high"].isNull() | (month <= F.substring(day["high"], 1, 7))] if "high" in used else []
+        tests += [day["listed"].isNull() | F.exists(day["listed"], lambda v: F.substring(v, 1, 7) == month)] if "listed" in used else []
+        return F.coalesce(all_of(tests), F.lit(False))
 
     return [F.forall("date", agrees)]
 
 
-def _facts(table: Table, listing: list[str]) -> list[Column]:
-    """What the requests use: bytes to join, kinds of keys, columns, and the days they lie within."""
-    facts = [F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes"),
-             *[F.coalesce(F.bool_or(F.col("by") == k), F.lit(False)).alias(f"by {k}") for k in [*listing, "", "*"]],
-             *[F.coalesce(F.bool_or(F.size(c) > 0), F.lit(False)).alias(f"any {c}") for c in table.columns]]
-    if table.columns.get("date") in TEXT_TYPES:
-        first = F.array_max(F.transform("date", lambda a: F.coalesce(a["low"], F.array_min(a["listed"]))))
-        last = F.array_min(F.transform("date", lambda a: F.coalesce(a["high"], F.array_max(a["listed"]))))
-        facts += [F.min(first).alias("start"), F.max(last).alias("end"),
-                  F.count_if(first.isNull()).alias("no start"), F.count_if(last.isNull()).alias("no end")]
-    return facts
+def _ends(table: Table, forms: Forms) -> dict[str, Column]:
+    """First and last day that a request lets through; null if it does not say so."""
+    if table.columns.get("date") not in TEXT_TYPES or not forms["date"]:
+        return {}
+    return {"start": F.array_max(F.transform("date", lambda a: F.coalesce(a["low"], F.array_min(a["listed"])))),
+            "end": F.array_min(F.transform("date", lambda a: F.coalesce(a["high"], F.array_max(a["listed"]))))}
 
 
-def _meet(store: Store, table: Table, asked: DataFrame, fact: Row, listing: list[str], hands: int) -> DataFrame:
+def _meet(store: Store, table: Table, asked: DataFrame, size: int, kinds: list[str], listing: list[str], used: list[str],
+          forms: Forms, days: dict[str, str], hands: int) -> DataFrame:
     rows = read_stored(store, table)
-    days = {side: fact[side] for side in ("start", "end")
-            if f"no {side}" in fact and fact[side] is not None and not fact[f"no {side}"]}
     if days:  # all requests together bound the scan
         rows = rows.where(all_of(compile_filters(table.columns, {"date": days})[0]
                                  + implied_by_date(table, {"date": days})))
-    keys = [F.xxhash64(F.lit(c), F.col(c)) for c in listing if fact[f"by {c}"]]
-    if fact["by "]:
+    keys = [F.xxhash64(F.lit(c), F.col(c)) for c in listing]
+    if "" in kinds:
         keys.append(F.xxhash64(F.lit(""), *table.partitions))
-    if fact["by *"]:
+    if "*" in kinds:
         hand = F.pmod(F.xxhash64(*table.columns), F.lit(hands)).cast("int")
         keys.append(F.xxhash64(F.lit("*"), hand))
     if not keys:
         keys = [F.lit(None).cast("long")]
     key = F.explode(F.array(*keys)) if len(keys) > 1 else keys[0]
     rows = rows.select(*table.columns, key.alias("key"))
-    used = [c for c in table.columns if fact[f"any {c}"]]
-    asked = asked.select("request_id", "key", *used)
-    asked = F.broadcast(asked) if (fact["bytes"] or 0) <= BROADCAST_BYTES else asked.hint("merge")
-    checks = [_meets(F.col(f"row.{c}"), F.col(f"ask.{c}"), table.columns[c]) for c in used]
+    asked = F.broadcast(asked) if size <= BROADCAST_BYTES else asked.hint("merge")
+    checks = [_meets(F.col(f"row.{c}"), F.col(f"ask.{c}"), table.columns[c], forms[c]) for c in used]
     return (rows.alias("row").join(asked.alias("ask"), all_of([F.col("row.key") == F.col("ask.key"), *checks]))
             .select("request_id", *[f"row.{c}" for c in table.columns]))
 
 
-def _meets(value: Column, asks: Column, declared: str) -> Column:
-    """The value meets all conditions on its column."""
+def _meets(value: Column, asks: Column, declared: str, forms: frozenset[str]) -> Column:
+    """The value meets all conditions on its column, which have no other forms than these."""
     number, read = _readers(value, declared)
     text = declared in TEXT_TYPES
 
     def meets(ask: Column) -> Column:
-        low, high = read(ask["low"]), read(ask["high"])
-        above = F.when(ask["low_open"], number > low).otherwise(number >= low)
-        below = F.when(ask["high_open"], number < high).otherwise(number <= high)
-
         def among(values: Column) -> Column:
             return F.array_contains(values, value) if text else \
                 F.exists(values, lambda v: F.coalesce(number == read(v), F.lit(False)))
 
-        something = (ask["low"].isNotNull() | ask["high"].isNotNull() | ask["listed"].isNotNull()
-                     | ask["excluded"].isNotNull() | ask["part"].isNotNull())
-        part = value.contains(ask["part"]) if text else F.lit(False)
-        return F.coalesce(something & value.isNotNull() & (ask["low"].isNull() | above)
-                          & (ask["high"].isNull() | below) & (ask["listed"].isNull() | among(ask["listed"]))
-                          & (ask["excluded"].isNull() | ~among(ask["excluded"])) & (ask["part"].isNull() | part),
-                          F.lit(False))
+        def side(end: str, strict: Column, loose: Column) -> Column:
+            return F.when(ask[f"{end}_open"], strict).otherwise(loose) if f"{end}_open" in forms else loose
+
+        tests = {"low": lambda: side("low", number > read(ask["low"]), number >= read(ask["low"])),
+                 "high": lambda: side("high", number < read(ask["high"]), number <= read(ask["high"])),
+                 "listed": lambda: among(ask["listed"]), "excluded": lambda: ~among(ask["excluded"]),
+                 "part": lambda: value.contains(ask["part"]) if text else F.lit(False)}
+        occurring = [f for f in FORMS if f in forms]
+        something = any_of([ask[f].isNotNull() for f in occurring]) if occurring else F.lit(False)
+        return F.coalesce(all_of([something, value.isNotNull(), *[ask[f].isNull() | tests[f]() for f in occurring]]), F.lit(False))
 
     return F.forall(asks, meets)
 

@@ -92,7 +92,9 @@ def test_one_scan_and_code_requests_are_not_spread(spark, integration, monkeypat
     written, write = [], bulk.kept
     monkeypatch.setattr(bulk, "kept", lambda df: written.append(write(df)) or written[-1])
     rows = answer_requests(integration[0], "stock_5min", frame(spark, asked))[0]
-    assert plan_of(rows).count("FileScan parquet") == 2  # the table and the keyed requests
+    plan = plan_of(rows)
+    assert plan.count("ReadSchema: struct<time:") == 1  # the table; requests are written once and read as they were
+    assert len(written) == 1 and plan.count("FileScan parquet") <= 3 and "NestedLoop" not in plan
     keyed = {r["request_id"]: r["count"] for r in written[-1].groupBy("request_id").count().collect()}
     assert (keyed["a"], keyed["b"], keyed["c"]) == (1, 1, 1)
     assert {r["request_id"] for r in rows.select("request_id").distinct().collect()} == set("abcd")
@@ -132,6 +134,22 @@ def test_nothing_stored_or_asked(spark, store, integration):
     assert answer_requests(integration[0], "stock_5min", none)[0].count() == 0
 
 
+def test_bounds_meet_partitions_by_month(spark, store, integration, monkeypatch):
+    """Bounds on the day, sound or not, meet the partition list by equality and give what single reads give."""
+    asked = {"a": [("date", "2026-05-10~2026-05-16")], "b": [("date", "2026-05~2026-05-15")], "c": [("date", "2025-12-31~2027")],
+             "d": [("date", "2026-05-16~2026-05-15")], "e": [("date", "x~y")], "f": [("date", "0001-01-01~9999-12-31")],
+             "g": [("Year", "2025~"), ("time", "09:30")], "h": [("date__gt", "2026-05-15")], "i": [("Month__ne", "04")]}
+    for name in ("stock_5min", "stock_1day"):
+        fitting = {k: [(f, t) for f, t in v if f in integration[0].table(name).columns] for k, v in asked.items()}
+        rows, problems = answer_requests(integration[0], name, frame(spark, fitting))
+        assert "NestedLoop" not in plan_of(rows)
+        got = {r["request_id"]: r["rows"] for r in count_requests(integration[0], name, frame(spark, fitting)).collect()}
+        whole = {r["request_id"]: r["count"] for r in rows.groupBy("request_id").count().collect()}
+        for request, args in fitting.items():
+            single = query_data(integration[0], name, args=[(f"f_{f}", t) for f, t in args])[0].count()
+            assert got[request] == single and whole.get(request, 0) == single, (name, request)
+
+
 def test_derived_partitions(spark, store):
     rows = [("2026-05-15", "a", 1.0), ("2026-06-15", "a", 2.0), ("2026-06-16", "b", 3.0)]
     write_data(store, spark.createDataFrame(rows, "date string, code string, close double"), "by_month")
