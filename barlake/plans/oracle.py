@@ -205,6 +205,9 @@ FROM (SELECT DISTINCT strftime(l_shipdate, '%Y') AS "Year", strftime(l_shipdate,
     "value_profile": _five("SELECT count(DISTINCT \"date\") AS date_values, "
                            "count(DISTINCT market) AS market_values, "
                            "count(DISTINCT stock_code) AS stock_code_values FROM bars5"),
+    "merged_profiles": f"WITH {BARS5_SQL}\n" + "\nUNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS exact, true AS close, "
+        "count(DISTINCT \"date\") FILTER (\"date\" >= '2024-01-16') AS read_again FROM bars5" for c in ("market", "stock_code", "volume")),
     "distinct_dates": _five("SELECT DISTINCT \"date\" FROM bars5"),
     "reconcile": _five(f"""
 SELECT 'all' AS side, measure, round(v, 2) AS "before", round(v, 2) AS "after", true AS agrees FROM ({_MEASURES})

@@ -14,6 +14,7 @@ from barlake.operators.export import export_records
 from barlake.operators.ingest import ingest_envelopes
 from barlake.operators.layout import compact, key_ranges
 from barlake.operators.pages import page
+from barlake.operators.profiles import merged_profile, update_profile
 from barlake.operators.requests import answer_requests, count_requests
 from barlake.operators.series import daily, missing_ranges, roll_up
 from barlake.operators.write import read_touched, route_batch, route_preview, write_data
@@ -390,6 +391,20 @@ def value_profile(spark, sf_dir):
     return stats.value_profile(bars, ["date", "market", "stock_code"])
 
 
+def merged_profiles(spark, sf_dir):
+    """Distinct values from the sketches of all partitions, half of them stored before the second update."""
+    store, bars, columns = new_store(spark), bars5(spark, sf_dir), ["market", "stock_code", "volume"]
+    found = []
+    for half in (F.col("date") < "2024-01-16", F.col("date") >= "2024-01-16"):
+        put(store, bars.where(half), "stock_5min", check_duplicates=False)
+        found.append(update_profile(store, "stock_5min", columns))
+    exact = stats.value_profile(read_data(store, "stock_5min"), columns).select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"{c}_values").alias("exact")) for c in columns])))
+    return merged_profile(store, "stock_5min").join(exact, "column").select(
+        "column", "exact", (F.abs(F.col("about") - F.col("exact")) <= 0.02 * F.col("exact")).alias("close"),
+        F.lit(found[1]).cast("long").alias("read_again"))
+
+
 def distinct_dates(spark, sf_dir):
     return stats.distinct_values(read_data(loaded(spark, sf_dir, "stock_5min"), "stock_5min"), "date")
 
@@ -547,6 +562,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "calendar_days_monthly": calendar_days_monthly,
     "existing_partitions": existing_partitions,
     "value_profile": value_profile,
+    "merged_profiles": merged_profiles,
     "distinct_dates": distinct_dates,
     "reconcile": reconcile,
     "reconcile_partitions": reconcile_partitions,
