@@ -101,6 +101,7 @@ def encode(docs: DataFrame, path: str, offsets: bool = False) -> DataFrame:
                 columns.append(pa.array([coder(path).ends(x) for x in ids], pa.list_(pa.int64())))
                 names.append("ends")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        coder(path).memory.forget()
 
     return docs.mapInArrow(task, f"{_ddl(docs)}, ids binary" + ", ends array<long>" * offsets)
 

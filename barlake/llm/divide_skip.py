@@ -42,9 +42,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barlake.llm.lists import PAIRS, open_pairs
 from barlake.llm.names import doubled, paired
 from barlake.llm.order_minhash import components
-from barlake.llm.shared import cut, small_batches, small_side, utf8
+from barlake.llm.shared import cut, small_batches, small_side
 
 WORDS = 5
 # Fixed values of the task: two sets link if 100 * common >= 80 * all.
@@ -52,15 +53,20 @@ SHARE, WHOLE = 80, 100
 #: A prefix is longer than needed by the size over this, and as many long lists can be left out.
 LONGER = 10
 PARITY_WORDS = 16
-#: Members of a list that meet in one block at most; words that a task remembers; candidates of one search.
-BLOCK, REMEMBERED, CANDIDATES = 2_048, 400_000, 256
+#: Words that a task remembers; candidates of one search.
+REMEMBERED, CANDIDATES = 400_000, 256
 #: Cost of a probe against that of a merge step, as in DivideSkip.
 PROBE = 0.01
 
 
 def needed(n: int, m: int) -> int:
     """Least number of common shingles of two sets that link."""
-    return -(-SHARE * (n + m) // (SHARE + WHOLE))
+    return wanted(n + m)
+
+
+def wanted(total):
+    """The same for the sum of the two sizes."""
+    return -(-SHARE * total // (SHARE + WHOLE))
 
 
 def least_needed(n):
@@ -186,82 +192,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           batch.column(1).take(pa.array(linked, pa.int64()))], names=["a", "b"])
 
 
-# ---------------------------------------------------------------- candidates
-
-PAIRS = "a binary, b binary"
-#: Pairs of members whose lengths and parities are compared at a time.
-PAIRS_AT_ONCE = 1 << 16
-
-
-def _close(sizes: np.ndarray, parities: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Those pairs of places (i, j), and how much they differ at least, that lengths and parities don't rule out."""
-    total, least = sizes[i] + sizes[j], np.minimum(sizes[i], sizes[j])
-    wanted = -(-SHARE * total // (SHARE + WHOLE))
-    some = least >= wanted
-    i, j, most = i[some], j[some], (total - 2 * wanted)[some]
-    differ = np.bitwise_count(parities[i] ^ parities[j]).sum(1).astype(np.int64)
-    some = differ <= most
-    return i[some], j[some], differ[some]
-
-
-def near_members(roots: np.ndarray, sizes: np.ndarray, parities: np.ndarray, sides: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs of a list's members, of different components (and of different blocks if there
-    are two), that may link: all of them, or for each member the one of least difference."""
-    count, found = len(sizes), []
-    two = sides.any() and not sides.all()
-    step = max(1, PAIRS_AT_ONCE // count)
-    for low in range(0, count - 1, step):
-        i, j = np.nonzero(np.arange(low, min(low + step, count))[:, None] < np.arange(count)[None])
-        i += low
-        other = (roots[i] != roots[j]).any(1)
-        if two:
-            other &= sides[i] != sides[j]
-        found.append(_close(sizes, parities, i[other], j[other]))
-    i, j, differ = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
-    if not every and len(i):
-        member, partner = np.concatenate([i, j]), np.concatenate([j, i])
-        order = np.lexsort((np.concatenate([differ, differ]), member))
-        first = order[np.r_[True, np.diff(member[order]) != 0]]
-        i, j = member[first], partner[first]
-    return i, j
-
-
-def _wide(column: pa.Array, width: int) -> np.ndarray:
-    """Binaries of one width as rows of 64-bit words."""
-    data = utf8(column)[0]
-    return np.frombuffer(data.tobytes(), np.uint64).reshape(-1, width // 8)
-
-
-def _candidates(every: bool):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(batch: pa.RecordBatch, edges: np.ndarray) -> pa.RecordBatch:
-            roots, parities = _wide(batch.column("root"), 16), _wide(batch.column("parity"), 8 * PARITY_WORDS)
-            sizes = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
-            sides = batch.column("side").to_numpy(zero_copy_only=False)
-            pairs = []
-            for low, high in zip(edges[:-1], edges[1:]):
-                if high - low > 1:
-                    own = slice(low, high)
-                    i, j = near_members(roots[own], sizes[own], parities[own], sides[own], every)
-                    if len(i):
-                        pairs.append((i + low, j + low))
-            nodes = batch.column("node")
-            ends = [pa.array(np.concatenate([p[k] for p in pairs] or [np.zeros(0, np.int64)])) for k in (0, 1)]
-            return pa.RecordBatch.from_arrays([nodes.take(e) for e in ends], names=["a", "b"])
-
-        rest = None  # the last list of a batch may go on in the next
-        for batch in batches:
-            if rest is not None:
-                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("token", "low", "high")], 1)
-            edges = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1), True])
-            rest = batch.slice(edges[-2])
-            if len(edges) > 2:
-                yield found(batch.slice(0, edges[-2]), edges[:-1])
-        if rest is not None and rest.num_rows:
-            yield found(rest, np.array([0, rest.num_rows]))
-    return task
-
+# ---------------------------------------------------------------- classes and links
 
 def _number() -> Column:
     return F.conv(F.hex(F.substring("node", 1, 7)), 16, 10).cast("long").alias("no")
@@ -313,18 +244,8 @@ class Join:
 
     def open_pairs(self, roots: DataFrame, every: bool) -> DataFrame:
         """Pairs of different components that share a short list and may link."""
-        known = self.nodes.select("no", "node", "n", "parity").join(roots, "node", "left")
-        placed = self.members.select("token", "no").join(known.withColumn("root", F.coalesce("root", "node")), "no")
-        several = (placed.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size"))
-                   .where("least != most").select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-        rows = placed.join(several, "token")
-        rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn(
-            "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "root", "n",
-                           "parity", (F.col("own") > F.col("other")).alias("side"))
-        keys = ["token", "low", "high"]
-        pairs = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_candidates(every), PAIRS)
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        known = self.nodes.select("no", "node", "n", "parity")
+        return open_pairs(self.members.select(F.col("token").alias("list"), "no").join(known, "no").drop("no"), roots, every, wanted)
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Those of the written `pairs` that link."""

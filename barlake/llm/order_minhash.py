@@ -18,11 +18,11 @@ Before that, the parities of how many shingles of a text fall into each of 2,048
 of shingles that two texts do not share: each bin of different parity holds one at least. Pairs
 above what the similarity allows are dropped on sight.
 
-Buckets are never turned into all their pairs. First every member is compared with the member of
-smallest key. Links become components; a bucket whose members are all in one component is done. In
-the others all members are compared with some of other components, so that large groups join early;
-then those still outside the largest component of a bucket are compared with all of other
-components, so no link between different components is lost.
+Buckets are never turned into all their pairs. First every member is compared with the hub, the
+member whose buckets are largest together. Links become components; a bucket whose members are all in
+one component is done. In the others each member is compared with the one of another component that
+may be nearest, for a few rounds; then once with all of other components, so no link between
+different components is lost.
 
 Rows: documents of equal words are one class from the start, and go on as one row. A text of fewer
 than five words is one shingle. Null, empty and wordless texts have no shingles and stay alone. The
@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barlake.llm.lists import open_pairs
 from barlake.llm.names import MULTIPLIER, doubled, mixed, paired
 from barlake.llm.packed import firsts
 from barlake.llm.shared import cut, small_batches, small_side, utf8
@@ -50,14 +51,14 @@ SKETCHES = 16
 KEPT = 4
 #: Shingles of the texts that get a bucket for their sequence; those with one more get some without one.
 SHORT = range(KEPT, 9)
+#: Rounds in which each member of a bucket names the nearest of another component, before the one for all.
+NEAREST_ROUNDS = 3
 #: 64-bit words of parities of a text.
 PARITY_WORDS = 32
 #: Words that are compared before all others.
 FIRST_WORDS = 8
 #: Bits of hash that are looked at first: enough for this many shingles of a text on average.
 EXPECTED = 16
-#: Members of a bucket, on average, that all others are compared with in the round before the last.
-EARLY = 32
 
 
 def shingles_of(names: np.ndarray, bounds: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -255,6 +256,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, least: float
     return cut(both.select("a", "b", "x", "y").mapInArrow(_verify(least), "a binary, b binary"))
 
 
+def _wanted(least: float):
+    """Least number of common shingles of two texts whose sizes add up to a total."""
+    return lambda total: np.ceil(total * (least / (1 + least)) - 1e-9).astype(np.int64)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of all nodes with links, the root being the smallest node of the component.
 
@@ -293,8 +299,10 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     texts = texts.select("at", "text")
     entries = nodes.select("node", "n", F.posexplode("buckets").alias("sketch", "name")).select(
         F.xxhash64(F.least("sketch", F.lit(SKETCHES)), "name").alias("bucket"), "node", "n")  # sequences meet in any place
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 1")
-    members = cut(entries.join(shared, "bucket"))
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    sized = cut(entries.join(shared, "bucket").select("bucket", "node", "size"))
+    weights = sized.groupBy("node").agg(F.sum("size").alias("weight"))
+    members = cut(sized.join(weights, "node").select(F.col("bucket").alias("list"), "node", "weight"))
     known = nodes.select("node", "n", "parity")
 
     def may_be(a: str, b: str) -> Column:
@@ -311,31 +319,20 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     def named(side: str) -> DataFrame:
         return known.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("parity").alias(f"{side}_parity"))
 
-    pairs = cut(members.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-                .join(named("a"), "a").join(named("b"), "b").where(may_be("a_", "b_")).select("a", "b"))
-    links = _verified(pairs, texts, nodes, least)
+    # the original of a family shares more buckets with its copies than they share with each other
+    hubs = members.groupBy("list").agg(F.max(F.struct("weight", "node"))["node"].alias("hub"))
+    met = members.join(hubs, "list").where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    tested = cut(met.distinct().join(named("a"), "a").join(named("b"), "b").where(may_be("a_", "b_")).select("a", "b"))
+    links = _verified(tested, texts, nodes, least)
     found = components(links)
-    for last in (False, True):
-        placed = (members.join(found, "node", "left")
-                  .select("bucket", "node", "n", "hub", F.coalesce("root", "node").alias("root")))
-        parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("c"))
-        largest = (parts.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("size"),
-                                               F.count("*").alias("parts")).where("parts > 1")
-                   .select("bucket", "size", F.col("top.root").alias("major")))
-        active = cut(placed.join(largest, "bucket").drop("n").join(known, "node").withColumn(
-            "turn", F.pmod(F.xxhash64("bucket", "node"), F.lit(1 << 40)) / F.lit(float(1 << 40))))
-        asks = F.col("root") != F.col("major") if last else F.col("turn") < F.lit(float(EARLY)) / F.col("size")
-        asking = active.where(asks).select(
-            "bucket", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("parity").alias("a_parity"),
-            F.col("root").alias("a_root"), F.col("turn").alias("a_turn"))
-        once = (F.col("turn") > F.col("a_turn")) | ((F.col("root") == F.col("major")) if last else ~asks)
-        met = asking.join(active, "bucket").where((F.col("a_root") != F.col("root")) & once & may_be("a_", ""))
-        pairs = cut(met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-                    .join(pairs, ["a", "b"], "left_anti")) if not active.isEmpty() else None
-        if pairs is None:
-            break
-        more = _verified(pairs, texts, nodes, least) if not pairs.isEmpty() else None
-        if more is not None and not more.isEmpty():
+    described = members.select("list", "node").join(known, "node")
+    for every in (*[False] * NEAREST_ROUNDS, True):  # the last round leaves nothing out, however few were before it
+        pairs = cut(open_pairs(described, found, every, _wanted(least)).join(tested, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            continue
+        more = _verified(pairs, texts, nodes, least)
+        tested = cut(tested.unionAll(pairs))
+        if not more.isEmpty():
             links = cut(links.unionAll(more))
             found = components(links)
     placed = cut(nodes.join(found, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")))

@@ -16,7 +16,7 @@ import regex
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ‐-‧€]*")
 #: Entries of the memory of a task; when full it starts anew, which costs time only.
-MOST = 400_000
+MOST = 200_000
 GROUP = 1 << 20
 
 
@@ -26,6 +26,10 @@ class Memory:
     def __init__(self, compute: Callable[[list[str]], list], pattern: str = PATTERN):
         self.compute, self.known, self.find = compute, {}, regex.compile(pattern).findall
 
+    def forget(self) -> None:
+        """At the end of a task, as workers live longer and other tasks need the room."""
+        self.known = {}
+
     def values(self, texts: Iterable[str]) -> Iterator[list]:
         """For each text the values of its matches; texts are taken in groups of about GROUP characters."""
         group, size = [], 0

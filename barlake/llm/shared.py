@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlake.sources.scratch import shared_folder as cluster_folder
+
 REPOSITORY = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: A side up to this many bytes, measured on the written rows, is broadcast; a larger one is shuffled.
 BROADCAST_BYTES = 8 << 20
@@ -29,11 +31,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of its own only where none is set, as in tests."""
-    context = spark.sparkContext
+    """The folder in spark.checkpoint.dir; one of its own only in local mode, as in tests."""
+    folder, context = cluster_folder(spark), spark.sparkContext  # there is none on a cluster that names none
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barlake-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().get()
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="barlake-", dir=folder))
+    return named or context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -123,6 +123,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
             counts = counter(path).counts(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())],
                                              names=[*batch.schema.names, "n_tokens"])
+        counter(path).memory.forget()
 
     return docs.mapInArrow(task, f"{schema}, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 

@@ -41,6 +41,7 @@ def _block_words(flat: np.ndarray, offsets: np.ndarray):
     step = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
     data = flat[inside]
     value = LOWERED_NAMES[data] * powers(int(sizes.max(initial=0)))[step]
+    value ^= value >> np.uint64(32)  # else sums of powers would cancel out in words made for that
     names = mixed(np.add.reduceat(value, first)) if len(first) else np.zeros(0, np.uint64)
     return starts, ends, names, np.diff(np.searchsorted(starts, offsets))
 

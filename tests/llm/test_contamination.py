@@ -4,9 +4,12 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from barlake.llm import decontaminate
+from barlake.llm.shared import utf8
+from barlake.llm.words import words_of
 from .samples import ODD_ROWS, prose
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -76,3 +79,12 @@ def test_marks_keep_other_columns(spark, make_docs):
     docs = make_docs([(5, "intro " + prose(1, 20) + " end")]).drop("score")
     row = decontaminate.mark_benchmark(docs, benchmark).first()
     assert row.size == 5 and [tuple(h) for h in row.hits] == [(1, 21)] and row["items"] == [1]
+
+
+def test_words_made_to_clash_differ():
+    """A Thue-Morse word and its complement have the same sum of any powers modulo 2^64."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(4_096))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = pa.array([word, other, word.upper()])
+    names = words_of(*utf8(texts))[2]
+    assert names[0] != names[1] and names[0] == names[2]

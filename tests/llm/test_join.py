@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from barlake.llm import divide_skip as join
+from barlake.llm import lists
 
 from .samples import ODD_ROWS, prose
 from .test_near import near_copy
@@ -53,9 +54,9 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("block", [join.BLOCK, 16])
+@pytest.mark.parametrize("block", [lists.BLOCK, 16])
 def test_components_equal_brute_force(make_docs, monkeypatch, block):
-    monkeypatch.setattr(join, "BLOCK", block)
+    monkeypatch.setattr(lists, "BLOCK", block)
     rows = corpus(block)
     found = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in join.report(make_docs(rows)).collect()), key=repr)
     assert found == brute_force(rows)
