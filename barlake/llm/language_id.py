@@ -3,14 +3,16 @@
 Letters are lower-cased (A-Z), all other ASCII bytes become spaces. Each run of 2, 3 and 4 bytes is
 hashed to a bucket of its length; a text is the mean of its buckets' embeddings, and a softmax layer
 on it gives the languages. Embeddings and layer are trained together by stochastic gradient descent
-in numpy on at most SAMPLE labelled documents, those of smallest id hash. On a part of them that is
-kept back, a temperature calibrates the probabilities and a limit is set below which a prediction
+in numpy on at most SAMPLE labelled documents of each language, those of smallest id hash, so that
+rare languages are learned too. On a part of them that is kept back, where each language counts by
+its share of the table, a temperature calibrates the probabilities and a limit is set below which a prediction
 is marked as not accepted.
 
 For prediction embedding and layer are multiplied once, so a text's logits are means of table rows.
 
 Rows: a text that is null or has no letter is `und` with score 0; so is every text if nothing could
-be learned. Rows without lang or id are not learned from.
+be learned. Rows without lang or id are not learned from. Of rows with one id the first by language
+and content is. Repeated rows get equal predictions; of equally probable languages the first by name.
 """
 
 from __future__ import annotations
@@ -19,13 +21,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlake.llm.names import BYTE_NAMES, paired
-from barlake.llm.shared import blocks, held_out, segment_sums, utf8
+from barlake.llm.shared import blocks, cut, held_out, segment_sums, small_side, utf8
 
-SAMPLE = 2_000
+#: Of each language; Spark cuts its windows before the exchange for up to 1,000.
+SAMPLE = 500
 BUCKETS = 1 << 13
 LENGTHS = (2, 3, 4)
 WIDTH = 16
@@ -110,8 +113,9 @@ def _dense(rows: list[np.ndarray]) -> np.ndarray:
     return x
 
 
-def train(rows: list[np.ndarray], labels: list[str], seed: int = 7) -> Model | None:
-    """Rows are (bucket, count) pairs of a document each."""
+def train(rows: list[np.ndarray], labels: list[str], counts: dict[str, int] | None = None, seed: int = 7
+          ) -> Model | None:
+    """Rows are (bucket, count) pairs of a document each; `counts` tells how many the languages have in all."""
     if not rows:
         return None
     languages = sorted(set(labels))
@@ -141,13 +145,18 @@ def train(rows: list[np.ndarray], labels: list[str], seed: int = 7) -> Model | N
     logits = np.concatenate([_dense([rows[k] for k in check[a:a + 64]]) @ table @ layer + bias
                              for a in range(0, len(check), 64)]).astype(np.float64)
 
+    drawn = np.bincount(y[check], minlength=len(languages))
+    weight = np.array([(counts or {}).get(x, n) / max(n, 1) for x, n in zip(languages, drawn)])[y[check]]
+
     def loss(t: float) -> float:
-        return float(-np.log(softmax(logits / t)[np.arange(len(check)), y[check]] + 1e-12).mean())
+        own = -np.log(softmax(logits / t)[np.arange(len(check)), y[check]] + 1e-12)
+        return float(np.average(own, weights=weight))
 
     temperature = min(np.geomspace(0.05, 20, 60), key=loss)
     p = softmax(logits / temperature)
     sure, right = p.max(1), p.argmax(1) == y[check]
-    limits = [t for t in np.linspace(0, 0.99, 100) if (sure >= t).any() and right[sure >= t].mean() >= 0.99]
+    limits = [t for t in np.linspace(0, 0.99, 100) if (sure >= t).any()
+              and np.average(right[sure >= t], weights=weight[sure >= t]) >= 0.99]
     return Model(languages, (table @ layer).astype(np.float32), bias, float(temperature),
                  float(limits[0]) if limits else 1.0)
 
@@ -157,10 +166,14 @@ def has_letter(text: Column) -> Column:
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A model of at most `sample` documents that are not held out."""
+    """A model of at most `sample` documents of each language that are not held out."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = F.broadcast(known.select("doc_id").distinct()
-                         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # at most `sample` ids
+    known = known.where(has_letter(F.col("text")))
+    ids = cut(known.groupBy("doc_id").agg(F.min("lang").alias("lang")))
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = small_side(cut(ids.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= sample)
+                            .select("doc_id", "lang")))
+    counts = {r[0]: r[1] for r in ids.groupBy("lang").count().collect()}  # one row a language
 
     def task(batches):
         for batch in batches:
@@ -168,11 +181,11 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())],
                                              names=["doc_id", "lang", "packed"])
 
-    rows = (known.where(has_letter(F.col("text"))).join(chosen, "doc_id").select("doc_id", "lang", "text")
+    rows = (known.join(chosen, ["doc_id", "lang"]).select("doc_id", "lang", "text")
             .mapInArrow(task, "doc_id long, lang string, packed binary").where(F.octet_length("packed") > 0)
             .groupBy("doc_id").agg(F.min(F.struct("lang", "packed")).alias("row")).collect())
     rows = sorted((r[0], r[1][0], bytes(r[1][1])) for r in rows)
-    return train([np.frombuffer(r[2], np.uint32).reshape(-1, 2) for r in rows], [r[1] for r in rows])
+    return train([np.frombuffer(r[2], np.uint32).reshape(-1, 2) for r in rows], [r[1] for r in rows], counts)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Terms of a text are its byte trigrams and its runs of four character classes, both hashed or
 numbered to 4,096 each, and the class of its compression ratio. Their counts are damped, weighted
-by inverse document frequency and projected by a truncated singular value decomposition. At most
+by inverse document frequency over all documents and projected by a truncated singular value decomposition. At most
 LABELLED documents of each label, those of smallest id hash, are decomposed on the driver; their
 vectors are broadcast. Every document's exact cosine with all of them is computed block by block,
 and the labels of the NEIGHBOURS nearest count by similarity. A logistic curve through the votes
@@ -11,7 +11,8 @@ share of the vote into a probability.
 
 Rows: labels without id or quality are ignored; a document labelled both ways counts as 0. A text
 without terms has no neighbours and gets the share of label 1 among the labels; if nothing can be
-learned, every score is 0.5.
+learned, every score is 0.5. Of equal cosines at the last neighbour any may vote, the same for equal
+texts; repeated rows get equal scores.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlake.llm.shared import blocks, held_out, utf8
+from barlake.llm.shared import blocks, held_out, tidy, utf8
 
 LABELLED = 1_500
 RANK = 64
@@ -124,8 +125,12 @@ def weighted(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit(counts: np.ndarray, labels: np.ndarray, prior: float, seed: int = 11) -> Model:
-    weights = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 1
+def inverse_frequencies(having: np.ndarray, total: int) -> np.ndarray:
+    """Weights of terms that so many of `total` documents have."""
+    return (np.log((1 + total) / (1 + having)) + 1).astype(np.float32)
+
+
+def fit(counts: np.ndarray, labels: np.ndarray, prior: float, weights: np.ndarray, seed: int = 11) -> Model:
     x = weighted(counts, weights)
     rank = min(RANK, *x.shape)
     basis = np.random.default_rng(seed).normal(size=(x.shape[1], min(rank + 16, *x.shape))).astype(np.float32)
@@ -138,6 +143,29 @@ def fit(counts: np.ndarray, labels: np.ndarray, prior: float, seed: int = 11) ->
     return model
 
 
+def _having(batches):
+    """How many texts of the task have each term, and at -1 the number of texts."""
+    having, total = np.zeros(TERMS, np.int64), 0
+    for batch in batches:
+        flat, offsets = utf8(batch.column(0))
+        total += batch.num_rows
+        for first, last in blocks(offsets, most_rows=128):
+            low = offsets[first]
+            having += (term_counts(flat[low:offsets[last]], offsets[first:last + 1] - low) > 0).sum(0)
+    some = np.flatnonzero(having)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(having[some], total))],
+                                     names=["term", "n"])
+
+
+def term_weights(docs: DataFrame) -> np.ndarray:
+    """Inverse document frequencies of the terms over all `docs`."""
+    found = docs.select("text").mapInArrow(tidy(_having), "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    having = np.zeros(TERMS + 1, np.int64)
+    for term, n in found.collect():  # TERMS + 1 rows at most
+        having[term] = n
+    return inverse_frequencies(having[:TERMS], int(having[-1]))
+
+
 def _packed(batches):
     """Per labelled document the terms it has and their counts, as 32-bit pairs."""
     for batch in batches:
@@ -163,7 +191,7 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model
                 .orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled))
         chosen = some if chosen is None else chosen.unionAll(some)
     rows = (docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-            .mapInArrow(_packed, "doc_id long, label int, packed binary")
+            .mapInArrow(tidy(_packed), "doc_id long, label int, packed binary")
             .groupBy("doc_id").agg(F.min(F.struct("packed", "label")).alias("row")).collect())
     rows = sorted((r[0], bytes(r[1][0]), r[1][1]) for r in rows)
     if not rows:
@@ -172,7 +200,7 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model
     for k, (_, packed, _) in enumerate(rows):
         pairs = np.frombuffer(packed, np.uint32).reshape(-1, 2)
         counts[k, pairs[:, 0]] = pairs[:, 1]
-    return fit(counts, np.array([r[2] for r in rows]), float(prior))
+    return fit(counts, np.array([r[2] for r in rows]), float(prior), term_weights(docs))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -191,7 +219,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 scores[first:last] = model.scores(term_counts(flat[low:offsets[last]], offsets[first:last + 1] - low))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, "score"])
 
-    return (docs.mapInArrow(task, f"{schema}, score double")
+    return (docs.mapInArrow(tidy(task), f"{schema}, score double")
             .withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 from collections.abc import Iterator
@@ -120,6 +121,18 @@ def flushes(batches: Iterator[pa.RecordBatch], at: int, most: int = FLUSH_BYTES)
         yield group
 
 
+def tidy(task):
+    """`task`, which at its end hands the memory it has freed back to the machine: workers live longer
+    than tasks, and those of earlier stages would hold it while later stages run."""
+    def run(batches):
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+        if trim:
+            trim(0)
+    return run
+
+
 def ints(column: pa.Array, null: int) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(null).to_numpy(zero_copy_only=False)
 

@@ -50,6 +50,18 @@ def test_language_reads_only_text_and_what_may_be_learned(spark):
     assert first == {r.doc_id: (r.lang_pred, r.score) for r in language_id.report(frame(spark, changed)).collect()}
 
 
+def test_rare_language_is_learned(spark):
+    """Thirty documents among thousands of others, and few of them are drawn."""
+    rng, rare = random.Random(8), ["zu", "zo", "zi", "xu", "xi", "wo"]
+    rows = [(k, prose(k, 12), "xa") for k in range(3000)]
+    rows += [(9000 + k, " ".join("".join(rng.choices(rare, k=3)) for _ in range(12)), "xr") for k in range(30)]
+    docs = frame(spark, rows)
+    model = language_id.learn(docs.select("doc_id", "lang", "text"), sample=60)
+    assert model.languages == ["xa", "xr"]
+    found = {r.doc_id: r.lang_pred for r in language_id.predict(docs.select("doc_id", "text"), model).collect()}
+    assert all(found[d] == lang for d, _, lang in rows if held_out(d))
+
+
 def test_language_without_anything_to_learn(spark):
     found = language_id.report(frame(spark, [(1, "some text", None), (2, None, "xa")])).collect()
     assert {(r.lang_pred, r.score) for r in found} == {("und", 0.0)}
@@ -98,10 +110,20 @@ def test_quality_without_labels(spark, make_docs):
     assert neighbour_quality.report(make_docs([]), none).collect() == []
 
 
+def test_term_weights_count_all_documents(make_docs):
+    rows = [(k, prose(k, 20) if k % 3 else None) for k in range(50)] + ODD_ROWS
+    texts = [(t or "").encode() for _, t in rows]
+    having = sum((neighbour_quality.term_counts(np.frombuffer(t, np.uint8), np.array([0, len(t)])) > 0)[0].astype(int)
+                 for t in texts)
+    found = neighbour_quality.term_weights(make_docs(rows).repartition(5))
+    assert np.allclose(found, np.log((1 + len(texts)) / (1 + having)) + 1, atol=1e-6)
+
+
 def test_latent_cosines_are_exact():
     rng = np.random.default_rng(1)
     counts = rng.poisson(0.02, (60, neighbour_quality.TERMS)).astype(np.float32)
-    model = neighbour_quality.fit(counts, np.arange(60) % 2, 0.5)
+    weights = neighbour_quality.inverse_frequencies((counts > 0).sum(0), len(counts))
+    model = neighbour_quality.fit(counts, np.arange(60) % 2, 0.5, weights)
     vectors = neighbour_quality.unit(neighbour_quality.weighted(counts, model.weights) @ model.axes)
     assert np.allclose(vectors, model.vectors, atol=1e-4)
     odds = model.votes(vectors @ model.vectors.T)
