@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlake.llm.names import mixed, spans_joined
-from barlake.llm.shared import cut, utf8
+from barlake.llm.shared import cut, tidy, utf8
 
 #: A null id counts as later than every id.
 NO_ID = (1 << 63) - 1
@@ -108,7 +108,7 @@ def _gather_spans(batches):
 
 def gathered_spans(found: DataFrame, parts: int) -> DataFrame:
     """(id, key, starts, ends) of each text with ranges, as packed 32-bit numbers."""
-    return found.repartitionById(parts, F.col("part")).mapInArrow(_gather_spans, ddl(SPANS))
+    return found.repartitionById(parts, F.col("part")).mapInArrow(tidy(_gather_spans), ddl(SPANS))
 
 
 def ddl(schema: pa.Schema) -> str:
@@ -170,7 +170,7 @@ def without_spans(texts: DataFrame, classes: DataFrame, found: DataFrame, least:
              .select("id", "key", F.lit(True).alias("first"), "starts", "ends"))
     return (texts.join(marks, ["id", "key"], "left")
             .select("id", "key", "text", "rest", F.coalesce("first", F.lit(False)).alias("first"), "starts", "ends")
-            .mapInArrow(_cutting(least, as_text), f"id long, key long, text string, rest {dict(texts.dtypes)['rest']}, "
+            .mapInArrow(tidy(_cutting(least, as_text)), f"id long, key long, text string, rest {dict(texts.dtypes)['rest']}, "
                         f"kept {'string' if as_text else 'binary'}, spans array<struct<start:int,end:int>>"))
 
 

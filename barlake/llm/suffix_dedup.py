@@ -7,7 +7,8 @@ names at i and i + h (`names.paired`), and positions drop out as soon as their n
    neighbouring windows with one anchor form a run. Anchors are grouped by name over all documents;
    a run whose anchor is in one text only has unique windows and drops out.
 2. The runs left are grouped by anchor, so that equal windows meet, and names are doubled to the
-   threshold of 50 bytes. A window is repeated if an earlier document has its name.
+   threshold of 50 bytes. A window is repeated if an earlier document has its name and its bytes;
+   where equal names hide different bytes, they are told apart byte by byte.
 
 Only the anchors of step 1 (one in 14 positions) and the bytes of shared runs are exchanged, packed
 in arrays. Equal runs are folded in each task before the exchange; anchors that would fill a
@@ -29,12 +30,14 @@ from pyspark.sql import functions as F
 from barlake.llm.names import anchored_runs, mixed, names_of, paired, spans_joined
 from barlake.llm.packed import (FOUND, NO_ID, ddl, firsts, found_rows, from_planes, gathered_spans, group_of,
                                 keyed_texts, parts_of, planes, record_batches, removal_report, text_classes,
-                                without_spans)
-from barlake.llm.shared import BLOCK_BYTES, blocks, cut, flushes, ints, shuffle_parts, utf8
+                                turns, without_spans)
+from barlake.llm.shared import BLOCK_BYTES, blocks, cut, flushes, ints, shuffle_parts, tidy, utf8
 
 #: A longer text is cut into pieces of so many windows.
 PIECE = 1 << 22
 NAME_BYTES = 5
+#: Windows named at a time; runs of one anchor are named together.
+WINDOWS = 1 << 19
 
 
 def text_runs(flat: np.ndarray, offsets: np.ndarray, length: int, gram: int):
@@ -205,6 +208,27 @@ def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return found
 
 
+def exact_runs(data: np.ndarray, at: np.ndarray, sizes: np.ndarray, whole: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """`whole`, or places in an order of bytes where runs of different bytes have equal names."""
+    order = np.lexsort((whole, name))
+    fresh = firsts(name[order]) | firsts(whole[order])
+    rest = order[~fresh]
+    lead = order[fresh][group_of(fresh)[~fresh]]
+    same = sizes[rest] == sizes[lead]
+    for low in range(0, len(rest), 1 << 13):
+        own, first = rest[low:low + (1 << 13)], lead[low:low + (1 << 13)]
+        alike = same[low:low + (1 << 13)]
+        own, first = own[alike], first[alike]
+        unequal = _gathered(data, at[own], sizes[own]) != _gathered(data, at[first], sizes[own])
+        if unequal.any():
+            same[low:low + (1 << 13)] = False
+    if same.all():
+        return whole
+    texts = [data[a:a + n].tobytes() for a, n in zip(at, sizes)]
+    places = {text: k for k, text in enumerate(sorted(set(texts)))}
+    return np.array([places[text] for text in texts], np.uint64)
+
+
 def _emit_runs(parts: int, length: int, gram: int, hot: np.ndarray):
     def runs_of(batch):
         """Candidate runs of a batch: text, start, windows, anchor, name of all its bytes, bytes."""
@@ -250,6 +274,7 @@ def _emit_runs(parts: int, length: int, gram: int, hot: np.ndarray):
         del found
         at_byte = np.cumsum(sizes) - sizes
         # of equal runs the one with the smallest id goes on, with all its places in that text
+        whole = exact_runs(data, at_byte, sizes, whole, name)
         order = np.lexsort((start, text, ids[text], whole, name))
         fresh = firsts(name[order]) | firsts(whole[order])
         group = group_of(fresh)
@@ -294,6 +319,62 @@ def _emit_runs(parts: int, length: int, gram: int, hot: np.ndarray):
     return task
 
 
+def _whole_anchors(anchor: np.ndarray, count: np.ndarray, order: np.ndarray):
+    """`order`, sorted by anchor, in pieces of about WINDOWS windows; runs of one anchor stay together."""
+    edges = np.append(np.flatnonzero(firsts(anchor[order])), len(order))
+    windows = np.concatenate([[0], np.cumsum(count[order])])[edges]
+    first = 0
+    while first < len(edges) - 1:
+        last = max(first + 1, int(np.searchsorted(windows, windows[first] + WINDOWS, "right")) - 1)
+        yield order[edges[first]:edges[last]]
+        first = last
+
+
+def _later_windows(ids, anchor, count, data, at_byte, own, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(run, window in it) of the windows of the runs `own` that a smaller id has too."""
+    sizes = count[own] + length - 1
+    data = _gathered(data, at_byte[own], sizes)
+    entry = np.repeat(np.arange(len(own)), count[own])
+    at = (np.cumsum(sizes) - sizes)[entry] + turns(count[own])
+    names = paired(anchor[own][entry], window_names(data, at, length))
+    order = np.argsort(names, kind="stable")
+    fresh = firsts(names[order])
+    if len(order):
+        fresh = exact_groups(data, at, order, fresh, length)
+    by_name = ids[own[entry[order]]]
+    starts = np.flatnonzero(fresh)
+    least = np.minimum.reduceat(by_name, starts)[group_of(fresh)] if len(starts) else by_name
+    order = order[by_name > least]
+    return own[entry[order]], at[order] - (np.cumsum(sizes) - sizes)[entry[order]]
+
+
+def exact_groups(data: np.ndarray, at: np.ndarray, order: np.ndarray, fresh: np.ndarray, length: int) -> np.ndarray:
+    """`fresh`, the first of each group of windows with equal names, made exact: windows whose bytes
+    differ from their group's first are told apart byte by byte. `order` is sorted anew in such groups."""
+    group, lead = group_of(fresh), at[order][fresh]
+    differs = np.zeros(len(order), bool)
+    width = 8 if length >= 8 else 1
+    words = np.ndarray((len(data) - width + 1,), f"<u{width}", np.ascontiguousarray(data), strides=(1,))
+    offsets = [*range(0, length - width, width), length - width]
+    rest = np.flatnonzero(~fresh)
+    for low in range(0, len(rest), BLOCK_BYTES):
+        some = rest[low:low + BLOCK_BYTES]
+        own, first = at[order[some]], lead[group[some]]
+        for offset in offsets:
+            differs[some] |= words[own + offset] != words[first + offset]
+    if not differs.any():
+        return fresh
+    fresh = fresh.copy()
+    edges = np.append(np.flatnonzero(fresh), len(order))
+    for g in np.unique(group[differs]):
+        low, high = edges[g], edges[g + 1]
+        texts = [data[a:a + length].tobytes() for a in at[order[low:high]]]
+        where = sorted(range(len(texts)), key=texts.__getitem__)
+        order[low:high] = order[low:high][where]
+        fresh[low:high] = [k == 0 or texts[where[k]] != texts[where[k - 1]] for k in range(len(where))]
+    return fresh
+
+
 def _find_repeated(parts: int, length: int):
     def task(batches):
         columns = []
@@ -317,16 +398,11 @@ def _find_repeated(parts: int, length: int):
         del columns
         sizes = count + length - 1
         at_byte = np.cumsum(sizes) - sizes
-        entry = np.repeat(np.arange(len(count)), count)
-        step = np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count)
-        names = window_names(data, at_byte[entry] + step, length)
-        names = paired(anchor[entry], names)
-        order = np.argsort(names, kind="stable")
-        by_name = ids[entry[order]]
-        at = np.flatnonzero(firsts(names[order]))
-        if len(at):
-            least = np.repeat(np.minimum.reduceat(by_name, at), np.diff(np.append(at, len(order))))
-            order = np.sort(order[by_name > least])
+        by_anchor = np.argsort(anchor, kind="stable")
+        found = [_later_windows(ids, anchor, count, data, at_byte, own, length)
+                 for own in _whole_anchors(anchor, count, by_anchor)]
+        entry, step = (np.concatenate(x) for x in zip(*found)) if found else (by_anchor, by_anchor)
+        order = np.lexsort((step, entry))
         entry, step = entry[order], step[order]
         # neighbouring repeated windows of a run are one span, at each place of the run
         fresh = firsts(entry)
@@ -361,16 +437,16 @@ def repeated_spans(texts: DataFrame, classes: DataFrame, length: int = 50) -> Da
     """(id, key, starts, ends) of the texts with bytes covered by repeated strings of `length` bytes,
     their ranges packed. `texts` are keyed, `classes` are theirs."""
     parts, gram = shuffle_parts(texts.sparkSession), max(1, (length - 2) // 2)
-    anchors = texts.select("key", "text").mapInArrow(_emit_anchors(parts, length, gram), ddl(ANCHORS))
-    shared = anchors.repartitionById(parts, F.col("part")).mapInArrow(_find_shared(parts), ddl(SHARED))
-    shared = cut(shared.repartitionById(parts, F.col("part")).mapInArrow(_gather_shared, ddl(WANTED)))
+    anchors = texts.select("key", "text").mapInArrow(tidy(_emit_anchors(parts, length, gram)), ddl(ANCHORS))
+    shared = anchors.repartitionById(parts, F.col("part")).mapInArrow(tidy(_find_shared(parts)), ddl(SHARED))
+    shared = cut(shared.repartitionById(parts, F.col("part")).mapInArrow(tidy(_gather_shared), ddl(WANTED)))
     hot = np.array([n for row in shared.where("hot is not null").select("hot").collect()
                     for n in np.frombuffer(row[0], np.uint64)], np.uint64)  # four of each partition at most
     wanted = shared.where("key is not null").select("key", "ordinals").join(classes, "key")
     # the columns are those that without_spans() needs too, so that Spark uses the exchange again
     runs = (texts.join(wanted, ["id", "key"]).select("id", "key", "text", "ordinals", "rest")
-            .mapInArrow(_emit_runs(parts, length, gram, hot), ddl(RUNS)))
-    found = runs.repartitionById(parts, F.col("part")).mapInArrow(_find_repeated(parts, length), ddl(FOUND))
+            .mapInArrow(tidy(_emit_runs(parts, length, gram, hot)), ddl(RUNS)))
+    found = runs.repartitionById(parts, F.col("part")).mapInArrow(tidy(_find_repeated(parts, length)), ddl(FOUND))
     return gathered_spans(found, parts)
 
 

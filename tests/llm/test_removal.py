@@ -62,6 +62,34 @@ def test_suffix_equals_brute_force(make_docs):
     assert collected(suffix_dedup.digests(make_docs(rows))) == brute_force(rows)
 
 
+def test_equal_names_of_different_bytes(monkeypatch):
+    """Names cut to three bits: windows and runs are told apart by their bytes."""
+    rng, length = np.random.default_rng(3), 12
+    count = rng.integers(1, 9, 400)
+    sizes = count + length - 1
+    at = np.cumsum(sizes) - sizes
+    data = rng.choice(np.frombuffer(b"ab", np.uint8), int(sizes.sum()), p=[0.8, 0.2])
+    ids, anchor = rng.integers(0, 9, 400), rng.integers(0, 3, 400).astype(np.uint64)
+    names = suffix_dedup.window_names
+    monkeypatch.setattr(suffix_dedup, "window_names", lambda *x: names(*x) & np.uint64(7))
+    monkeypatch.setattr(suffix_dedup, "WINDOWS", 300)
+    found = set()
+    for own in suffix_dedup._whole_anchors(anchor, count, np.argsort(anchor, kind="stable")):
+        run, step = suffix_dedup._later_windows(ids, anchor, count, data, at, own, length)
+        found |= set(zip(run.tolist(), step.tolist()))
+    first = {}
+    for k in range(400):
+        for j in range(count[k]):
+            w = anchor[k], data[at[k] + j:at[k] + j + length].tobytes()
+            first[w] = min(first.get(w, LATE), ids[k])
+    assert found == {(k, j) for k in range(400) for j in range(count[k])
+                     if first[anchor[k], data[at[k] + j:at[k] + j + length].tobytes()] < ids[k]}
+
+    whole = suffix_dedup.exact_runs(data, at, sizes, np.zeros(400, np.uint64), np.zeros(400, np.uint64))
+    texts = [data[a:a + n].tobytes() for a, n in zip(at, sizes)]
+    assert len(set(whole.tolist())) == len(set(texts)) == len(set(zip(whole.tolist(), texts)))
+
+
 def test_suffix_of_nothing(make_docs):
     assert collected(suffix_dedup.digests(make_docs([]))) == []
     assert collected(chunk_dedup.digests(make_docs([]))) == []
