@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlake.llm.shared import utf8
+from barlake.llm.shared import tidy, utf8
 
 #: Least number of common shingles for sums of two sizes.
 Wanted = Callable[[np.ndarray], np.ndarray]
@@ -117,5 +117,5 @@ def open_pairs(members: DataFrame, roots: DataFrame, every: bool, wanted: Wanted
     rows = rows.select("list", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "root", "n",
                        "parity", (F.col("own") > F.col("other")).alias("side"))
     keys = ["list", "low", "high"]
-    pairs = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_candidates(every, wanted), PAIRS)
+    pairs = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(_candidates(every, wanted)), PAIRS)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

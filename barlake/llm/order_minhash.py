@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from barlake.llm.lists import open_pairs
 from barlake.llm.names import MULTIPLIER, doubled, mixed, paired
 from barlake.llm.packed import firsts
-from barlake.llm.shared import cut, small_batches, small_side, utf8
+from barlake.llm.shared import cut, small_batches, small_side, tidy, utf8
 from barlake.llm.words import words_of
 from barlake.sources.scratch import kept
 
@@ -183,12 +183,11 @@ def _shingles_of_nodes(batches):
     for batch in small_batches(batches, 1):
         _, _, words, bounds = words_of(*utf8(batch.column(1)))
         names, offsets = shingles_of(words, bounds)
-        short = (names >> np.uint64(32)).astype(np.uint32)
         keys, nodes = _sequence_keys(words, bounds), batch.column(0).to_pylist()
         some = [k for k in range(len(nodes)) if keys[k] == nodes[k]]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).take(pa.array(some, pa.int64())),
-             pa.array([short[offsets[k]:offsets[k + 1]].tobytes() for k in some], pa.binary())],
+             pa.array([names[offsets[k]:offsets[k + 1]].tobytes() for k in some], pa.binary())],
             names=["node", "shingles"])
 
 
@@ -236,7 +235,7 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
 def _verify(least: float):
     def task(batches):
         for batch in batches:
-            good = [similar(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), least)
+            good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least)
                     for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)],
@@ -250,10 +249,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, least: float
     wanted = small_side(cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
                             .join(nodes.select("node", "at"), "node")))
     rows = cut(texts.join(wanted, "at").select("node", "text")
-               .mapInArrow(_shingles_of_nodes, "node binary, shingles binary").dropDuplicates(["node"]))
+               .mapInArrow(tidy(_shingles_of_nodes), "node binary, shingles binary").dropDuplicates(["node"]))
     both = (pairs.join(rows.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
             .join(rows.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"))
-    return cut(both.select("a", "b", "x", "y").mapInArrow(_verify(least), "a binary, b binary"))
+    return cut(both.select("a", "b", "x", "y").mapInArrow(tidy(_verify(least)), "a binary, b binary"))
 
 
 def _wanted(least: float):
@@ -292,7 +291,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """
     texts = docs.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("at"),
                         F.xxhash64("text").alias("key"), "text")
-    sketched = cut(texts.mapInArrow(_sketch, SKETCH))
+    sketched = cut(texts.mapInArrow(tidy(_sketch), SKETCH))
     nodes = cut(sketched.where("node is not null").groupBy("node").agg(
         F.min("id").alias("id"), F.min("at").alias("at"), F.first("n").alias("n"), F.first("buckets").alias("buckets"),
         F.first("parity").alias("parity")))
