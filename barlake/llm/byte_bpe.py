@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlake.llm.pieces import PATTERN, PLAIN, Memory
-from barlake.llm.shared import small_batches
+from barlake.llm.shared import small_batches, tidy
 
 
 def byte_characters() -> list[str]:
@@ -30,15 +30,32 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in set(own) else chr(next(other)) for b in range(256)]
 
 
-class Coder:
+def ranks_of(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as file:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+
+
+class Decoder:
+    """The table of bytes alone, so that tasks which only decode don't hold a tokenizer."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.table = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.table[rank] = token
+
+    def decode(self, ids: bytes | None) -> bytes:
+        return b"".join(map(self.table.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+
+
+class Coder(Decoder):
     def __init__(self, path: str, pattern: str = PATTERN):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-        with open(path, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        ranks = ranks_of(path)
+        super().__init__(ranks)
         shown = byte_characters()
         name = {token: "".join(shown[b] for b in token) for token in ranks}
         merges = [(name[token[:k]], name[token[k:]]) for token in sorted(ranks, key=ranks.get)
@@ -48,9 +65,6 @@ class Coder:
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.Split(Regex(pattern), "isolated"),
             pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.table = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.table[rank] = token
         self.sizes = np.array([len(t) for t in self.table], np.int64)
         self.memory = Memory(self._whole, pattern)
 
@@ -74,15 +88,17 @@ class Coder:
         """Byte offset in the text at which each token ends."""
         return np.cumsum(self.sizes[np.frombuffer(ids, "<u4")])
 
-    def decode(self, ids: bytes | None) -> bytes:
-        return b"".join(map(self.table.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
-
 
 @cache
 def coder(path: str) -> Coder:
     return Coder(path)
 
 
+@cache
+def decoder(path: str) -> Decoder:
+    return Decoder(ranks_of(path))
+
+
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
 
@@ -103,7 +119,7 @@ def encode(docs: DataFrame, path: str, offsets: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=names)
         coder(path).memory.forget()
 
-    return docs.mapInArrow(task, f"{_ddl(docs)}, ids binary" + ", ends array<long>" * offsets)
+    return docs.mapInArrow(tidy(task), f"{_ddl(docs)}, ids binary" + ", ends array<long>" * offsets)
 
 
 def decode(encoded: DataFrame, path: str, as_text: bool = False) -> DataFrame:
@@ -114,11 +130,11 @@ def decode(encoded: DataFrame, path: str, as_text: bool = False) -> DataFrame:
 
     def task(batches):
         for batch in small_batches(batches, at):
-            found = [coder(path).decode(x) for x in batch.column(at).to_pylist()]
+            found = [decoder(path).decode(x) for x in batch.column(at).to_pylist()]
             column = pa.array([x.decode("utf-8", "replace") for x in found]) if as_text else pa.array(found, pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
 
-    return encoded.mapInArrow(task, f"{_ddl(encoded)}, {name} {kind}")
+    return encoded.mapInArrow(tidy(task), f"{_ddl(encoded)}, {name} {kind}")
 
 
 def report(docs: DataFrame, path: str) -> DataFrame:
