@@ -34,7 +34,8 @@ from barlake.llm.packed import (FOUND, NO_ID, ddl, firsts, found_rows, from_plan
 from barlake.llm.shared import BLOCK_BYTES, blocks, cut, flushes, ints, shuffle_parts, tidy, utf8
 
 #: A longer text is cut into pieces of so many windows.
-PIECE = 1 << 22
+#: A longer text is cut into pieces of so many window starts; each byte takes about fifty while named.
+PIECE = BLOCK_BYTES
 NAME_BYTES = 5
 #: Windows named at a time; runs of one anchor are named together.
 WINDOWS = 1 << 19
