@@ -31,12 +31,13 @@ from barlake.llm.names import anchored_runs, mixed, names_of, paired, spans_join
 from barlake.llm.packed import (FOUND, NO_ID, ddl, firsts, found_rows, from_planes, gathered_spans, group_of,
                                 keyed_texts, parts_of, planes, record_batches, removal_report, text_classes,
                                 turns, without_spans)
-from barlake.llm.shared import BLOCK_BYTES, blocks, cut, flushes, ints, shuffle_parts, tidy, utf8
+from barlake.llm.shared import BLOCK_BYTES, blocks, cut, flushes, ints, shuffle_parts, small_batches, tidy, utf8
 
-#: A longer text is cut into pieces of so many windows.
-#: A longer text is cut into pieces of so many window starts; each byte takes about fifty while named.
+#: A longer text is cut into pieces of so many windows; a byte takes about fifty while it is named.
 PIECE = BLOCK_BYTES
 NAME_BYTES = 5
+#: Texts of about so many bytes are named before what is wanted of them is put aside.
+NAMED_BYTES = 1 << 20
 #: Windows named at a time; runs of one anchor are named together.
 WINDOWS = 1 << 19
 
@@ -84,7 +85,7 @@ def _emit_anchors(parts: int, length: int, gram: int):
 
     def packed(batches):
         keys, texts, ordinals, names, seen, base = [], [], [], [], np.zeros(0, np.int64), 0
-        for batch in batches:
+        for batch in small_batches(batches, 1, NAMED_BYTES):
             own = ints(batch.column(0), 0)
             flat, offsets = utf8(batch.column(1))
             text, _, _, name = text_runs(flat, offsets, length, gram)
@@ -264,7 +265,7 @@ def _emit_runs(parts: int, length: int, gram: int, hot: np.ndarray):
 
     def packed(batches):
         ids, keys, found, base = [], [], [], 0
-        for batch in batches:
+        for batch in small_batches(batches, 2, NAMED_BYTES):
             text, *rest = runs_of(batch)
             ids.append(ints(batch.column(0), NO_ID))
             keys.append(ints(batch.column(1), 0))
