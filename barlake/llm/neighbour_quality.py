@@ -118,10 +118,12 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def weighted(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Damped and weighted counts; each kind of term has length 1."""
-    x = np.log1p(counts) * weights
+    x = np.log1p(counts)
+    x *= weights
     edges = [0, GRAMS, TERMS - RATIOS, TERMS]
     for a, b in zip(edges[:-1], edges[1:]):
-        x[:, a:b] = unit(x[:, a:b])
+        own = x[:, a:b]
+        own /= np.maximum(np.sqrt(np.einsum("ij,ij->i", own, own)), 1e-12)[:, None]
     return x
 
 
@@ -196,11 +198,12 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model
     rows = sorted((r[0], bytes(r[1][0]), r[1][1]) for r in rows)
     if not rows:
         return None
+    weights = term_weights(docs)
     counts = np.zeros((len(rows), TERMS), np.float32)
     for k, (_, packed, _) in enumerate(rows):
         pairs = np.frombuffer(packed, np.uint32).reshape(-1, 2)
         counts[k, pairs[:, 0]] = pairs[:, 1]
-    return fit(counts, np.array([r[2] for r in rows]), float(prior), term_weights(docs))
+    return fit(counts, np.array([r[2] for r in rows]), float(prior), weights)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
