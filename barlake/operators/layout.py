@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from barlake.functions.columns import all_of
 from barlake.functions.filters import compile_filters
 from barlake.operators import keys
-from barlake.sources.files import footers, stored_files
+from barlake.sources.files import LISTING, footers, stored_files
 from barlake.sources.scan import read_files, selected_folders
 from barlake.sources.scratch import (child_folders, folder_bytes, folder_exists, kept, make_folder, remove_folder,
                                      rename_folder)
@@ -36,6 +36,8 @@ SAMPLED_KEYS = 400
 AIMED = 0.92
 # A file with more rows than a range and this part of it is split, as where one key fills several files.
 SPLIT_ABOVE = 1.2
+# A partition with a file beyond that part of the limit is staged again, at most so often, if its bytes call for more files.
+STAGED_AGAIN = 3
 # Boundaries are looked up in two steps, the first one over every so many.
 RUNG = 64
 # Boundaries up to this many bytes are broadcast to the rows.
@@ -60,6 +62,18 @@ class FilePlan:
         most = max(1.0, AIMED * limit / max(row_bytes, 1e-9))
         return cls(table, [(t, n, max(1, math.ceil(n / most))) for t, n in zip(tuples, rows)])
 
+    def closer(self, sizes: Mapping[tuple, Row], limit: int) -> FilePlan:
+        """The partitions with a file that came out too large, with the files that their written bytes call for."""
+        found = []
+        for t, n, files in self.entries:
+            seen = sizes.get(tuple(t))
+            if seen is None or seen["largest"] <= SPLIT_ABOVE * limit:
+                continue
+            wanted = math.ceil(seen["bytes"] / (AIMED * limit))
+            if wanted > files:
+                found.append((t, n, wanted))
+        return FilePlan(self.table, found)
+
     @property
     def files(self) -> int:
         return sum(files for _, _, files in self.entries)
@@ -104,12 +118,17 @@ def range_bounds(store: Store, rows: DataFrame, plan: FilePlan) -> DataFrame:
         F.array_distinct(F.array_sort(F.collect_list("key"))).alias("bounds"))
 
 
-def _range_of(bounds: Column, key: Column) -> Column:
+def _rungs(bounds: Column) -> Column:
+    return F.filter(bounds, lambda _, i: i % RUNG == 0)
+
+
+def _range_of(bounds: Column, key: Column, rungs: Column | None = None) -> Column:
     """Number of bounds up to the key, found among every RUNG-th and then among those that follow it."""
-    rungs = F.filter(bounds, lambda b, i: (i % RUNG == 0) & (b <= key))
-    low = (F.size(rungs) - 1) * RUNG
-    after = F.filter(F.slice(bounds, low + 1, F.lit(RUNG)), lambda b: b <= key)
-    return F.when(bounds.isNull() | (F.size(rungs) == 0), 0).otherwise(low + F.size(after)).cast("int")
+    up_to = F.size(F.filter(_rungs(bounds) if rungs is None else rungs, lambda b: b <= key))
+    # the number of rungs is an argument of the lambda, so that it is found once a row
+    after = F.transform(F.array(up_to), lambda n: F.when(n > 0, (n - 1) * RUNG + F.size(
+        F.filter(F.slice(bounds, (n - 1) * RUNG + 1, F.lit(RUNG)), lambda b: b <= key))).otherwise(0))
+    return F.when(bounds.isNull(), 0).otherwise(after[0]).cast("int")
 
 
 def with_ranges(store: Store, rows: DataFrame, plan: FilePlan, name: str) -> DataFrame:
@@ -117,13 +136,13 @@ def with_ranges(store: Store, rows: DataFrame, plan: FilePlan, name: str) -> Dat
     table = plan.table
     if all(files == 1 for _, _, files in plan.entries):
         return rows.withColumn(name, F.lit(0))
-    bounds = kept(range_bounds(store, rows, plan))
+    bounds = kept(range_bounds(store, rows, plan).withColumn("rungs", _rungs(F.col("bounds"))))
     size = bounds.agg(F.sum(F.octet_length(F.to_json(F.struct("bounds"))))).first()[0] or 0
     if size <= BROADCAST_BOUNDS_BYTES:
         bounds = F.broadcast(bounds)
     keyed = rows.withColumn(name, _key(rows, table))
     return (keyed.alias("row").join(bounds.alias("bound"), _same_partition(table, "row", "bound"), "left")
-            .select(*[f"row.`{c}`" for c in rows.columns], _range_of(F.col("bound.bounds"), F.col(f"row.{name}")).alias(name)))
+            .select(*[f"row.`{c}`" for c in rows.columns], _range_of(F.col("bound.bounds"), F.col(f"row.{name}"), F.col("bound.rungs")).alias(name)))
 
 
 def stored_form(rows: DataFrame, table: Table) -> DataFrame:
@@ -137,16 +156,16 @@ def _free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def stage_files(store: Store, rows: DataFrame, plan: FilePlan) -> str:
-    """The rows as files of the planned ranges, in a new folder beside the stored ones."""
+def stage_files(store: Store, rows: DataFrame, plan: FilePlan, staging: str | None = None) -> str:
+    """The rows as files of the planned ranges, in a new folder beside the stored ones or added to `staging`."""
     table, rows = plan.table, stored_form(rows, plan.table)
     number = _free_name(rows, "file")
-    staging = f"{store.location(table)}/{_STAGING}{uuid.uuid4().hex}"
+    staging = staging or f"{store.location(table)}/{_STAGING}{uuid.uuid4().hex}"
     placed = with_ranges(store, rows, plan, number)
     spread = [*table.partitions, number]
     placed = (placed.repartition(min(max(plan.files, 1), MOST_FILE_TASKS), *spread)
               .sortWithinPartitions(*spread, *[c for c in table.identity if c not in table.partitions]))
-    (table.writer(placed.write, store).option("maxRecordsPerFile", math.ceil(SPLIT_ABOVE * plan.rows_of_a_file))
+    (table.writer(placed.write.mode("append"), store).option("maxRecordsPerFile", math.ceil(SPLIT_ABOVE * plan.rows_of_a_file))
      .partitionBy(*spread).parquet(f"{staging}/new"))
     return staging
 
@@ -286,13 +305,48 @@ def _rewrite(store: Store, table: Table, chosen: list[Row]) -> tuple[int, int]:
 
 # ---------------------------------------------------------------- writes of a limited file size
 
-def save_sized(store: Store, table: Table, batch: DataFrame, plan: FilePlan, old: DataFrame | None) -> None:
-    """Add the batch as files of the planned ranges, in place of the files `old`."""
+def save_sized(store: Store, table: Table, batch: DataFrame, plan: FilePlan, limit: int, old: DataFrame | None) -> None:
+    """Add the batch as files of the planned ranges, in place of the files `old`.
+
+    The plan goes by the bytes of a row in the batch as it came. In files of their own and in the
+    order of their key rows may take more or less, so the files that were written tell which
+    partitions are staged again before anything is exchanged.
+    """
     finish_exchanges(store, table)
     staging = stage_files(store, batch, plan)
+    for _ in range(STAGED_AGAIN):
+        sizes = _staged_sizes(store, table, staging)
+        plan = plan.closer(sizes, limit)
+        if not plan.entries:
+            break
+        for t, _, _ in plan.entries:
+            remove_folder(store.spark, sizes[tuple(t)]["folder"])
+        stage_files(store, _of_partitions(store, batch, plan), plan, staging)
     exchange(store, staging, old if old is not None else store.spark.createDataFrame([], "path string"))
 
 
+def _staged_sizes(store: Store, table: Table, staging: str) -> dict[tuple, Row]:
+    """Folder, bytes and largest file of each staged partition; a row for each, as the plan has."""
+    fields = [f for p in table.partitions for f in table.stored_schema if f.name == p]
+    files = (store.spark.read.format("binaryFile").schema(T.StructType(LISTING.fields + fields))
+             .option("pathGlobFilter", "*.parquet").load(f"{staging}/new"))
+    folder = F.regexp_replace("path", "/[^/]*/[^/]*$", "")
+    found = files.select(*table.partitions, "length", folder.alias("folder")).groupBy(*table.partitions).agg(
+        F.first("folder").alias("folder"), F.sum("length").alias("bytes"), F.max("length").alias("largest"))
+    return {tuple(r[p] for p in table.partitions): r for r in found.collect()}
+
+
+def _of_partitions(store: Store, batch: DataFrame, plan: FilePlan) -> DataFrame:
+    """The rows of the batch that belong to partitions of the plan."""
+    table = plan.table
+    if not table.partitions:
+        return batch
+    fields = [f for p in table.partitions for f in table.stored_schema if f.name == p]
+    schema = T.StructType([T.StructField(f"p{i}", f.dataType) for i, f in enumerate(fields)])
+    wanted = F.broadcast(store.spark.createDataFrame([tuple(t) for t, _, _ in plan.entries], schema))
+    return batch.alias("row").join(wanted.alias("plan"), _same_partition(table, "row", "plan"), "left_semi")
+
+
 def bytes_of_a_row(store: Store, folder: str, rows: int) -> float:
     """Bytes that a row of the written `folder` takes."""
     return folder_bytes(store.spark, folder) / max(rows, 1)

@@ -91,8 +91,9 @@ def write_data(store: Store, data: DataFrame, name: str, version: str = "v1",
     for input that already lies in partition order.
 
     `max_mb_per_file` cuts a partition with more into files of key ranges that do not overlap, by the
-    bytes that a row took when the batch was staged; it always stages. A file is seldom larger, and
-    not by more than a fifth unless the batch compresses worse in its final order.
+    bytes that a row took when the batch was staged; it always stages. Partitions with a file that
+    comes out too large are cut again by the bytes that were written. A file is seldom larger, and not
+    by more than a fifth unless rows of some key ranges take far more bytes than others.
     """
     if mode not in ("append", "overwrite"):
         raise ValueError(f"Unsupported mode: {mode}, expected 'append' or 'overwrite'")
@@ -180,8 +181,9 @@ def _write(store: Store, table: Table, prepared: DataFrame, mode: str, extra: li
                 batch = keys.drop_repeats(batch, table.identity, order)
                 rows = counts.fresh_keys
         if rows and max_mb:
-            plan = FilePlan.of_size(table, route.tuples, route.counts, bytes_of_a_row(store, staged, route.rows), int(max_mb * (1 << 20)))
-            save_sized(store, table, batch.drop(*own_order), plan, _touched_files(store, table, route) if mode == "overwrite" else None)
+            limit = int(max_mb * (1 << 20))
+            plan = FilePlan.of_size(table, route.tuples, route.counts, bytes_of_a_row(store, staged, route.rows), limit)
+            save_sized(store, table, batch.drop(*own_order), plan, limit, _touched_files(store, table, route) if mode == "overwrite" else None)
         elif rows:
             _save(store, table, batch.drop(*own_order), mode, max_records, route.partitions if spread else 0)
         return WriteResult(True, rows, route.partitions, route.paths, found, found, repeated,

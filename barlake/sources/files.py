@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from barlake.sources.scratch import child_folders, folder_exists
 from barlake.tables import Store, Table
 
-_LISTING = T.StructType([
+LISTING = T.StructType([
     T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
     T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
 
@@ -69,7 +69,7 @@ def stored_files(store: Store, table: Table, folders: Sequence[str] | None = Non
     A filter on the partition columns prunes the files; `folders` bounds the listing itself.
     """
     partitions = [f for f in table.stored_schema if f.name in table.partitions]
-    schema = T.StructType(_LISTING.fields + partitions)
+    schema = T.StructType(LISTING.fields + partitions)
     shown = [*table.partitions, "path", "length"]
     location = store.location(table)
     if folders is not None and not folders:

@@ -167,6 +167,21 @@ def test_files_by_size(store, bars):
     assert ranges.where("not apart").count() == 0 and ranges.count() == len(files)
 
 
+def test_rows_that_take_more_in_files_of_their_own(store, spark, bars):
+    """Values that repeat all over the batch, but seldom in one file, are no longer shared by a dictionary."""
+    limit, rng = 50_000, random.Random(5)
+    values = [rng.random() for _ in range(4_000)]
+    rows = [("2026-05-15", f"{rng.randrange(3000):06}", "XHKG", f"{k:07}", rng.choice(values)) for k in range(40_000)]
+    rows += rows_of("2026-05-16", 0, 200)
+    batch = bars(*rows).coalesce(1)
+    assert write_data(store, batch, "bars_by_market", max_mb_per_file=limit / 2**20).success
+    assert stored_rows(store) == sorted(rows, key=repr)
+    sizes = [os.path.getsize(f) for f in glob.glob(f"{store.base}/**/*.parquet", recursive=True)]
+    assert max(sizes) <= 1.2 * limit and len(sizes) <= 1 + math.ceil(sum(sizes) / (0.7 * limit))
+    assert key_ranges(store, "bars_by_market").where("not apart").count() == 0
+    assert not glob.glob(f"{store.location(store.table('bars_by_market'))}/_exchange*")
+
+
 def test_overwrite_by_size_replaces_touched_partitions_only(store, bars):
     old = rows_of("2026-05-15", 0, 50) + rows_of("2026-05-16", 0, 50)
     write_data(store, bars(*old), "bars_by_market")
