@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
@@ -37,6 +38,9 @@ FILTERED_KEYS = 1_000
 # A write raises the configured number of shuffle partitions no further than this.
 MOST_SHUFFLE_PARTITIONS = 10_000
 
+# Files of limited rows that one task makes, where there are more than that.
+FILES_OF_A_TASK = 100
+
 
 @dataclass(frozen=True)
 class WriteResult:
@@ -185,7 +189,7 @@ def _write(store: Store, table: Table, prepared: DataFrame, mode: str, extra: li
             plan = FilePlan.of_size(table, route.tuples, route.counts, bytes_of_a_row(store, staged, route.rows), limit)
             save_sized(store, table, batch.drop(*own_order), plan, limit, _touched_files(store, table, route) if mode == "overwrite" else None)
         elif rows:
-            _save(store, table, batch.drop(*own_order), mode, max_records, route.partitions if spread else 0)
+            _save(store, table, batch.drop(*own_order), mode, max_records, route if spread else None)
         return WriteResult(True, rows, route.partitions, route.paths, found, found, repeated,
                            warnings=warnings)
     finally:
@@ -306,17 +310,43 @@ def _bounds(column: str, total: Row | Mapping[str, Any]) -> Column:
     return inside | F.col(column).isNull() if nulls else inside
 
 
-def _save(store: Store, table: Table, batch: DataFrame, mode: str,
-          max_records: int | None, spread_over: int) -> None:
+def _dealt_by_files(store: Store, table: Table, batch: DataFrame, route: Route, max_records: int) -> DataFrame:
+    """The batch dealt so that each task makes about FILES_OF_A_TASK files of limited rows.
+
+    Rebalancing goes by bytes, and would leave many small files to the few tasks that hold them. Here
+    the files of all partitions lie in a row that is cut into tasks: a large partition is dealt over
+    several, small ones share one.
+    """
+    fields = [f for p in table.partitions for f in table.stored_schema if f.name == p]
+    rows, first = [], 0
+    for values, count in zip(route.tuples, route.counts):
+        files = math.ceil(count / max_records)
+        rows.append((*values, first, files))
+        first += files
+    schema = T.StructType([T.StructField(f"p{i}", f.dataType) for i, f in enumerate(fields)]
+                          + [T.StructField("first", T.LongType()), T.StructField("files", T.LongType())])
+    plan = F.broadcast(store.spark.createDataFrame(rows, schema))  # a row per touched partition
+    same = all_of([F.col(f"row.{p}").eqNullSafe(F.col(f"plan.p{i}")) for i, p in enumerate(table.partitions)])
+    # by all declared columns, so that rows of one key are dealt too
+    turn = F.pmod(F.xxhash64(*[F.col(f"row.`{c}`") for c in table.stored_schema.names]), F.col("plan.files"))
+    own = max(FILES_OF_A_TASK, math.ceil(first / MOST_SHUFFLE_PARTITIONS))
+    task = F.floor((F.col("plan.first") + turn) / own).cast("int")
+    return (batch.alias("row").join(plan.alias("plan"), same).repartitionById(math.ceil(first / own), task)
+            .select(*[F.col(f"row.`{c}`") for c in batch.columns]))
+
+
+def _save(store: Store, table: Table, batch: DataFrame, mode: str, max_records: int | None, route: Route | None) -> None:
     # The rebalance hint brings rows of a partition together; adaptive execution
     # splits shuffle partitions above the advisory size and joins small ones, so
     # neither a hot partition nor many tiny files come out. A few shuffle partitions
     # per table partition keep small ones from sharing the fate of a hot one.
     # Sorting by key keeps the row-group ranges of Parquet narrow, and includes the
     # sort by partition that a partitioned write needs anyway.
-    if spread_over and table.partitions:
+    if route and table.partitions and max_records and sum(route.counts) > max_records * FILES_OF_A_TASK:
+        batch = _dealt_by_files(store, table, batch, route, max_records)
+    elif route and table.partitions:
         configured = int(store.spark.conf.get("spark.sql.shuffle.partitions"))
-        shuffled = max(configured, min(4 * spread_over, MOST_SHUFFLE_PARTITIONS))
+        shuffled = max(configured, min(4 * route.partitions, MOST_SHUFFLE_PARTITIONS))
         batch = batch.hint("rebalance", shuffled, *table.partitions)
     batch = stored_form(batch, table).sortWithinPartitions(*table.identity)
     writer = table.writer(batch.write.mode(mode), store)

@@ -112,6 +112,20 @@ def test_row_limited_files(spark, store):
     assert stored_rows(store) == rows
 
 
+def test_many_row_limited_files_are_dealt_over_tasks(spark, store):
+    """The tasks go by files to make: a large partition and a single key are dealt over several of them."""
+    rows = spark.range(0, 3_000, 1, 2).select(
+        F.when(F.col("id") % 300 == 0, F.concat(F.lit("2026-04-"), F.lpad((F.col("id") / 300 + 1).cast("int").cast("string"), 2, "0")))
+        .otherwise("2026-05-15").alias("date"), F.lit("000001").alias("code"), F.lit("XHKG").alias("market"),
+        F.lit("09:30").alias("time"), F.col("id").cast("double").alias("open"))
+    write_data(store, rows, "bars_by_market", max_records_per_file=5)
+    files = glob.glob(f"{store.base}/**/*.parquet", recursive=True)
+    hot = [os.path.basename(f) for f in files if "date=2026-05-15" in f]
+    assert len({f.split("-")[1] for f in hot}) >= 5  # tasks that wrote it
+    assert len(files) <= 10 + 3_000 / 5 + 7
+    assert read_data(store, "bars_by_market").count() == read_data(store, "bars_by_market").distinct().count() == 3_000
+
+
 def test_one_file_per_partition_sorted_by_key(spark, store):
     import pyarrow.parquet as pq
     rows = [(d, f"{i:05}", m, "09:30", 1.0) for d in ("2026-05-15", "2026-05-16") for i in range(50, 0, -1)
