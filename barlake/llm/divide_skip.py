@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from barlake.llm.lists import PAIRS, open_pairs
 from barlake.llm.names import doubled, paired
 from barlake.llm.order_minhash import components
-from barlake.llm.shared import cut, small_batches, small_side
+from barlake.llm.shared import cut, release, small_batches, small_side
 
 WORDS = 5
 # Fixed values of the task: two sets link if 100 * common >= 80 * all.
@@ -212,6 +212,7 @@ class Join:
             F.min("id").alias("id"), F.min("at").alias("at"), F.first("n").alias("n"), F.first("parity").alias("parity"),
             F.count("*").alias("rows")).select("node", _number(), "id", "at", "n", "parity", "rows"))
         self.members = cut(self._short_lists())
+        release(docs.sparkSession)
 
     def _short_lists(self) -> DataFrame:
         """(token, no, weight) of each class and each of its short lists; of lists of the same classes one."""
@@ -255,7 +256,10 @@ class Join:
                    .dropDuplicates(["node"]))
         both = (pairs.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
                 .join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a"))
-        return cut(both.select("a", "b", "x", "y").sortWithinPartitions("a").mapInArrow(_search, PAIRS))
+        found = cut(both.select("a", "b", "x", "y").sortWithinPartitions("a").mapInArrow(_search, PAIRS))
+        del wanted, sets, both
+        release(pairs.sparkSession)
+        return found
 
     def roots(self) -> DataFrame:
         """(node, root) of all classes that link with another."""

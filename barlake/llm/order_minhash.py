@@ -41,9 +41,9 @@ from pyspark.sql import functions as F
 from barlake.llm.lists import open_pairs
 from barlake.llm.names import MULTIPLIER, doubled, mixed, paired
 from barlake.llm.packed import firsts
-from barlake.llm.shared import cut, small_batches, small_side, tidy, utf8
+from barlake.llm.shared import cut, release, small_batches, small_side, tidy, utf8
 from barlake.llm.words import words_of
-from barlake.sources.scratch import kept
+from barlake.sources.scratch import drop_kept, kept
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -57,6 +57,8 @@ NEAREST_ROUNDS = 3
 PARITY_WORDS = 32
 #: Words that are compared before all others.
 FIRST_WORDS = 8
+#: Links that one task of a round of components takes, both ways counted.
+EDGES_OF_A_TASK = 200_000
 #: Bits of hash that are looked at first: enough for this many shingles of a text on average.
 EXPECTED = 16
 
@@ -252,7 +254,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, least: float
                .mapInArrow(tidy(_shingles_of_nodes), "node binary, shingles binary").dropDuplicates(["node"]))
     both = (pairs.join(rows.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
             .join(rows.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"))
-    return cut(both.select("a", "b", "x", "y").mapInArrow(tidy(_verify(least)), "a binary, b binary"))
+    found = cut(both.select("a", "b", "x", "y").mapInArrow(tidy(_verify(least)), "a binary, b binary"))
+    del wanted, rows, both
+    release(pairs.sparkSession)
+    return found
 
 
 def _wanted(least: float):
@@ -269,16 +274,22 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = links.where("a != b")
     edges = kept(links.select("a", "b").unionAll(links.select("b", "a")).distinct())
-    roots = kept(edges.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node")))
+    tasks = edges.count() // EDGES_OF_A_TASK + 1  # a small graph leaves a few files a round, not one for each of many tasks
+    table = kept(edges.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node")).coalesce(tasks))
+    roots = table
     while True:
-        near = (edges.join(roots, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node"))
+        near = (edges.join(roots, F.col("b") == F.col("node")).coalesce(tasks).groupBy(F.col("a").alias("node"))
                 .agg(F.min("root").alias("near")))
-        met = roots.join(near, "node").select("node", F.col("root").alias("before"), F.least("root", "near").alias("via"))
+        met = roots.join(near, "node").select("node", F.col("root").alias("before"), F.least("root", "near").alias("via")).coalesce(tasks)
         jump = met.select(F.col("node").alias("via"), F.col("via").alias("root"))
-        after = kept(met.join(jump, "via").select("node", "before", F.least("via", "root").alias("root")))
-        changed = after.where("root != before").limit(1).count()
+        after = kept(met.join(jump, "via").select("node", "before", F.least("via", "root").alias("root")).coalesce(tasks))
+        drop_kept(table)
+        table, changed = after, after.where("root != before").limit(1).count()
         roots = after.select("node", "root")
+        del near, met, jump
         if not changed:
+            drop_kept(edges)
+            release(links.sparkSession)
             return roots
 
 

@@ -34,6 +34,12 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def drop_kept(df: DataFrame) -> None:
+    """Remove the folder of what `kept` gave, once nothing reads it any more."""
+    for folder in {path.rpartition("/")[0] for path in df.inputFiles()}:
+        remove_folder(df.sparkSession, folder.rpartition("/")[0])
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """(file system, path) of the Hadoop client Spark itself uses; driver-side metadata only."""
     found = spark._jvm.org.apache.hadoop.fs.Path(path)

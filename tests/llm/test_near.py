@@ -1,11 +1,13 @@
 """Near-duplicates against all pairs."""
 
+import os
 import random
 
 import numpy as np
 import pytest
 
 from barlake.llm import order_minhash as near
+from barlake.sources import scratch
 
 from .samples import ODD_ROWS, prose
 from .test_contamination import words
@@ -145,3 +147,20 @@ def test_short_pairs_always_meet(make_docs):
 def test_short_buckets_of_repeated_shingles():
     names, offsets = np.array([7, 7, 7, 7, 7, 1, 2, 3], np.uint64), np.array([0, 5, 5, 8])
     assert [len(x) for x in near.short_buckets(names, offsets)] == [2, 0, 0]
+
+
+def test_rounds_of_components_leave_no_tables(spark, monkeypatch):
+    """Each round writes a table; those of earlier rounds and the edges are gone at the end, and a small graph is one file."""
+    made = []
+
+    def kept(df):
+        found = scratch.kept(df)
+        made.append(found)
+        return found
+
+    monkeypatch.setattr(near, "kept", kept)
+    links = spark.createDataFrame([(b"%03d" % k, b"%03d" % (k + 1)) for k in range(40) if k != 20], "a binary, b binary")
+    found = {bytes(r.node): bytes(r.root) for r in near.components(links).collect()}
+    assert found == {b"%03d" % k: b"000" if k <= 20 else b"021" for k in range(41)}
+    left = [files for files in (df.inputFiles() for df in made) if any(os.path.exists(f.removeprefix("file://")) for f in files)]
+    assert len(made) > 3 and len(left) == 1 and len(left[0]) == 1
