@@ -264,8 +264,7 @@ class Join:
     def roots(self) -> DataFrame:
         """(node, root) of all classes that link with another."""
         tested = cut(self.hub_pairs())
-        links = self.linked(tested)
-        found = components(links)
+        found = components(self.linked(tested))
         for every in (False, True):
             while True:
                 pairs = cut(self.open_pairs(found, every).join(tested, ["a", "b"], "left_anti"))
@@ -274,8 +273,7 @@ class Join:
                 more = self.linked(pairs)
                 tested = cut(tested.unionAll(pairs))
                 if not more.isEmpty():
-                    links = cut(links.unionAll(more))
-                    found = components(links)
+                    found = components(more, found)
                 if every or more.isEmpty():  # all have been tested, or the next round would name the same
                     break
         return found

@@ -265,32 +265,55 @@ def _wanted(least: float):
     return lambda total: np.ceil(total * (least / (1 + least)) - 1e-9).astype(np.int64)
 
 
-def components(links: DataFrame) -> DataFrame:
+def _moved(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """The links between the roots of the ends of `edges`, each once; none within a root."""
+    a, b = (roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")) for end in ("a", "b"))
+    return (edges.join(a, "a", "left").join(b, "b", "left")
+            .select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a != b").distinct())
+
+
+def _composed(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root, moved) of `nodes` with the roots of their roots, if these have others."""
+    return (nodes.join(roots.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left")
+            .select("node", F.coalesce("next", "root").alias("root"), F.coalesce(F.col("next") != F.col("root"), F.lit(False)).alias("moved")))
+
+
+def components(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """(node, root) of all nodes with links, the root being the smallest node of the component.
 
-    Every node takes the smallest root among its neighbours, then the root of that root, until
-    nothing changes. Each round is written as a table: through a checkpoint Spark would carry what it
-    infers about the columns from round to round, more each time. Links are (a, b).
+    In a round every node goes over to its smallest neighbour, if that is smaller, and on to the last
+    where that goes; only the links between what is left are read in the next round. After two rounds
+    at most half of the nodes are left. Each round is written as a table: through a checkpoint Spark
+    would carry what it infers about the columns from round to round, more each time. Links are (a, b).
+
+    `before` are the components of earlier links, which are not read again.
     """
-    links = links.where("a != b")
-    edges = kept(links.select("a", "b").unionAll(links.select("b", "a")).distinct())
-    tasks = edges.count() // EDGES_OF_A_TASK + 1  # a small graph leaves a few files a round, not one for each of many tasks
-    table = kept(edges.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node")).coalesce(tasks))
-    roots = table
-    while True:
-        near = (edges.join(roots, F.col("b") == F.col("node")).coalesce(tasks).groupBy(F.col("a").alias("node"))
-                .agg(F.min("root").alias("near")))
-        met = roots.join(near, "node").select("node", F.col("root").alias("before"), F.least("root", "near").alias("via")).coalesce(tasks)
-        jump = met.select(F.col("node").alias("via"), F.col("via").alias("root"))
-        after = kept(met.join(jump, "via").select("node", "before", F.least("via", "root").alias("root")).coalesce(tasks))
+    both = links.select("a", "b").unionAll(links.select("b", "a")).where("a != b")
+    edges = kept(both.distinct() if before is None else _moved(both, before))
+    rounds, most = [], 1 if before is None else before.count() // EDGES_OF_A_TASK + 1
+    while count := edges.count():
+        tasks = count // EDGES_OF_A_TASK + 1  # a small graph leaves a few files a round, not one for each of many tasks
+        most = max(most, tasks)
+        near = edges.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("root"))
+        roots = kept(_composed(near, near).coalesce(tasks))
+        while roots.where("moved").limit(1).count():  # twice as far each time
+            after = kept(_composed(roots, roots).coalesce(tasks))
+            drop_kept(roots)
+            roots = after
+        left = kept(_moved(edges, roots).coalesce(tasks))
+        drop_kept(edges)
+        rounds.append(roots)
+        edges = left
+    found = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))  # no links, no nodes
+    for roots in reversed(rounds):
+        found = _composed(roots, found).drop("moved")
+    if before is not None:
+        found = _composed(before, found).drop("moved").unionAll(found.join(before, "node", "left_anti"))
+    found = kept(found.coalesce(most))
+    for table in (*rounds, edges):
         drop_kept(table)
-        table, changed = after, after.where("root != before").limit(1).count()
-        roots = after.select("node", "root")
-        del near, met, jump
-        if not changed:
-            drop_kept(edges)
-            release(links.sparkSession)
-            return roots
+    release(links.sparkSession)
+    return found
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -333,8 +356,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     hubs = members.groupBy("list").agg(F.max(F.struct("weight", "node"))["node"].alias("hub"))
     met = members.join(hubs, "list").where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     tested = cut(met.distinct().join(named("a"), "a").join(named("b"), "b").where(may_be("a_", "b_")).select("a", "b"))
-    links = _verified(tested, texts, nodes, least)
-    found = components(links)
+    found = components(_verified(tested, texts, nodes, least))
     described = members.select("list", "node").join(known, "node")
     for every in (*[False] * NEAREST_ROUNDS, True):  # the last round leaves nothing out, however few were before it
         pairs = cut(open_pairs(described, found, every, _wanted(least)).join(tested, ["a", "b"], "left_anti"))
@@ -343,8 +365,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         more = _verified(pairs, texts, nodes, least)
         tested = cut(tested.unionAll(pairs))
         if not more.isEmpty():
-            links = cut(links.unionAll(more))
-            found = components(links)
+            found = components(more, found)
     placed = cut(nodes.join(found, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")))
     smallest = placed.groupBy("root").agg(F.min("id").alias("group"))
     named = small_side(cut(placed.join(smallest, "root").select(F.col("node").alias("own"), "root", "group")))

@@ -164,3 +164,35 @@ def test_rounds_of_components_leave_no_tables(spark, monkeypatch):
     assert found == {b"%03d" % k: b"000" if k <= 20 else b"021" for k in range(41)}
     left = [files for files in (df.inputFiles() for df in made) if any(os.path.exists(f.removeprefix("file://")) for f in files)]
     assert len(made) > 3 and len(left) == 1 and len(left[0]) == 1
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_components_of_new_links_read_no_others(spark, monkeypatch, seed):
+    """Later links join components found before; rounds go on with the links that are left, not with all."""
+    rng = random.Random(seed)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(500, 700 + k) for k in range(200)] + [(k, k + 1) for k in range(900, 960)]
+    parent = {k: k for link in links for k in link if link[0] != link[1]}
+
+    def root(k):
+        return k if parent[k] == k else root(parent[k])
+
+    for a, b in links:
+        if a != b:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    read = []
+
+    def kept(df):
+        found = scratch.kept(df)
+        if found.columns == ["a", "b"]:
+            read.append(found.count())
+        return found
+
+    monkeypatch.setattr(near, "kept", kept)
+    found = near.components(spark.createDataFrame(links[10:], "a long, b long"))
+    assert sum(read) < 2 * read[0] and read[0] > 1000
+    del read[:]
+    found = near.components(spark.createDataFrame(links[:10], "a long, b long"), found)
+    assert {r.node: r.root for r in found.collect()} == {k: root(k) for k in parent} and found.count() == len(parent)
+    assert read[0] <= 20
+    same = near.components(spark.createDataFrame([], "a long, b long"), found)
+    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, found.collect()))
