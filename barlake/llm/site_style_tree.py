@@ -241,7 +241,7 @@ def unimportant_paths(pages: DataFrame, importance: float = IMPORTANCE, least_pa
     nodes = (pages.select(host_of(F.col("url")).alias("host"), "html")
              .mapInArrow(_page_nodes, "host string, page long, nodes array<struct<path:long,parent:long,content:long>>, "
                          "below array<struct<parent:long,variant:long>>"))
-    different = nodes.where(F.size("nodes") > 0).dropDuplicates(["host", "page"])
+    different = cut(nodes.where(F.size("nodes") > 0).dropDuplicates(["host", "page"]))  # read twice, so pages are parsed once
     node = different.select("host", "page", F.explode("nodes").alias("node")).select("host", "page", "node.*")
     # contents: how many pages of the host show the same text at the node
     texts = node.groupBy("host", "path", "parent", "content").agg(F.countDistinct("page").alias("n"))

@@ -105,3 +105,17 @@ def test_all_blocks_are_in_the_tree(spark):
 def test_adverts_that_change_make_no_other_page(spark):
     rows = [(k, "http://c.example/", page(0).replace("Buy 0", f"Buy {k}"), "h", "p", 1) for k in range(30)]
     assert {r.text for r in tree.report(pages(spark, rows)).collect()} == {text_of(page(0))}
+
+
+def test_tree_parses_each_page_once(spark, monkeypatch):
+    """Contents and styles of a page are read from what one parse has written."""
+    parsed, nodes = spark.sparkContext.accumulator(0), tree._page_nodes
+
+    def counted(batches):
+        for batch in nodes(batches):
+            parsed.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(tree, "_page_nodes", counted)
+    found = tree.unimportant_paths(pages(spark, [(k, "http://a.b/c", page(k), None, None, 1) for k in range(12)])).collect()
+    assert parsed.value == 12 and found[0].low
