@@ -103,12 +103,7 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
 
 
-def encode(docs: DataFrame, path: str, offsets: bool = False) -> DataFrame:
-    """`docs` with `ids` (packed little-endian 32-bit ids) and, if wanted, `ends` (byte offsets at
-    which the tokens end). Columns of these names are replaced."""
-    docs = docs.drop("ids", "ends")
-    at = docs.columns.index("text")
-
+def _encoder(path: str, at: int, offsets: bool = False):
     def task(batches):
         for batch in small_batches(batches, at):
             ids = coder(path).encode(batch.column(at).to_pylist())
@@ -118,7 +113,23 @@ def encode(docs: DataFrame, path: str, offsets: bool = False) -> DataFrame:
                 names.append("ends")
             yield pa.RecordBatch.from_arrays(columns, names=names)
         coder(path).memory.forget()
+    return task
+
+
+def _decoder(path: str, at: int, name: str, as_text: bool = False, table=decoder):
+    def task(batches):
+        for batch in small_batches(batches, at):
+            found = [table(path).decode(x) for x in batch.column(at).to_pylist()]
+            column = pa.array([x.decode("utf-8", "replace") for x in found]) if as_text else pa.array(found, pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
+    return task
+
 
+def encode(docs: DataFrame, path: str, offsets: bool = False) -> DataFrame:
+    """`docs` with `ids` (packed little-endian 32-bit ids) and, if wanted, `ends` (byte offsets at
+    which the tokens end). Columns of these names are replaced."""
+    docs = docs.drop("ids", "ends")
+    task = _encoder(path, docs.columns.index("text"), offsets)
     return docs.mapInArrow(tidy(task), f"{_ddl(docs)}, ids binary" + ", ends array<long>" * offsets)
 
 
@@ -126,19 +137,25 @@ def decode(encoded: DataFrame, path: str, as_text: bool = False) -> DataFrame:
     """`encoded` with `decoded`, the bytes of its `ids`, or with `text` if `as_text`."""
     name, kind = ("text", "string") if as_text else ("decoded", "binary")
     encoded = encoded.drop(name)
-    at = encoded.columns.index("ids")
+    task = _decoder(path, encoded.columns.index("ids"), name, as_text)
+    return encoded.mapInArrow(tidy(task), f"{_ddl(encoded)}, {name} {kind}")
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """`docs` with `ids` and `decoded` in place of `text`: encoded and decoded in one worker with one
+    table, where `decode` after `encode` holds a second worker and sends the ids through Spark."""
+    docs = docs.drop("ids", "decoded")
+    rest = [c for c in docs.columns if c != "text"]
+    encoder, decoding = _encoder(path, docs.columns.index("text")), _decoder(path, len(rest), "decoded", table=coder)
 
     def task(batches):
-        for batch in small_batches(batches, at):
-            found = [decoder(path).decode(x) for x in batch.column(at).to_pylist()]
-            column = pa.array([x.decode("utf-8", "replace") for x in found]) if as_text else pa.array(found, pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
+        yield from decoding(batch.select([*rest, "ids"]) for batch in encoder(batches))
 
-    return encoded.mapInArrow(tidy(task), f"{_ddl(encoded)}, {name} {kind}")
+    kinds = _ddl(docs.select(*rest))
+    return docs.mapInArrow(tidy(task), f"{kinds}{', ' if kinds else ''}ids binary, decoded binary")
 
 
 def report(docs: DataFrame, path: str) -> DataFrame:
-    ids = encode(docs.select("doc_id", "text"), path).select("doc_id", "ids")
-    return decode(ids, path).select(
+    return round_trip(docs.select("doc_id", "text"), path).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))

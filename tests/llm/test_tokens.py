@@ -9,6 +9,8 @@ import numpy as np
 import pytest
 
 from barlake.llm import byte_bpe, pieces, token_counts
+from conftest import plan_of
+
 from .samples import ODD_ROWS, prose
 
 files = pytest.importorskip("public_tokenizers")
@@ -91,3 +93,12 @@ def test_offsets_and_split_characters(reference, make_docs):
 def test_library_values(library):
     assert pieces.PATTERN == files.PATTERN
     assert byte_bpe.byte_characters()[32] == "Ġ" and len(set(byte_bpe.byte_characters())) == 256
+
+
+def test_encoded_and_decoded_in_one_worker(make_docs):
+    """A task of the report holds one worker, and gives what two give one after the other."""
+    docs = make_docs([*ODD_ROWS, *enumerate(texts())])
+    assert plan_of(byte_bpe.report(docs, RANKS)).count("MapInArrow") == 1
+    both = byte_bpe.round_trip(docs, RANKS)
+    apart = byte_bpe.decode(byte_bpe.encode(docs, RANKS), RANKS).drop("text").select(*both.columns)
+    assert "text" not in both.columns and sorted(map(repr, both.collect())) == sorted(map(repr, apart.collect()))
