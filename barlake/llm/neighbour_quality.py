@@ -36,6 +36,8 @@ GRAMS = 1 << 12
 CLASSES = 8
 RATIOS = 32
 TERMS = GRAMS + CLASSES ** 4 + RATIOS
+#: Labelled documents whose neighbours are looked for at a time.
+VOTES_AT_ONCE = 256
 
 KIND = np.full(256, 6, np.uint8)  # other marks
 KIND[97:123], KIND[65:91], KIND[48:58], KIND[32], KIND[10], KIND[128:] = 0, 1, 2, 3, 4, 5
@@ -96,7 +98,8 @@ class Model:
         """Logistic curve through the votes of the labelled documents for each other, by Newton steps."""
         cosine = self.vectors @ self.vectors.T
         np.fill_diagonal(cosine, -1)
-        odds, one = self.votes(cosine), self.labels == 1
+        odds = np.concatenate([self.votes(cosine[k:k + VOTES_AT_ONCE]) for k in range(0, len(cosine), VOTES_AT_ONCE)])
+        one = self.labels == 1
         usable = ~np.isnan(odds)
         if len(set(self.labels[usable])) < 2:
             return
@@ -116,9 +119,9 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def weighted(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Damped and weighted counts; each kind of term has length 1."""
-    x = np.log1p(counts)
+def weighted(counts: np.ndarray, weights: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """Damped and weighted counts, in `out` if given; each kind of term has length 1."""
+    x = np.log1p(counts, out=out)
     x *= weights
     edges = [0, GRAMS, TERMS - RATIOS, TERMS]
     for a, b in zip(edges[:-1], edges[1:]):
@@ -132,8 +135,10 @@ def inverse_frequencies(having: np.ndarray, total: int) -> np.ndarray:
     return (np.log((1 + total) / (1 + having)) + 1).astype(np.float32)
 
 
-def fit(counts: np.ndarray, labels: np.ndarray, prior: float, weights: np.ndarray, seed: int = 11) -> Model:
-    x = weighted(counts, weights)
+def fit(counts: np.ndarray, labels: np.ndarray, prior: float, weights: np.ndarray, seed: int = 11,
+        overwrite: bool = False) -> Model:
+    """A model of labelled documents; `overwrite` works in `counts`, so that the driver holds one matrix."""
+    x = weighted(counts, weights, out=counts if overwrite else None)
     rank = min(RANK, *x.shape)
     basis = np.random.default_rng(seed).normal(size=(x.shape[1], min(rank + 16, *x.shape))).astype(np.float32)
     for _ in range(4):  # subspace iteration
@@ -141,6 +146,7 @@ def fit(counts: np.ndarray, labels: np.ndarray, prior: float, weights: np.ndarra
     _, _, axes = np.linalg.svd(x @ basis, full_matrices=False)
     axes = (basis @ axes.T)[:, :rank].astype(np.float32)
     model = Model(weights, axes, unit(x @ axes).astype(np.float32), labels.astype(np.float64), prior)
+    del x, counts
     model.calibrate()
     return model
 
@@ -182,6 +188,15 @@ def _packed(batches):
                                          names=["doc_id", "label", "packed"])
 
 
+def _unpacked(packed: list[bytes]) -> np.ndarray:
+    """The matrix of counts of what `_packed` gives."""
+    counts = np.zeros((len(packed), TERMS), np.float32)
+    for k, row in enumerate(packed):
+        pairs = np.frombuffer(row, np.uint32).reshape(-1, 2)
+        counts[k, pairs[:, 0]] = pairs[:, 1]
+    return counts
+
+
 def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model | None:
     """A model of at most `labelled` documents of each label that are not held out."""
     known = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
@@ -199,11 +214,7 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model
     if not rows:
         return None
     weights = term_weights(docs)
-    counts = np.zeros((len(rows), TERMS), np.float32)
-    for k, (_, packed, _) in enumerate(rows):
-        pairs = np.frombuffer(packed, np.uint32).reshape(-1, 2)
-        counts[k, pairs[:, 0]] = pairs[:, 1]
-    return fit(counts, np.array([r[2] for r in rows]), float(prior), weights)
+    return fit(_unpacked([r[1] for r in rows]), np.array([r[2] for r in rows]), float(prior), weights, overwrite=True)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Learned operators: held-out accuracy, and the rows that can't be learned from or scored."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -133,3 +134,18 @@ def test_latent_cosines_are_exact():
         weight = np.maximum(cosine[near], 0).astype(float) ** neighbour_quality.SHARPNESS
         share = np.clip((weight * model.labels[near]).sum() / weight.sum(), 0.01, 0.99)
         assert odds[k] == pytest.approx(np.log(share / (1 - share)), rel=1e-4, abs=1e-6)
+
+
+def test_fit_holds_the_counts_once():
+    """The driver's peak beyond the counts is less than they take: no second matrix, votes a few rows at a time."""
+    rng = np.random.default_rng(2)
+    counts = rng.poisson(0.2, (1500, neighbour_quality.TERMS)).astype(np.float32)
+    counts[:750, :40] += 2
+    size = counts.nbytes
+    tracemalloc.start()
+    try:
+        model = neighbour_quality.fit(counts, np.arange(1500) < 750, 0.5, np.ones(neighbour_quality.TERMS, np.float32), overwrite=True)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 0.8 * size and model.curve[0] > 0
