@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 
 from barlake.functions.columns import all_of
 
+# What `marked_keys` says of a key: rows of the batch, and whether it is stored.
+MARKS = ("__rows", "__stored")
+
 
 def find_duplicates(batch: DataFrame, stored: DataFrame, key: Sequence[str]) -> DataFrame:
     """Batch rows whose key is stored."""
@@ -26,17 +29,27 @@ def distinct_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return df.select(*key).distinct()
 
 
-def drop_repeats(batch: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
-    """One row per key of the batch: the smallest by `order` and then by all columns.
+def marked_keys(batch: DataFrame, stored: DataFrame | None, key: Sequence[str]) -> DataFrame:
+    """The batch keys that are stored or repeated, with their batch rows and whether they are stored."""
+    names = [F.when(F.col("nulls").bitwiseAND(1 << i) == 0, F.col(f"k{i}")).alias(c) for i, c in enumerate(key)]
+    return _grouped(batch, stored, key).where((F.col("n") > 1) | F.col("stored")).select(
+        *names, F.col("n").alias(MARKS[0]), F.coalesce("stored", F.lit(False)).alias(MARKS[1]))
+
+
+def without_marked(batch: DataFrame, marked: DataFrame, key: Sequence[str], *, drop: bool,
+                   order: Sequence[str] = ()) -> DataFrame:
+    """Batch rows whose key is not stored, with `drop` one per key: the smallest by `order` and then by all columns.
 
     Only rows of repeated keys are grouped; all others pass by.
     """
+    same = _same_key("batch", "marked", key)
+    settled = marked if drop else marked.where(F.col(MARKS[1]))
+    once = batch.alias("batch").join(settled.alias("marked"), same, "left_anti")
+    if not drop:
+        return once
     names = batch.columns
     least = [*order, *[c for c in names if c not in order]]
-    repeated = batch.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
-    same = _same_key("batch", "stored", key)
-    once = batch.alias("batch").join(repeated.alias("stored"), same, "left_anti")
-    several = batch.alias("batch").join(repeated.alias("stored"), same, "left_semi")
+    several = batch.alias("batch").join(marked.where(~F.col(MARKS[1])).alias("marked"), same, "left_semi")
     first = several.groupBy(*key).agg(F.min(F.struct(*least)).alias("row")).select("row.*")
     return once.unionByName(first.select(*names))
 
@@ -75,14 +88,38 @@ class KeyCounts:
     repeated: int  # batch rows beyond the first of their key
     fresh_keys: int  # distinct batch keys that are not stored
 
+    @property
+    def repeats_left(self) -> bool:
+        """Whether rows that are not stored share a key."""
+        return self.rows - self.stored > self.fresh_keys
+
 
 def count_keys(batch: DataFrame, stored: DataFrame | None, key: Sequence[str]) -> KeyCounts:
     row = key_counts(batch, stored, key).first()
     return KeyCounts(row["rows"], row["stored"], row["repeated"], row["fresh_keys"])
 
 
+def marked_counts(marked: DataFrame, rows: int) -> tuple[KeyCounts, int]:
+    """Counts of a batch of so many rows from its marked keys, and the number of those."""
+    total = marked.agg(
+        F.count("*").alias("keys"), F.count_if(MARKS[1]).alias("stored keys"),
+        F.coalesce(F.sum(F.when(F.col(MARKS[1]), F.col(MARKS[0]))), F.lit(0)).alias("stored"),
+        F.coalesce(F.sum(F.col(MARKS[0]) - 1), F.lit(0)).alias("repeated")).first()
+    fresh = rows - total["repeated"] - total["stored keys"]  # keys without a mark have one row each
+    return KeyCounts(rows, total["stored"], total["repeated"], fresh), total["keys"]
+
+
 def key_counts(batch: DataFrame, stored: DataFrame | None, key: Sequence[str]) -> DataFrame:
-    """Duplicate counts in one row, without moving rows: each side shuffles one row per key.
+    """Duplicate counts in one row, without moving rows: each side shuffles one row per key."""
+    return _grouped(batch, stored, key).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum(F.when(F.col("stored"), F.col("n"))), F.lit(0)).alias("stored"),
+        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated"),
+        F.count_if(F.col("stored").isNull()).alias("fresh_keys"))
+
+
+def _grouped(batch: DataFrame, stored: DataFrame | None, key: Sequence[str]) -> DataFrame:
+    """Batch keys with their rows `n`, and `stored` where they are.
 
     Keys are written null-free (value plus a bit mask of nulls), so grouping and
     join share one exchange per side and a hot key collapses before the shuffle.
@@ -96,11 +133,7 @@ def key_counts(batch: DataFrame, stored: DataFrame | None, key: Sequence[str]) -
         theirs = (stored.select(*_null_free(stored, key)).groupBy(*names)
                   .agg(F.lit(True).alias("stored")))
         mine = mine.join(theirs, names, "left")
-    return mine.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(F.when(F.col("stored"), F.col("n"))), F.lit(0)).alias("stored"),
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated"),
-        F.count_if(F.col("stored").isNull()).alias("fresh_keys"))
+    return mine
 
 
 def _null_free(df: DataFrame, key: Sequence[str]) -> list[Column]:

@@ -18,7 +18,7 @@ from barlake.operators import checks, keys
 from barlake.operators.layout import FilePlan, bytes_of_a_row, save_sized, stored_form
 from barlake.sources.files import partition_folders, stored_files
 from barlake.sources.scan import EXACT_PARTITIONS, in_partitions, read_by_key_hash, read_stored
-from barlake.sources.scratch import folder_exists, new_folder, remove_folder, rename_folder
+from barlake.sources.scratch import drop_kept, folder_exists, kept, new_folder, remove_folder, rename_folder
 from barlake.tables import Store, Table
 
 # The Parquet codecs Spark knows.
@@ -29,7 +29,8 @@ CODECS = ("none", "uncompressed", "snappy", "gzip", "lzo", "brotli", "lz4", "lz4
 NARROW_STORED_BYTES = 256 << 20
 
 # Batch keys up to this many bytes, measured in the first pass over the batch, are
-# broadcast to such stored rows; beyond it both sides shuffle one row per key.
+# broadcast to such stored rows; beyond it both sides shuffle one row per key. So are
+# those that are stored or repeated, to the rows of the batch.
 BROADCAST_KEY_BYTES = 64 << 20
 
 # A batch of up to so many rows is looked for through the key filters of the stored files.
@@ -164,26 +165,30 @@ def _write(store: Store, table: Table, prepared: DataFrame, mode: str, extra: li
     folders = touched_folders(store, table, route) if check else []
     size = touched_bytes(store, table, route, folders) if check else 0
     stored = read_touched(store, table, route, folders, batch) if size else None
-    shared = None
     if size >= NARROW_STORED_BYTES and not _filters_keys(table, route):
         stored = within_key_bounds(stored, batch, table)
         if route.key_bytes <= BROADCAST_KEY_BYTES:
-            # no larger than the batch keys; used by the count and by the removal
-            stored = shared = keys.shared_keys(batch, stored, table.identity).persist()
+            stored = keys.shared_keys(batch, stored, table.identity)
+    marked = None
     try:
         rows, found, repeated = route.rows, 0, 0
         if stored is not None or drop or (check and count):
-            counts = keys.count_keys(batch, stored, table.identity)
+            if drop or (remove and stored is not None):
+                # written, so that the rows are grouped by key once for the counts and for what is left out
+                marked = kept(keys.marked_keys(batch, stored, table.identity))
+                counts, number = keys.marked_counts(marked, route.rows)
+            else:
+                counts, number = keys.count_keys(batch, stored, table.identity), 0
             found, repeated = counts.stored, counts.repeated
             if found and not remove:
                 return WriteResult(False, duplicates_found=found, duplicates_in_batch=repeated,
                                    warnings=warnings, errors=[f"Found {found} duplicate rows"])
-            if found:
-                batch = keys.remove_duplicates(batch, stored, table.identity)
-                rows -= found
-            if drop and repeated:
-                batch = keys.drop_repeats(batch, table.identity, order)
-                rows = counts.fresh_keys
+            single = drop and counts.repeats_left
+            if found or single:
+                few = number * route.key_bytes <= BROADCAST_KEY_BYTES * route.rows
+                batch = keys.without_marked(batch, F.broadcast(marked) if few else marked, table.identity,
+                                            drop=single, order=order)
+                rows = counts.fresh_keys if single else rows - found
         if rows and max_mb:
             limit = int(max_mb * (1 << 20))
             plan = FilePlan.of_size(table, route.tuples, route.counts, bytes_of_a_row(store, staged, route.rows), limit)
@@ -193,8 +198,8 @@ def _write(store: Store, table: Table, prepared: DataFrame, mode: str, extra: li
         return WriteResult(True, rows, route.partitions, route.paths, found, found, repeated,
                            warnings=warnings)
     finally:
-        if shared is not None:
-            shared.unpersist()
+        if marked is not None:
+            drop_kept(marked)
 
 
 def route_batch(data: DataFrame, table: Table) -> Route:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,14 +41,28 @@ def envelope_records(documents: DataFrame) -> DataFrame:
         F.col("_metadata.file_modification_time").alias(ARRIVAL[0]), F.col("_metadata.file_path").alias(ARRIVAL[1]))
 
 
-def record_columns(records: DataFrame, table: Table) -> DataFrame:
-    """The declared columns of each record, as text, and how it arrived; a column the record lacks is null."""
-    return records.select(*[F.col("record")[c].alias(c) for c in table.columns],
-                          *[c for c in ARRIVAL if c in records.columns])
+def record_columns(records: DataFrame, table: Table, split: Sequence[str] = ()) -> DataFrame:
+    """The declared columns of each record, as text, and how it arrived; a column the record lacks is null.
+
+    `split` are the columns the records were split by, if they were.
+    """
+    value = {c: F.col(f"value {i}") for i, c in enumerate(split)} or {c: F.col("record")[c] for c in table.columns}
+    return records.select(*[value[c].alias(c) for c in table.columns], *[c for c in ARRIVAL if c in records.columns])
+
+
+def split_records(records: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The records with a text column `value N` for the Nth of the columns in place of their map, and with
+    `has N` whether they have it at all, so that a pass over them reads only the columns it needs."""
+    split = []
+    for i, c in enumerate(columns):
+        value = F.col("record")[c]
+        split += [value.alias(f"value {i}"), (value.isNotNull() | F.map_contains_key("record", F.lit(c))).alias(f"has {i}")]
+    return records.select("version", *[c for c in ARRIVAL if c in records.columns], *split)
 
 
-def absent_columns(records: DataFrame, table: Table) -> list[str]:
-    """Declared columns that no record has."""
-    found = records.agg(*[F.max(F.map_contains_key("record", F.lit(c))).alias(c)
-                          for c in table.columns]).first()
-    return [c for c in table.columns if not found[c]]
+def found_versions(split: DataFrame, columns: Sequence[str], declared: Sequence[str]) -> dict[str | None, set[str]]:
+    """Declared versions of split records with the columns that some record has; None stands for all other versions."""
+    known = F.col("version").isin(list(declared))
+    found = split.groupBy(F.when(known, F.col("version")).alias("known")).agg(
+        *[F.max(f"has {i}").alias(f"has {i}") for i in range(len(columns))])
+    return {r["known"]: {c for i, c in enumerate(columns) if r[f"has {i}"]} for r in found.collect()}

@@ -9,7 +9,7 @@ from barlake.operators.write import write_data
 from barlake.sources.scan import read_data
 from barlake.sources.scratch import shared_folder
 from barlake.streaming.ingest import ingest_stream
-from conftest import BARS_BY_MARKET
+from conftest import BARS_BY_MARKET, plan_of
 
 NAMES = list(BARS_BY_MARKET.columns)
 A = ("2026-05-15", "00700", "XHKG", "09:30", 380.5)
@@ -90,6 +90,23 @@ def test_whole_numbers_in_json_stay_exact(store, tmp_path):
     assert (row["a_int64"], row["a_bool"], row["a_double"]) == (9007199254740993, True, 0.1)
 
 
+def test_records_are_staged_as_a_column_each(store, tmp_path, monkeypatch):
+    """No pass of a write reads the maps again; a column that is null in every record is not missing."""
+    from barlake.operators import ingest
+    drop, plans = str(tmp_path / "drop"), []
+    post(drop, "a", C)
+    post(drop, "b", C, B[:4])
+
+    def spy(store, data, *args, **options):
+        plans.append(plan_of(data))
+        return write_data(store, data, *args, **options)
+
+    monkeypatch.setattr(ingest, "write_data", spy)
+    [result] = ingest_envelopes(store, drop, "bars_by_market")
+    assert result.success and stored(store) == sorted([C, C, (*B[:4], None)], key=repr)
+    assert len(plans) == 1 and "map<" not in plans[0]
+
+
 def test_overwrite_by_envelope(store, tmp_path):
     post(str(tmp_path / "one"), "a", A, B)
     post(str(tmp_path / "two"), "a", (*A[:4], 1.0))

@@ -413,6 +413,26 @@ def test_the_source_is_read_once(spark, store, bars):
     assert (result.total_rows, read.value) == (2, 3)
 
 
+@pytest.mark.parametrize("limit", [write.BROADCAST_KEY_BYTES, -1])
+def test_rows_are_read_twice_behind_the_counts(spark, store, bars, monkeypatch, limit):
+    """Once for the rows whose key is neither stored nor repeated, and once for the repeated ones."""
+    monkeypatch.setattr(write, "BROADCAST_KEY_BYTES", limit)
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    write_data(store, bars(ROW), "bars_by_market")
+    several = [(*OTHER[:3], None, 3.0), (*OTHER[:3], None, 2.0)]
+    source = bars(ROW, ROW, OTHER, *several).mapInPandas(count, BARS_BY_MARKET.schema)
+    result = write_data(store, source, "bars_by_market", remove_duplicates=True, drop_repeats=True, stage=False)
+    assert (result.total_rows, result.duplicates_removed, result.duplicates_in_batch) == (2, 2, 2)
+    assert stored_rows(store) == sorted([ROW, OTHER, several[1]], key=repr)
+    assert read.value <= 4 * 5  # the checks, the keys and those two
+
+
 def test_members_need_their_own_key(spark, store, tmp_path):
     first = spark.createDataFrame([("hsi", "a", "a", "2026-05-19", 2026, 5, "00700", "T")],
                                   ["index_code", "index_name_en", "index_name_cn", "date", "Year",
